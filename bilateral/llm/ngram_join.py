@@ -25,19 +25,19 @@ columns other than the two named are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import Tables, components
+from .tables import Tables, at_most, components
 from .words import hashes, mix, shingle_hashes, signed, slices, spans
 
 NUM, DEN = 75, 100  # Jaccard threshold
-HEAVY = 32  # inverted lists longer than this make a shingle heavy
+HEAVY = 8  # inverted lists longer than this make a shingle heavy
 BLOOM_BITS = 1 << 25  # 4 MB, the whole of what is broadcast
 PIVOTS = 3
 _SALT = [np.uint64(x) for x in (0x0, 0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9, 0x5851F42D4C957F2D)]
@@ -112,29 +112,30 @@ def _count_prefixes(batches):
         yield pa.RecordBatch.from_arrays([signed(tokens), pa.array(n)], names=["token", "n"])
 
 
-def heavy_filter(spark, docs: DataFrame) -> tuple[np.ndarray, float]:
-    """Bloom filter of the heavy shingles, and the mean list length that a scan of the others meets."""
+def heavy_filter(docs: DataFrame, tables: Tables) -> tuple[np.ndarray, float]:
+    """Bloom filter of the heavy shingles, and the mean list length that a scan of the others meets.
+
+    Where more shingles are heavy than the filter holds, those with the longest lists go in."""
     counts = docs.select("doc_id", "text").mapInArrow(_count_prefixes, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = tables.put(counts)
+    light = counts.where(F.col("n") <= HEAVY).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
 
     def fill(batches):
         bits = np.zeros(BLOOM_BITS, dtype=bool)
-        rows = total = 0
         for b in batches:
-            h, n = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), b.column(1).to_numpy(zero_copy_only=False)
-            rows, total = rows + int((n[n <= HEAVY]).sum()), total + int((n[n <= HEAVY] ** 2).sum())
+            h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for shift in (0, 26, 38):
-                bits[((h[n > HEAVY] >> np.uint64(shift)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)] = True
+                bits[((h >> np.uint64(shift)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)] = True
         words = np.packbits(bits, bitorder="little").view(np.uint64)
         at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), signed(words[at]), pa.array(np.zeros(len(at), np.int64))], names=["at", "word", "extra"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1, -2]), pa.array([rows, total]), pa.array([1, 1])], names=["at", "word", "extra"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), signed(words[at])], names=["at", "word"])
 
-    merged = counts.mapInArrow(fill, "at long, word long, extra long").groupBy("at").agg(F.expr("bit_or(word)").alias("word"), F.sum(F.col("word").cast("decimal(38,0)")).alias("total")).toArrow()
-    at = merged.column("at").to_numpy()
+    heavy = at_most(counts.where(F.col("n") > HEAVY), "n", BLOOM_BITS // 12).select("token")
+    merged = heavy.mapInArrow(fill, "at long, word long").groupBy("at").agg(F.expr("bit_or(word)").alias("word")).toArrow()
     words = np.zeros(BLOOM_BITS // 64, dtype=np.uint64)
-    words[at[at >= 0]] = merged.column("word").to_numpy()[at >= 0].view(np.uint64)
-    extra = {a: int(t) for a, t in zip(at.tolist(), merged.column("total").to_pylist(), strict=True) if a < 0}
-    return words.view(np.uint8), extra.get(-2, 0) / max(1, extra.get(-1, 0))
+    words[merged.column("at").to_numpy()] = merged.column("word").to_numpy().view(np.uint64)
+    tables.drop(counts)
+    return words.view(np.uint8), (light[1] or 0) / max(1, light[0] or 0)
 
 
 def choose_boundary(sizes: DataFrame, mean_list: float) -> int:
@@ -302,12 +303,10 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     links = verified(docs, full, stars.distinct(), tables)
     roots = tables.put(components(tables, links))
 
-    bits, mean_list = heavy_filter(spark, docs)
+    bits, mean_list = heavy_filter(docs, tables)
     boundary = choose_boundary(nodes, mean_list)
     bloom = spark.sparkContext.broadcast(bits)
     index = docs.select("doc_id", "text").mapInArrow(_index(bloom, boundary), "token long, node long, n int, place int")
-    from pyspark.sql import Window as W
-
     per = W.partitionBy("token")
     live = index.select("*", F.min("node").over(per).alias("lo"), F.max("node").over(per).alias("hi")).where("lo != hi").drop("lo", "hi")
     live = tables.put(live)
@@ -316,9 +315,12 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     pairs = named.mapInArrow(_list_pairs, "a long, b long").distinct()
     more = verified(docs, full, pairs, tables)
     tables.drop(live)
-    ends = components(tables, links.union(more))
+    # the links found now join components, so only those are walked again
+    over = more.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    tops = components(tables, over).toDF("root", "top")
 
-    labelled = known.join(ends, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = labelled.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root"))
     names = labelled.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     sizes = known.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("n_class"))
     out = labelled.join(names, "root", "left").join(sizes, "node", "left")

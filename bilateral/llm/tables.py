@@ -62,3 +62,15 @@ def components(tables: Tables, edges: DataFrame, a: str = "a", b: str = "b") ->
             break
         mark = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def at_most(df: DataFrame, by: str, limit: int) -> DataFrame:
+    """The rows with the largest ``by`` (positive), as many whole steps of its logarithm as ``limit`` rows allow."""
+    step = F.floor(F.log2(F.col(by).cast("double")) * 16)
+    steps = {r.g: r.c for r in df.groupBy(step.alias("g")).agg(F.count("*").alias("c")).collect()}
+    kept = 0
+    for g in sorted(steps, reverse=True):
+        kept += steps[g]
+        if kept > limit:
+            return df.where(step > g)
+    return df
