@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import fingerprints, flac, language_id, mixing, packing, suffix_tree, toxicity
 from .ngram_join import ngram_jaccard_join
 
+TOKENIZER = "word_bpe_49k.json"
+TOXIC_AT = 0.3
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -15,6 +20,57 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_documents(spark, sf_dir))
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def _fold(n: int):
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), _tokenizer())
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = _fold(4) == 2
+    model = language_id.train(docs.where(~held_out))
+    return language_id.identify(docs, model).withColumn("held_out", held_out)
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict:
+    """Trains on the labelled rows of three folds of four."""
+    known = toxicity.label_sample(labels.where(_fold(4) != 2))
+    return toxicity.train(docs.join(F.broadcast(known), "doc_id").select("text", "label"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), "passages")
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(_documents(spark, sf_dir))
+
+
+def op7_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digest(flac.store(_documents(spark, sf_dir)))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", mixing.word_count("text").alias("size"), F.array("source").alias("sources"))
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(_documents(spark, sf_dir), _fold(5) == 1)
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
