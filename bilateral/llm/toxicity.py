@@ -1,7 +1,7 @@
 """Toxic passages: maximum-scoring segments of token log-odds, with extreme-value calibration.
 
 * Token weights are log-odds ratios of toxic against other labelled texts with an informative
-  Dirichlet prior (the corpus distribution), shrunk by their variance; unknown tokens get the
+  Dirichlet prior (the corpus distribution), taken at the near end of their confidence interval; unknown tokens get the
   drift, a small negative weight, so that the expected weight of clean text is negative.
 * A linear-time scan keeps all maximal scoring segments of a text (Ruzzo and Tompa).
 * A segment's score S gets the extreme-value p-value 1 - exp(-K n exp(-lambda S)), with lambda and
@@ -29,9 +29,12 @@ from .words import PLAIN_WORD, hashes, mix, slices, spans
 
 MAX_LABELS = 400_000
 PRIOR = 500.0
+LEAST_PRIOR = 0.3
+Z = 1.64
 MIN_COUNT = 3
+LEAST_WEIGHT = 0.4
 DRIFT = -0.15
-MIN_SEGMENT = 1.0
+MIN_SEGMENT = 0.5
 
 
 def label_sample(labels: DataFrame, column: str = "toxic") -> DataFrame:
@@ -70,17 +73,17 @@ def token_weights(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     t1, t0 = float(totals[0] or 0), float(totals[1] or 0)
     if not t1 or not t0:
         return np.zeros(0, np.uint64), np.zeros(0)
-    # text counts damp repetition; the prior spreads PRIOR pseudo-counts as the whole corpus does
-    a = F.greatest(PRIOR * (F.col("d1") + F.col("d0")) / (t1 + t0), F.lit(0.01))
+    # counts of texts damp repetition; the prior spreads PRIOR pseudo-counts as the whole corpus does
+    a = F.greatest(PRIOR * (F.col("d1") + F.col("d0")) / (t1 + t0), F.lit(LEAST_PRIOR))
     y1, y0 = F.col("d1") + a * t1 / (t1 + t0), F.col("d0") + a * t0 / (t1 + t0)
     odds = F.log(y1 / (t1 + PRIOR - y1)) - F.log(y0 / (t0 + PRIOR - y0))
-    z = odds / F.sqrt(1 / y1 + 1 / y0)
-    kept = counts.where(F.col("d1") + F.col("d0") >= MIN_COUNT).select("word", odds.alias("odds"), z.alias("z")).where(F.abs("z") >= 2.5)
-    got = at_most(kept.withColumn("strength", F.abs("z")), "strength", 1_000_000).toArrow()  # bounds the broadcast
+    sd = F.sqrt(1 / y1 + 1 / y0)
+    # the side of the confidence interval that is nearer to no difference
+    sure = F.signum(odds) * F.greatest(F.abs(odds) - Z * sd, F.lit(0.0))
+    kept = counts.where(F.col("d1") + F.col("d0") >= MIN_COUNT).select("word", sure.alias("weight")).where(F.abs("weight") >= LEAST_WEIGHT)
+    got = at_most(kept.withColumn("strength", F.abs("weight")), "strength", 1_000_000).toArrow()  # bounds the broadcast
     words = got.column("word").to_numpy().view(np.uint64)
-    odds = got.column("odds").to_numpy().astype(float)
-    zed = got.column("z").to_numpy().astype(float)
-    weight = np.clip(odds * (1 - (2.0 / np.abs(zed)) ** 2).clip(0.2, 1), -0.5, 6.0)
+    weight = np.clip(got.column("weight").to_numpy().astype(float), -0.5, 6.0)
     order = np.argsort(words)
     return words[order], weight[order]
 
