@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, flac, language_id, mixing, packing, suffix_tree, toxicity
+from . import fingerprints, flac, language_id, licenses, mixing, packing, substrings, suffix_tree, toxicity
 from .ngram_join import ngram_jaccard_join
 
 TOKENIZER = "word_bpe_49k.json"
@@ -54,6 +54,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"), "passages")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree source / thousand / hundred / doc_id."""
+    docs = _documents(spark, sf_dir)
+    path = F.concat_ws("/", "source", F.expr("doc_id div 1000"), F.expr("doc_id div 100"), F.col("doc_id").cast("string"))
+    return licenses.scan_licenses(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(_documents(spark, sf_dir))
 
@@ -71,6 +78,10 @@ def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(_documents(spark, sf_dir), _fold(5) == 1)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(_documents(spark, sf_dir)).drop("rid")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
