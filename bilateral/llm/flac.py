@@ -316,7 +316,7 @@ def decode(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
         out[to[own] + j] = _signed(bits.read(own, np.full(len(own), 8)), 8)
     coefs = np.zeros((len(lanes), max(deep, 1)), np.int64)
     shift = np.zeros(len(lanes), np.int64)
-    for o in range(1, 5):
+    for o in range(1, min(deep, 4) + 1):
         coefs[fixed & (order == o), :o] = FIXED[o]
     own = np.flatnonzero(lpc)
     if len(own):
