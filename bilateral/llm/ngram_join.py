@@ -13,8 +13,10 @@ least num/den are found exactly:
   partners can lie above. The boundary is the one of least cost by the histogram of set sizes
   and the measured list length;
 * large groups of near copies are first joined into components through the smallest shingle under
-  three hash orders (one pivot a group, each link verified), and lists then give only pairs of
-  different components: a link inside a component changes nothing;
+  three hash orders (one pivot a group, its most common text, each link verified), and lists then
+  give only pairs of different components (a link inside one changes nothing) whose places leave room
+  for the overlap that they need: an edited copy has its own shingles first, so copies with too many
+  edits to be linked with anything drop out of the common lists;
 * candidates are pruned by parity sketches (the number of differing bits never exceeds the
   symmetric difference, so no link is lost) and verified on the whole sets.
 
@@ -78,20 +80,26 @@ def _sketch(part: np.ndarray) -> bytes:
     return np.packbits(np.bincount((part & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
-def _describe(batches):
+def _describe(bloom):
+    return lambda batches: _descriptions(batches, bloom.value)
+
+
+def _descriptions(batches, bits):
     for rows, sets, sizes in shingle_sets(batches):
         ends = np.cumsum(sizes)
         parts = [sets[e - n : e] for e, n in zip(ends, sizes, strict=True)]
+        total = np.concatenate([[0], np.cumsum(_in_bloom(bits, sets))])
+        heavy = total[ends] - total[ends - sizes]
         least = [signed(np.array([mix(p ^ s).min() if len(p) else 0 for p in parts], dtype=np.uint64)) for s in _SALT[1 : 1 + PIVOTS]]
         yield pa.RecordBatch.from_arrays(
-            [rows.column("doc_id"), pa.array(sizes), signed(set_keys(sets, sizes)), pa.array([_sketch(p) if len(p) else None for p in parts], pa.binary()), *least],
-            names=["doc_id", "n_shingles", "node", "sketch", *(f"m{k}" for k in range(PIVOTS))],
+            [rows.column("doc_id"), pa.array(sizes), signed(set_keys(sets, sizes)), pa.array(heavy), pa.array([_sketch(p) if len(p) else None for p in parts], pa.binary()), *least],
+            names=["doc_id", "n_shingles", "node", "heavy", "sketch", *(f"m{k}" for k in range(PIVOTS))],
         )
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    """doc_id, set size, class key, parity sketch and smallest shingles of every document."""
-    return docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, n_shingles long, node long, sketch binary, " + ", ".join(f"m{k} long" for k in range(PIVOTS)))
+def describe(docs: DataFrame, bloom) -> DataFrame:
+    """doc_id, set size, class key, number of heavy shingles, parity sketch and smallest shingles of every document."""
+    return docs.select("doc_id", "text").mapInArrow(_describe(bloom), "doc_id long, n_shingles long, node long, heavy long, sketch binary, " + ", ".join(f"m{k} long" for k in range(PIVOTS)))
 
 
 def _in_bloom(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -187,13 +195,45 @@ def _index(bloom, boundary: int):
     return emit
 
 
+class _Sketches:
+    """Parity sketches of the rows of a table, compared pair by pair at the width of the narrower one."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        raw = column.to_pylist()
+        self.bits = np.array([8 * len(x) for x in raw])
+        self.at = np.zeros(len(raw), np.int64)
+        self.own, self.half = {}, {}
+        for w in np.unique(self.bits).tolist():
+            rows = np.flatnonzero(self.bits == w)
+            self.at[rows] = np.arange(len(rows))
+            own = np.frombuffer(b"".join(raw[i] for i in rows), np.uint8).reshape(len(rows), w // 8)
+            self.own[w], self.half[w] = own, own[:, : w // 16] ^ own[:, w // 16 :]
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Differing bits of each pair: at most the size of the symmetric difference (0 where widths are far apart)."""
+        out = np.zeros(len(x), np.int64)
+        for w in np.unique(self.bits[x]).tolist():
+            for v in (w // 2, w, 2 * w):
+                rows = np.flatnonzero((self.bits[x] == w) & (self.bits[y] == v))
+                if not len(rows):
+                    continue
+                a = (self.half if v < w else self.own)[w]
+                b = (self.half if v > w else self.own)[v]
+                step = max(1, (8 << 20) // a.shape[1])
+                for k in range(0, len(rows), step):
+                    part = rows[k : k + step]
+                    out[part] = np.bitwise_count(a[self.at[x[part]]] ^ b[self.at[y[part]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def _list_pairs(batches):
-    """Pairs of different components in each inverted list; rows come sorted by token and root."""
+    """Pairs of different components in each inverted list that may be linked; rows come sorted by token and root."""
     left = None
 
     def pairs(t):
-        token, root, node = (t.column(k).to_numpy(zero_copy_only=False) for k in ("token", "root", "node"))
+        token, root, node = (t.column(k).to_numpy() for k in ("token", "root", "node"))
         n, place = t.column("n").to_numpy().astype(np.int64), t.column("place").to_numpy().astype(np.int64)
+        sketches = _Sketches(t.column("sketch"))
         size = len(token)
         new = np.r_[True, token[1:] != token[:-1]]
         begin = np.maximum.accumulate(np.where(new, np.arange(size), 0))
@@ -203,13 +243,14 @@ def _list_pairs(batches):
         done = np.cumsum(many)
         at = 0
         while at < size:
-            end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + 1_000_000, "right")))
+            end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + 500_000, "right")))
             m = many[at:end]
             x = np.repeat(np.arange(at, end), m)
             y = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(begin[at:end], m)
-            a, b = n[x], n[y]
-            need = -(-NUM * (a + b) // (NUM + DEN))
-            ok = np.minimum(a - place[x], b - place[y]) >= need
+            need = -(-NUM * (n[x] + n[y]) // (NUM + DEN))
+            ok = np.minimum(n[x] - place[x], n[y] - place[y]) >= need
+            x, y, need = x[ok], y[ok], need[ok]
+            ok = sketches.differ(x, y) <= n[x] + n[y] - 2 * need
             x, y = x[ok], y[ok]
             key = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key[0]), pa.array(key[1])], names=["a", "b"])
@@ -291,27 +332,31 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, n_class (documents with the same set) for every row of docs."""
     spark = docs.sparkSession
     tables = Tables(spark)
-    known = tables.put(describe(docs))
+    bits, mean_list = heavy_filter(docs, tables)
+    bloom = spark.sparkContext.broadcast(bits)
+    known = tables.put(describe(docs, bloom))
     full = known.where("n_shingles > 0")
     nodes = full.dropDuplicates(["node"])
 
+    # a pivot is the member with most of its shingles in common with others: an edit makes shingles that
+    # are rare, so this is the text that the copies were made from, or the one nearest to it
+    common = (F.round(F.col("heavy") / F.col("n_shingles"), 3) * 1000).cast("long") * 100_000_000 + F.col("n_shingles")
     stars = None
     for k in range(PIVOTS):
-        pivot = nodes.groupBy(f"m{k}").agg(F.min("node").alias("p"), F.count("*").alias("c")).where("c > 1").drop("c")
+        pivot = nodes.groupBy(f"m{k}").agg(F.max_by("node", common).alias("p"), F.count("*").alias("c")).where("c > 1").drop("c")
         star = nodes.join(pivot, f"m{k}").where("node != p").select(F.col("p").alias("a"), F.col("node").alias("b"))
         stars = star if stars is None else stars.union(star)
     links = verified(docs, full, stars.distinct(), tables)
     roots = tables.put(components(tables, links))
 
-    bits, mean_list = heavy_filter(docs, tables)
     boundary = choose_boundary(nodes, mean_list)
-    bloom = spark.sparkContext.broadcast(bits)
     index = docs.select("doc_id", "text").mapInArrow(_index(bloom, boundary), "token long, node long, n int, place int")
     per = W.partitionBy("token")
     live = index.select("*", F.min("node").over(per).alias("lo"), F.max("node").over(per).alias("hi")).where("lo != hi").drop("lo", "hi")
     live = tables.put(live)
     named = live.join(roots, "node", "left").select("token", F.coalesce("root", "node").alias("root"), "node", "n", "place").distinct()
-    named = named.repartition("token").sortWithinPartitions("token", "root")
+    mixed = named.select("*", F.min("root").over(per).alias("lo"), F.max("root").over(per).alias("hi")).where("lo != hi").drop("lo", "hi")
+    named = mixed.join(nodes.select("node", "sketch"), "node").repartition("token").sortWithinPartitions("token", "root")
     pairs = named.mapInArrow(_list_pairs, "a long, b long").distinct()
     more = verified(docs, full, pairs, tables)
     tables.drop(live)
