@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 Z95 = 1.959963984540054  # fixed value: 97.5 % point of the normal distribution
 EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
@@ -54,7 +55,7 @@ def holm(df: DataFrame, p: str, keys: list[str], tie: str, name: str = "p_holm")
     return raw.withColumn(name, F.max("_raw").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_raw")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     """P(N > z)."""
     return z.map(lambda x: 0.5 * math.erfc(x / math.sqrt(2)) if pd.notna(x) else None)
@@ -87,7 +88,7 @@ def _t_two_sided(t: float, df: float) -> float:
     return 1 - front * fraction(b, a, 1 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """P(|T| > |t|) with df degrees of freedom."""
     return pd.Series([_t_two_sided(abs(a), b) if pd.notna(a) and pd.notna(b) and b > 0 else None for a, b in zip(t, df, strict=True)], dtype="float64")

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.columns import div
 
@@ -69,7 +70,7 @@ def regression_t(df: DataFrame, keys: list[str], y: str, xs: list[str], name: st
         F.array(*[F.sum(F.col(xs[i]) * F.col(xs[j])) for i, j in cells]).alias("xx"), F.array(*[F.sum(F.col(x) * F.col(y)) for x in xs]).alias("xy"), F.sum(F.col(y) * F.col(y)).alias("yy"), F.count("*").alias("n")
     )
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def t(xx: pd.Series, xy: pd.Series, yy: pd.Series, n: pd.Series) -> pd.Series:
         out = []
         for a, b, c, m in zip(xx, xy, yy, n, strict=True):
