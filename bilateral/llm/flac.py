@@ -29,6 +29,7 @@ LPC_ORDER = 4
 LPC_BITS = 12
 LPC_SHIFT = 9
 SLICE = 2 << 20
+ENCODE_SLICE = 1 << 19
 # fixed predictors of the format, as coefficients of the last 1-4 samples
 FIXED = {0: [], 1: [1], 2: [2, -1], 3: [3, -3, 1], 4: [4, -6, 4, -1]}
 
@@ -92,7 +93,7 @@ def _lpc(x: np.ndarray, starts: np.ndarray, n: np.ndarray, pos: np.ndarray) -> n
             a[:, j] = old[:, j] - k * old[:, i - 1 - j]
         err = err * (1 - k * k) + 1e-9
     top = 1 << (LPC_BITS - 1)
-    return np.clip(np.rint(a * (1 << LPC_SHIFT)), -top, top - 1).astype(np.int64)
+    return np.clip(np.rint(a * (1 << LPC_SHIFT)), -top, top - 1).astype(np.int32)
 
 
 def _put(bits: np.ndarray, at: np.ndarray, value: np.ndarray, width) -> None:
@@ -111,7 +112,7 @@ def encode(data: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     """FLAC streams of consecutive payloads (unsigned bytes; every size positive)."""
     if not len(sizes):
         return []
-    x = data.astype(np.int64) - 128
+    x = data.astype(np.int32) - 128
     per = -(-sizes // BLOCK)
     of = np.repeat(np.arange(len(sizes)), per)  # payload of each frame
     number = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
@@ -140,7 +141,7 @@ def encode(data: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     coded = pos >= order[frame]
     fold = np.where(res >= 0, 2 * res, -2 * res - 1)
     mean = np.add.reduceat(np.where(coded, fold, 0), begin) / np.maximum(n - order, 1)
-    k = np.clip(np.floor(np.log2(np.maximum(mean * 0.7, 1))), 0, 14).astype(np.int64)
+    k = np.clip(np.floor(np.log2(np.maximum(mean * 0.7, 1))), 0, 14).astype(np.int32)
     q = fold >> k[frame]
     width = np.where(coded, q + 1 + k[frame], 8)
     body = np.add.reduceat(width, begin)
@@ -418,7 +419,7 @@ def payloads(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _store(batches):
-    for rows, data, offsets in slices(batches, limit=SLICE):
+    for rows, data, offsets in slices(batches, limit=ENCODE_SLICE):
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(encode(*payloads(data, offsets)), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
