@@ -290,7 +290,7 @@ def scale_log1p(spark, sf):
 @query(f"""WITH {SAMPLES}, lams AS (SELECT -2.0 + 0.25 * i AS lam FROM range(17) r(i)),
 y AS (SELECT usr, side, pos, lam, value, CASE WHEN value >= 0 THEN CASE WHEN abs(lam) > 1e-9 THEN (pow(value + 1.0, lam) - 1) / lam ELSE ln(value + 1.0) END
   ELSE CASE WHEN abs(2 - lam) > 1e-9 THEN -(pow(1.0 - value, 2 - lam) - 1) / (2 - lam) ELSE -ln(1.0 - value) END END AS psi FROM samples, lams),
-ll AS (SELECT usr, side, lam, -count(*) / 2.0 * ln(nullif(var_pop(psi), 0)) + (lam - 1) * sum(sign(value) * ln(1 + abs(value))) AS l FROM y GROUP BY ALL),
+ll AS (SELECT usr, side, lam, -count(*) / 2.0 * ln(nullif(var_pop(psi), 0)) + (lam - 1) * sum(sign(value) * ln(1 + abs(value))) AS l FROM y GROUP BY usr, side, lam),
 best AS (SELECT usr, side, arg_max(lam, l) AS lam FROM ll GROUP BY ALL)
 SELECT usr, side, pos, lam AS power, (psi - avg(psi) OVER w) / nullif(stddev_pop(psi) OVER w, 0) AS scaled FROM y JOIN best USING (usr, side, lam) WINDOW w AS (PARTITION BY usr, side)""", "power scaled")
 def scale_yeojohnson(spark, sf):
