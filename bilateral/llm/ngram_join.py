@@ -13,7 +13,7 @@ least num/den are found exactly:
   partners can lie above. The boundary is the one of least cost by the histogram of set sizes
   and the measured list length;
 * large groups of near copies are first joined into components through the smallest shingle under
-  three hash orders (one pivot a group, its most common text, each link verified), and lists then
+  two hash orders (a few pivots a group, its most common texts, each link verified), and lists then
   give only pairs of different components (a link inside one changes nothing) whose places leave room
   for the overlap that they need: an edited copy has its own shingles first, so copies with too many
   edits to be linked with anything drop out of the common lists;
@@ -41,7 +41,8 @@ from .words import hashes, mix, shingle_hashes, signed, slices, spans
 NUM, DEN = 75, 100  # Jaccard threshold
 HEAVY = 8  # inverted lists longer than this make a shingle heavy
 BLOOM_BITS = 1 << 25  # 4 MB, the whole of what is broadcast
-PIVOTS = 3
+ORDERS = 2  # hash orders whose smallest shingle gathers near copies
+PIVOTS = 8  # in each such group
 _SALT = [np.uint64(x) for x in (0x0, 0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9, 0x5851F42D4C957F2D)]
 
 
@@ -75,8 +76,8 @@ def set_keys(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _sketch(part: np.ndarray) -> bytes:
-    """One bit for each hash class, toggled by every member; at least twice as many bits as members."""
-    bits = 1 << max(6, int(2 * len(part) - 1).bit_length())
+    """One bit for each hash class, toggled by every member; at least four times as many bits as members."""
+    bits = 1 << max(6, int(4 * len(part) - 1).bit_length())
     return np.packbits(np.bincount((part & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
@@ -90,16 +91,16 @@ def _descriptions(batches, bits):
         parts = [sets[e - n : e] for e, n in zip(ends, sizes, strict=True)]
         total = np.concatenate([[0], np.cumsum(_in_bloom(bits, sets))])
         heavy = total[ends] - total[ends - sizes]
-        least = [signed(np.array([mix(p ^ s).min() if len(p) else 0 for p in parts], dtype=np.uint64)) for s in _SALT[1 : 1 + PIVOTS]]
+        least = [signed(np.array([mix(p ^ s).min() if len(p) else 0 for p in parts], dtype=np.uint64)) for s in _SALT[1 : 1 + ORDERS]]
         yield pa.RecordBatch.from_arrays(
             [rows.column("doc_id"), pa.array(sizes), signed(set_keys(sets, sizes)), pa.array(heavy), pa.array([_sketch(p) if len(p) else None for p in parts], pa.binary()), *least],
-            names=["doc_id", "n_shingles", "node", "heavy", "sketch", *(f"m{k}" for k in range(PIVOTS))],
+            names=["doc_id", "n_shingles", "node", "heavy", "sketch", *(f"m{k}" for k in range(ORDERS))],
         )
 
 
 def describe(docs: DataFrame, bloom) -> DataFrame:
     """doc_id, set size, class key, number of heavy shingles, parity sketch and smallest shingles of every document."""
-    return docs.select("doc_id", "text").mapInArrow(_describe(bloom), "doc_id long, n_shingles long, node long, heavy long, sketch binary, " + ", ".join(f"m{k} long" for k in range(PIVOTS)))
+    return docs.select("doc_id", "text").mapInArrow(_describe(bloom), "doc_id long, n_shingles long, node long, heavy long, sketch binary, " + ", ".join(f"m{k} long" for k in range(ORDERS)))
 
 
 def _in_bloom(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -175,21 +176,24 @@ def _index(bloom, boundary: int):
                 seen.add(key)
                 part, tail = sets[e - n : e], last[e - n : e]
                 t = int(-(-n * NUM // DEN))
+                before = np.zeros(n - t + 1, np.uint64)  # the heavy shingle that stands before each one
                 if tail[: n - t + 2].any():
                     part = np.concatenate([part[~tail], part[tail]])
+                    rare = n - int(tail.sum())
+                    before[rare + 1 :] = part[rare : n - t]
                 if n * DEN > boundary * NUM:
                     p = n - t + 1
-                    out.append((part[:p], np.arange(p), key, n))
+                    out.append((part[:p], np.arange(p), key, n, before))
                 if n <= boundary:
                     p = min(n, n - t + 2)
                     i, j = np.triu_indices(p, 1) if p > 1 else (np.zeros(1, int), np.zeros(1, int))
                     lo, hi = np.minimum(part[i], part[j]), np.maximum(part[i], part[j])
-                    out.append((mix(lo * np.uint64(0xA0761D6478BD642F) ^ mix(hi) ^ _SALT[3]), np.minimum(i, j), key, n))
+                    out.append((mix(lo * np.uint64(0xA0761D6478BD642F) ^ mix(hi) ^ _SALT[3]), np.minimum(i, j), key, n, np.zeros(len(i), np.uint64)))
             if out:
                 each = [len(x[0]) for x in out]
                 yield pa.RecordBatch.from_arrays(
-                    [signed(np.concatenate([x[0] for x in out])), signed(np.repeat(np.array([x[2] for x in out], dtype=np.uint64), each)), pa.array(np.repeat([int(x[3]) for x in out], each).astype(np.int32)), pa.array(np.concatenate([x[1] for x in out]).astype(np.int32))],
-                    names=["token", "node", "n", "place"],
+                    [signed(np.concatenate([x[0] for x in out])), signed(np.repeat(np.array([x[2] for x in out], dtype=np.uint64), each)), pa.array(np.repeat([int(x[3]) for x in out], each).astype(np.int32)), pa.array(np.concatenate([x[1] for x in out]).astype(np.int32)), signed(np.concatenate([x[4] for x in out]))],
+                    names=["token", "node", "n", "place", "before"],
                 )
 
     return emit
@@ -231,7 +235,7 @@ def _list_pairs(batches):
     left = None
 
     def pairs(t):
-        token, root, node = (t.column(k).to_numpy() for k in ("token", "root", "node"))
+        token, root, node, before = (t.column(k).to_numpy() for k in ("token", "root", "node", "before"))
         n, place = t.column("n").to_numpy().astype(np.int64), t.column("place").to_numpy().astype(np.int64)
         sketches = _Sketches(t.column("sketch"))
         size = len(token)
@@ -247,6 +251,9 @@ def _list_pairs(batches):
             m = many[at:end]
             x = np.repeat(np.arange(at, end), m)
             y = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(begin[at:end], m)
+            # after the same shingle the pair stands in that shingle's list, too
+            ok = (before[x] != before[y]) | (before[x] == 0)
+            x, y = x[ok], y[ok]
             need = -(-NUM * (n[x] + n[y]) // (NUM + DEN))
             ok = np.minimum(n[x] - place[x], n[y] - place[y]) >= need
             x, y, need = x[ok], y[ok], need[ok]
@@ -338,23 +345,23 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     full = known.where("n_shingles > 0")
     nodes = full.dropDuplicates(["node"])
 
-    # a pivot is the member with most of its shingles in common with others: an edit makes shingles that
-    # are rare, so this is the text that the copies were made from, or the one nearest to it
+    # a pivot is the member (of a hash class) with most of its shingles in common with others: an edit makes
+    # shingles that are rare, so pivots are the texts nearest to the one that the copies were made from
     common = (F.round(F.col("heavy") / F.col("n_shingles"), 3) * 1000).cast("long") * 100_000_000 + F.col("n_shingles")
     stars = None
-    for k in range(PIVOTS):
-        pivot = nodes.groupBy(f"m{k}").agg(F.max_by("node", common).alias("p"), F.count("*").alias("c")).where("c > 1").drop("c")
-        star = nodes.join(pivot, f"m{k}").where("node != p").select(F.col("p").alias("a"), F.col("node").alias("b"))
+    for k in range(ORDERS):
+        pivot = nodes.groupBy(f"m{k}", F.pmod(F.xxhash64("node"), F.lit(PIVOTS))).agg(F.max_by("node", common).alias("p")).select(f"m{k}", "p")
+        star = nodes.join(pivot, f"m{k}").where("node != p").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"))
         stars = star if stars is None else stars.union(star)
     links = verified(docs, full, stars.distinct(), tables)
     roots = tables.put(components(tables, links))
 
     boundary = choose_boundary(nodes, mean_list)
-    index = docs.select("doc_id", "text").mapInArrow(_index(bloom, boundary), "token long, node long, n int, place int")
+    index = docs.select("doc_id", "text").mapInArrow(_index(bloom, boundary), "token long, node long, n int, place int, before long")
     per = W.partitionBy("token")
     live = index.select("*", F.min("node").over(per).alias("lo"), F.max("node").over(per).alias("hi")).where("lo != hi").drop("lo", "hi")
     live = tables.put(live)
-    named = live.join(roots, "node", "left").select("token", F.coalesce("root", "node").alias("root"), "node", "n", "place").distinct()
+    named = live.join(roots, "node", "left").select("token", F.coalesce("root", "node").alias("root"), "node", "n", "place", "before").distinct()
     mixed = named.select("*", F.min("root").over(per).alias("lo"), F.max("root").over(per).alias("hi")).where("lo != hi").drop("lo", "hi")
     named = mixed.join(nodes.select("node", "sketch"), "node").repartition("token").sortWithinPartitions("token", "root")
     pairs = named.mapInArrow(_list_pairs, "a long, b long").distinct()
