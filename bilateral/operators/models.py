@@ -6,7 +6,7 @@ import itertools
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
-from pyspark.ml.feature import Imputer, MinMaxScaler, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +39,7 @@ def battery(seed: int = 1) -> dict:
     args = {"featuresCol": "features", "labelCol": "label"}
     return {
         "GBT": GBTClassifier(maxIter=10, maxDepth=3, seed=seed, **args), "RandomForest": RandomForestClassifier(numTrees=20, seed=seed, **args), "DecisionTree": DecisionTreeClassifier(seed=seed, **args),
-        "LogisticRegression": LogisticRegression(maxIter=30, regParam=0.01, **args), "LinearSVC": LinearSVC(maxIter=20, regParam=0.01, **args), "NaiveBayes": Pipeline(stages=[MinMaxScaler(inputCol="features", outputCol="scaled"), NaiveBayes(featuresCol="scaled", labelCol="label")]),
+        "LogisticRegression": LogisticRegression(maxIter=30, regParam=0.01, **args), "LinearSVC": LinearSVC(maxIter=20, regParam=0.01, **args), "NaiveBayes": NaiveBayes(modelType="gaussian", **args),
     }
 
 
