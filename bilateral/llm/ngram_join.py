@@ -361,8 +361,10 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     per = W.partitionBy("token")
     live = index.select("*", F.min("node").over(per).alias("lo"), F.max("node").over(per).alias("hi")).where("lo != hi").drop("lo", "hi")
     live = tables.put(live)
-    named = live.join(roots, "node", "left").select("token", F.coalesce("root", "node").alias("root"), "node", "n", "place", "before").distinct()
+    named = live.join(roots, "node", "left").select("token", F.coalesce("root", "node").alias("root"), "node", "n", "place", "before")
     mixed = named.select("*", F.min("root").over(per).alias("lo"), F.max("root").over(per).alias("hi")).where("lo != hi").drop("lo", "hi")
+    # equal sets met in one list: one row is enough (still dealt by token, so this needs no shuffle)
+    mixed = mixed.groupBy("token", "node").agg(*[F.first(c).alias(c) for c in ("root", "n", "place", "before")])
     named = mixed.join(nodes.select("node", "sketch"), "node").repartition("token").sortWithinPartitions("token", "root")
     pairs = named.mapInArrow(_list_pairs, "a long, b long").distinct()
     more = verified(docs, full, pairs, tables)
