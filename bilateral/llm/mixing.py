@@ -14,6 +14,7 @@ give no rows.
 
 from __future__ import annotations
 
+import math
 from collections import deque
 
 from pyspark.sql import Column, DataFrame
@@ -112,7 +113,7 @@ def mix(docs: DataFrame, seed: int = 1, weights=(5, 2, 1), factor: float = 1.5,
             own[number[x]] += r["size"]
     targets = source_targets(list(zip(names, own, strict=True)), weights, factor, cap)
     # whole words: each source's target to the nearest one
-    sent = min_cost_flow([(tuple(sorted({number[x] for x in (r.s or [None])})), float(r["size"])) for r in found], [float(round(t)) for t in targets], cap)
+    sent = min_cost_flow([(tuple(sorted({number[x] for x in (r.s or [None])})), float(r["size"])) for r in found], [float(math.floor(t + 0.5)) for t in targets], cap)
     plan = spark.createDataFrame(
         [(r["_key"], float(targets[number[(r.s or [None])[0]]]), int(own[number[(r.s or [None])[0]]]), int(r["size"] or 0), int(round(sum(f.values())))) for r, f in zip(found, sent, strict=True)],
         "_key string, target double, source_size long, _size long, _supply long",

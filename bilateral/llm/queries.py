@@ -71,7 +71,7 @@ def op7_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", mixing.word_count("text").alias("size"), F.array("source").alias("sources"))
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +86,33 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_OP1 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n, list_sort(list(g)) AS whole FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT md5(array_to_string(whole, '|')) AS h, count(*) AS k FROM n GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, (SELECT min(y) FROM r WHERE r.x = d.doc_id)) AS component_id, coalesce(c.k, 1) AS n_class
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.h = md5(array_to_string(n.whole, '|'))"""
+
+_OP8 = rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, (ARRAY[5, 2, 1])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+f AS (SELECT *, 2.0 * source_size / w AS level, (SELECT 1.5 * sum(source_size) FROM s) AS total FROM s),
+c AS (SELECT *, coalesce(sum(2.0 * source_size) OVER (ORDER BY level, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before, sum(w) OVER (ORDER BY level, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_rest FROM f),
+m AS (SELECT arg_min((total - full_before) / w_rest, level) FILTER ((total - full_before) / w_rest <= level) AS lambda_ FROM c),
+t AS (SELECT source, source_size, CASE WHEN lambda_ IS NULL OR lambda_ * w > 2.0 * source_size THEN 2.0 * source_size ELSE lambda_ * w END AS target FROM f, m),
+q AS (SELECT d.doc_id, d.size, t.source_size, t.target, least(floor(target + 0.5), 2 * source_size)::BIGINT AS supply,
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('1:' || coalesce(d.doc_id::VARCHAR, '')), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+  CASE WHEN source_size = 0 THEN 0 ELSE (supply // source_size) * size + least(size, greatest(0, supply - (supply // source_size) * source_size - before)) END::BIGINT AS taken FROM q"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that it can express; the others are held against brute force in the tests."""
+    return {"op1_ngram_jaccard_join": _OP1, "op8_mixing": _OP8}
