@@ -66,8 +66,10 @@ class Encoder:
             known = self.keys[np.minimum(place, len(self.keys) - 1)] == words
         new = np.flatnonzero(~known)
         if len(new):
-            got = self.tokenizer.encode_batch_fast([raw[starts[i] : ends[i]].decode() for i in first[new]], add_special_tokens=False)
-            ids = [x.ids for x in got]
+            ids = []
+            for k in range(0, len(new), 4000):  # the tokenizer's own results are large
+                words_ = [raw[starts[i] : ends[i]].decode() for i in first[new[k : k + 4000]]]
+                ids += [x.ids for x in self.tokenizer.encode_batch_fast(words_, add_special_tokens=False)]
             n = np.array([len(x) for x in ids], np.int32)
             at = len(self.pool) + np.cumsum(n) - n
             self.pool = np.concatenate([self.pool, np.fromiter((t for x in ids for t in x), np.uint16, int(n.sum()))])
@@ -92,7 +94,7 @@ def _cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray
 def _pieces(path: str, capacity: int):
     def pieces(batches: Iterator[pa.RecordBatch]):
         encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
-        for rows, data, offsets in slices(batches, limit=4 << 20):
+        for rows, data, offsets in slices(batches):
             starts, ends, of = spans(data, offsets)
             ids, n = encoder.encode(data, *(cut := _cuts(data, starts, ends, of))[:2]) if len(starts) else (np.zeros(0, np.uint16), np.zeros(0, np.int64))
             per = np.bincount(cut[2], weights=n, minlength=rows.num_rows).astype(np.int64) if len(starts) else np.zeros(rows.num_rows, np.int64)

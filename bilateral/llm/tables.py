@@ -18,12 +18,20 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that carry texts, unless the session has chosen a size itself."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 class Tables:
     """Parquet tables that cut the lineage of one run; ``drop`` removes those no longer read."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
         self.n = 0
+        small_batches(spark)
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1

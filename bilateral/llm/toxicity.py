@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import at_most
+from .tables import at_most, small_batches
 from .words import PLAIN_WORD, hashes, mix, slices, spans
 
 MAX_LABELS = 400_000
@@ -67,6 +67,7 @@ def _count(batches):
 
 def token_weights(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted word hashes and their weights, from rows with text and label (0/1)."""
+    small_batches(labelled.sparkSession)
     counts = labelled.select("text", "label").mapInArrow(_count, "word long, n1 long, n0 long, d1 long, d0 long")
     counts = counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n1", "n0", "d1", "d0")])
     totals = counts.agg(F.sum("d1"), F.sum("d0")).first()
@@ -116,7 +117,7 @@ def segments(w: np.ndarray) -> list[tuple[int, int, float]]:
     return [(int(a), int(b), r - s) for a, b, s, r in found]
 
 
-def _scan(model):
+def _scan(model, keep_text):
     words, weights = model.value
 
     def scan(batches):
@@ -130,8 +131,8 @@ def _scan(model):
                 got = [s for s in segments(w[a:b]) if s[2] >= MIN_SEGMENT] if hot[i] else []
                 out.append([{"start": int(starts[a + s] - offsets[i]), "end": int(ends[a + e - 1] - offsets[i]), "n_words": e - s, "score": float(x)} for s, e, x in got])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("n_words", pa.int64()), ("score", pa.float64())]))
-            rest = [rows.column(c) for c in rows.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(bounds).astype(np.int64)), pa.array(out, kind)], names=[*(c for c in rows.schema.names if c != "text"), "n_words", "passages"])
+            names = [c for c in rows.schema.names if keep_text or c != "text"]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(np.diff(bounds).astype(np.int64)), pa.array(out, kind)], names=[*names, "n_words", "passages"])
 
     return scan
 
@@ -139,11 +140,12 @@ def _scan(model):
 PASSAGES = "n_words long, passages array<struct<start: long, end: long, n_words: long, score: double>>"
 
 
-def scan(docs: DataFrame, weights) -> DataFrame:
-    """Each row's other columns, its number of words and its passages (byte offsets and scores)."""
+def scan(docs: DataFrame, weights, keep_text: bool = False) -> DataFrame:
+    """Each row's other columns (and its text, if asked for), its number of words and its passages (byte offsets and scores)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    rest = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
-    return docs.mapInArrow(_scan(shared), f"{rest}, {PASSAGES}")
+    rest = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if keep_text or c != "text")
+    return docs.mapInArrow(_scan(shared, keep_text), f"{rest}, {PASSAGES}")
 
 
 def evidence(passages, n_words, lam: float, k: float):
@@ -175,9 +177,9 @@ def train(labelled: DataFrame) -> dict:
     return {"weights": weights, "lambda": lam, "k": k, "beta": (float(beta[0]), float(beta[1]))}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """Every row's other columns with n_words, passages and score (0 to 1)."""
-    seen = scan(docs, model["weights"])
+def score(docs: DataFrame, model: dict, keep_text: bool = False) -> DataFrame:
+    """Every row's other columns (and text) with n_words, passages and score (0 to 1)."""
+    seen = scan(docs, model["weights"], keep_text)
     b0, b1 = model["beta"]
     x = F.least(F.lit(20.0), evidence(F.col("passages"), F.col("n_words"), model["lambda"], model["k"]))
     return seen.withColumn("score", 1 / (1 + F.exp(-(F.lit(b0) + F.lit(b1) * x))))
