@@ -111,6 +111,25 @@ def _in_bloom(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return hit
 
 
+def _fill(batches):
+    bits = np.zeros(BLOOM_BITS, dtype=bool)
+    for b in batches:
+        h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        for shift in (0, 26, 38):
+            bits[((h >> np.uint64(shift)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)] = True
+    words = np.packbits(bits, bitorder="little").view(np.uint64)
+    at = np.flatnonzero(words)
+    yield pa.RecordBatch.from_arrays([pa.array(at), signed(words[at])], names=["at", "word"])
+
+
+def bloom_of(hashes_: DataFrame) -> np.ndarray:
+    """Bloom filter (BLOOM_BITS) of a one-column table of 64-bit hashes."""
+    merged = hashes_.mapInArrow(_fill, "at long, word long").groupBy("at").agg(F.expr("bit_or(word)").alias("word")).toArrow()
+    words = np.zeros(BLOOM_BITS // 64, dtype=np.uint64)
+    words[merged.column("at").to_numpy()] = merged.column("word").to_numpy().view(np.uint64)
+    return words.view(np.uint8)
+
+
 def _count_prefixes(batches):
     """How often each prefix shingle (in hash order) occurs in this part of the documents."""
     for _, sets, sizes in shingle_sets(batches):
@@ -129,22 +148,10 @@ def heavy_filter(docs: DataFrame, tables: Tables) -> tuple[np.ndarray, float]:
     counts = tables.put(counts)
     light = counts.where(F.col("n") <= HEAVY).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
 
-    def fill(batches):
-        bits = np.zeros(BLOOM_BITS, dtype=bool)
-        for b in batches:
-            h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for shift in (0, 26, 38):
-                bits[((h >> np.uint64(shift)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)] = True
-        words = np.packbits(bits, bitorder="little").view(np.uint64)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), signed(words[at])], names=["at", "word"])
-
     heavy = at_most(counts.where(F.col("n") > HEAVY), "n", BLOOM_BITS // 12).select("token")
-    merged = heavy.mapInArrow(fill, "at long, word long").groupBy("at").agg(F.expr("bit_or(word)").alias("word")).toArrow()
-    words = np.zeros(BLOOM_BITS // 64, dtype=np.uint64)
-    words[merged.column("at").to_numpy()] = merged.column("word").to_numpy().view(np.uint64)
+    bits = bloom_of(heavy)
     tables.drop(counts)
-    return words.view(np.uint8), (light[1] or 0) / max(1, light[0] or 0)
+    return bits, (light[1] or 0) / max(1, light[0] or 0)
 
 
 def choose_boundary(sizes: DataFrame, mean_list: float) -> int:
@@ -292,8 +299,14 @@ def _prune(batches):
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _sets_of(batches):
-    for _, sets, sizes in shingle_sets(batches):
+def _sets_of(bloom):
+    return lambda batches: _wanted_sets(batches, bloom.value)
+
+
+def _wanted_sets(batches, bits):
+    """Packed sets of the rows whose id may be in the filter."""
+    picked = (b.filter(pa.array(_in_bloom(bits, b.column("h").to_numpy().view(np.uint64)))) for b in batches)
+    for _, sets, sizes in shingle_sets(picked):
         keys, ends = set_keys(sets, sizes), np.cumsum(sizes)
         packed = [np.ascontiguousarray(sets[e - n : e].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for e, n in zip(ends, sizes, strict=True)]
         yield pa.RecordBatch.from_arrays([signed(keys), pa.array(packed, pa.binary())], names=["node", "members"])
@@ -324,10 +337,12 @@ def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, tables: Tables
     both = pairs.join(one.toDF("a", "na", "sa"), "a").join(one.toDF("b", "nb", "sb"), "b")
     close = tables.put(both.mapInArrow(_prune, "a long, b long"))
     needed = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
-    ids = known.join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"), F.max(F.col("doc_id").isNull()).alias("no_id"))
-    # a class of rows without an id only is fetched by its null id; keys are computed anew, so shared ids do no harm
-    ids = ids.select(F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.col("id")).alias("id")).distinct()
-    sets = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").mapInArrow(_sets_of, "node long, members binary").dropDuplicates(["node"])
+    ids = known.join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
+    # texts aren't shuffled: a filter of fixed size picks those that are wanted (and a few others, which the joins drop);
+    # rows without an id count as one id, and keys are computed anew, so ids that texts share do no harm
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(ids.select(F.xxhash64("id").alias("h"))))
+    sets = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets_of(bloom), "node long, members binary")
+    sets = sets.join(needed, "node", "left_semi").dropDuplicates(["node"])
     sets = tables.put(sets)
     met = close.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b")
     out = tables.put(met.mapInArrow(_overlaps, "a long, b long"))
