@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import at_most, small_batches
+from .tables import Tables, at_most, small_batches
 from .words import PLAIN_WORD, hashes, mix, slices, spans
 
 MAX_LABELS = 400_000
@@ -69,7 +69,8 @@ def token_weights(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted word hashes and their weights, from rows with text and label (0/1)."""
     small_batches(labelled.sparkSession)
     counts = labelled.select("text", "label").mapInArrow(_count, "word long, n1 long, n0 long, d1 long, d0 long")
-    counts = counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n1", "n0", "d1", "d0")])
+    tables = Tables(labelled.sparkSession)
+    counts = tables.put(counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n1", "n0", "d1", "d0")]))
     totals = counts.agg(F.sum("d1"), F.sum("d0")).first()
     t1, t0 = float(totals[0] or 0), float(totals[1] or 0)
     if not t1 or not t0:
@@ -83,6 +84,7 @@ def token_weights(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     sure = F.signum(odds) * F.greatest(F.abs(odds) - Z * sd, F.lit(0.0))
     kept = counts.where(F.col("d1") + F.col("d0") >= MIN_COUNT).select("word", sure.alias("weight")).where(F.abs("weight") >= LEAST_WEIGHT)
     got = at_most(kept.withColumn("strength", F.abs("weight")), "strength", 1_000_000).toArrow()  # bounds the broadcast
+    tables.drop(counts)
     words = got.column("word").to_numpy().view(np.uint64)
     weight = np.clip(got.column("weight").to_numpy().astype(float), -0.5, 6.0)
     order = np.argsort(words)
