@@ -99,8 +99,11 @@ def source_targets(sizes: list[tuple[str | None, float]], weights=(5, 2, 1), fac
 
 
 def mix(docs: DataFrame, seed: int = 1, weights=(5, 2, 1), factor: float = 1.5, cap: int = 2, sources: str = "sources") -> DataFrame:
-    """docs (doc_id, size, an array of sources) with pattern supply and ``taken``, the words that the mix takes."""
+    """docs (doc_id, size, an array of sources, and others) with source_size, target and ``taken``, the words that the mix takes.
+
+    Columns of docs that have the names of results are replaced."""
     spark = docs.sparkSession
+    docs = docs.drop("source_size", "target", "taken")
     tagged = docs.withColumn("_key", F.to_json(F.array_sort(F.transform(F.array_distinct(sources), lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("~null"))))))
     found = tagged.groupBy("_key").agg(F.sum("size").alias("size"), F.first(sources).alias("s")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:

@@ -143,7 +143,10 @@ PASSAGES = "n_words long, passages array<struct<start: long, end: long, n_words:
 
 
 def scan(docs: DataFrame, weights, keep_text: bool = False) -> DataFrame:
-    """Each row's other columns (and its text, if asked for), its number of words and its passages (byte offsets and scores)."""
+    """Each row's other columns (and its text, if asked for), its number of words and its passages (byte offsets and scores).
+
+    Columns of docs that have the names of results are replaced."""
+    docs = docs.drop("n_words", "passages", "score")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     rest = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if keep_text or c != "text")
