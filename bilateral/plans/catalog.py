@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import epoch, holm, normal_tail
+from ..functions.ship import ship
 from ..operators import align, features, filters, keys, lagcorr, models, rescale, sampling, segments, stationarity, stats, summary
 from ..sources import recordings as sources
 from . import fixtures as fx
@@ -28,6 +29,7 @@ def query(sql: str | None = None, doubles: str = "", longs: str = ""):
         name = f.__name__
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             df = f(spark, sf_dir)
             fix = {"double": lambda c: F.round(c, 6) + 0.0, "int": lambda c: F.col(c).cast("long"), "tinyint": lambda c: F.col(c).cast("long")}
             return df.select(*[fix[t](c).alias(c) if t in fix else F.col(c) for c, t in df.dtypes])
