@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tables import small_batches
+from .tables import prepare
 from .words import slices
 
 BLOCK = 1024
@@ -426,7 +426,7 @@ def _store(batches):
 
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes (unpadded) and the FLAC stream of every text."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 

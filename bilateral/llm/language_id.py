@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import small_batches
+from .tables import prepare
 from .words import LOWER, WORD, mix, slices
 
 SLOTS = 1 << 21
@@ -69,7 +69,7 @@ def _slots(g: np.ndarray) -> list[np.ndarray]:
 
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, filter, false-positive rates) of rows with text and lang."""
-    small_batches(labelled.sparkSession)
+    prepare(labelled.sparkSession)
     counts = labelled.where("lang is not null and text is not null").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy("lang").limit(MAX_LANGUAGES + 1)
     names = [r.lang for r in totals.collect()]

@@ -44,7 +44,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> dict:
     """Trains on the labelled rows of three folds of four."""
     known = toxicity.label_sample(labels.where(_fold(4) != 2))
-    return toxicity.train(docs.join(F.broadcast(known), "doc_id").select("text", "label"))
+    return toxicity.train(docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ship import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
@@ -18,8 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches that carry texts, unless the session has chosen a size itself."""
+def prepare(spark: SparkSession) -> None:
+    """Bounds the Arrow batches that carry texts, unless the session has chosen a size itself, and ships the package."""
+    ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
@@ -31,7 +34,7 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark, self.base = spark, f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
         self.n = 0
-        small_batches(spark)
+        prepare(spark)
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1

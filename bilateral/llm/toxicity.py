@@ -5,11 +5,11 @@
   drift, a small negative weight, so that the expected weight of clean text is negative.
 * A linear-time scan keeps all maximal scoring segments of a text (Ruzzo and Tompa).
 * A segment's score S gets the extreme-value p-value 1 - exp(-K n exp(-lambda S)), with lambda and
-  K fitted on the best segments of clean training texts; the text's passages are aggregated as the
+  K fitted on the best segments of clean training texts (1 and 1e-4 where at most ten have any); the text's passages are aggregated as the
   product of their p-values' complements and mapped to a probability by a two-parameter logistic fit
   on training texts.
 
-Labels come from a sample of at most ``MAX_LABELS`` labelled rows (all, if there are fewer), chosen
+Of texts that share their smallest 5-word shingle one teaches, so copies count once. Labels come from a sample of at most ``MAX_LABELS`` labelled rows (all, if there are fewer), chosen
 by a hash of doc_id; everything else uses all rows. Null and empty texts have no passage and score
 as a text without evidence; rows with a null label or doc_id teach nothing; repeated rows are kept.
 """
@@ -24,15 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Tables, at_most, small_batches
-from .words import PLAIN_WORD, hashes, mix, slices, spans
+from .ngram_join import shingle_sets
+from .tables import Tables, at_most, prepare
+from .words import PLAIN_WORD, hashes, mix, signed, slices, spans
 
 MAX_LABELS = 400_000
 PRIOR = 500.0
-LEAST_PRIOR = 0.3
+LEAST_PRIOR = 1.0
 Z = 1.64
 MIN_COUNT = 3
-LEAST_WEIGHT = 0.4
+LEAST_WEIGHT = 1.5
 DRIFT = -0.15
 MIN_SEGMENT = 0.5
 
@@ -45,6 +46,29 @@ def label_sample(labels: DataFrame, column: str = "toxic") -> DataFrame:
     return known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
 
 
+def _least_shingles(batches):
+    for rows, sets, sizes in shingle_sets(batches):
+        begin = np.cumsum(sizes) - sizes
+        full = np.flatnonzero(sizes)
+        out = [rows.column("doc_id")]
+        for salt in (1, 2):
+            least = np.zeros(len(sizes), np.uint64)
+            if len(full):
+                least[full] = np.minimum.reduceat(mix(sets ^ np.uint64(salt)), begin[full])
+            out.append(signed(least))
+        yield pa.RecordBatch.from_arrays(out, names=["doc_id", "a", "b"])
+
+
+def one_of_each(labelled: DataFrame, tables: Tables) -> DataFrame:
+    """labelled rows without most copies and near copies: those with the least doc_id among the rows that
+    share their smallest shingle, under both of two hash orders. A text that was copied a thousand times
+    would else lend its label to all of its rare words."""
+    keys = tables.put(labelled.select("doc_id", "text").mapInArrow(_least_shingles, "doc_id long, a long, b long"))
+    first = [keys.groupBy(k).agg(F.min("doc_id").alias("doc_id")).select("doc_id") for k in ("a", "b")]
+    keep = tables.put(first[0].join(first[1], "doc_id"))  # at most MAX_LABELS rows
+    return labelled.join(F.broadcast(keep), "doc_id", "left_semi")
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]):
     for rows, data, offsets in slices(batches):
         starts, ends, of = spans(data, offsets, PLAIN_WORD)
@@ -67,7 +91,7 @@ def _count(batches):
 
 def token_weights(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted word hashes and their weights, from rows with text and label (0/1)."""
-    small_batches(labelled.sparkSession)
+    prepare(labelled.sparkSession)
     counts = labelled.select("text", "label").mapInArrow(_count, "word long, n1 long, n0 long, d1 long, d0 long")
     tables = Tables(labelled.sparkSession)
     counts = tables.put(counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n1", "n0", "d1", "d0")]))
@@ -147,7 +171,7 @@ def scan(docs: DataFrame, weights, keep_text: bool = False) -> DataFrame:
 
     Columns of docs that have the names of results are replaced."""
     docs = docs.drop("n_words", "passages", "score")
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     rest = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if keep_text or c != "text")
     return docs.mapInArrow(_scan(shared, keep_text), f"{rest}, {PASSAGES}")
@@ -160,7 +184,8 @@ def evidence(passages, n_words, lam: float, k: float):
 
 
 def train(labelled: DataFrame) -> dict:
-    """The model of rows with text and label; sizes are bounded by MAX_LABELS."""
+    """The model of rows with doc_id, text and label; sizes are bounded by MAX_LABELS."""
+    labelled = one_of_each(labelled, Tables(labelled.sparkSession))
     weights = token_weights(labelled)
     seen = scan(labelled.select("label", "text"), weights).select("label", "n_words", F.coalesce(F.array_max(F.transform("passages", lambda p: p["score"])), F.lit(0.0)).alias("best"), "passages")
     clean = seen.where("label = 0 and n_words > 0 and best > 0").agg(F.avg("best"), F.stddev_samp("best"), F.avg(F.log("n_words")), F.count("*")).first()
