@@ -66,13 +66,18 @@ class Encoder:
             known = self.keys[np.minimum(place, len(self.keys) - 1)] == words
         new = np.flatnonzero(~known)
         if len(new):
-            ids = []
-            for k in range(0, len(new), 4000):  # the tokenizer's own results are large
-                words_ = [raw[starts[i] : ends[i]].decode() for i in first[new[k : k + 4000]]]
-                ids += [x.ids for x in self.tokenizer.encode_batch_fast(words_, add_special_tokens=False)]
-            n = np.array([len(x) for x in ids], np.int32)
+            ids, n = [], []
+            for k in range(0, len(new), 2000):  # the tokenizer's own results are large
+                some = [raw[starts[i] : ends[i]].decode() for i in first[new[k : k + 2000]]]
+                got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+                ids.append(np.array(got.ids, np.uint16))
+                begin = np.cumsum([0, *(len(w) + 1 for w in some[:-1])])
+                place = np.searchsorted(begin, np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
+                n.append(np.bincount(place, minlength=len(some)).astype(np.int32))
+            n = np.concatenate(n)
             at = len(self.pool) + np.cumsum(n) - n
-            self.pool = np.concatenate([self.pool, np.fromiter((t for x in ids for t in x), np.uint16, int(n.sum()))])
+            self.pool = np.concatenate([self.pool, *ids])
+            place = np.searchsorted(self.keys, words)
             self.keys, self.at, self.n = (np.insert(a, place[new], b) for a, b in ((self.keys, words[new]), (self.at, at), (self.n, n)))
         place = np.searchsorted(self.keys, words)
         n = self.n[place][of].astype(np.int64)
