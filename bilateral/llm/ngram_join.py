@@ -151,6 +151,7 @@ def heavy_filter(docs: DataFrame, tables: Tables) -> tuple[np.ndarray, float]:
     heavy = at_most(counts.where(F.col("n") > HEAVY), "n", BLOOM_BITS // 12).select("token")
     bits = bloom_of(heavy)
     tables.drop(counts)
+    tables.release()
     return bits, (light[1] or 0) / max(1, light[0] or 0)
 
 
@@ -347,6 +348,7 @@ def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, tables: Tables
     met = close.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b")
     out = tables.put(met.mapInArrow(_overlaps, "a long, b long"))
     tables.drop(close, sets)
+    tables.release()
     return out
 
 
@@ -376,6 +378,7 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     per = W.partitionBy("token")
     live = index.select("*", F.min("node").over(per).alias("lo"), F.max("node").over(per).alias("hi")).where("lo != hi").drop("lo", "hi")
     live = tables.put(live)
+    tables.release()
     named = live.join(roots, "node", "left").select("token", F.coalesce("root", "node").alias("root"), "node", "n", "place", "before")
     mixed = named.select("*", F.min("root").over(per).alias("lo"), F.max("root").over(per).alias("hi")).where("lo != hi").drop("lo", "hi")
     # equal sets met in one list: one row is enough (still dealt by token, so this needs no shuffle)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,12 @@ class Tables:
                 path = jvm.org.apache.hadoop.fs.Path(file).getParent()
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def release(self) -> None:
+        """Lets Spark remove the shuffle files of finished steps: its cleaner does so once the driver has collected
+        what refers to them, which may otherwise be long after the next steps need the disk."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def components(tables: Tables, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge table: (node, root) for every node of an edge, root the smallest node.
