@@ -330,13 +330,11 @@ def _overlaps(batches):
 
 
 def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, tables: Tables) -> DataFrame:
-    """The pairs (a, b) of class keys whose whole sets reach the threshold.
+    """The pairs (a, b) of class keys (those that sketches don't exclude) whose whole sets reach the threshold.
 
     Members travel as the first 40 bits of their hashes: for two sets of n the chance of one false
     match is n * n / 2 ** 40, and it matters only at a pair that misses the threshold by one."""
-    one = known.select("node", F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
-    both = pairs.join(one.toDF("a", "na", "sa"), "a").join(one.toDF("b", "nb", "sb"), "b")
-    close = tables.put(both.mapInArrow(_prune, "a long, b long"))
+    close = tables.put(pairs)
     needed = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
     ids = known.join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
     # texts aren't shuffled: a filter of fixed size picks those that are wanted (and a few others, which the joins drop);
@@ -367,8 +365,12 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     common = (F.round(F.col("heavy") / F.col("n_shingles"), 3) * 1000).cast("long") * 100_000_000 + F.col("n_shingles")
     stars = None
     for k in range(ORDERS):
-        pivot = nodes.groupBy(f"m{k}", F.pmod(F.xxhash64("node"), F.lit(PIVOTS))).agg(F.max_by("node", common).alias("p")).select(f"m{k}", "p")
-        star = nodes.join(pivot, f"m{k}").where("node != p").select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b"))
+        pivot = nodes.groupBy(f"m{k}", F.pmod(F.xxhash64("node"), F.lit(PIVOTS))).agg(F.max_by("node", common).alias("a")).select("a")
+        pivot = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"), F.col(f"m{k}").alias("m")).join(pivot, "a", "left_semi")
+        member = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"), F.col(f"m{k}").alias("m"))
+        near = F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM
+        star = member.join(pivot, "m").where((F.col("a") != F.col("b")) & near).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_prune, "a long, b long")
+        star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         stars = star if stars is None else stars.union(star)
     links = verified(docs, full, stars.distinct(), tables)
     roots = tables.put(components(tables, links))
