@@ -22,11 +22,11 @@ SIDE = ["usr", "side"]
 SEG = ["usr", "side", "segment_id"]
 
 
-def query(sql: str | None = None, doubles: str = "", longs: str = ""):
+def query(sql: str | None = None, doubles: str = "", longs: str = "", name: str = ""):
     """Registers a query; doubles are rounded to six places and whole numbers are BIGINT on both sides."""
 
     def add(f):
-        name = f.__name__
+        key = name or f.__name__
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
@@ -34,10 +34,10 @@ def query(sql: str | None = None, doubles: str = "", longs: str = ""):
             fix = {"double": lambda c: F.round(c, 6) + 0.0, "int": lambda c: F.col(c).cast("long"), "tinyint": lambda c: F.col(c).cast("long")}
             return df.select(*[fix[t](c).alias(c) if t in fix else F.col(c) for c, t in df.dtypes])
 
-        _queries[name] = run
+        _queries[key] = run
         if sql:
             swap = [f"round({c}, 6) + 0.0 AS {c}" for c in doubles.split()] + [f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()]
-            _sql[name] = f"SELECT * {'REPLACE (' + ', '.join(swap) + ')' if swap else ''} FROM ({sql}) q"
+            _sql[key] = f"SELECT * {'REPLACE (' + ', '.join(swap) + ')' if swap else ''} FROM ({sql}) q"
         return f
 
     return add
@@ -525,7 +525,7 @@ _HOLM = f"""{_CLASSES}, p AS (SELECT component, feature, larger, 1 / (1 + z * z)
 h AS (SELECT component, feature, larger, p, max(raw) OVER (PARTITION BY component ORDER BY p, feature ROWS UNBOUNDED PRECEDING) AS p_holm FROM r)"""
 
 
-@query(f"{_HOLM} SELECT component, feature, larger, p, p_holm FROM h", "p p_holm")
+@query(f"{_HOLM} SELECT component, feature, larger, p, p_holm FROM h", "p p_holm", name="holm")
 def holm_correction(spark, sf):
     p = _classes(spark, sf).select("component", "feature", "larger", (1 / (1 + F.col("z") * F.col("z"))).alias("p"))
     return holm(p, "p", ["component"], "feature")
@@ -621,7 +621,7 @@ def kpss_stat(spark, sf):
     return stationarity.kpss(fx.positions(spark, sf), SIDE)
 
 
-@query()
+@query(name="stationarity")
 def stationarity_all(spark, sf):
     return stationarity.stationarity(fx.positions(spark, sf), SIDE)
 
@@ -759,8 +759,8 @@ def nested_cv_gbt(spark, sf):
 
 
 @query()
-def loso_decision_tree(spark, sf):
-    return summary.balanced_accuracy(models.loso(_small(spark, sf), "DecisionTree"), ["held_out"])
+def loso_gbt(spark, sf):
+    return summary.balanced_accuracy(models.loso(_small(spark, sf), "GBT"), ["held_out"])
 
 
 @query()
