@@ -330,11 +330,11 @@ def _overlaps(batches):
 
 
 def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, tables: Tables) -> DataFrame:
-    """The pairs (a, b) of class keys (those that sketches don't exclude) whose whole sets reach the threshold.
+    """The pairs (a, b) of a table of class keys (those that sketches don't exclude; the table is dropped) whose whole sets reach the threshold.
 
     Members travel as the first 40 bits of their hashes: for two sets of n the chance of one false
     match is n * n / 2 ** 40, and it matters only at a pair that misses the threshold by one."""
-    close = tables.put(pairs)
+    close = pairs
     needed = close.select(F.col("a").alias("node")).union(close.select("b")).distinct()
     ids = known.join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("id"))
     # texts aren't shuffled: a filter of fixed size picks those that are wanted (and a few others, which the joins drop);
@@ -343,10 +343,17 @@ def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, tables: Tables
     sets = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets_of(bloom), "node long, members binary")
     sets = sets.join(needed, "node", "left_semi").dropDuplicates(["node"])
     sets = tables.put(sets)
-    met = close.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b")
-    out = tables.put(met.mapInArrow(_overlaps, "a long, b long"))
-    tables.drop(close, sets)
     tables.release()
+    # in rounds of at most a quarter as many pairs as there are sets, so the members on the way stay below the input's size
+    rounds = max(1, -(-close.count() // max(10_000, known.count() // 4)))
+    out = None
+    for r in range(rounds):
+        part = close.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == r)
+        met = part.join(sets.toDF("a", "ma"), "a").join(sets.toDF("b", "mb"), "b")
+        one = tables.put(met.mapInArrow(_overlaps, "a long, b long"))
+        out = one if out is None else out.union(one)
+        tables.release()
+    tables.drop(close, sets)
     return out
 
 
@@ -372,7 +379,7 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
         star = member.join(pivot, "m").where((F.col("a") != F.col("b")) & near).select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_prune, "a long, b long")
         star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         stars = star if stars is None else stars.union(star)
-    links = verified(docs, full, stars.distinct(), tables)
+    links = verified(docs, full, tables.put(stars.distinct()), tables)
     roots = tables.put(components(tables, links))
 
     boundary = choose_boundary(nodes, mean_list)
@@ -387,8 +394,9 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     mixed = mixed.groupBy("token", "node").agg(*[F.first(c).alias(c) for c in ("root", "n", "place", "before")])
     named = mixed.join(nodes.select("node", "sketch"), "node").repartition("token").sortWithinPartitions("token", "root")
     pairs = named.mapInArrow(_list_pairs, "a long, b long").distinct()
-    more = verified(docs, full, pairs, tables)
+    pairs = tables.put(pairs)
     tables.drop(live)
+    more = verified(docs, full, pairs, tables)
     # the links found now join components, so only those are walked again
     over = more.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     tops = components(tables, over).toDF("root", "top")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,7 @@ class Tables:
         what refers to them, which may otherwise be long after the next steps need the disk."""
         gc.collect()
         self.spark._jvm.System.gc()
+        time.sleep(1)  # the cleaner works in the background
 
 
 def components(tables: Tables, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
