@@ -212,10 +212,10 @@ class _Sketches:
 
     def __init__(self, column: pa.ChunkedArray):
         raw = column.to_pylist()
-        self.bits = np.array([8 * len(x) for x in raw])
+        self.bits = np.array([8 * len(x) if x else 0 for x in raw])
         self.at = np.zeros(len(raw), np.int64)
         self.own, self.half = {}, {}
-        for w in np.unique(self.bits).tolist():
+        for w in np.unique(self.bits[self.bits > 0]).tolist():
             rows = np.flatnonzero(self.bits == w)
             self.at[rows] = np.arange(len(rows))
             own = np.frombuffer(b"".join(raw[i] for i in rows), np.uint8).reshape(len(rows), w // 8)
@@ -224,7 +224,7 @@ class _Sketches:
     def differ(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Differing bits of each pair: at most the size of the symmetric difference (0 where widths are far apart)."""
         out = np.zeros(len(x), np.int64)
-        for w in np.unique(self.bits[x]).tolist():
+        for w in np.unique(self.bits[x][self.bits[x] > 0]).tolist():  # rows of short lists have none
             for v in (w // 2, w, 2 * w):
                 rows = np.flatnonzero((self.bits[x] == w) & (self.bits[y] == v))
                 if not len(rows):
@@ -392,8 +392,14 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     mixed = named.select("*", F.min("root").over(per).alias("lo"), F.max("root").over(per).alias("hi")).where("lo != hi").drop("lo", "hi")
     # equal sets met in one list: one row is enough (still dealt by token, so this needs no shuffle)
     mixed = mixed.groupBy("token", "node").agg(*[F.first(c).alias(c) for c in ("root", "n", "place", "before")])
-    named = mixed.join(nodes.select("node", "sketch"), "node").repartition("token").sortWithinPartitions("token", "root")
+    # only long lists carry sketches: a short one makes few pairs, which are pruned once they are distinct
+    mixed = mixed.withColumn("size", F.count("*").over(per))
+    long = mixed.where(F.col("size") > 2 * HEAVY).drop("size").join(nodes.select("node", "sketch"), "node")
+    short = mixed.where(F.col("size") <= 2 * HEAVY).drop("size").withColumn("sketch", F.lit(None).cast("binary"))
+    named = long.unionByName(short).repartition("token").sortWithinPartitions("token", "root")
     pairs = named.mapInArrow(_list_pairs, "a long, b long").distinct()
+    one = nodes.select("node", F.col("n_shingles").alias("n"), "sketch")
+    pairs = pairs.join(one.toDF("a", "na", "sa"), "a").join(one.toDF("b", "nb", "sb"), "b").mapInArrow(_prune, "a long, b long")
     pairs = tables.put(pairs)
     tables.drop(live)
     more = verified(docs, full, pairs, tables)
