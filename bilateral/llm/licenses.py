@@ -1,12 +1,19 @@
 """Licence scans: sparse TF-IDF cosine of text windows to templates, and inheritance by directory.
 
-A file's candidate passages are windows that begin at a rare template word (one in at most
-``COMMON`` of the files), run to the end of the line and hold at most as many words as the longest template. Both
-sides are TF-IDF vectors; document frequencies of the template words are counted over all files,
-any other word has the frequency one. The best cosine of at least ``LEAST`` names the file's own licence. A
-file whose licence passages are at least half of its words is a licence file and speaks for its directory. A file
-without an own licence takes that of its nearest ancestor directory, found by joining all prefixes of its
-path. Where several licence files stand in a directory, the best score wins, then the name.
+A licence has short notices, headers and full texts as templates. Any template word can open a passage, however
+common it is, and passages run across lines:
+
+* of a notice of at most ``SHORT`` words, all runs of up to twice its words that begin and end at one of its words
+  (other words at the ends only lower the cosine);
+* of a longer header or text, all runs of its number of words, or the whole file where that is shorter.
+
+Runs are left out only where a bound proves a cosine below ``LEAST``: by Cauchy and Schwarz, the cosine's square is at most the
+share of the template's squared norm whose words occur in the run. Both sides are TF-IDF vectors; document
+frequencies of the template words are counted over all files, any other word has the frequency one. The best
+cosine of at least ``LEAST`` names the file's own licence. A file whose licence passages are at least half of its
+words is a licence file and speaks for its directory. A file without an own licence takes that of its nearest
+ancestor directory, found by joining all prefixes of its path. Where several licence files stand in a
+directory, the best score wins, then the name.
 
 Null and empty texts have no own licence but inherit; a null path inherits nothing; ties between templates go
 to the first by name; repeated rows are kept; other columns are ignored.
@@ -16,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +47,35 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "proprietary": "Copyright, all rights reserved, no part may be reproduced without permission",
 }
-COMMON = 0.05
+# notices for the head of a file; full texts are in license_texts (none for CC-BY-4.0 and CC-BY-NC-4.0)
+HEADERS = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+        See the License for the specific language governing permissions and limitations under the License.""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License
+        as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+        This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+        You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "LGPL-3.0": """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License
+        as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+        This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+        You should have received a copy of the GNU Lesser General Public License along with this library. If not, see <https://www.gnu.org/licenses/>.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.
+        If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+}
 LEAST = 0.6
+SHORT = 40
+STARTS = 4096  # passages judged side by side
+
+
+def all_templates() -> dict[str, list[str]]:
+    """Notice lines, headers and full texts of each licence."""
+    full = {f.stem: f.read_text() for f in (Path(__file__).parent / "license_texts").glob("*.txt")}
+    return {n: [t, *(d[n] for d in (HEADERS, full) if n in d)] for n, t in TEMPLATES.items()}
 
 
 def _words(text: str) -> list[str]:
@@ -71,8 +106,39 @@ def _frequency(vocabulary: np.ndarray):
     return count
 
 
+def _short_runs(term, stop, v, idf2, at, longest):
+    """(cosine, end) of the best run from each of the starts ``at``, of at most ``longest`` words; term -1 is any other word."""
+    place = at[:, None] + np.arange(longest)
+    inside = place < stop[at][:, None]
+    t = term[np.minimum(place, len(term) - 1)]
+    before = np.zeros(t.shape, np.int32)  # equal words earlier in the run; other words differ from each other
+    for j in range(1, longest):
+        before[:, j] = (t[:, :j] == t[:, j : j + 1]).sum(1)
+    before[t < 0] = 0
+    cosine = np.cumsum(v[t] * np.sqrt(idf2[t]), 1) / np.sqrt(np.cumsum(idf2[t] * (2 * before + 1), 1))
+    cosine[~inside | (v[t] <= 0)] = 0
+    j = cosine.argmax(1)
+    return cosine[np.arange(len(at)), j], at + j + 1
+
+
+def _long_runs(term, v, idf2, length):
+    """Cosine of every run of ``length`` words of one document."""
+    n = len(term)
+    own = np.where(term < 0, len(v) + np.arange(n), term)  # other words differ from each other
+    keys = np.sort(own * (n + 1) + np.arange(n))
+    count = lambda w, a, b: np.searchsorted(keys, w * (n + 1) + b) - np.searchsorted(keys, w * (n + 1) + a)
+    dot = np.concatenate([[0.0], np.cumsum(v[term] * np.sqrt(idf2[term]))])
+    first, times = np.unique(own[:length], return_counts=True)
+    weight = idf2[np.where(first < len(v) - 1, first, -1)]
+    s = np.arange(n - length)
+    gone, come = own[: n - length], own[length:]
+    step = idf2[term[length:]] * (2 * count(come, s + 1, s + length) + 1) - idf2[term[: n - length]] * (2 * count(gone, s, s + length) - 1)
+    norm2 = float(weight @ times**2) + np.concatenate([[0.0], np.cumsum(step)])
+    return (dot[length:] - dot[: n - length + 1]) / np.sqrt(norm2)
+
+
 def _scan(model):
-    names, vocabulary, idf, rarest, vectors, longest = model.value
+    names, vocabulary, idf2, vectors, lengths = model.value
 
     def scan(batches):
         for rows, data, offsets in slices(batches):
@@ -80,65 +146,75 @@ def _scan(model):
             h = hashes(data, starts, ends)
             at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
             term = np.where(vocabulary[at] == h, at, -1)
-            lines = np.cumsum(data == 0x0A)
-            line = lines[starts] if len(starts) else np.zeros(0, np.int64)
-            words = np.bincount(of, minlength=rows.num_rows)
-            best: list[tuple[float, str | None]] = [(0.0, None)] * rows.num_rows
-            covered = np.zeros(len(starts) + 1, bool)
-            anchors = np.flatnonzero((term >= 0) & (idf[np.maximum(term, 0)] >= rarest))
-            # a window may open with the common template words before its first rare one
-            for a in anchors:
-                first = a
-                while first and a - first < longest and of[first - 1] == of[a] and line[first - 1] == line[a] and term[first - 1] >= 0:
-                    first -= 1
-                for s in {first, a}:
-                    e = s
-                    while e < len(starts) and e - s < longest and of[e] == of[s] and line[e] == line[s]:
-                        e += 1
-                    while e > s and term[e - 1] < 0:
-                        e -= 1
-                    w = np.zeros(len(vocabulary))
-                    np.add.at(w, term[s:e][term[s:e] >= 0], 1.0)
-                    other = int((term[s:e] < 0).sum())
-                    w *= idf
-                    norm = math.sqrt(float(w @ w) + other * idf.max() ** 2)
-                    cosine = vectors @ w / norm if norm else np.zeros(len(names))
-                    k = int(cosine.argmax())
-                    if cosine[k] >= LEAST:
-                        covered[s:e] = True
-                        if cosine[k] > best[of[a]][0]:
-                            best[of[a]] = (float(cosine[k]), names[k])
-            share = np.bincount(of, weights=covered[:-1], minlength=rows.num_rows) / np.maximum(words, 1)
+            bound = np.searchsorted(of, np.arange(rows.num_rows + 1))
+            stop = bound[1:][of]
+            pairs = np.unique(term[term >= 0] * rows.num_rows + of[term >= 0])
+            held, holder = pairs // rows.num_rows, pairs % rows.num_rows
+            score, who = np.zeros(rows.num_rows), np.full(rows.num_rows, -1)
+            edge = np.zeros(len(starts) + 1, np.int64)
+
+            def take(k, a, b, cosine):
+                np.add.at(edge, a, 1)
+                np.add.at(edge, b, -1)
+                top = np.zeros(rows.num_rows)
+                np.maximum.at(top, of[a], cosine)
+                better = top > score + 1e-12
+                score[better], who[better] = top[better], k
+
+            for k, (v, length) in enumerate(zip(vectors, lengths, strict=True)):
+                mass = np.bincount(holder, weights=v[held] ** 2, minlength=rows.num_rows)
+                able = mass >= LEAST**2 - 1e-9
+                if not able.any():
+                    continue
+                if length <= SHORT:
+                    v2 = v[term] ** 2
+                    sums = np.concatenate([[0.0], np.cumsum(v2)])
+                    a = np.flatnonzero((v2 > 0) & able[of])
+                    a = a[sums[np.minimum(a + 2 * length, stop[a])] - sums[a] >= LEAST**2 - 1e-9]
+                    for i in range(0, len(a), STARTS):
+                        s = a[i : i + STARTS]
+                        cosine, e = _short_runs(term, stop, v, idf2, s, 2 * length)
+                        ok = cosine >= LEAST
+                        take(k, s[ok], e[ok], cosine[ok])
+                    continue
+                for d in np.flatnonzero(able):
+                    size = int(min(length, bound[d + 1] - bound[d]))
+                    cosine = _long_runs(term[bound[d] : bound[d + 1]], v, idf2, size)
+                    while cosine.max() >= LEAST:  # runs that don't overlap, best first
+                        s = int(cosine.argmax())
+                        take(k, np.array([bound[d] + s]), np.array([bound[d] + s + size]), cosine[s : s + 1])
+                        cosine[max(0, s - size + 1) : s + size] = 0
+            covered = np.cumsum(edge[:-1]) > 0
+            share = np.bincount(of, weights=covered, minlength=rows.num_rows) / np.maximum(np.diff(bound), 1)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), rows.column("path"), pa.array([b[1] for b in best], pa.string()), pa.array([b[0] for b in best]), pa.array((share >= 0.5) & np.array([b[1] is not None for b in best]))],
+                [rows.column("doc_id"), rows.column("path"), pa.array([names[k] if k >= 0 else None for k in who], pa.string()), pa.array(score), pa.array((share >= 0.5) & (who >= 0))],
                 names=["doc_id", "path", "license", "score", "licence_file"],
             )
 
     return scan
 
 
-def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+def scan_licenses(files: DataFrame, templates: dict[str, str | list[str]] | None = None) -> DataFrame:
     """files (doc_id, path, text) with own licence, score, whether it is a licence file, the licence in force and the directory it comes from."""
     spark = files.sparkSession
     prepare(files.sparkSession)
-    templates = templates or TEMPLATES
-    names = sorted(templates)
-    terms = {n: _words(templates[n]) for n in names}
-    every = sorted({w for t in terms.values() for w in t})
+    templates = templates or all_templates()
+    texts = [(n, _words(t)) for n in sorted(templates) for t in ([templates[n]] if isinstance(templates[n], str) else templates[n])]
+    every = sorted({w for _, t in texts for w in t})
     keys = _hash(every)
     order = np.argsort(keys)
     place = {every[j]: i for i, j in enumerate(order)}
     vocabulary = keys[order]
     counts = {r.word: r.n for r in files.select("text").mapInArrow(_frequency(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
     total = max(1, counts.get(-1, 0))
-    idf = np.array([math.log((1 + total) / (1 + counts.get(i, 0))) + 1 for i in range(len(vocabulary))])
-    rarest = math.log((1 + total) / (1 + COMMON * total)) + 1
-    vectors = np.zeros((len(names), len(vocabulary)))
-    for k, n in enumerate(names):
-        for w in terms[n]:
+    weight = lambda n: math.log((1 + total) / (1 + n)) + 1
+    idf = np.array([*(weight(counts.get(i, 0)) for i in range(len(vocabulary))), weight(1)])  # the last one is any other word's
+    vectors = np.zeros((len(texts), len(vocabulary) + 1))
+    for k, (_, t) in enumerate(texts):
+        for w in t:
             vectors[k, place[w]] += idf[place[w]]
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    shared = spark.sparkContext.broadcast((names, vocabulary, idf, rarest, vectors, max(map(len, terms.values()))))
+    shared = spark.sparkContext.broadcast(([n for n, _ in texts], vocabulary, idf**2, vectors, [len(t) for _, t in texts]))
     seen = files.select("doc_id", "path", "text").mapInArrow(_scan(shared), "doc_id long, path string, license string, score double, licence_file boolean")
     return inherit(seen)
 

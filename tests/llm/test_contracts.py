@@ -173,6 +173,52 @@ def test_licenses(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_licences_common_wrapped_and_full(spark):
+    """A notice on a third of all files, notices and headers over several lines, full texts, and what inherits them."""
+    rng = np.random.default_rng(1)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    full = licenses.all_templates()
+    rows, want = [], {}
+    for i in range(300):
+        text, want[i] = prose(60), None
+        if i % 3 == 0:
+            text, want[i] = f"{prose(20)}\n{licenses.TEMPLATES['MIT']}\n{prose(40)}", "MIT"
+        elif i % 50 == 1:
+            words = licenses.TEMPLATES["MPL-2.0"].split()
+            text, want[i] = prose(20) + "\n# " + "\n# ".join(" ".join(words[j : j + 4]) for j in range(0, len(words), 4)) + f"\n{prose(40)}", "MPL-2.0"
+        elif i % 50 == 2:
+            text, want[i] = licenses.HEADERS["Apache-2.0"].replace("\n", "\n * ") + f"\n{prose(500)}", "Apache-2.0"
+        rows.append((i, f"a/{i}", text))
+    for j, n in enumerate(sorted(n for n in full if len(full[n]) > 1 and max(map(len, full[n])) > 1000)):
+        rows += [(1000 + j, f"b/{n}/LICENSE", max(full[n], key=len)), (2000 + j, f"b/{n}/src/code", prose(30))]
+        want |= {1000 + j: n, 2000 + j: n}
+    rows += [(3000, "c/LICENSE", licenses.TEMPLATES["MIT"]), (3001, "c/x/code", prose(30))]
+    want |= {3000: "MIT", 3001: "MIT"}
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {i: r.effective_license for i, r in got.items()} == want
+    assert {i for i, r in got.items() if r.licence_file} == {i for i in want if 1000 <= i < 2000} | {3000}
+
+
+def test_licence_runs():
+    rng = np.random.default_rng(2)
+    v, idf2 = np.append(rng.random(6), 0.0), 1 + rng.random(7)
+    v /= np.linalg.norm(v)
+    for _ in range(20):
+        term = rng.integers(-1, 6, 40)
+
+        def cosine(a, b, term=term):
+            n = Counter(x for x in term[a:b].tolist() if x >= 0)
+            norm = sum(c * c * idf2[x] for x, c in n.items()) + (term[a:b] < 0).sum() * idf2[-1]
+            return sum(v[x] * c * math.sqrt(idf2[x]) for x, c in n.items()) / math.sqrt(norm)
+
+        assert np.allclose(licenses._long_runs(term, v, idf2, 9), [cosine(a, a + 9) for a in range(32)])
+        at = np.flatnonzero(term >= 0)
+        got, end = licenses._short_runs(term, np.full(40, 40), v, idf2, at, 8)
+        for a, c, e in zip(at, got, end, strict=True):
+            assert np.isclose(c, max(cosine(a, b) for b in range(a + 1, min(a + 8, 40) + 1) if term[b - 1] >= 0)) and np.isclose(c, cosine(a, e))
+
+
+
 def brute_edits(rows):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     out = []
