@@ -9,7 +9,7 @@
   product of their p-values' complements and mapped to a probability by a two-parameter logistic fit
   on training texts.
 
-Of texts that share their smallest 5-word shingle one teaches, so copies count once. Labels come from a sample of at most ``MAX_LABELS`` labelled rows (all, if there are fewer), chosen
+Of texts of one label that are copies or near copies one teaches, so copies count once. Labels come from a sample of at most ``MAX_LABELS`` labelled rows (all, if there are fewer), chosen
 by a hash of doc_id; everything else uses all rows. Null and empty texts have no passage and score
 as a text without evidence; rows with a null label or doc_id teach nothing; repeated rows are kept.
 """
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngram_join import shingle_sets
+from .ngram_join import set_keys, shingle_sets
 from .tables import Tables, at_most, prepare
 from .words import PLAIN_WORD, hashes, mix, signed, slices, spans
 
@@ -36,6 +36,8 @@ MIN_COUNT = 3
 LEAST_WEIGHT = 1.5
 DRIFT = -0.15
 MIN_SEGMENT = 0.5
+SKETCH = 64
+NEAR = 44  # equal places of the sketches of near copies: 0.69 of SKETCH
 
 
 def label_sample(labels: DataFrame, column: str = "toxic") -> DataFrame:
@@ -46,27 +48,44 @@ def label_sample(labels: DataFrame, column: str = "toxic") -> DataFrame:
     return known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
 
 
-def _least_shingles(batches):
+def _copy_keys(batches):
+    """Keys under which copies of a text meet (whole set, two least shingles), and one byte each of SKETCH min-hashes."""
     for rows, sets, sizes in shingle_sets(batches):
-        begin = np.cumsum(sizes) - sizes
         full = np.flatnonzero(sizes)
-        out = [rows.column("doc_id")]
-        for salt in (1, 2):
+        begin = (np.cumsum(sizes) - sizes)[full]
+        sketch = np.zeros((len(sizes), SKETCH), np.uint8)
+        keys = []
+        for salt in range(1, SKETCH + 1):
             least = np.zeros(len(sizes), np.uint64)
             if len(full):
-                least[full] = np.minimum.reduceat(mix(sets ^ np.uint64(salt)), begin[full])
-            out.append(signed(least))
-        yield pa.RecordBatch.from_arrays(out, names=["doc_id", "a", "b"])
+                least[full] = np.minimum.reduceat(mix(sets ^ mix(np.array([salt], np.uint64))), begin)
+            sketch[:, salt - 1] = least >> np.uint64(5) & np.uint64(255)
+            if salt <= 2:
+                keys.append(signed(least))
+        whole = signed(np.asarray(set_keys(sets, sizes)).astype(np.uint64))
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), whole, *keys, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "label", "w", "a", "b", "sketch"])
+
+
+def _near(batches):
+    for rows in batches:
+        x, y = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch", "first_sketch"))
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id").filter(pa.array((x == y).sum(1) >= NEAR))], names=["doc_id"])
 
 
 def one_of_each(labelled: DataFrame, tables: Tables) -> DataFrame:
-    """labelled rows without most copies and near copies: those with the least doc_id among the rows that
-    share their smallest shingle, under both of two hash orders. A text that was copied a thousand times
-    would else lend its label to all of its rare words."""
-    keys = tables.put(labelled.select("doc_id", "text").mapInArrow(_least_shingles, "doc_id long, a long, b long"))
-    first = [keys.groupBy(k).agg(F.min("doc_id").alias("doc_id")).select("doc_id") for k in ("a", "b")]
-    keep = tables.put(first[0].join(first[1], "doc_id"))  # at most MAX_LABELS rows
-    return labelled.join(F.broadcast(keep), "doc_id", "left_semi")
+    """labelled rows without copies and near copies of others of their label. A text that was copied a thousand times
+    would else lend its label to all of its rare words.
+
+    A row is a copy if it has the set of shingles of a row with a lower doc_id, or if it shares its least shingle with the first such
+    row and their min-hash sketches agree too; texts that share a line only have other sketches and all teach."""
+    keys = tables.put(labelled.select("doc_id", "label", "text").mapInArrow(_copy_keys, "doc_id long, label int, w long, a long, b long, sketch binary"))
+    copies = []
+    for k in ("w", "a", "b"):
+        first = keys.groupBy("label", k).agg(F.min_by("sketch", "doc_id").alias("first_sketch"), F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        met = keys.join(F.broadcast(first), ["label", k]).where("doc_id <> first")  # groups of at most MAX_LABELS rows
+        copies.append(met.select("doc_id") if k == "w" else met.select("doc_id", "sketch", "first_sketch").mapInArrow(_near, "doc_id long"))
+    drop = tables.put(copies[0].union(copies[1]).union(copies[2]).distinct())
+    return labelled.join(F.broadcast(drop), "doc_id", "left_anti")
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]):

@@ -368,3 +368,18 @@ def test_suffix_tree_states_are_distributions():
         h = np.append(words[context], np.uint64(12345))
         total += unknown * 10 ** tree.gain(h, np.array([True] + [False] * len(context)))[1][-1]
         assert math.isclose(total, 1.0, rel_tol=1e-9)
+
+
+def test_only_copies_of_one_label_teach_once(spark):
+    """Texts that share a line all teach, copies and near copies once for each label."""
+    from bilateral.llm.tables import Tables
+
+    rng = np.random.default_rng(4)
+    prose = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    line, copied, near = prose(60), prose(80), [prose(20) for _ in range(10)]
+    rows = [(i, f"{line} {prose(60)}", i % 2) for i in range(200)]
+    rows += [(1000 + i, copied, int(i >= 20)) for i in range(40)]
+    rows += [(2000 + i, " ".join([*near, f"own{i}"]), 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    left = {r.doc_id for r in toxicity.one_of_each(df, Tables(spark)).collect()}
+    assert left == {*range(200), 1000, 1020, 2000}
