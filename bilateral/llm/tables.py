@@ -51,6 +51,14 @@ class Tables:
                 path = jvm.org.apache.hadoop.fs.Path(file).getParent()
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def drop_all_but(self, *kept: DataFrame) -> None:
+        """Removes this run's tables but those named."""
+        jvm, keep = self.spark._jvm, {f.rsplit("/", 2)[-2] for df in kept for f in df.inputFiles()[:1]}
+        for n in range(1, self.n + 1):
+            if str(n) not in keep:
+                path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{n}")
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def release(self) -> None:
         """Lets Spark remove the shuffle files of finished steps: its cleaner does so once the driver has collected
         what refers to them, which may otherwise be long after the next steps need the disk."""
