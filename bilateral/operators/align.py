@@ -14,6 +14,18 @@ def slice_intervals(samples: DataFrame, intervals: DataFrame, keys: list[str]) -
     return samples.join(intervals, keys).where("ts between start_ts and end_ts").drop("start_ts", "end_ts")
 
 
+def slice_event(samples: DataFrame, intervals: DataFrame, keys: list[str], event: str) -> DataFrame:
+    """Rows of every key within one event; a key without that event (or without samples in it) has one row of NULLs."""
+    one = intervals.where(F.col("event") == event).select(*keys, "start_ts", "end_ts")
+    got = samples.join(one, keys).where("ts between start_ts and end_ts").drop("start_ts", "end_ts")
+    return samples.select(*keys).distinct().join(got, keys, "left").withColumn("event", F.lit(event))
+
+
+def wide_components(df: DataFrame, keys: list[str], component: str, names: list[str], value: str = "value") -> DataFrame:
+    """One column for each component (an outer join on the keys in one shuffle)."""
+    return df.groupBy(*keys).agg(*[F.max(F.when(F.col(component) == n, F.col(value))).alias(n) for n in names])
+
+
 def long_intervals(wide: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, event, start_ts, end_ts) from columns start_<event> and end_<event>."""
     events = sorted(c[6:] for c in wide.columns if c.startswith("start_"))

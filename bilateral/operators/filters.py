@@ -33,6 +33,17 @@ def lowpass_causal(df: DataFrame, keys: list[str], cutoff: float, fs: float, val
     return df.where(F.col(value).isNotNull()).withColumn(name, weighted_history(value, impulse(cutoff, fs), w))
 
 
+def apply_filter(df: DataFrame, keys: list[str], work, suffix: str = "filt", value: str = "value", **names) -> DataFrame:
+    """df with the column <value>_<suffix> of ``work`` (a filter of this module) over its rows with a value.
+
+    Rows without one are dropped, but groups in which all values are missing are returned as they are."""
+    name = f"{value}_{suffix}"
+    there = F.count(value).over(W.partitionBy(*keys))
+    marked = df.withColumn("_there", there)
+    done = work(marked.where(F.col(value).isNotNull()).drop("_there"), keys, value=value, name=name, **names)
+    return done.unionByName(marked.where("_there = 0").drop("_there"), allowMissingColumns=True)
+
+
 def lowpass_zero_phase(df: DataFrame, keys: list[str], cutoff: float, fs: float, value: str = "value", name: str = "filtered", order: str = "pos", pad: int = 6) -> DataFrame:
     """Forward and backward low-pass with odd extension of ``pad`` samples at both ends and steady start.
 

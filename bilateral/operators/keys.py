@@ -11,9 +11,9 @@ INTENSITY = {"low": 0, "medium": 1, "high": 2}
 EVENT_GROUPS = {
     "baseline": ["baseline_1", "baseline_2", "baseline_3", "baseline_4", "baseline_5"],
     "cognitive_load": ["cognitive_load"],
-    "fake_laughter": ["fake_laughter"],
-    "clapping": ["clapping_hands"],
-    "funny_videos": ["funny_video_1", "funny_video_2"],
+    "fake_laughter": ["fake"],
+    "clapping_hands": ["clapping_hands"],
+    "funny_videos": ["baby", "people_car", "stand_up_comedy", "himym", "cat", "penguins", "man", "bbt", "people_falling"],
 }
 
 
@@ -59,6 +59,26 @@ def split_key(column: str, mark: str, names: list[str]) -> list[Column]:
     return [parts[i].alias(n) for i, n in enumerate(names)]
 
 
+def event_names(wide: DataFrame) -> list[str]:
+    """Events of a wide table, from its columns start_<event> and end_<event>."""
+    return sorted({c.split("_", 1)[1] for c in wide.columns if c.startswith(("start_", "end_"))})
+
+
+def swap_orientation(df: DataFrame, rows: str, columns: str, value: str, names: list | None = None) -> DataFrame:
+    """One row for each of ``columns`` and one column for each of ``rows`` (long form in, pivot out)."""
+    return df.groupBy(columns).pivot(rows, names).agg(F.first(value))
+
+
+def only(df: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows of the chosen components (or signals, or sides)."""
+    return df.where(F.col(column).isin(*values))
+
+
+def flagged(df: DataFrame, flag: str = "artefact") -> DataFrame:
+    """Rows that are marked."""
+    return df.where(F.col(flag).cast("int") == 1)
+
+
 def filter_users(df: DataFrame, users: DataFrame, user: str = "usr") -> DataFrame:
     """Rows of users that are not named."""
     return df.join(users.select(user).distinct(), user, "left_anti")
@@ -81,6 +101,11 @@ def removed_sessions(df: DataFrame, kept: DataFrame, keys=("usr", "session")) ->
     return gone.groupBy(keys[0]).agg(F.count("*").alias("removed"))
 
 
+def emptied_users(before: DataFrame, kept: DataFrame, user: str = "usr") -> DataFrame:
+    """Users that a filter left without sessions."""
+    return before.select(user).distinct().join(kept.select(user).distinct(), user, "left_anti")
+
+
 def correct_times(info: DataFrame, start: str = "actual_bed_time", end: str = "wake_up_time") -> DataFrame:
     return info.where(F.col(start) < F.col(end))
 
@@ -107,6 +132,13 @@ def common_keys(df: DataFrame, keys: list[str], side: str = "side", sides=("left
     return a.intersect(b)
 
 
+def with_laughter(events: DataFrame, groups: DataFrame, episodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events (usr, event, start_ts, end_ts) and their grouping (event, grp) with the laughter episodes of ``laughter_events``."""
+    more = episodes.select("usr", "event", "start_ts", "end_ts")
+    laugh = episodes.select("event", F.lit("laughter_episodes").alias("grp")).distinct()
+    return events.select("usr", "event", "start_ts", "end_ts").unionByName(more), groups.unionByName(laugh)
+
+
 def laughter_events(episodes: DataFrame) -> DataFrame:
     """Laughter episodes (key user_event, start_ts, end_ts, intensity) with some intensity as events."""
     code = map_codes("intensity", INTENSITY)

@@ -105,21 +105,61 @@ def top_vector(df: DataFrame, places: list[int]) -> DataFrame:
     return df.withColumn("x", F.array(*[F.col("x")[p] for p in places]))
 
 
-def nested_cv(df: DataFrame, outer: int = 3, inner: int = 2, n_points: int = 4, seed_triples=((1, 2, 3),), space: dict | None = None) -> DataFrame:
-    """fold_scores (seed_id, fold_id, model, metric, value) of nested cross-validation on (id, grp, y, x):
-    undersampled training folds, halving search on inner folds, balanced accuracy on the outer fold, feature importances."""
-    spark = df.sparkSession
-    out = []
+def fold_splits(data: DataFrame, k: int, seed: int):
+    """(name, train, test) of stratified outer folds."""
+    dealt = sampling.stratified_folds(data, "label", "id", k, seed, "outer")
+    for f in range(k):
+        yield str(f), dealt.where(F.col("outer") != f).drop("outer"), dealt.where(F.col("outer") == f).drop("outer")
+
+
+def side_splits(data: DataFrame, settings=(("left", "right"), ("right", "left"))):
+    """(name, train, test) with the sides apart, users not held out."""
+    for a, b in settings:
+        yield f"{a}-{b}", data.where(F.col("side") == a), data.where(F.col("side") == b)
+
+
+def user_splits(data: DataFrame, train_side: str | None = None, test_side: str | None = None):
+    """(name, train, test) with every user held out in turn; across sides the test rows are of the other one."""
+    for (user,) in sorted(data.select("grp").distinct().collect()):
+        train, test = data.where(F.col("grp") != user), data.where(F.col("grp") == user)
+        yield str(user), train.where(F.col("side") == train_side) if train_side else train, test.where(F.col("side") == test_side) if test_side else test
+
+
+def nested_search(df: DataFrame, splits, inner: int = 2, n_points: int = 4, seed_triples=((1, 2, 3),), space: dict | None = None) -> DataFrame:
+    """(seed_id, fold, model, metric, value) of a search nested in any outer splits: undersampled training rows, halving search
+    on inner folds, balanced accuracy on the held-out rows, feature importances of the refitted model.
+
+    ``splits`` is called with (data, fold seed) and yields (name, train, test): see ``fold_splits``, ``side_splits``, ``user_splits``.
+    Splits without training or test rows are left out. Each fit is a distributed job; their number is that of splits and points."""
+    spark, out = df.sparkSession, []
     for sid, (fold_seed, sample_seed, model_seed) in enumerate(seed_triples):
-        data = sampling.stratified_folds(_vectors(df), "label", "id", outer, fold_seed, "outer").cache()
-        for f in range(outer):
-            train = sampling.undersample(data.where(F.col("outer") != f), "grp", "label", "id", sample_seed).drop("outer").cache()
+        data = _vectors(df).cache()
+        for name, train, test in splits(data, fold_seed):
+            train = sampling.undersample(train, "grp", "label", "id", sample_seed).cache()
+            if train.isEmpty() or test.isEmpty():
+                continue
             model, _ = halving_search(train, GBTClassifier(featuresCol="features", labelCol="label", seed=model_seed), candidates(space or GBT_SPACE, n_points, model_seed), inner, model_seed)
-            out.append((sid, f, "GBT", "balanced_accuracy", score(model.transform(data.where(F.col("outer") == f)))))
-            out += [(sid, f, "GBT", f"FI_{i}", float(v)) for i, v in enumerate(model.featureImportances.toArray())]
+            out.append((sid, name, "GBT", "balanced_accuracy", score(model.transform(test))))
+            out += [(sid, name, "GBT", f"FI_{i}", float(v)) for i, v in enumerate(model.featureImportances.toArray())]
             train.unpersist()
         data.unpersist()
-    return spark.createDataFrame(out, "seed_id int, fold_id int, model string, metric string, value double")
+    return spark.createDataFrame(out, "seed_id int, fold string, model string, metric string, value double")
+
+
+def nested_cv(df: DataFrame, outer: int = 3, inner: int = 2, n_points: int = 4, seed_triples=((1, 2, 3),), space: dict | None = None) -> DataFrame:
+    """fold_scores (seed_id, fold_id, model, metric, value) of nested cross-validation on (id, grp, y, x)."""
+    got = nested_search(df, lambda d, seed: fold_splits(d, outer, seed), inner, n_points, seed_triples, space)
+    return got.select("seed_id", F.col("fold").cast("int").alias("fold_id"), "model", "metric", "value")
+
+
+def nested_opposite_side(df: DataFrame, **search) -> DataFrame:
+    """Nested search on one side, scored on the other, both ways."""
+    return nested_search(df, lambda d, seed: side_splits(d), **search)
+
+
+def nested_loso(df: DataFrame, train_side: str | None = None, test_side: str | None = None, **search) -> DataFrame:
+    """Nested search with every user held out in turn, on the same rows or across sides."""
+    return nested_search(df, lambda d, seed: user_splits(d, train_side, test_side), **search)
 
 
 def kfold_battery(df: DataFrame, k: int = 3, seed: int = 1, models: dict | None = None, split=None) -> DataFrame:

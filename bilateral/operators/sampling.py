@@ -13,7 +13,12 @@ def shuffle_key(seed: Column, row: Column) -> Column:
 
 def seeds(generators: list[int], n: int, spark) -> DataFrame:
     """(generator, seed_id, seed): n seeds of each generator seed, from md5."""
-    rows = spark.createDataFrame([(g, i) for g in generators for i in range(n)], "generator int, seed_id int")
+    return seeds_of(spark.createDataFrame([(g,) for g in generators], "generator int"), n)
+
+
+def seeds_of(generators: DataFrame, n: int) -> DataFrame:
+    """(generator, seed_id, seed): n seeds of each row's generator, from md5."""
+    rows = generators.select("generator", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("seed_id"))
     digest = F.md5(F.concat_ws(":", F.col("generator").cast("string"), F.col("seed_id").cast("string")))
     return rows.withColumn("seed", F.conv(F.substring(digest, 1, 7), 16, 10).cast("long"))
 
@@ -52,6 +57,19 @@ def leave_one_out(df: DataFrame, user: str, side: str | None = None, train_side:
     return got
 
 
+def leave_one_out_counts(df: DataFrame, user: str, label: str, side: str | None = None, train_side: str | None = None, test_side: str | None = None) -> DataFrame:
+    """(held_out, part, label, n) of ``leave_one_out`` without dealing rows to users: a user's training rows are all rows less its own."""
+    train = df.where(F.col(side) == train_side) if side else df
+    test = df.where(F.col(side) == test_side) if side else df
+    total = train.groupBy(label).agg(F.count("*").alias("all"))
+    own = train.groupBy(F.col(user).alias("held_out"), label).agg(F.count("*").alias("own"))
+    users = df.select(F.col(user).alias("held_out")).distinct()
+    # users by labels, both counted: the table of results
+    rest = users.crossJoin(F.broadcast(total)).join(own, ["held_out", label], "left").select("held_out", F.lit("train").alias("part"), label, (F.col("all") - F.coalesce("own", F.lit(0))).alias("n"))
+    mine = test.groupBy(F.col(user).alias("held_out"), label).agg(F.count("*").alias("n")).select("held_out", F.lit("test").alias("part"), label, "n")
+    return rest.where("n > 0").union(mine)
+
+
 def cross_side(df: DataFrame, side: str, settings=(("right", "right"), ("left", "left"), ("right", "left"), ("left", "right"))) -> DataFrame:
     """Rows with train_side, test_side and part for each setting."""
     rows = [F.struct(F.lit(a).alias("train_side"), F.lit(b).alias("test_side")) for a, b in settings]

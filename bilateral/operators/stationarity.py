@@ -13,17 +13,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.columns import div
+from ..functions.columns import div, normal_tail
 
 METHODS = ("adf", "dfgls", "kpss", "pp", "za")
 
 
+# fixed values: published distributions of the statistics
+KPSS_TABLE = [(0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01)]
+ZA_TABLE = [(-5.34, 0.01), (-5.02, 0.025), (-4.80, 0.05), (-4.58, 0.10), (-3.75, 0.50), (-2.99, 0.90), (-2.77, 0.95), (-2.56, 0.975), (-2.32, 0.99)]
+# (border, coefficients below it, coefficients above it): p is the normal probability of the polynomial
+UNIT_ROOT_CONSTANT = (-1.61, [2.1659, 1.4412, 0.038269], [1.7339, 0.93202, -0.12745, -0.010368])
+UNIT_ROOT_PLAIN = (-1.04, [0.6344, 1.2378, 0.032496], [0.4797, 0.93557, -0.06999, 0.033066])
+
+
 def _lags(n, c: float = 4.0):
     return F.floor(c * F.pow(n / 100.0, F.lit(0.25))).cast("int")
 
 
-def kpss(df: DataFrame, keys: list[str], value: str = "value", order: str = "pos", max_lag: int = 24) -> DataFrame:
-    """Level-stationarity statistic with Bartlett weights over floor(4 (n / 100)^1/4) lags (at most max_lag)."""
+def _most_lags(df: DataFrame, keys: list[str], value: str, c: float = 4.0) -> int:
+    """The lag that the rule asks for in the largest group."""
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return max(1, int(c * (n / 100.0) ** 0.25))
+
+
+def kpss(df: DataFrame, keys: list[str], value: str = "value", order: str = "pos", max_lag: int | None = None) -> DataFrame:
+    """Level-stationarity statistic with Bartlett weights over floor(4 (n / 100)^1/4) lags of each series."""
+    max_lag = max_lag or _most_lags(df, keys, value)
     w, part = W.partitionBy(*keys).orderBy(order), W.partitionBy(*keys)
     e = df.where(F.col(value).isNotNull()).withColumn("e", F.col(value) - F.avg(value).over(part))
     e = e.withColumn("s", F.sum("e").over(w.rowsBetween(W.unboundedPreceding, 0)))
@@ -34,8 +49,9 @@ def kpss(df: DataFrame, keys: list[str], value: str = "value", order: str = "pos
     return g.select(*keys, div(F.col("ss") / (F.col("n") * F.col("n")), (F.col("g0") + cov) / F.col("n")).alias("kpss"), lag.alias("lags"), "n")
 
 
-def phillips_perron(df: DataFrame, keys: list[str], value: str = "value", order: str = "pos", max_lag: int = 24) -> DataFrame:
-    """Z-tau of y on its lag and a constant, with Newey-West variance."""
+def phillips_perron(df: DataFrame, keys: list[str], value: str = "value", order: str = "pos", max_lag: int | None = None) -> DataFrame:
+    """Z-tau of y on its lag and a constant, with Newey-West variance over floor(12 (n / 100)^1/4) lags of each series."""
+    max_lag = max_lag or _most_lags(df, keys, value, 12.0)
     w = W.partitionBy(*keys).orderBy(order)
     d = df.where(F.col(value).isNotNull()).select(*keys, order, F.col(value).alias("y"), F.lag(value).over(w).alias("x")).where("x is not null")
     fit = d.groupBy(*keys).agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"), F.regr_sxx("y", "x").alias("sxx"), F.count("*").alias("n"))
@@ -105,16 +121,63 @@ def dfgls(df: DataFrame, keys: list[str], lags: int = 1, value: str = "value", o
     return regression_t(d, keys, "dy", ["lev", *[f"d{k}" for k in range(1, lags + 1)]], "dfgls")
 
 
-def zivot_andrews(df: DataFrame, keys: list[str], value: str = "value", order: str = "pos", trim: float = 0.15, breaks: int = 20) -> DataFrame:
-    """Least Dickey-Fuller t over ``breaks`` evenly spaced break dates with a shift of level (constant and trend)."""
+def zivot_andrews(df: DataFrame, keys: list[str], value: str = "value", order: str = "pos", trim: float = 0.15) -> DataFrame:
+    """Least Dickey-Fuller t over all break dates within ``trim`` of the ends, with a shift of level (constant and trend).
+
+    The sums of a break's regression are those of the whole series and those of the rows after the break, both from
+    windows; rows of these sums are solved in batches."""
     w, part = W.partitionBy(*keys).orderBy(order), W.partitionBy(*keys)
     d = df.where(F.col(value).isNotNull()).withColumn("lev", F.lag(value).over(w)).withColumn("dy", F.col(value) - F.col("lev"))
-    d = d.withColumn("i", F.row_number().over(w).cast("double")).withColumn("n", F.count("*").over(part)).where("lev is not null")
-    shares = [trim + (1 - 2 * trim) * k / max(1, breaks - 1) for k in range(breaks)]
-    d = d.select(*keys, "lev", "dy", F.lit(1.0).alias("one"), "i", "n", F.explode(F.array(*[F.lit(s) for s in shares])).alias("share"))
-    d = d.withColumn("shift", (F.col("i") > F.floor(F.col("share") * F.col("n"))).cast("double"))
-    t = regression_t(d, [*keys, "share"], "dy", ["lev", "one", "i", "shift"], "za")
-    return t.groupBy(*keys).agg(F.min("za").alias("za"), F.min_by("share", "za").alias("break_share"), F.max("n").alias("n"))
+    d = d.withColumn("i", F.row_number().over(w).cast("double")).withColumn("n", F.count("*").over(part)).where("lev is not null").withColumn("one", F.lit(1.0))
+    names = ["lev", "one", "i", "dy"]
+    after = w.rowsBetween(1, W.unboundedFollowing)
+    whole = [F.sum(F.col(a) * F.col(b)).over(part).alias(f"{a}_{b}") for k, a in enumerate(names) for b in names[k:]]
+    rest = [F.coalesce(F.sum(c).over(after), F.lit(0.0)).alias(f"after_{c}") for c in names]
+    sums = d.select(*keys, "i", "n", *whole, *rest).where((F.col("i") >= F.floor(trim * F.col("n"))) & (F.col("i") <= F.floor((1 - trim) * F.col("n"))) & (F.col("n") > 6))
+    cells = [f"{a}_{b}" for k, a in enumerate(names) for b in names[k:]]
+
+    @F.pandas_udf(DoubleType())
+    def t(sums: pd.DataFrame) -> pd.Series:
+        v = {c: sums[c].to_numpy() for c in sums.columns}
+        xx = np.empty((len(sums), 4, 4))
+        for p, a in enumerate(names[:3]):
+            for q, b in enumerate(names[:3]):
+                xx[:, p, q] = v[f"{a}_{b}"] if q >= p else v[f"{b}_{a}"]
+            xx[:, p, 3] = xx[:, 3, p] = v[f"after_{a}"]
+        xx[:, 3, 3] = v["after_one"]
+        xy = np.stack([v["lev_dy"], v["one_dy"], v["i_dy"], v["after_dy"]], axis=1)
+        out = [_solve(m, y, c, int(n), 0) if n > 4 else np.nan for m, y, c, n in zip(xx, xy, v["dy_dy"], v["one_one"], strict=True)]
+        return pd.Series(out, dtype="float64")
+
+    got = sums.select(*keys, (F.col("i") / F.col("n")).alias("share"), F.col("n").alias("size"), t(F.struct(*cells, *[f"after_{c}" for c in names])).alias("za"))
+    got = got.where(~F.isnan("za"))
+    return got.groupBy(*keys).agg(F.min("za").alias("za"), F.min_by("share", "za").alias("break_share"), F.max("size").alias("n"))
+
+
+def _between(x, table: list[tuple[float, float]]):
+    """Linear interpolation in a table, its ends beyond it; NULL for a missing value."""
+    out = F.when(x <= table[0][0], table[0][1])
+    for (a, p), (b, q) in zip(table, table[1:], strict=False):
+        out = out.when(x <= b, p + (q - p) * (x - a) / (b - a))
+    return out.when(x.isNotNull(), table[-1][1])
+
+
+def _unit_root_p(x, rule: tuple):
+    border, low, high = rule
+    poly = lambda c: sum((F.lit(v) * F.pow(x, F.lit(float(k))) for k, v in enumerate(c)), F.lit(0.0))
+    z = F.when(x <= border, poly(low)).when(x <= 2.7, poly(high)).when(x.isNotNull(), F.lit(10.0))
+    return 1 - normal_tail(z)
+
+
+def with_p(df: DataFrame, invert: bool = False) -> DataFrame:
+    """Adds p (or 1 - p) to rows of (method, statistic): response surfaces for unit-root statistics, interpolation
+    in the published tables for KPSS (0.01 to 0.10) and Zivot-Andrews (0.01 to 0.99)."""
+    x, m = F.col("statistic"), F.col("method")
+    p = (
+        F.when(m == "kpss", _between(x, KPSS_TABLE)).when(m == "za", _between(x, ZA_TABLE))
+        .when(m == "dfgls", _unit_root_p(x, UNIT_ROOT_PLAIN)).otherwise(_unit_root_p(x, UNIT_ROOT_CONSTANT))
+    )
+    return df.withColumn("p", 1 - p if invert else p)
 
 
 def stationarity(df: DataFrame, keys: list[str], methods=METHODS, **names) -> DataFrame:

@@ -35,20 +35,44 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
 
 
+def with_spearman_p(df: DataFrame) -> DataFrame:
+    """Two-sided p of rho by Student's t with n - 2 degrees of freedom."""
+    rho = F.when(F.abs("rho") < 1, F.col("rho"))
+    return df.withColumn("p", t_two_sided(correlation_t(rho, F.col("n")), (F.col("n") - 2).cast("double")))
+
+
 def kendall(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """tau-b. Values are compressed to distinct pairs with counts; their pairs are joined within a
-    group, with the first one's x below the other's, so the work is that of distinct pairs, not rows."""
+    """tau-b and the sums that its variance needs. Values are compressed to distinct pairs with counts.
+
+    Concordant less discordant pairs are counted without forming them: two values of y differ first at one binary digit of
+    their ranks, so each cell looks, for every digit, at the cells of smaller x with the same digits before and
+    the other one there. That is one window over n log n rows."""
     cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
     n = cells.groupBy(*keys).agg(F.sum("c").alias("n"))
     tx = cells.groupBy(*keys, "x").agg(F.sum("c").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("tx"))
     ty = cells.groupBy(*keys, "y").agg(F.sum("c").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("ty"))
-    other = cells.select(*keys, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("c").alias("c2"))
-    s = cells.join(other, keys).where("x < x2").groupBy(*keys).agg(F.sum(F.signum(F.col("y2") - F.col("y")) * F.col("c") * F.col("c2")).alias("s"))
+    ranks = cells.groupBy(*keys, "y").agg(F.lit(1).alias("one")).select(*keys, "y", (F.row_number().over(W.partitionBy(*keys).orderBy("y")) - 1).alias("rank"))
+    steps = cells.groupBy(*keys, "x").agg(F.lit(1).alias("one")).select(*keys, "x", F.row_number().over(W.partitionBy(*keys).orderBy("x")).cast("long").alias("step"))
+    digits = ranks.groupBy(*keys).agg(F.length(F.bin(F.max("rank").cast("long"))).alias("digits"))
+    placed = cells.join(ranks, [*keys, "y"]).join(steps, [*keys, "x"]).join(digits, keys)
+    each = placed.select(*keys, "step", "c", "rank", F.explode(F.sequence(F.lit(0), F.col("digits") - 1)).alias("d"))
+    each = each.select(*keys, "step", "c", "d", F.expr("shiftright(rank, d + 1)").alias("before"), F.expr("shiftright(rank, d) % 2").alias("digit"))
+    less = W.partitionBy(*keys, "d", "before").orderBy("step").rangeBetween(W.unboundedPreceding, -1)
+    below = lambda b: F.coalesce(F.sum(F.when(F.col("digit") == b, F.col("c"))).over(less), F.lit(0))
+    each = each.select(*keys, (F.col("c") * F.when(F.col("digit") == 1, below(0)).otherwise(-below(1))).alias("s"))
+    s = each.groupBy(*keys).agg(F.sum("s").cast("double").alias("s"))
     got = n.join(tx, keys).join(ty, keys).join(s, keys, "left")
     pairs = F.col("n") * (F.col("n") - 1) / 2
     return got.select(*keys, div(F.coalesce("s", F.lit(0.0)), F.sqrt((pairs - F.col("tx")) * (pairs - F.col("ty")))).alias("tau"), "n")
 
 
+def with_kendall_p(df: DataFrame) -> DataFrame:
+    """Two-sided normal p of tau (its variance without ties: 2 (2n + 5) / 9n(n - 1))."""
+    n = F.col("n").cast("double")
+    z = F.col("tau") / F.sqrt(F.when(n > 1, 2 * (2 * n + 5) / (9 * n * (n - 1))))
+    return df.withColumn("p", F.least(F.lit(1.0), 2 * normal_tail(F.abs(z))))
+
+
 def wilcoxon(df: DataFrame, keys: list[str], x: str, y: str, correction: bool = False) -> DataFrame:
     """Signed-rank statistic (zeros dropped), its normal deviate with tie correction; see ``with_normal_p``."""
     d = df.withColumn("_d", F.col(x) - F.col(y)).where("_d != 0").withColumn("_a", F.abs("_d"))
@@ -128,6 +152,11 @@ def corrected_kfold_t(scores: DataFrame, settings: list[str], pair_by: list[str]
     return d.select("a", "b", t.alias("t"), free.cast("double").alias("df"), "n")
 
 
+def with_kfold_p(df: DataFrame) -> DataFrame:
+    """Two-sided p of each pair's corrected t, and Holm's correction over all pairs."""
+    return holm(df.withColumn("p", t_two_sided("t", "df")), "p", [], "a")
+
+
 def two_sample_t(df: DataFrame, key: str, value: str) -> DataFrame:
     """Pooled two-sample t of every pair of groups."""
     g = df.groupBy(key).agg(F.avg(value).alias("m"), F.var_samp(value).alias("v"), F.count(value).alias("n"))
@@ -161,6 +190,11 @@ def bland_altman(pairs: DataFrame, keys: list[str], a: str, b: str, z: float = 1
     return pairs.groupBy(*keys).agg(F.avg(d).alias("mean_diff"), F.stddev_pop(d).alias("sd_diff"), F.count(d).alias("n")).select("*", (F.col("mean_diff") - z * F.col("sd_diff")).alias("low"), (F.col("mean_diff") + z * F.col("sd_diff")).alias("high"))
 
 
+def agreement_points(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """The points of the agreement plot: mean and difference of each pair."""
+    return pairs.select(*keys, ((F.col(a) + F.col(b)) / 2).alias("pair_mean"), (F.col(a) - F.col(b)).alias("difference"))
+
+
 def mean_difference(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     d = F.col(a) - F.col(b)
     return pairs.groupBy(*keys).agg(F.avg(d).alias("mean_diff"), F.avg(F.abs(d)).alias("mean_abs_diff"), F.count(d).alias("n"))

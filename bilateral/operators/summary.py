@@ -36,6 +36,35 @@ def seed_summary(folds: DataFrame, keys: list[str]) -> DataFrame:
     return folds.groupBy(*keys).agg(F.avg("avg").alias("avg"), (F.sqrt(F.sum(F.col("sem") * F.col("sem"))) / F.count("*")).alias("std_err"), F.count("*").alias("n_seeds"))
 
 
+def opposite_error(folds: DataFrame, keys: list[str], how: str = "pooled") -> DataFrame:
+    """Mean over seeds and its error when the test side is the other one: 'pooled' as in ``seed_summary``, 'sem'
+    (sample sd of the seeds' means over the root of their number) or 'sd' (population sd over that root)."""
+    if how == "pooled":
+        return seed_summary(folds, keys)
+    sd = {"sem": F.stddev_samp, "sd": F.stddev_pop}[how]
+    return folds.groupBy(*keys).agg(F.avg("avg").alias("avg"), (sd("avg") / F.sqrt(F.count("*"))).alias("std_err"), F.count("*").alias("n_seeds"))
+
+
+def stack(frames: dict[str, DataFrame], key: str) -> DataFrame:
+    """Result frames one below the other, with their names in ``key``."""
+    out = None
+    for name, df in frames.items():
+        one = df.withColumn(key, F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
+def roc_auc(predictions: DataFrame, keys: list[str], score: str, label: str = "label") -> DataFrame:
+    """Area under the ROC curve: the chance that a row of class 1 scores above one of class 0 (ties count half).
+
+    Distinct scores are counted first; no pairs are formed."""
+    cells = predictions.groupBy(*keys, score).agg(F.sum(F.when(F.col(label) == 1, 1.0).otherwise(0.0)).alias("a"), F.sum(F.when(F.col(label) == 0, 1.0).otherwise(0.0)).alias("b"))
+    upto = W.partitionBy(*keys).orderBy(score).rowsBetween(W.unboundedPreceding, 0)
+    run = cells.withColumn("below", F.sum("b").over(upto) - F.col("b") / 2)
+    got = run.groupBy(*keys).agg(F.sum(F.col("a") * F.col("below")).alias("wins"), (F.sum("a") * F.sum("b")).alias("pairs"))
+    return got.select(*keys, (F.col("wins") / F.nullif(F.col("pairs"), F.lit(0.0))).alias("roc_auc"))
+
+
 def best_model(scores: DataFrame, keys: list[str], model: str = "model", value: str = "avg") -> DataFrame:
     """The best model of each key (the first by name among equals), with the mean over models."""
     order = W.partitionBy(*keys).orderBy(F.desc(value), model)

@@ -22,8 +22,9 @@ SIDE = ["usr", "side"]
 SEG = ["usr", "side", "segment_id"]
 
 
-def query(sql: str | None = None, doubles: str = "", longs: str = "", name: str = ""):
-    """Registers a query; doubles are rounded to six places and whole numbers are BIGINT on both sides."""
+def query(sql: str | None = None, doubles: str = "", longs: str = "", name: str = "", places: int = 6, nine: str = ""):
+    """Registers a query; doubles are rounded to six places (``nine`` columns to nine: means of short decimals would tie) and whole
+    numbers are BIGINT on both sides."""
 
     def add(f):
         key = name or f.__name__
@@ -31,12 +32,12 @@ def query(sql: str | None = None, doubles: str = "", longs: str = "", name: str
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
             df = f(spark, sf_dir)
-            fix = {"double": lambda c: F.round(c, 6) + 0.0, "int": lambda c: F.col(c).cast("long"), "tinyint": lambda c: F.col(c).cast("long")}
+            fix = {"double": lambda c: F.round(c, 9 if c in nine.split() else places) + 0.0, "int": lambda c: F.col(c).cast("long"), "tinyint": lambda c: F.col(c).cast("long")}
             return df.select(*[fix[t](c).alias(c) if t in fix else F.col(c) for c, t in df.dtypes])
 
         _queries[key] = run
         if sql:
-            swap = [f"round({c}, 6) + 0.0 AS {c}" for c in doubles.split()] + [f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()]
+            swap = [f"round({c}, {places}) + 0.0 AS {c}" for c in doubles.split()] + [f"CAST({c} AS BIGINT) AS {c}" for c in longs.split()]
             _sql[key] = f"SELECT * {'REPLACE (' + ', '.join(swap) + ')' if swap else ''} FROM ({sql}) q"
         return f
 
@@ -56,6 +57,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = fx.segment_samples(spark, sf_dir)
     f = features.basic(seg, [*SEG, "component"]).join(features.slope(seg, [*SEG, "component"]), [*SEG, "component"])
     long = f.unpivot([*SEG, "component"], ["min_feat", "max_feat", "mean_feat", "std_feat", "slope_feat"], "feature", "value")
+    long = long.withColumn("value", F.round("value", 9))  # equal values stay equal whatever the order of their sums
     pairs = align.pair_sides(long, ["usr", "segment_id", "component", "feature"], ["value"])
     by = ["component", "feature"]
     r = stats.pearson(pairs, by, "left_value", "right_value").drop("t")
@@ -248,13 +250,13 @@ def artefact_share(spark, sf):
     return summary.artefact_shares(fx.positions(spark, sf).withColumn("artefact", (F.col("event_type") == "error").cast("int")))
 
 
-@query(f"WITH {SAMPLES}, {_PAIRS} SELECT usr, avg(left_value - right_value) AS mean_diff, avg(abs(left_value - right_value)) AS mean_abs_diff, count(*) AS n FROM p GROUP BY usr", "mean_diff mean_abs_diff")
+@query(f"WITH {SAMPLES}, {_PAIRS} SELECT usr, avg(left_value - right_value) AS mean_diff, avg(abs(left_value - right_value)) AS mean_abs_diff, count(*) AS n FROM p GROUP BY usr", "mean_diff mean_abs_diff", places=9)
 def mean_diff(spark, sf):
     return stats.mean_difference(_pairs(spark, sf), ["usr"], "left_value", "right_value")
 
 
 @query(f"""WITH {SAMPLES}, {_PAIRS}, b AS (SELECT usr, avg(left_value - right_value) AS mean_diff, stddev_pop(left_value - right_value) AS sd_diff, count(*) AS n FROM p GROUP BY usr)
-SELECT *, mean_diff - 1.96 * sd_diff AS low, mean_diff + 1.96 * sd_diff AS high FROM b""", "mean_diff sd_diff low high")
+SELECT *, mean_diff - 1.96 * sd_diff AS low, mean_diff + 1.96 * sd_diff AS high FROM b""", "mean_diff sd_diff low high", places=9)
 def bland_altman(spark, sf):
     return stats.bland_altman(_pairs(spark, sf), ["usr"], "left_value", "right_value")
 
@@ -418,21 +420,6 @@ def feat_hrv(spark, sf):
     return features.pulse_peaks(fx.positions(spark, sf), SIDE, 64.0)
 
 
-@query()
-def feat_eda_all(spark, sf):
-    return features.eda_features(fx.segment_samples(spark, sf), SEG)
-
-
-@query()
-def feat_ppg_all(spark, sf):
-    return features.ppg_features(fx.positions(spark, sf), SIDE)
-
-
-@query()
-def feat_acc_all(spark, sf):
-    return features.acc_features(fx.positions(spark, sf), SIDE)
-
-
 @query(f"{_SEG}, m AS (SELECT {_BY}, avg(value) AS m FROM seg GROUP BY ALL) SELECT usr, side, segment_id, max(CASE WHEN component = 'mixed' THEN m END) AS mean_mixed, max(CASE WHEN component = 'log' THEN m END) AS mean_log FROM m GROUP BY ALL", "mean_mixed mean_log")
 def feat_flatten(spark, sf):
     f = features.flatten(features.basic(fx.segment_samples(spark, sf), KEYS), SEG, "component", ["mixed", "log"], ["mean_feat"])
@@ -444,6 +431,17 @@ def feat_flatten(spark, sf):
 _Z = "1.959963984540054"
 
 
+def _tail(z: str) -> str:
+    """P(N > z) by Simpson's rule."""
+    return f"(0.5 - {z} / 1200 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 401), lambda i: CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-0.5 * pow({z} * i / 400.0, 2)))))"
+
+
+def _t_tail(t: str, df: str) -> str:
+    """P(|T| > |t|) by Simpson's rule over the angle atan(t / sqrt(df))."""
+    top = f"atan(abs({t}) / sqrt({df}))"
+    return f"(1 - 2 / sqrt(pi()) * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) * {top} / 1200 * list_sum(list_transform(range(0, 401), lambda i: CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos({top} * i / 400.0), {df} - 1))))"
+
+
 @query(f"""WITH {PAIRED}, c AS (SELECT grp, cls, corr(left_v, right_v) AS r, count(*) AS n FROM paired GROUP BY ALL)
 SELECT grp, cls, r, n, tanh(atanh(r) - {_Z} / sqrt(n - 3)) AS ci_low, tanh(atanh(r) + {_Z} / sqrt(n - 3)) AS ci_high, r * sqrt(n - 2) / sqrt(1 - r * r) AS t FROM c""", "r ci_low ci_high t")
 def pearson_ci(spark, sf):
@@ -464,18 +462,22 @@ def spearman(spark, sf):
     return stats.spearman(fx.paired(spark, sf), ["grp"], "left_v", "right_v")
 
 
-@query(f"""WITH {PAIRED}, v AS (SELECT grp, left_v AS x, floor(right_v / 5) AS y FROM paired), c AS (SELECT grp, x, y, count(*)::DOUBLE AS c FROM v GROUP BY ALL),
-s AS (SELECT a.grp, sum(sign(b.y - a.y) * a.c * b.c) AS s FROM c a JOIN c b ON a.grp = b.grp AND a.x < b.x GROUP BY a.grp),
-n AS (SELECT grp, count(*) AS n FROM v GROUP BY grp), tx AS (SELECT grp, sum(k * (k - 1) / 2) AS t FROM (SELECT grp, x, count(*) AS k FROM v GROUP BY ALL) q GROUP BY grp), ty AS (SELECT grp, sum(k * (k - 1) / 2) AS t FROM (SELECT grp, y, count(*) AS k FROM v GROUP BY ALL) q GROUP BY grp)
-SELECT grp, s / sqrt((n::DOUBLE * (n - 1) / 2 - tx.t) * (n::DOUBLE * (n - 1) / 2 - ty.t)) AS tau, n FROM s JOIN n USING (grp) JOIN tx USING (grp) JOIN ty USING (grp)""", "tau")
+_KENDALL = f"""WITH {SAMPLES}, {_PAIRS}, s AS (SELECT a.usr, sum(sign(b.left_value - a.left_value) * sign(b.right_value - a.right_value)) / 2 AS s, sum(abs(sign(b.left_value - a.left_value))) / 2 AS ux, sum(abs(sign(b.right_value - a.right_value))) / 2 AS uy FROM p a JOIN p b ON a.usr = b.usr GROUP BY a.usr),
+k AS (SELECT usr, s / sqrt(nullif(ux * uy, 0)) AS tau, n FROM s JOIN (SELECT usr, count(*) AS n FROM p GROUP BY usr) c USING (usr))"""
+
+
+@query(f"{_KENDALL} SELECT usr, tau, n FROM k", "tau")
 def kendall(spark, sf):
-    return stats.kendall(fx.paired(spark, sf).withColumn("y", F.floor(F.col("right_v") / 5)), ["grp"], "left_v", "y")
+    return stats.kendall(_pairs(spark, sf), ["usr"], "left_value", "right_value")
 
 
-@query(f"""WITH {SAMPLES}, {_PAIRS}, d AS (SELECT usr, left_value - right_value AS d FROM p WHERE left_value <> right_value), r AS (SELECT usr, d, {_RANK.format(k='usr', v='abs(d)')} AS r FROM d),
+_WILCOXON = f"""WITH {SAMPLES}, {_PAIRS}, d AS (SELECT usr, left_value - right_value AS d FROM p WHERE left_value <> right_value), r AS (SELECT usr, d, {_RANK.format(k='usr', v='abs(d)')} AS r FROM d),
 t AS (SELECT usr, sum(k * k * k - k) AS ties FROM (SELECT usr, abs(d), count(*)::DOUBLE AS k FROM d GROUP BY ALL) q GROUP BY usr),
-w AS (SELECT usr, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w, count(*) AS n FROM r GROUP BY usr)
-SELECT usr, w, n, (w - n * (n + 1) / 4) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48) AS z FROM w JOIN t USING (usr)""", "w z")
+w AS (SELECT usr, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w, count(*) AS n FROM r GROUP BY usr),
+wz AS (SELECT usr, w, n, (w - n * (n + 1) / 4) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - ties / 48) AS z FROM w JOIN t USING (usr))"""
+
+
+@query(f"{_WILCOXON} SELECT * FROM wz", "w z")
 def wilcoxon(spark, sf):
     return stats.wilcoxon(_pairs(spark, sf), ["usr"], "left_value", "right_value")
 
@@ -503,9 +505,9 @@ def cliff_delta(spark, sf):
     return _cliff(spark, sf)
 
 
-@query(f"{_CLIFF} SELECT grp, sign(delta * 40) * CASE WHEN abs(delta * 40) < 0.11 THEN 0 WHEN abs(delta * 40) < 0.28 THEN 1 WHEN abs(delta * 40) < 0.43 THEN 2 ELSE 3 END AS bin FROM ci", longs="bin")
+@query(f"{_CLIFF} SELECT grp, sign(delta) * CASE WHEN abs(delta) < 0.11 THEN 0 WHEN abs(delta) < 0.28 THEN 1 WHEN abs(delta) < 0.43 THEN 2 ELSE 3 END AS bin FROM ci", longs="bin")
 def cliff_bins(spark, sf):
-    return _cliff(spark, sf).select("grp", (F.col("delta") * 40).alias("d")).select("grp", stats.effect_bin("d").alias("bin"))
+    return _cliff(spark, sf).select("grp", stats.effect_bin("delta").alias("bin"))
 
 
 _CLASSES = f"""WITH {EFFECTS}, w AS (SELECT component, feature, max(value) FILTER (cls = 'negative') AS negative, max(value) FILTER (cls = 'positive') AS positive, max(ci_high) FILTER (cls = 'negative') AS nh, max(ci_high) FILTER (cls = 'positive') AS ph FROM effects GROUP BY ALL),
@@ -521,19 +523,19 @@ def welch_z(spark, sf):
     return _classes(spark, sf)
 
 
-_HOLM = f"""{_CLASSES}, p AS (SELECT component, feature, larger, 1 / (1 + z * z) AS p FROM z), r AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY component) - row_number() OVER (PARTITION BY component ORDER BY p, feature) + 1) * p) AS raw FROM p),
+_HOLM = f"""{_CLASSES}, p AS (SELECT component, feature, larger, least(1.0, 2 * {_tail('abs(z)')}) AS p FROM z), r AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY component) - row_number() OVER (PARTITION BY component ORDER BY p, feature) + 1) * p) AS raw FROM p),
 h AS (SELECT component, feature, larger, p, max(raw) OVER (PARTITION BY component ORDER BY p, feature ROWS UNBOUNDED PRECEDING) AS p_holm FROM r)"""
 
 
 @query(f"{_HOLM} SELECT component, feature, larger, p, p_holm FROM h", "p p_holm", name="holm")
 def holm_correction(spark, sf):
-    p = _classes(spark, sf).select("component", "feature", "larger", (1 / (1 + F.col("z") * F.col("z"))).alias("p"))
+    p = stats.with_normal_p(_classes(spark, sf)).select("component", "feature", "larger", "p")
     return holm(p, "p", ["component"], "feature")
 
 
-@query(f"{_HOLM} SELECT component, avg(CASE WHEN p_holm < 0.5 AND larger = 'negative' THEN 1.0 ELSE 0.0 END) AS negative_larger, avg(CASE WHEN p_holm < 0.5 AND larger = 'positive' THEN 1.0 ELSE 0.0 END) AS positive_larger, avg(CASE WHEN p_holm < 0.5 THEN 0.0 ELSE 1.0 END) AS no_difference FROM h GROUP BY component", "negative_larger positive_larger no_difference")
+@query(f"{_HOLM} SELECT component, avg(CASE WHEN p_holm < 0.05 AND larger = 'negative' THEN 1.0 ELSE 0.0 END) AS negative_larger, avg(CASE WHEN p_holm < 0.05 AND larger = 'positive' THEN 1.0 ELSE 0.0 END) AS positive_larger, avg(CASE WHEN p_holm < 0.05 THEN 0.0 ELSE 1.0 END) AS no_difference FROM h GROUP BY component", "negative_larger positive_larger no_difference")
 def class_shares(spark, sf):
-    return stats.class_shares(holm_correction(spark, sf).withColumn("reject", F.col("p_holm") < 0.5), ["component"])
+    return stats.class_shares(holm_correction(spark, sf).withColumn("reject", F.col("p_holm") < 0.05), ["component"])
 
 
 @query(f"WITH {EFFECTS} SELECT component, feature, max(value) FILTER (cls = 'negative') AS negative, max(value) FILTER (cls = 'positive') AS positive FROM effects GROUP BY ALL", "negative positive")
@@ -552,25 +554,31 @@ def kfold_corrected_t(spark, sf):
     return stats.corrected_kfold_t(fx.scores(spark, sf), ["model"], ["fold_id", "seed_id"], "value", 4.0, 1.0)
 
 
-@query("""WITH g AS (SELECT event_type AS k, avg(value) AS m, var_samp(value) AS v, count(value) AS n FROM events GROUP BY ALL)
-SELECT a.k AS a, b.k AS b, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)) AS t, (a.n + b.n - 2)::DOUBLE AS df FROM g a JOIN g b ON a.k < b.k""", "t df")
+_TWO = """WITH g AS (SELECT event_type AS k, avg(value) AS m, var_samp(value) AS v, count(value) AS n FROM events GROUP BY ALL),
+two AS (SELECT a.k AS a, b.k AS b, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)) AS t, (a.n + b.n - 2)::DOUBLE AS df FROM g a JOIN g b ON a.k < b.k)"""
+
+
+@query(f"{_TWO} SELECT * FROM two", "t df")
 def two_sample_t(spark, sf):
     return stats.two_sample_t(fx.table(spark, sf, "events"), "event_type", "value")
 
 
-@query()
+@query(f"{_TWO} SELECT *, {_t_tail('t', 'df')} AS p FROM two", "t df p")
 def two_sample_p(spark, sf):
     from ..functions.columns import t_two_sided
 
     return stats.two_sample_t(fx.table(spark, sf, "events"), "event_type", "value").withColumn("p", t_two_sided("t", "df"))
 
 
-@query()
+@query(f"{_WILCOXON} SELECT *, least(1.0, 2 * {_tail('abs(z)')}) AS p FROM wz", "w z p")
 def wilcoxon_p(spark, sf):
     return stats.with_normal_p(stats.wilcoxon(_pairs(spark, sf), ["usr"], "left_value", "right_value"))
 
 
-@query()
+@query(f"""WITH {SAMPLES}, y AS (SELECT usr, side, (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) AS y, count(*) OVER w AS n FROM samples WINDOW w AS (PARTITION BY usr, side)),
+t AS (SELECT usr, side, n, (2 * i - 1) * ln(greatest(1 - q, 1e-300)) + (2 * n + 1 - 2 * i) * ln(greatest(q, 1e-300)) AS t FROM (SELECT *, row_number() OVER (PARTITION BY usr, side ORDER BY y) AS i, {_tail('y')} AS q FROM y) u),
+a AS (SELECT usr, side, count(*) AS n, -count(*) - sum(t) / count(*) AS a2 FROM t GROUP BY ALL)
+SELECT usr, side, a2, a2 * (1 + 0.75 / n + 2.25 / (n * n)) AS a2_star, n FROM a""", "a2 a2_star")
 def normality(spark, sf):
     return stats.anderson_darling(fx.positions(spark, sf), SIDE, "value")
 
@@ -633,11 +641,13 @@ def dtw(spark, sf):
 
 @query()
 def wavelet(spark, sf):
-    return features.wavelet_features(fx.positions(spark, sf), SIDE, levels=4)
+    return features.wavelet_features(fx.positions(spark, sf), SIDE)
 
 
 # --- resampling and splits
 
+#: the queries search this part of GBT_SPACE: a point of 80 rounds of depth 6 takes minutes of jobs on any table
+SHORT_SPACE = {"maxIter": [3, 5], "stepSize": [0.1, 0.3], "maxDepth": [2, 3]}
 _MD5 = "md5('7:' || {})"
 
 
@@ -661,7 +671,7 @@ def nested_folds(spark, sf):
 
 @query(f"WITH {FEAT} SELECT u.grp AS held_out, CASE WHEN f.grp = u.grp THEN 'test' ELSE 'train' END AS part, y, count(*) AS n FROM feat f, (SELECT DISTINCT grp FROM feat) u GROUP BY ALL", longs="y")
 def loso_splits(spark, sf):
-    return sampling.leave_one_out(fx.feat(spark, sf).select("id", "grp", "y"), "grp").groupBy("held_out", "part", "y").agg(F.count("*").alias("n"))
+    return sampling.leave_one_out_counts(fx.feat(spark, sf).select("id", "grp", "y"), "grp", "y")
 
 
 @query(f"WITH {FEAT} SELECT a AS train_side, b AS test_side, part, count(*) AS n FROM feat, (VALUES ('right', 'right'), ('left', 'left'), ('right', 'left'), ('left', 'right')) s(a, b), (VALUES ('train'), ('test')) p(part) WHERE side = CASE WHEN part = 'train' THEN a ELSE b END GROUP BY ALL")
@@ -669,13 +679,13 @@ def cross_side_splits(spark, sf):
     return sampling.cross_side(fx.feat(spark, sf).select("id", "side"), "side").groupBy("train_side", "test_side", "part").agg(F.count("*").alias("n"))
 
 
-@query("""WITH g AS (SELECT DISTINCT user_id AS generator FROM events), s AS (SELECT generator, i AS seed_id, ('0x' || substr(md5(generator || ':' || i), 1, 7))::BIGINT AS seed FROM g, range(3) r(i))
-SELECT a.generator, a.seed_id AS seed_id_a, b.seed_id AS seed_id_b, a.seed AS seed_a, b.seed AS seed_b FROM s a JOIN s b ON a.generator = b.generator""")
+@query("""WITH g AS (SELECT DISTINCT user_id % 4 AS generator FROM events), s AS (SELECT generator, i AS seed_id, ('0x' || substr(md5(generator || ':' || i), 1, 7))::BIGINT AS seed FROM g, range(5) r(i))
+SELECT a.seed_id AS fold_seed_id, b.seed_id AS sample_seed_id, c.seed_id AS model_seed_id, a.seed AS fold_seed, b.seed AS sample_seed, c.seed AS model_seed
+FROM s a, s b, s c WHERE a.generator = 0 AND b.generator = 1 AND c.generator = 2""")
 def seed_grid(spark, sf):
-    g = fx.table(spark, sf, "events").select(F.col("user_id").alias("generator")).distinct()
-    digest = F.md5(F.concat_ws(":", F.col("generator").cast("string"), F.col("seed_id").cast("string")))
-    s = g.select("generator", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("seed_id")).withColumn("seed", F.conv(F.substring(digest, 1, 7), 16, 10).cast("long"))
-    return s.toDF("generator", "seed_id_a", "seed_a").join(s.toDF("generator", "seed_id_b", "seed_b"), "generator")
+    s = sampling.seeds_of(fx.table(spark, sf, "events").select((F.col("user_id") % 4).alias("generator")).distinct(), 5)
+    role = lambda g, name: s.where(F.col("generator") == g).select(F.col("seed_id").alias(f"{name}_seed_id"), F.col("seed").alias(f"{name}_seed"))
+    return sampling.seed_grid(role(0, "fold"), role(1, "sample"), role(2, "model"))
 
 
 @query(f"""WITH {FEAT} SELECT id, y, -x[1]::DOUBLE AS x0, -x[64]::DOUBLE AS x63 FROM feat QUALIFY row_number() OVER (PARTITION BY y ORDER BY md5('1:' || id), id) <= floor(0.5 * count(*) OVER (PARTITION BY y))""", "x0 x63", "y")
@@ -747,26 +757,29 @@ def topk_features(spark, sf):
     return summary.top_features(_ranked(spark, sf), ["side"], 25)
 
 
-def _small(spark, sf):
-    """All rows with the first eight dimensions: the fits are many."""
-    return models.top_vector(fx.feat(spark, sf), list(range(8)))
+@query()
+def nested_cv_gbt(spark, sf):
+    return models.nested_cv(fx.feat(spark, sf), outer=3, inner=2, n_points=3, space=SHORT_SPACE)
 
 
 @query()
-def nested_cv_gbt(spark, sf):
-    space = {"maxIter": [3, 5], "stepSize": [0.1, 0.3], "maxDepth": [2, 3]}
-    return models.nested_cv(_small(spark, sf), outer=3, inner=2, n_points=3, space=space)
+def nested_opposite_side_gbt(spark, sf):
+    return models.nested_opposite_side(fx.feat(spark, sf), n_points=2, space=SHORT_SPACE)
+
+
+@query()
+def nested_loso_gbt(spark, sf):
+    return models.nested_loso(fx.feat(spark, sf), "left", "right", n_points=2, space=SHORT_SPACE)
 
 
 @query()
 def loso_gbt(spark, sf):
-    return summary.balanced_accuracy(models.loso(_small(spark, sf), "GBT"), ["held_out"])
+    return summary.balanced_accuracy(models.loso(fx.feat(spark, sf), "GBT"), ["held_out"])
 
 
 @query()
 def kfold_battery(spark, sf):
-    some = {k: v for k, v in models.battery().items() if k in ("DecisionTree", "LogisticRegression")}
-    return models.kfold_battery(_small(spark, sf), 2, models=some)
+    return models.kfold_battery(fx.feat(spark, sf), 3)
 
 
 @query(f"""WITH {SAMPLES} SELECT component, feature, count(*) AS n FROM (SELECT usr, CAST(floor(pos / 4) AS BIGINT) AS s, side FROM samples GROUP BY ALL HAVING count(*) = 4) g
@@ -776,6 +789,4 @@ def left_right_features(spark, sf):
     return flagship(spark, sf).select("component", "feature", "n")
 
 
-@query()
-def left_right_effects(spark, sf):
-    return flagship(spark, sf)
+from . import coverage  # noqa: E402, F401  registers further queries

@@ -89,6 +89,39 @@ def lab_events(events: DataFrame) -> DataFrame:
     return wide_intervals(kept, ["usr"], names)
 
 
+def experiment_time(spark: SparkSession, path: str, by_session: bool = False) -> DataFrame:
+    """start_ts and end_ts of each user (and session) from a csv whose first columns are the keys."""
+    keys = ["usr", "session"] if by_session else ["usr"]
+    raw = spark.read.csv(path, header=True)
+    raw = raw.toDF(*keys, *raw.columns[len(keys) :])
+    return raw.select(*keys, F.to_timestamp_ntz("start").alias("start_ts"), F.to_timestamp_ntz("end").alias("end_ts"))
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """Fold scores under one folder for each key <side>_<seed>_<fold>."""
+    key = F.concat_ws("_", "side", F.col("seed_id").cast("string"), F.col("fold_id").cast("string"))
+    scores.withColumn("key", key).drop("side", "seed_id", "fold_id").write.mode("overwrite").partitionBy("key").parquet(path)
+
+
+def parse_score_keys(df: DataFrame, key: str = "key") -> DataFrame:
+    """side, seed_id and fold_id in place of the key <side>_<seed>_<fold>."""
+    part = lambda i: F.split(F.col(key), "_")[i]
+    return df.select(part(0).alias("side"), part(1).cast("int").alias("seed_id"), part(2).cast("int").alias("fold_id"), *[c for c in df.columns if c != key])
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    return parse_score_keys(spark.read.option("partitionOverwriteMode", "static").parquet(path))
+
+
+def write_ranking(ranking: DataFrame, path: str) -> None:
+    """Feature rankings (side, feature, importance, rank) as csv, one folder a side."""
+    ranking.write.mode("overwrite").partitionBy("side").csv(path, header=True)
+
+
+def read_ranking(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.csv(path, header=True, schema="feature long, importance double, rank int, side string")
+
+
 def user_info(spark: SparkSession, path: str, user: str) -> DataFrame:
     return spark.read.csv(path, header=True).withColumn("usr", F.lit(user))
 

@@ -4,6 +4,7 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 from bilateral.functions import columns as C
 from bilateral.operators import align, features, filters, keys, lagcorr, models, rescale, sampling, segments, stationarity, stats, summary
@@ -314,3 +315,57 @@ def test_features_of_empty_segments(spark):
     out = features.fill_empty(spark.createDataFrame([(1, "c"), (2, "c")], "usr long, component string"), f, ["usr", "component"])
     assert out.where("usr = 2").first().mean_feat == 0.0
     assert features.feature_set("mixed-EDA") is features.eda_features and features.feature_set("BVP") is features.ppg_features
+
+
+def test_event_groups(spark):
+    df = spark.createDataFrame([("fake",), ("baby",), ("clapping_hands",), ("baseline_3",), ("walk",)], "event string")
+    assert {(r.event, r.grp) for r in keys.event_groups(df).collect()} == {("fake", "fake_laughter"), ("baby", "funny_videos"), ("clapping_hands", "clapping_hands"), ("baseline_3", "baseline")}
+
+
+def test_kendall_against_pairs(spark):
+    rng = random.Random(2)
+    rows = [(g, float(rng.randrange(9)), float(rng.randrange(30))) for g in range(3) for _ in range(40 * g + 5)]
+    got = {r.g: r.tau for r in stats.kendall(spark.createDataFrame(rows, "g int, x double, y double"), ["g"], "x", "y").collect()}
+    sign = lambda v: (v > 0) - (v < 0)
+    for g in range(3):
+        p = [(x, y) for h, x, y in rows if h == g]
+        s, u, v = (sum(f(a, b) for i, a in enumerate(p) for b in p[:i]) for f in (lambda a, b: sign(a[0] - b[0]) * sign(a[1] - b[1]), lambda a, b: a[0] != b[0], lambda a, b: a[1] != b[1]))
+        assert abs(got[g] - s / math.sqrt(u * v)) < 1e-12
+
+
+def test_zivot_andrews_tries_every_break(spark):
+    rng = random.Random(3)
+    y = [0.0]
+    for i in range(80):
+        y.append(0.5 * y[-1] + rng.gauss(0, 1) + (4 if i > 37 else 0))
+    got = stationarity.zivot_andrews(series(spark, y), ["usr"]).first()
+    best = []
+    lev, dy, t = np.array(y[:-1]), np.diff(y), np.arange(2, len(y) + 1.0)
+    for b in range(int(0.15 * len(y)), int(0.85 * len(y)) + 1):
+        x = np.stack([lev, np.ones(len(lev)), t, (t > b).astype(float)], axis=1)
+        beta, *_ = np.linalg.lstsq(x, dy, rcond=None)
+        s2 = ((dy - x @ beta) ** 2).sum() / (len(dy) - 4)
+        best.append((beta[0] / math.sqrt(s2 * np.linalg.inv(x.T @ x)[0, 0]), b / len(y)))
+    assert abs(got.za - min(best)[0]) < 1e-6 and abs(got.break_share - min(best)[1]) < 1e-9
+
+
+def test_stationarity_p(spark):
+    rows = [("kpss", 0.3), ("kpss", 0.463), ("kpss", 2.0), ("adf", -2.86), ("adf", -3.43), ("pp", None), ("za", -4.80), ("dfgls", -1.94)]
+    got = [r.p for r in stationarity.with_p(spark.createDataFrame(rows, "method string, statistic double")).collect()]
+    for p, want in zip(got, [0.10, 0.05, 0.01, 0.05, 0.01, None, 0.05, 0.05], strict=True):
+        assert p == want or abs(p - want) < 0.002
+    assert abs(stationarity.with_p(spark.createDataFrame(rows[:1], "method string, statistic double"), invert=True).first().p - 0.9) < 1e-12
+
+
+def test_stored_scores_and_rankings(spark, tmp_path):
+    scores = spark.createDataFrame([("left", 0, 1, 0.5), ("right", 2, 0, 0.7)], "side string, seed_id int, fold_id int, value double")
+    recordings.write_scores(scores, str(tmp_path / "scores"))
+    assert sorted(map(tuple, recordings.read_scores(spark, str(tmp_path / "scores")).collect())) == [("left", 0, 1, 0.5), ("right", 2, 0, 0.7)]
+    ranking = spark.createDataFrame([("left", 3, 0.9, 1), ("left", 1, 0.2, 2), ("right", 1, 0.4, 1)], "side string, feature long, importance double, rank int")
+    recordings.write_ranking(ranking, str(tmp_path / "rank"))
+    back = recordings.read_ranking(spark, str(tmp_path / "rank"))
+    assert sorted(map(tuple, back.select(*ranking.columns).collect())) == sorted(map(tuple, ranking.collect()))
+    (tmp_path / "time.csv").write_text("id,start,end\nu1,2024-01-01 10:00:00,2024-01-01 11:00:00\n")
+    (tmp_path / "night.csv").write_text("id,s,start,end\nu1,n1,2024-01-01 10:00:00,2024-01-01 11:00:00\n")
+    assert [str(x) for x in recordings.experiment_time(spark, str(tmp_path / "time.csv")).first()] == ["u1", "2024-01-01 10:00:00", "2024-01-01 11:00:00"]
+    assert recordings.experiment_time(spark, str(tmp_path / "night.csv"), by_session=True).first().session == "n1"
