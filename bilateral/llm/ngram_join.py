@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .tables import Tables, at_most, components
+from .tables import Tables, components, hot_and_rest
 from .words import hashes, mix, shingle_hashes, signed, slices, spans
 
 NUM, DEN = 75, 100  # Jaccard threshold
@@ -89,7 +89,7 @@ def _descriptions(batches, bits):
     for rows, sets, sizes in shingle_sets(batches):
         ends = np.cumsum(sizes)
         parts = [sets[e - n : e] for e, n in zip(ends, sizes, strict=True)]
-        total = np.concatenate([[0], np.cumsum(_in_bloom(bits, sets))])
+        total = np.concatenate([[0], np.cumsum(in_bloom(bits, sets))])
         heavy = total[ends] - total[ends - sizes]
         least = [signed(np.array([mix(p ^ s).min() if len(p) else 0 for p in parts], dtype=np.uint64)) for s in _SALT[1 : 1 + ORDERS]]
         yield pa.RecordBatch.from_arrays(
@@ -103,29 +103,33 @@ def describe(docs: DataFrame, bloom) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_describe(bloom), "doc_id long, n_shingles long, node long, heavy long, sketch binary, " + ", ".join(f"m{k} long" for k in range(ORDERS)))
 
 
-def _in_bloom(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+def in_bloom(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a Bloom filter."""
     hit = np.ones(len(h), dtype=bool)
-    for shift in (0, 26, 38):
-        at = (h >> np.uint64(shift)) & np.uint64(BLOOM_BITS - 1)
+    for shift in (0, 26, 37):
+        at = (h >> np.uint64(shift)) & np.uint64(8 * len(bits) - 1)
         hit &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
     return hit
 
 
-def _fill(batches):
-    bits = np.zeros(BLOOM_BITS, dtype=bool)
-    for b in batches:
-        h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for shift in (0, 26, 38):
-            bits[((h >> np.uint64(shift)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)] = True
-    words = np.packbits(bits, bitorder="little").view(np.uint64)
-    at = np.flatnonzero(words)
-    yield pa.RecordBatch.from_arrays([pa.array(at), signed(words[at])], names=["at", "word"])
-
-
-def bloom_of(hashes_: DataFrame) -> np.ndarray:
-    """Bloom filter (BLOOM_BITS) of a one-column table of 64-bit hashes."""
-    merged = hashes_.mapInArrow(_fill, "at long, word long").groupBy("at").agg(F.expr("bit_or(word)").alias("word")).toArrow()
-    words = np.zeros(BLOOM_BITS // 64, dtype=np.uint64)
+def _fill(size: int):
+    def fill(batches):
+        bits = np.zeros(size, dtype=bool)
+        for b in batches:
+            h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for shift in (0, 26, 37):
+                bits[((h >> np.uint64(shift)) & np.uint64(size - 1)).astype(np.int64)] = True
+        words = np.packbits(bits, bitorder="little").view(np.uint64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), signed(words[at])], names=["at", "word"])
+
+    return fill
+
+
+def bloom_of(hashes_: DataFrame, size: int = BLOOM_BITS) -> np.ndarray:
+    """Bloom filter of ``size`` bits of a one-column table of 64-bit hashes."""
+    merged = hashes_.mapInArrow(_fill(size), "at long, word long").groupBy("at").agg(F.expr("bit_or(word)").alias("word")).toArrow()
+    words = np.zeros(size // 64, dtype=np.uint64)
     words[merged.column("at").to_numpy()] = merged.column("word").to_numpy().view(np.uint64)
     return words.view(np.uint8)
 
@@ -148,7 +152,7 @@ def heavy_filter(docs: DataFrame, tables: Tables) -> tuple[np.ndarray, float]:
     counts = tables.put(counts)
     light = counts.where(F.col("n") <= HEAVY).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
 
-    heavy = at_most(counts.where(F.col("n") > HEAVY), "n", BLOOM_BITS // 12).select("token")
+    heavy = hot_and_rest(counts.where(F.col("n") > HEAVY), "n", BLOOM_BITS // 12)[0].select("token")
     bits = bloom_of(heavy)
     tables.drop(counts)
     tables.release()
@@ -175,7 +179,7 @@ def _index(bloom, boundary: int):
         for _, sets, sizes in shingle_sets(batches):
             keys = set_keys(sets, sizes)
             out = []
-            last = _in_bloom(bits, sets)
+            last = in_bloom(bits, sets)
             ends = np.cumsum(sizes)
             seen = set()
             for e, n, key in zip(ends, sizes, keys, strict=True):
@@ -306,7 +310,7 @@ def _sets_of(bloom):
 
 def _wanted_sets(batches, bits):
     """Packed sets of the rows whose id may be in the filter."""
-    picked = (b.filter(pa.array(_in_bloom(bits, b.column("h").to_numpy().view(np.uint64)))) for b in batches)
+    picked = (b.filter(pa.array(in_bloom(bits, b.column("h").to_numpy().view(np.uint64)))) for b in batches)
     for _, sets, sizes in shingle_sets(picked):
         keys, ends = set_keys(sets, sizes), np.cumsum(sizes)
         packed = [np.ascontiguousarray(sets[e - n : e].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for e, n in zip(ends, sizes, strict=True)]

@@ -1,23 +1,26 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States are contexts of 0, 1, .. ``DEPTH`` words. A context's next-symbol counts are gathered over all
-training texts; an entry (context, next word) is retained when it passes a divergence test, that is
-when c(context, word) * ln(P(word | context) / P(word | shorter context)) reaches ``GAIN``; a
-context without entries is no state. Retained counts are discounted and the freed mass goes to the shorter
-context, so every state has a proper distribution:
+States are contexts of 1 to ``DEPTH`` words. A context's next-symbol counts are gathered over all
+training texts; an entry (context, next word) is retained when it was seen ``LEAST_PAIR`` times or more after a context seen
+``LEAST_CONTEXT`` times or more and passes a divergence test: c(context, word) * ln(P(word | context) / P(word | shorter
+context)) reaches ``GAIN``. The tree is closed: an entry of a longer context needs its context to be an entry and the entry
+of the shorter context to be retained. None of these constants depends on the input's size, and what passes is kept whole.
+Retained counts are discounted and the freed mass goes to the shorter context, so every state has a proper distribution:
 
-    P(w | s) = (c(s, w) - d) / N(s) [if retained] + (1 - sum of those) * P(w | suffix of s)
+    P(w | s) = (c(s, w) - d) / N(s) [if retained] + back(s) * P(w | suffix of s)
 
 down to the add-half unigram distribution of the base score. A word is scored from the state of the
-longest suffix of what stands before it.
+longest suffix of what stands before it. The logarithm of that is a sum over the grams of a text: log back(s) for each
+state s that a word follows, and log(1 + share / (back * P of the suffix)) for each retained entry. So a text's score is its
+base score plus the values of its grams, looked up in tables.
 
-The alphabet of contexts and entries is the ``ALPHABET`` most frequent words, and each level keeps at
-most ``ENTRIES`` entries (by raising the divergence threshold, found from a histogram of all gains):
-that bounds what is broadcast. The unigram counts of all other words are joined by shuffle, so base
-scores are exact. All counts cover all training texts.
+The tree is a table of grams (64-bit hashes) and values. The most frequent words and grams (at most ``HOT_WORDS`` and
+``HOT_GRAMS`` a level) are sent to every task, and a Bloom filter of fixed size names the others: only
+their occurrences are joined with the rest of the table. Where the line runs changes no result.
 
 Null and empty texts are a lone end token; rows with a null doc_id train (their id counts as ''); repeated rows count each;
-without training texts N and V are 0 and every token is unknown; other columns are ignored.
+very long texts are read whole; without training texts N and V are 0 and every token is unknown; empty tables give no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,30 +30,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Tables, at_most
+from .ngram_join import bloom_of, in_bloom
+from .tables import Tables, hot_and_rest
 from .words import hashes, mix, signed, slices, spans
 
-DEPTH = 2  # at most 2
-ALPHABET = 300_000
-ENTRIES = 1_000_000
+DEPTH = 3
 GAIN = 8.0
-LEAST_CONTEXT = 20
-LEAST_PAIR = 3
+LEAST_CONTEXT = 2
+LEAST_PAIR = 2
 DISCOUNT = 0.5
-SLICE = 1 << 20  # bytes of text at a time beside the tree
+HOT_WORDS = 300_000
+HOT_GRAMS = 300_000
+FILTER_BITS = 1 << 27  # 16 MB
+SLICE = 1 << 20  # bytes of text at a time
 END = mix(np.array([1], np.uint64))[0]
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _tokens(batches):
-    """Rows with token hashes (an end after each text), their rows and whether each is the first of its text."""
+    """Rows with token hashes (an end after each text), their number by row, and each one's place in its text."""
     for rows, data, offsets in slices(batches, limit=SLICE):
         starts, ends, of = spans(data, offsets)
         h = np.full(len(starts) + rows.num_rows, END, np.uint64)
         h[np.arange(len(starts)) + of] = hashes(data, starts, ends)
         n = np.bincount(of, minlength=rows.num_rows) + 1
-        first = np.zeros(len(h), bool)
-        first[np.cumsum(n) - n] = True
-        yield rows, h, n, first
+        yield rows, h, n, np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def longer(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Grams one word longer: the gram that ended one place before, then the word."""
+    before = np.concatenate([np.zeros(1, np.uint64), g[:-1]]) if len(g) else g
+    return mix(before * _STEP + h)
 
 
 def _count(batches):
@@ -67,150 +77,163 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-class Tree:
-    """words (sorted hashes), count and base probability of the alphabet; for each level its entries
-    (sorted keys context << 32 | word, counts, discounted probabilities) and each context's back-off share."""
-
-    def __init__(self, words: np.ndarray, count: np.ndarray, total: int, kinds: int):
-        self.words, self.count, self.total, self.kinds = words, count, total, kinds
-        self.base = (count + 0.5) / (total + 0.5 * (kinds + 1))
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def states(self, h: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """For each level the entry that each token is (level 0: its word), or -1."""
-        out = [_find(self.words, h)]
-        for keys, *_ in self.levels:
-            key = self.keys(out[-1], out[0], first)
-            out.append(np.where(key >= 0, _find(keys, key), -1))
-        return out
-
-    @staticmethod
-    def keys(state: np.ndarray, word: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """context << 32 | word for each token whose predecessor is an entry of the last level, else -1."""
-        before = np.concatenate([[-1], state[:-1]]) if len(state) else state
-        return np.where((before >= 0) & (word >= 0) & ~first, before << 32 | word, -1)
-
-    def contexts(self) -> np.ndarray:
-        """How often each context that the next level may use occurs."""
-        return self.levels[-1][1] if self.levels else self.count
-
-    def lower(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """P(word | the suffix of a context of the next level)."""
-        if not self.levels:
-            return self.base[word]
-        last = self.levels[-1][0][context] & 0xFFFFFFFF  # the context's last word; contexts have two words at most
-        keys, _, share, back = self.levels[0]
-        at = _find(keys, last << 32 | word)
-        return np.where(at >= 0, share[np.maximum(at, 0)] if len(share) else 0, 0) + back[last] * self.base[word]
-
-    def add(self, keys: np.ndarray, n: np.ndarray) -> None:
-        total = self.contexts().astype(float)
-        share = (n - DISCOUNT) / total[keys >> 32]
-        back = 1 - np.bincount(keys >> 32, weights=share, minlength=len(total))
-        self.levels.append((keys, n, share, np.maximum(back, 1e-6)))
-
-    def gain(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word of each token and log10 of the tree's over the base probability."""
-        states = self.states(h, first)
-        word = states[0]
-        base = np.where(word >= 0, self.base[np.maximum(word, 0)] if len(self.base) else 0, 1.0)
-        p = base.copy()
-        for level, (_, _, share, back) in enumerate(self.levels):
-            before = np.concatenate([[-1], states[level][:-1]])
-            before = np.where(first, -1, before)
-            p = np.where(before >= 0, back[np.maximum(before, 0)] if len(back) else 1, 1.0) * p
-            at = states[level + 1]
-            if len(share):
-                p += np.where(at >= 0, share[np.maximum(at, 0)], 0)
-        return word, np.log10(p / base)
+def _sorted(df: DataFrame, key: str, *columns: str) -> tuple[np.ndarray, ...]:
+    """A bounded table as arrays, sorted by its (unsigned) key."""
+    got = df.select(key, *columns).toArrow()
+    keys = got.column(key).to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], *(got.column(c).to_numpy()[order] for c in columns)
 
 
 def _pairs(shared):
+    """Pairs of words; counts of frequent words travel along, so only pairs with a rare word are joined with the counts."""
+
     def pairs(batches):
-        tree = shared.value
-        enough = tree.contexts() >= LEAST_CONTEXT
-        for _, h, _, first in _tokens(batches):
-            states = tree.states(h, first)
-            key = tree.keys(states[-1], states[0], first)
-            key = key[key >= 0]
-            key, n = np.unique(key[enough[key >> 32]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+        words, count = shared.value
+        for _, h, _, place in _tokens(batches):
+            at = np.flatnonzero(place)
+            key, first, n = np.unique(longer(h, h)[at], return_index=True, return_counts=True)
+            context, word = h[at[first] - 1], h[at[first]]
+            c, w = _find(words, context), _find(words, word)
+            total, own = (np.where(x >= 0, count[np.maximum(x, 0)] if len(count) else 0, 0) for x in (c, w))
+            yield pa.RecordBatch.from_arrays(
+                [signed(key), signed(context), pa.array(word.view(np.int64), mask=w >= 0), pa.array(total), pa.array(own), pa.array(n)], names=["key", "context", "word", "total", "own", "n"]
+            )
 
     return pairs
 
 
-def _gains(shared):
-    def gains(batches):
-        tree = shared.value
-        for b in batches:
-            key, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-            context, word = key >> 32, key & 0xFFFFFFFF
-            p = n / tree.contexts()[context]
-            gain = n * np.log(p / tree.lower(context, word))
-            keep = gain >= GAIN
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(n[keep]), pa.array(gain[keep])], names=["key", "n", "gain"])
+def _grams(shared, depth: int):
+    """Grams of depth + 1 words whose first and last ``depth`` words may be retained entries."""
 
-    return gains
+    def grams(batches):
+        for _, h, _, place in _tokens(batches):
+            g = h
+            for _ in range(depth - 1):
+                g = longer(g, h)
+            there = in_bloom(shared.value, g) & (place >= depth - 1)
+            at = np.flatnonzero(there[1:] & there[:-1] & (place[1:] >= depth)) + 1
+            key, first, n = np.unique(longer(g, h)[at], return_index=True, return_counts=True)
+            at = at[first]
+            yield pa.RecordBatch.from_arrays([signed(key), signed(g[at - 1]), signed(g[at]), pa.array(n)], names=["key", "context", "suffix", "n"])
 
+    return grams
 
-def train(docs: DataFrame, tables: Tables, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
-    """The tree of training texts, and the table (word, n) of all their tokens."""
+
+def retained(candidates: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Entries (key, n, p, value) that pass the test, and (context, back), from (key, context, total, n, low): how often the
+    context stands, the entry stands, and P(word | shorter context)."""
+    test = F.col("n") * F.log(F.col("n") / F.col("total") / F.col("low"))
+    kept = tables.put(candidates.where((F.col("total") >= LEAST_CONTEXT) & (test >= GAIN)).withColumn("share", (F.col("n") - DISCOUNT) / F.col("total")).select("key", "context", "n", "share", "low"))
+    backs = tables.put(kept.groupBy("context").agg(F.greatest(F.lit(1e-6), 1 - F.sum("share")).alias("back")))
+    rest = F.col("back") * F.col("low")
+    entries = kept.join(backs, "context").select("key", "n", (F.col("share") + rest).alias("p"), F.log10((F.col("share") + rest) / rest).alias("value"))
+    entries = tables.put(entries)
+    tables.drop(kept)
+    tables.release()
+    return entries, backs
+
+
+def train(docs: DataFrame, tables: Tables, depth: int | None = None) -> dict:
+    """The tree of training texts: total and kinds of tokens, ``words`` (word, n, value) and for each depth ``levels`` (key, n, value).
+
+    The value of a word or gram is what each of its occurrences adds to a score (beside the word's base score)."""
     sc = docs.sparkSession.sparkContext
     text = docs.select("text")
     counts = tables.put(text.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total, kinds = counts.agg(F.sum("n"), F.count("*")).first()
-    top = at_most(counts, "n", ALPHABET).toArrow()
-    words, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(words)
-    tree = Tree(words[order], n[order], total or 0, kinds)
-    for _ in range(depth):
-        shared = sc.broadcast(tree)
-        found = text.mapInArrow(_pairs(shared), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAIR)
-        found = tables.put(found.mapInArrow(_gains(shared), "key long, n long, gain double"))
-        got = at_most(found, "gain", ENTRIES).select("key", "n").toArrow()
-        key, n = got.column("key").to_numpy(), got.column("n").to_numpy()
-        order = np.argsort(key)
-        tree.add(key[order], n[order])
-        tables.drop(found)
-    return tree, counts
+    scale = (total or 0) + 0.5 * (kinds + 1)
+    tables.release()
+
+    hot, _ = hot_and_rest(counts, "n", HOT_WORDS)
+    found = text.mapInArrow(_pairs(sc.broadcast(_sorted(hot, "word", "n"))), "key long, context long, word long, total long, own long, n long")
+    found = found.groupBy("key").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("context", "word", "total", "own")])
+    found = tables.put(found.where(F.col("n") >= LEAST_PAIR))
+    tables.release()
+    base = lambda c: (F.col(c) + 0.5) / scale
+    columns = ("key", "context", "total", "n", base("own").alias("low"))
+    known = found.where("total > 0 and own > 0").select(*columns)
+    context = found.where("total = 0").drop("total").join(counts.toDF("context", "total"), "context")
+    context = context.unionByName(found.where("total > 0 and own = 0"))
+    both = context.where("own > 0").select(*columns)
+    word = context.where("own = 0").drop("own").join(counts.toDF("word", "own"), "word").select(*columns)
+    entries, backs = retained(known.union(both).union(word), tables)
+    tables.drop(found)
+
+    log_back = lambda df, name: df.select(F.col("context").alias(name), F.log10("back").alias("lb"))
+    tree = {"total": total or 0, "scale": scale, "words": counts.join(log_back(backs, "word"), "word", "left").select("word", "n", F.coalesce("lb", F.lit(0.0)).alias("value")), "levels": []}
+    for d in range(2, (depth or DEPTH) + 1):
+        bloom = sc.broadcast(bloom_of(entries.select("key"), FILTER_BITS))
+        got = text.mapInArrow(_grams(bloom, d), "key long, context long, suffix long, n long").groupBy("key").agg(F.sum("n").alias("n"), F.first("context").alias("context"), F.first("suffix").alias("suffix"))
+        got = tables.put(got.where(F.col("n") >= LEAST_PAIR))
+        tables.release()
+        got = got.join(entries.select(F.col("key").alias("suffix"), F.col("p").alias("low")), "suffix").join(entries.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
+        more, backs = retained(got.select("key", "context", "total", "n", "low"), tables)
+        tree["levels"].append(entries.join(log_back(backs, "key"), "key", "left").select("key", "n", (F.col("value") + F.coalesce("lb", F.lit(0.0))).alias("value")))
+        entries = more
+    tree["levels"].append(entries.select("key", "n", "value"))
+    return tree
 
 
 def _score(shared):
     def score(batches):
-        tree = shared.value
-        scale = tree.total + 0.5 * (tree.kinds + 1)
-        for rows, h, n, first in _tokens(batches):
-            word, gain = tree.gain(h, first)
+        (words, count, back), levels, rest, scale = shared.value
+        for rows, h, n, place in _tokens(batches):
             row = np.repeat(np.arange(rows.num_rows), n)
-            known = word >= 0
-            common = np.bincount(row, weights=np.where(known, np.log10((tree.count[np.maximum(word, 0)] + 0.5) / scale) if len(tree.count) else 0, 0), minlength=rows.num_rows)
-            rare = h[~known]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[~known], minlength=rows.num_rows))]).astype(np.int32)), signed(rare))
+            at = _find(words, h)
+            known = at >= 0
+            add = lambda v, of=None: np.bincount(row if of is None else row[of], weights=v, minlength=rows.num_rows)  # noqa: E731, B023
+            base = np.where(known, np.log10((count[np.maximum(at, 0)] + 0.5) / scale), 0) if len(count) else np.zeros(len(h))
+            gain = add(np.where(known, back[np.maximum(at, 0)], 0) if len(back) else np.zeros(len(h)))
+            g, open_, of, kind = h, [h[~known]], [row[~known]], [np.ones(int((~known).sum()), bool)]
+            for d, (keys, value) in enumerate(levels, 1):
+                g = longer(g, h)
+                inside = np.flatnonzero(place >= d)
+                at = _find(keys, g[inside])
+                if len(keys):
+                    gain += add(np.where(at >= 0, value[np.maximum(at, 0)], 0), inside)
+                ask = inside[at < 0]
+                ask = ask[in_bloom(rest, g[ask])]
+                open_.append(g[ask]), of.append(row[ask]), kind.append(np.zeros(len(ask), bool))
+            of = np.concatenate(of)
+            order = np.argsort(of, kind="stable")
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=rows.num_rows))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (signed(np.concatenate(open_)[order]), pa.array(np.concatenate(kind)[order]))]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("rid"), rows.column("doc_id"), rows.column("held_out"), pa.array(n), pa.array(np.bincount(row, weights=known, minlength=rows.num_rows).astype(np.int64)), pa.array(common), pa.array(np.bincount(row, weights=gain, minlength=rows.num_rows)), lists],
-                names=["rid", "doc_id", "held_out", "n_tokens", "common_known", "common", "gain", "rare"],
+                [rows.column("rid"), rows.column("doc_id"), rows.column("held_out"), pa.array(n), pa.array(add(known).astype(np.int64)), pa.array(add(base)), pa.array(gain), *lists],
+                names=["rid", "doc_id", "held_out", "n_tokens", "hot_known", "hot_base", "gain", "grams", "is_word"],
             )
 
     return score
 
 
-def score(docs: DataFrame, held_out) -> DataFrame:
+def score(docs: DataFrame, held_out, depth: int | None = None) -> DataFrame:
     """Scores every row of docs; ``held_out`` is a Column that is true for rows which don't train."""
     spark = docs.sparkSession
     tables = Tables(spark)
     marked = docs.select("doc_id", "text", held_out.alias("held_out"))
-    tree, counts = train(marked.where("not held_out"), tables)
-    shared = spark.sparkContext.broadcast(tree)
+    tree = train(marked.where("not held_out"), tables, depth)
+    hot, rare = hot_and_rest(tree["words"], "n", HOT_WORDS)
+    levels, rest = [], None
+    for level in tree["levels"]:
+        often, others = hot_and_rest(tables.put(level), "n", HOT_GRAMS)
+        levels.append(_sorted(often, "key", "value"))
+        rest = others if rest is None else rest.union(others)
+    bloom = bloom_of(rest.select("key"), FILTER_BITS)
+    shared = spark.sparkContext.broadcast((_sorted(hot, "word", "n", "value"), levels, bloom, tree["scale"]))
     seen = marked.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(
-        _score(shared), "rid long, doc_id long, held_out boolean, n_tokens long, common_known long, common double, gain double, rare array<long>"
+        _score(shared), "rid long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_base double, gain double, grams array<long>, is_word array<boolean>"
     )
     seen = tables.put(seen)
-    scale = tree.total + 0.5 * (tree.kinds + 1)
-    rare = seen.select("rid", F.explode("rare").alias("word")).join(counts, "word", "left")
-    rare = rare.groupBy("rid").agg(F.count("n").alias("rare_known"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / scale)).alias("rare_score"))
-    out = seen.drop("rare").join(rare, "rid", "left")
-    base = F.col("common") + F.coalesce("rare_score", F.lit(0.0))
+    tables.release()
+    asked = seen.select("rid", F.explode(F.arrays_zip(F.col("grams").alias("key"), F.col("is_word").alias("is_word"))).alias("a")).select("rid", "a.key", "a.is_word")
+    values = rare.select(F.col("word").alias("key"), "n", "value").union(rest.select("key", F.lit(None).cast("long").alias("n"), "value"))
+    found = asked.join(values, "key", "left").groupBy("rid").agg(
+        F.count("n").alias("known"), F.sum(F.when(F.col("is_word"), F.log10((F.coalesce("n", F.lit(0)) + 0.5) / tree["scale"])).otherwise(0.0)).alias("base"), F.sum(F.coalesce("value", F.lit(0.0))).alias("more")
+    )
+    out = seen.drop("grams", "is_word").join(found, "rid", "left")
+    base = F.col("hot_base") + F.coalesce("base", F.lit(0.0))
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("common_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"),
+        "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        F.lit(tree["total"]).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.coalesce("more", F.lit(0.0))).alias("score"),
     )

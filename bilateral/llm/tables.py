@@ -92,13 +92,17 @@ def components(tables: Tables, edges: DataFrame, a: str = "a", b: str = "b") ->
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def at_most(df: DataFrame, by: str, limit: int) -> DataFrame:
-    """The rows with the largest ``by`` (positive), as many whole steps of its logarithm as ``limit`` rows allow."""
+def hot_and_rest(df: DataFrame, by: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """df in two: the rows with the largest ``by`` (positive), at most ``limit``, and all others.
+
+    The line runs between whole steps of its logarithm; within a step that would pass the limit, a hash of the row decides."""
     step = F.floor(F.log2(F.col(by).cast("double")) * 16)
     steps = {r.g: r.c for r in df.groupBy(step.alias("g")).agg(F.count("*").alias("c")).collect()}
     kept = 0
     for g in sorted(steps, reverse=True):
+        if kept + steps[g] > limit:
+            share = int(0.95 * (limit - kept) / steps[g] * 1_000_000)
+            hot = (step > g) | ((step == g) & (F.pmod(F.xxhash64(*df.columns), F.lit(1_000_000)) < share))
+            return df.where(hot), df.where(~hot)
         kept += steps[g]
-        if kept > limit:
-            return df.where(step > g)
-    return df
+    return df, df.where(F.lit(False))

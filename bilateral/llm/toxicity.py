@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import set_keys, shingle_sets
-from .tables import Tables, at_most, prepare
+from .tables import Tables, prepare
 from .words import PLAIN_WORD, hashes, mix, signed, slices, spans
 
 MAX_LABELS = 400_000
@@ -126,7 +126,7 @@ def token_weights(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     # the side of the confidence interval that is nearer to no difference
     sure = F.signum(odds) * F.greatest(F.abs(odds) - Z * sd, F.lit(0.0))
     kept = counts.where(F.col("d1") + F.col("d0") >= MIN_COUNT).select("word", sure.alias("weight")).where(F.abs("weight") >= LEAST_WEIGHT)
-    got = at_most(kept.withColumn("strength", F.abs("weight")), "strength", 1_000_000).toArrow()  # bounds the broadcast
+    got = kept.toArrow()  # words of MIN_COUNT texts or more of at most MAX_LABELS
     tables.drop(counts)
     words = got.column("word").to_numpy().view(np.uint64)
     weight = np.clip(got.column("weight").to_numpy().astype(float), -0.5, 6.0)

@@ -337,9 +337,47 @@ def brute_base(rows):
     return [(d, fold(d, 5) == 1, len(tokens[i]), sum(c[w] > 0 for w in tokens[i]), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens[i])) for i, (d, _) in enumerate(rows)]
 
 
+def brute_tree(texts, train, depth):
+    """log10 probabilities of texts by the definition: dictionaries of contexts, recursion over suffixes."""
+    T = suffix_tree
+    seqs = [[*WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), "<end>"] for t in texts]
+    used = [s for s, x in zip(seqs, train, strict=True) if x]
+    grams = Counter(tuple(s[i : i + k]) for s in used for k in range(1, depth + 2) for i in range(len(s) - k + 1))
+    total, kinds = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+    entries = defaultdict(dict)
+
+    def p(word, context):
+        if not context:
+            return (grams[(word,)] + 0.5) / (total + 0.5 * (kinds + 1))
+        low = p(word, context[1:])
+        if context not in entries:
+            return low
+        n, own = grams[context], entries[context]
+        back = max(1e-6, 1 - sum((c - T.DISCOUNT) / n for c in own.values()))
+        return ((own[word] - T.DISCOUNT) / n if word in own else 0) + back * low
+
+    for k in range(1, depth + 1):
+        new = []
+        for g, c in grams.items():
+            if len(g) == k + 1 and c >= T.LEAST_PAIR and grams[g[:-1]] >= T.LEAST_CONTEXT:
+                closed = k == 1 or (g[-2] in entries[g[:-2]] and g[-1] in entries[g[1:-1]])
+                if closed and c * math.log(c / grams[g[:-1]] / p(g[-1], g[1:-1])) >= T.GAIN:
+                    new.append((g[:-1], g[-1], c))
+        for context, word, c in new:
+            entries[context][word] = c
+    entries = {k: v for k, v in entries.items() if v}
+    vocabulary = [g[0] for g in grams if len(g) == 1]
+    for context in list(entries)[:20]:
+        assert math.isclose(sum(p(w, context) for w in vocabulary) + p("<unseen>", context), 1.0, rel_tol=1e-9)
+    deepest = max(map(len, entries), default=0)
+    return [sum(math.log10(p(w, tuple(s[max(0, i - depth) : i]))) for i, w in enumerate(s)) for s in seqs], deepest
+
+
 def test_suffix_tree(spark, tiny, docs, odd, monkeypatch):
-    for limit in (suffix_tree.ALPHABET, 50):  # with most words beyond the alphabet, too
-        monkeypatch.setattr(suffix_tree, "ALPHABET", limit)
+    last = None
+    for limit in (suffix_tree.HOT_WORDS, 50):  # most words and grams in the tables, too
+        monkeypatch.setattr(suffix_tree, "HOT_WORDS", limit)
+        monkeypatch.setattr(suffix_tree, "HOT_GRAMS", limit)
         for df, rows in ((Q.op9_suffix_tree(spark, tiny), [(d[0], d[1]) for d in docs]), (suffix_tree.score(odd, Q._fold(5) == 1), ODD)):
             got = sorted(df.collect(), key=str)
             want = sorted(brute_base(rows), key=lambda x: str(x[:4]))
@@ -347,29 +385,16 @@ def test_suffix_tree(spark, tiny, docs, odd, monkeypatch):
             for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
                 assert (g.doc_id, g.held_out, g.n_tokens, g.n_known, g.train_tokens) == w[:5]
                 assert math.isclose(g.base_score, w[5], rel_tol=1e-9)
-            if len(rows) > 100 and limit > 50:
+            if len(rows) > 100:
+                scores, deepest = brute_tree([t for _, t in rows], [fold(d, 5) != 1 for d, _ in rows], suffix_tree.DEPTH)
+                assert deepest == suffix_tree.DEPTH
+                by_id = {d: s for (d, _), s in zip(rows, scores, strict=True)}
+                assert all(math.isclose(g.score, by_id[g.doc_id], rel_tol=1e-9) for g in got)
                 held = [g for g in got if g.held_out]
                 assert sum(g.score for g in held) > sum(g.base_score for g in held)
     assert suffix_tree.score(odd.limit(0), Q._fold(5) == 1).count() == 0
 
 
-def test_suffix_tree_states_are_distributions():
-    words = np.sort(suffix_tree.mix(np.arange(5, dtype=np.uint64)))
-    tree = suffix_tree.Tree(words, np.array([400, 300, 200, 60, 40]), 1000, 5)
-    tree.add(np.array([0 << 32 | 1, 0 << 32 | 2, 3 << 32 | 3]), np.array([200, 100, 30]))
-    tree.add(np.array([0 << 32 | 4]), np.array([120]))
-    unknown = 0.5 / (1000 + 0.5 * 6)
-    for context in ([0], [3], [4], [0, 1], [0, 2], [2, 1]):
-        total = 0.0
-        for w in range(5):
-            h = words[[*context, w]]
-            word, gain = tree.gain(h, np.array([True] + [False] * len(context)))
-            total += tree.base[w] * 10 ** gain[-1]
-        h = np.append(words[context], np.uint64(12345))
-        total += unknown * 10 ** tree.gain(h, np.array([True] + [False] * len(context)))[1][-1]
-        assert math.isclose(total, 1.0, rel_tol=1e-9)
-
-
 def test_only_copies_of_one_label_teach_once(spark):
     """Texts that share a line all teach, copies and near copies once for each label."""
     from bilateral.llm.tables import Tables
