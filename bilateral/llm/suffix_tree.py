@@ -57,10 +57,13 @@ def _tokens(batches):
         yield rows, h, n, np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def longer(g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Grams one word longer: the gram that ended one place before, then the word."""
-    before = np.concatenate([np.zeros(1, np.uint64), g[:-1]]) if len(g) else g
-    return mix(before * _STEP + h)
+def longer(g: np.ndarray) -> np.ndarray:
+    """Grams one word longer: that of all words but the last, then that of all but the first."""
+    return joined(np.concatenate([np.zeros(1, np.uint64), g[:-1]]) if len(g) else g, g)
+
+
+def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    return mix(context * _STEP + suffix)
 
 
 def _count(batches):
@@ -85,41 +88,72 @@ def _sorted(df: DataFrame, key: str, *columns: str) -> tuple[np.ndarray, ...]:
     return keys[order], *(got.column(c).to_numpy()[order] for c in columns)
 
 
+def _counted(a: np.ndarray, b: np.ndarray):
+    """Each different (a, b) with its number of rows."""
+    _, first, n = np.unique(joined(a, b), return_index=True, return_counts=True)
+    return pa.RecordBatch.from_arrays([signed(a[first]), signed(b[first]), pa.array(n)], names=["a", "b", "n"])
+
+
 def _pairs(shared):
-    """Pairs of words; counts of frequent words travel along, so only pairs with a rare word are joined with the counts."""
+    """Pairs of words that occur more than once: two frequent words as one number (b = 0), others as two hashes."""
 
     def pairs(batches):
-        words, count = shared.value
+        (words, _), twice = shared.value
         for _, h, _, place in _tokens(batches):
             at = np.flatnonzero(place)
-            key, first, n = np.unique(longer(h, h)[at], return_index=True, return_counts=True)
-            context, word = h[at[first] - 1], h[at[first]]
-            c, w = _find(words, context), _find(words, word)
-            total, own = (np.where(x >= 0, count[np.maximum(x, 0)] if len(count) else 0, 0) for x in (c, w))
-            yield pa.RecordBatch.from_arrays(
-                [signed(key), signed(context), pa.array(word.view(np.int64), mask=w >= 0), pa.array(total), pa.array(own), pa.array(n)], names=["key", "context", "word", "total", "own", "n"]
-            )
+            found = _find(words, h)
+            c, w = found[at - 1], found[at]
+            hot = (c >= 0) & (w >= 0)
+            more = at[~hot & in_bloom(twice, h[at]) & in_bloom(twice, h[at - 1])]
+            a = np.concatenate([(c[hot] << 32 | w[hot]).view(np.uint64), h[more - 1]])
+            yield _counted(a, np.concatenate([np.zeros(int(hot.sum()), np.uint64), h[more]]))
 
     return pairs
 
 
+def _named(shared):
+    """(key, context, word, total, own, n) of pairs; the counts of words are 0 where they aren't frequent."""
+
+    def named(batches):
+        words, count = shared.value[0]
+        for t in batches:
+            a, b, n = (t.column(k).to_numpy() for k in range(3))
+            hot = b == 0
+            c, w = a.view(np.uint64).copy(), b.view(np.uint64).copy()
+            if hot.any():
+                c[hot], w[hot] = words[a[hot] >> 32], words[a[hot] & 0xFFFFFFFF]
+            total, own = (np.where(x >= 0, count[np.maximum(x, 0)] if len(count) else 0, 0) for x in (_find(words, c), _find(words, w)))
+            yield pa.RecordBatch.from_arrays([signed(joined(c, w)), signed(c), signed(w), pa.array(total), pa.array(own), pa.array(n)], names=["key", "context", "word", "total", "own", "n"])
+
+    return named
+
+
 def _grams(shared, depth: int):
-    """Grams of depth + 1 words whose first and last ``depth`` words may be retained entries."""
+    """Grams of depth + 1 words, as those of the first and of the last ``depth``, where both may be retained entries."""
 
     def grams(batches):
         for _, h, _, place in _tokens(batches):
             g = h
             for _ in range(depth - 1):
-                g = longer(g, h)
+                g = longer(g)
             there = in_bloom(shared.value, g) & (place >= depth - 1)
             at = np.flatnonzero(there[1:] & there[:-1] & (place[1:] >= depth)) + 1
-            key, first, n = np.unique(longer(g, h)[at], return_index=True, return_counts=True)
-            at = at[first]
-            yield pa.RecordBatch.from_arrays([signed(key), signed(g[at - 1]), signed(g[at]), pa.array(n)], names=["key", "context", "suffix", "n"])
+            yield _counted(g[at - 1], g[at])
 
     return grams
 
 
+def _keyed(batches):
+    for t in batches:
+        a, b = (t.column(k).to_numpy().view(np.uint64) for k in range(2))
+        yield pa.RecordBatch.from_arrays([signed(joined(a, b)), *(t.column(k) for k in range(3))], names=["key", "context", "suffix", "n"])
+
+
+def _repeated(text: DataFrame, work) -> DataFrame:
+    counts = text.mapInArrow(work, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return counts.where(F.col("n") >= LEAST_PAIR)
+
+
 def retained(candidates: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """Entries (key, n, p, value) that pass the test, and (context, back), from (key, context, total, n, low): how often the
     context stands, the entry stands, and P(word | shorter context)."""
@@ -146,9 +180,9 @@ def train(docs: DataFrame, tables: Tables, depth: int | None = None) -> dict:
     tables.release()
 
     hot, _ = hot_and_rest(counts, "n", HOT_WORDS)
-    found = text.mapInArrow(_pairs(sc.broadcast(_sorted(hot, "word", "n"))), "key long, context long, word long, total long, own long, n long")
-    found = found.groupBy("key").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("context", "word", "total", "own")])
-    found = tables.put(found.where(F.col("n") >= LEAST_PAIR))
+    shared = sc.broadcast((_sorted(hot, "word", "n"), bloom_of(counts.where(F.col("n") >= LEAST_PAIR).select("word"), FILTER_BITS)))
+    found = _repeated(text, _pairs(shared)).mapInArrow(_named(shared), "key long, context long, word long, total long, own long, n long")
+    found = tables.put(found)
     tables.release()
     base = lambda c: (F.col(c) + 0.5) / scale
     columns = ("key", "context", "total", "n", base("own").alias("low"))
@@ -164,8 +198,7 @@ def train(docs: DataFrame, tables: Tables, depth: int | None = None) -> dict:
     tree = {"total": total or 0, "scale": scale, "words": counts.join(log_back(backs, "word"), "word", "left").select("word", "n", F.coalesce("lb", F.lit(0.0)).alias("value")), "levels": []}
     for d in range(2, (depth or DEPTH) + 1):
         bloom = sc.broadcast(bloom_of(entries.select("key"), FILTER_BITS))
-        got = text.mapInArrow(_grams(bloom, d), "key long, context long, suffix long, n long").groupBy("key").agg(F.sum("n").alias("n"), F.first("context").alias("context"), F.first("suffix").alias("suffix"))
-        got = tables.put(got.where(F.col("n") >= LEAST_PAIR))
+        got = tables.put(_repeated(text, _grams(bloom, d)).mapInArrow(_keyed, "key long, context long, suffix long, n long"))
         tables.release()
         got = got.join(entries.select(F.col("key").alias("suffix"), F.col("p").alias("low")), "suffix").join(entries.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
         more, backs = retained(got.select("key", "context", "total", "n", "low"), tables)
@@ -187,7 +220,7 @@ def _score(shared):
             gain = add(np.where(known, back[np.maximum(at, 0)], 0) if len(back) else np.zeros(len(h)))
             g, open_, of, kind = h, [h[~known]], [row[~known]], [np.ones(int((~known).sum()), bool)]
             for d, (keys, value) in enumerate(levels, 1):
-                g = longer(g, h)
+                g = longer(g)
                 inside = np.flatnonzero(place >= d)
                 at = _find(keys, g[inside])
                 if len(keys):
