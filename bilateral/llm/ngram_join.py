@@ -105,10 +105,12 @@ def describe(docs: DataFrame, bloom) -> DataFrame:
 
 def in_bloom(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which hashes may be in a Bloom filter."""
-    hit = np.ones(len(h), dtype=bool)
-    for shift in (0, 26, 37):
-        at = (h >> np.uint64(shift)) & np.uint64(8 * len(bits) - 1)
-        hit &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    hit = np.zeros(len(h), dtype=bool)
+    left = np.arange(len(h))
+    for shift in (0, 26, 37):  # most hashes fail the first probe
+        at = (h[left] >> np.uint64(shift)) & np.uint64(8 * len(bits) - 1)
+        left = left[(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+    hit[left] = True
     return hit
 
 

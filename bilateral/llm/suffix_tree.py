@@ -15,8 +15,8 @@ state s that a word follows, and log(1 + share / (back * P of the suffix)) for e
 base score plus the values of its grams, looked up in tables.
 
 The tree is a table of grams (64-bit hashes) and values. The most frequent words and grams (at most ``HOT_WORDS`` and
-``HOT_GRAMS`` a level) are sent to every task, and a Bloom filter of fixed size names the others: only
-their occurrences are joined with the rest of the table. Where the line runs changes no result.
+``HOT_GRAMS`` a level) are sent to every task, and a Bloom filter of fixed size names all grams: only
+the occurrences of the others are joined with the rest of the table. Where the line runs changes no result.
 
 Null and empty texts are a lone end token; rows with a null doc_id train (their id counts as ''); repeated rows count each;
 very long texts are read whole; without training texts N and V are 0 and every token is unknown; empty tables give no rows;
@@ -25,6 +25,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,10 +41,10 @@ GAIN = 8.0
 LEAST_CONTEXT = 2
 LEAST_PAIR = 2
 DISCOUNT = 0.5
-HOT_WORDS = 300_000
-HOT_GRAMS = 300_000
-FILTER_BITS = 1 << 27  # 16 MB
-SLICE = 1 << 20  # bytes of text at a time
+HOT_WORDS = 500_000
+HOT_GRAMS = 500_000
+FILTER_BITS = 1 << 26  # 8 MB
+SLICE = 4 << 20  # bytes of text at a time
 END = mix(np.array([1], np.uint64))[0]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -164,7 +166,6 @@ def retained(candidates: DataFrame, tables: Tables) -> tuple[DataFrame, DataFram
     entries = kept.join(backs, "context").select("key", "n", (F.col("share") + rest).alias("p"), F.log10((F.col("share") + rest) / rest).alias("value"))
     entries = tables.put(entries)
     tables.drop(kept)
-    tables.release()
     return entries, backs
 
 
@@ -195,14 +196,20 @@ def train(docs: DataFrame, tables: Tables, depth: int | None = None) -> dict:
     tables.drop(found)
 
     log_back = lambda df, name: df.select(F.col("context").alias(name), F.log10("back").alias("lb"))
-    tree = {"total": total or 0, "scale": scale, "words": counts.join(log_back(backs, "word"), "word", "left").select("word", "n", F.coalesce("lb", F.lit(0.0)).alias("value")), "levels": []}
+    words = tables.put(counts.join(log_back(backs, "word"), "word", "left").select("word", "n", F.coalesce("lb", F.lit(0.0)).alias("value")))
+    tables.drop(counts, backs)
+    tables.release()
+    tree = {"total": total or 0, "scale": scale, "words": words, "levels": []}
     for d in range(2, (depth or DEPTH) + 1):
         bloom = sc.broadcast(bloom_of(entries.select("key"), FILTER_BITS))
-        got = tables.put(_repeated(text, _grams(bloom, d)).mapInArrow(_keyed, "key long, context long, suffix long, n long"))
+        counted = tables.put(_repeated(text, _grams(bloom, d)).mapInArrow(_keyed, "key long, context long, suffix long, n long"))
         tables.release()
-        got = got.join(entries.select(F.col("key").alias("suffix"), F.col("p").alias("low")), "suffix").join(entries.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
+        got = counted.join(entries.select(F.col("key").alias("suffix"), F.col("p").alias("low")), "suffix").join(entries.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
         more, backs = retained(got.select("key", "context", "total", "n", "low"), tables)
-        tree["levels"].append(entries.join(log_back(backs, "key"), "key", "left").select("key", "n", (F.col("value") + F.coalesce("lb", F.lit(0.0))).alias("value")))
+        valued = entries.join(log_back(backs, "key"), "key", "left").select("key", "n", (F.col("value") + F.coalesce("lb", F.lit(0.0))).alias("value"))
+        tree["levels"].append(tables.put(valued))
+        tables.drop(counted, entries, backs)
+        tables.release()
         entries = more
     tree["levels"].append(entries.select("key", "n", "value"))
     return tree
@@ -210,7 +217,7 @@ def train(docs: DataFrame, tables: Tables, depth: int | None = None) -> dict:
 
 def _score(shared):
     def score(batches):
-        (words, count, back), levels, rest, scale = shared.value
+        (words, count, back), levels, every, scale = shared.value
         for rows, h, n, place in _tokens(batches):
             row = np.repeat(np.arange(rows.num_rows), n)
             at = _find(words, h)
@@ -222,11 +229,11 @@ def _score(shared):
             for d, (keys, value) in enumerate(levels, 1):
                 g = longer(g)
                 inside = np.flatnonzero(place >= d)
+                inside = inside[in_bloom(every, g[inside])]
                 at = _find(keys, g[inside])
                 if len(keys):
                     gain += add(np.where(at >= 0, value[np.maximum(at, 0)], 0), inside)
                 ask = inside[at < 0]
-                ask = ask[in_bloom(rest, g[ask])]
                 open_.append(g[ask]), of.append(row[ask]), kind.append(np.zeros(len(ask), bool))
             of = np.concatenate(of)
             order = np.argsort(of, kind="stable")
@@ -249,10 +256,10 @@ def score(docs: DataFrame, held_out, depth: int | None = None) -> DataFrame:
     hot, rare = hot_and_rest(tree["words"], "n", HOT_WORDS)
     levels, rest = [], None
     for level in tree["levels"]:
-        often, others = hot_and_rest(tables.put(level), "n", HOT_GRAMS)
+        often, others = hot_and_rest(level, "n", HOT_GRAMS)
         levels.append(_sorted(often, "key", "value"))
         rest = others if rest is None else rest.union(others)
-    bloom = bloom_of(rest.select("key"), FILTER_BITS)
+    bloom = bloom_of(functools.reduce(DataFrame.union, [level.select("key") for level in tree["levels"]]), FILTER_BITS)
     shared = spark.sparkContext.broadcast((_sorted(hot, "word", "n", "value"), levels, bloom, tree["scale"]))
     seen = marked.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(
         _score(shared), "rid long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_base double, gain double, grams array<long>, is_word array<boolean>"
