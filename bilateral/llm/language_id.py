@@ -1,6 +1,6 @@
 """Language identification by a bit-sliced Bloom filter of byte n-grams.
 
-Every slot of the filter holds one bit for each language; looking up an n-gram takes the AND of
+Every slot of the filter holds one bit for each language (any number of them, 64 to a word); looking up an n-gram takes the AND of
 its slots, which names all languages that contain it. A text's popcounts by language, corrected
 for each language's false-positive rate, decide.
 
@@ -30,7 +30,6 @@ SLOTS = 1 << 21
 PROBES = 2
 RATE = 1e-6
 SHARE = 0.2
-MAX_LANGUAGES = 64
 _SPACE = LOWER.copy()
 _SPACE[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
 
@@ -71,34 +70,43 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, filter, false-positive rates) of rows with text and lang."""
     prepare(labelled.sparkSession)
     counts = labelled.where("lang is not null and text is not null").select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).orderBy("lang").limit(MAX_LANGUAGES + 1)
-    names = [r.lang for r in totals.collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
+    names = sorted(r.lang for r in totals.select("lang").collect())
+    words = -(-len(names) // 64)
     rates = counts.join(F.broadcast(totals), "lang").select("lang", "gram", (F.col("n") / F.col("total")).alias("rate")).where(F.col("rate") >= RATE)
     best = rates.groupBy("gram").agg(F.max("rate").alias("best"), F.map_from_entries(F.collect_list(F.struct("lang", "rate"))).alias("by"))
-    mask = sum((F.when(F.coalesce(F.col("by")[name], F.lit(0.0)) >= SHARE * F.col("best"), F.lit(1 << k if k < 63 else -(1 << 63))).otherwise(F.lit(0)) for k, name in enumerate(names)), F.lit(0).cast("long"))
-    found = best.select("gram", mask.alias("mask")).toArrow() if names else None
-    slots = np.zeros(SLOTS, dtype=np.uint64)
-    if found is not None:
-        m = found.column("mask").to_numpy().view(np.uint64)
-        for at in _slots(found.column("gram").to_numpy()):
-            np.bitwise_or.at(slots, at, m)
-    full = [float(np.mean((slots >> np.uint64(k)) & np.uint64(1))) for k in range(len(names))]
+    bit = lambda k, name: F.when(F.coalesce(F.col("by")[name], F.lit(0.0)) >= SHARE * F.col("best"), F.lit(1 << k if k < 63 else -(1 << 63))).otherwise(F.lit(0))
+    masks = [sum((bit(k, n) for k, n in enumerate(names[64 * w : 64 * w + 64])), F.lit(0).cast("long")).alias(f"m{w}") for w in range(words)]
+    # grams meet in their slots, so at most SLOTS rows come back
+    placed = best.select("gram", *masks).mapInArrow(_place, "slot long, " + ", ".join(f"m{w} long" for w in range(words))) if names else None
+    slots = np.zeros((words, SLOTS), dtype=np.uint64)
+    if placed is not None:
+        found = placed.groupBy("slot").agg(*[F.expr(f"bit_or(m{w})").alias(f"m{w}") for w in range(words)]).toArrow()
+        for w in range(words):
+            slots[w, found.column("slot").to_numpy()] = found.column(f"m{w}").to_numpy().view(np.uint64)
+    full = [float(np.mean((slots[k // 64] >> np.uint64(k % 64)) & np.uint64(1))) for k in range(len(names))]
     return names, slots, np.array([f**PROBES for f in full])
 
 
+def _place(batches):
+    """The slots of each gram with its masks."""
+    for b in batches:
+        at = _slots(b.column("gram").to_numpy())
+        masks = [pa.array(np.tile(b.column(k).to_numpy(), len(at))) for k in range(1, b.num_columns)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), *masks], names=["slot", *b.schema.names[1:]])
+
+
 def _predict(model):
     names, slots, false = model.value
 
     def predict(batches: Iterator[pa.RecordBatch]):
         for rows, data, offsets in slices(batches):
             g, of = grams(data, offsets)
-            mask = np.bitwise_and.reduce([slots[at] for at in _slots(g)]) if len(g) else np.zeros(0, np.uint64)
+            mask = np.bitwise_and.reduce([slots[:, at] for at in _slots(g)]) if len(g) else np.zeros((len(slots), 0), np.uint64)
             total = np.bincount(of, minlength=rows.num_rows)
             share = np.zeros((rows.num_rows, max(1, len(names))))
             for k in range(len(names)):
-                hits = np.bincount(of, weights=((mask >> np.uint64(k)) & np.uint64(1)).astype(float), minlength=rows.num_rows)
+                hits = np.bincount(of, weights=((mask[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).astype(float), minlength=rows.num_rows)
                 share[:, k] = np.clip((hits - total * false[k]) / (1 - false[k] + 1e-9), 0, None) / np.maximum(total, 1)
             letters = pc.match_substring_regex(rows.column("text").fill_null(""), r"\p{L}").to_numpy(zero_copy_only=False)
             at = share.argmax(axis=1)

@@ -14,6 +14,7 @@ give no rows.
 
 from __future__ import annotations
 
+import json
 import math
 from collections import deque
 
@@ -101,33 +102,38 @@ def source_targets(sizes: list[tuple[str | None, float]], weights=(5, 2, 1), fac
 def mix(docs: DataFrame, seed: int = 1, weights=(5, 2, 1), factor: float = 1.5, cap: int = 2, sources: str = "sources") -> DataFrame:
     """docs (doc_id, size, an array of sources, and others) with source_size, target and ``taken``, the words that the mix takes.
 
-    Columns of docs that have the names of results are replaced."""
+    A document of several sources serves any of them; its source_size and target are those of the first by name (null last), whatever
+    the order in its array. A missing or empty array is the null source. Columns of docs that have the names of results are replaced."""
     spark = docs.sparkSession
     docs = docs.drop("source_size", "target", "taken")
-    tagged = docs.withColumn("_key", F.to_json(F.array_sort(F.transform(F.array_distinct(sources), lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("~null"))))))
-    found = tagged.groupBy("_key").agg(F.sum("size").alias("size"), F.first(sources).alias("s")).limit(MAX_PATTERNS + 1).collect()
+    named = F.transform(F.array_distinct(sources), lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("~null")))
+    key = F.to_json(F.array_sort(F.when(F.size(sources) > 0, named).otherwise(F.array(F.lit("~null")))))
+    # the row travels as one column, so its names can't meet those of the work
+    tagged = docs.select(F.struct("*").alias("row"), "doc_id", "size", key.alias("key"))
+    found = sorted(tagged.groupBy("key").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect())
     if len(found) > MAX_PATTERNS:
         raise ValueError("too many membership patterns")
-    names = sorted({x for r in found for x in (r.s or [None])}, key=lambda s: (s is None, s or ""))
+    members = [[None if s == "~null" else s[1:] for s in json.loads(r["key"])] for r in found]
+    names = sorted({s for m in members for s in m}, key=lambda s: (s is None, s or ""))
     number = {s: i for i, s in enumerate(names)}
-    own = [0.0] * len(names)
-    for r in found:
-        for x in set(r.s or [None]):
-            own[number[x]] += r["size"]
+    own = [0] * len(names)
+    for r, m in zip(found, members, strict=True):
+        for s in m:
+            own[number[s]] += r["size"] or 0
     targets = source_targets(list(zip(names, own, strict=True)), weights, factor, cap)
     # whole words: each source's target to the nearest one
-    sent = min_cost_flow([(tuple(sorted({number[x] for x in (r.s or [None])})), float(r["size"])) for r in found], [float(math.floor(t + 0.5)) for t in targets], cap)
+    sent = min_cost_flow([(tuple(number[s] for s in m), float(r["size"] or 0)) for r, m in zip(found, members, strict=True)], [float(math.floor(t + 0.5)) for t in targets], cap)
     plan = spark.createDataFrame(
-        [(r["_key"], float(targets[number[(r.s or [None])[0]]]), int(own[number[(r.s or [None])[0]]]), int(r["size"] or 0), int(round(sum(f.values())))) for r, f in zip(found, sent, strict=True)],
-        "_key string, target double, source_size long, _size long, _supply long",
+        [(r["key"], float(targets[number[m[0]]]), own[number[m[0]]], int(r["size"] or 0), int(round(sum(f.values())))) for r, m, f in zip(found, members, sent, strict=True)],
+        "key string, target double, source_size long, whole long, supply long",
     )
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = tagged.join(F.broadcast(plan), "_key").withColumn("_d", digest).withColumn("_b", F.substring("_d", 1, 3))
-    sums = keyed.groupBy("_key", "_b").agg(F.sum("size").alias("_n"))
-    sums = sums.select("_key", "_b", (F.sum("_n").over(W.partitionBy("_key").orderBy("_b")) - F.col("_n")).alias("_base"))
-    inside = F.sum("size").over(W.partitionBy("_key", "_b").orderBy("_d", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    before = keyed.withColumn("_in", inside).join(sums, ["_key", "_b"]).withColumn("_before", F.col("_base") + F.col("_in"))
-    rounds = F.expr("if(_size = 0, 0L, _supply div _size)")
-    rest = F.col("_supply") - rounds * F.col("_size")
-    taken = rounds * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("_before")))
-    return before.withColumn("taken", taken.cast("long")).drop("_key", "_d", "_b", "_base", "_in", "_before", "_size", "_supply")
+    keyed = tagged.join(F.broadcast(plan), "key").withColumn("digest", digest).withColumn("part", F.substring("digest", 1, 3))
+    sums = keyed.groupBy("key", "part").agg(F.sum("size").alias("n"))
+    sums = sums.select("key", "part", (F.sum("n").over(W.partitionBy("key").orderBy("part")) - F.col("n")).alias("base"))
+    inside = F.sum("size").over(W.partitionBy("key", "part").orderBy("digest", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    before = keyed.withColumn("inside", inside).join(sums, ["key", "part"])
+    rounds = F.expr("if(whole = 0, 0L, supply div whole)")
+    rest = F.col("supply") - rounds * F.col("whole") - F.col("base") - F.col("inside")
+    taken = rounds * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), rest))
+    return before.select("row.*", "source_size", "target", taken.cast("long").alias("taken"))

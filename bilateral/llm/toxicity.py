@@ -10,8 +10,11 @@
   on training texts.
 
 Of texts of one label that are copies or near copies one teaches, so copies count once. Labels come from a sample of at most ``MAX_LABELS`` labelled rows (all, if there are fewer), chosen
-by a hash of doc_id; everything else uses all rows. Null and empty texts have no passage and score
-as a text without evidence; rows with a null label or doc_id teach nothing; repeated rows are kept.
+by a hash of doc_id; everything else uses all rows. All words that MIN_COUNT of these texts hold may weigh, so their number
+is bounded by the sample, not by the corpus. Null and empty texts have no passage and score
+as a text without evidence; rows with a null label or doc_id teach nothing; repeated rows are kept; of copies of one label the
+lowest doc_id teaches; very long texts are scanned whole; other columns stay (those with the names of results are replaced); without labelled
+texts of both kinds all texts score alike; an empty table gives no rows.
 """
 
 from __future__ import annotations

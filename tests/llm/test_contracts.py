@@ -1,7 +1,9 @@
 """Queries of the llm operators against brute-force versions on the smallest tables."""
 
 import hashlib
+import itertools
 import math
+import random
 import re
 import struct
 import zlib
@@ -111,6 +113,19 @@ def test_language_filter_names_all_languages():
     assert ((found & m) == m).all() and (found != m).mean() < 0.01
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(70):
+        alphabet = rng.sample(letters, 9)
+        words = ["".join(rng.choice(alphabet) for _ in range(6)) for _ in range(40)]
+        rows += [(100 * k + i, " ".join(rng.choice(words) for _ in range(60)), f"l{k:02}") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(df, language_id.train(df.where("doc_id % 100 < 3"))).collect()}
+    assert all(got[d] == lang for d, _, lang in rows)
+
+
 def test_segments_are_all_maximal():
     rng = np.random.default_rng(2)
 
@@ -322,6 +337,40 @@ def test_mixing(spark, tiny, docs, odd):
     assert mixing.mix(sized.limit(0)).count() == 0
 
 
+def test_mixing_overlapping_sources(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        own = rng.sample(["a", "b", "c", None], rng.choice([1, 1, 2, 3]))
+        rows.append((i, rng.randrange(1, 90), own, f"k{i}", i))
+    schema = "doc_id long, size long, sources array<string>, key string, part long"  # names that the work uses, too
+    got = sorted(map(tuple, mixing.mix(spark.createDataFrame(rows, schema)).collect()), key=str)
+    turned = [(d, n, own[::-1], k, p) for d, n, own, k, p in reversed(rows)]
+    again = mixing.mix(spark.createDataFrame(turned, schema).repartition(7)).collect()
+    assert sorted(((r[0], *r[3:]) for r in again), key=str) == sorted(((r[0], *r[3:]) for r in got), key=str)
+    names = ["a", "b", "c", None]
+    sizes = [sum(n for _, n, own, *_ in rows if s in own) for s in names]
+    targets = mixing.source_targets(list(zip(names, sizes, strict=True)))
+    by_pattern, taken = Counter(), Counter()
+    for d, n, own, k, p, size, target, t in got:
+        first = min(own, key=names.index)
+        assert (size, k, p) == (sizes[names.index(first)], f"k{d}", d) and math.isclose(target, targets[names.index(first)])
+        assert 0 <= t <= 2 * n
+        pattern = tuple(sorted(own, key=names.index))
+        by_pattern[pattern] += n
+        taken[pattern] += t
+    # brute force: the most words that the patterns can send, over all subsets of sources (max flow, min cut)
+    want = [math.floor(t + 0.5) for t in targets]
+    cut = min(
+        sum(w for s, w in zip(names, want, strict=True) if s not in cut) + sum(2 * n for p, n in by_pattern.items() if set(p) & set(cut))
+        for k in range(5) for cut in itertools.combinations(names, k)
+    )
+    assert sum(taken.values()) == cut
+    # nothing comes twice that a first round could have served
+    spare = [p for p, n in by_pattern.items() if taken[p] < n]
+    assert not any(set(p) & set(q) and taken[q] > by_pattern[q] for p in spare for q in by_pattern)
+
+
 def test_flow_prefers_first_rounds():
     # the shared pattern must serve the source that has nothing else
     sent = mixing.min_cost_flow([((0,), 100.0), ((0, 1), 100.0)], [100.0, 100.0], 2)
@@ -408,3 +457,93 @@ def test_only_copies_of_one_label_teach_once(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, label int")
     left = {r.doc_id for r in toxicity.one_of_each(df, Tables(spark)).collect()}
     assert left == {*range(200), 1000, 1020, 2000}
+
+
+def plain_segments(w, a=0):
+    """Maximal scoring segments by definition: the best one (the leftmost, then the shortest), then those of both sides."""
+    best = None
+    for i in range(len(w)):
+        total = 0.0
+        for j in range(i, len(w)):
+            total += w[j]
+            if total > 1e-12 and (best is None or total > best[2] + 1e-9):
+                best = (i, j + 1, total)
+    if best is None:
+        return []
+    i, j, total = best
+    return [*plain_segments(w[:i], a), (a + i, a + j, total), *plain_segments(w[j:], a + j)]
+
+
+def test_toxicity_query(spark, tiny, docs):
+    frame = spark.read.parquet(f"{tiny}/documents.parquet")
+    model = Q.toxicity_model(frame, spark.read.parquet(f"{tiny}/labels.parquet"))
+    weight = dict(zip(model["weights"][0].tolist(), model["weights"][1].tolist(), strict=True))
+    got = {r.doc_id: r for r in Q.op4_toxicity(spark, tiny).collect()}
+    assert set(got) == {d[0] for d in docs}
+    word = re.compile(rb"[^\x00-\x08\x09-\x0d\x0e-\x1f\x20-\x2f:-@\[-`{-~\x7f]+")
+    checked = 0
+    for d, text, *_ in docs:
+        raw = (text or "").encode()
+        at = [m.span() for m in word.finditer(raw)]
+        if len(at) > 400 or re.search(rb"[\x00-\x08\x0e-\x1f\x7f]", raw):
+            continue
+        data = np.frombuffer(raw, np.uint8)
+        h = toxicity.hashes(data, *np.array(at, np.int64).reshape(-1, 2).T) if at else []
+        w = [weight.get(int(x), 0.0) + toxicity.DRIFT for x in h]
+        found = [s for s in plain_segments(w) if s[2] >= toxicity.MIN_SEGMENT] if any(x > 0 for x in w) else []
+        x = min(20.0, sum(min(50.0, max(0.0, model["lambda"] * s - math.log(model["k"] * max(len(at), 1)))) for *_, s in found))
+        b0, b1 = model["beta"]
+        assert math.isclose(got[d].score, 1 / (1 + math.exp(-(b0 + b1 * x))), rel_tol=1e-9)
+        assert got[d].held_out == (fold(d, 4) == 2) and got[d].predicted == int(got[d].score >= 0.3)
+        checked += 1
+    assert checked > 100
+    assert toxicity.score(frame.select("doc_id", "text").limit(0), model).count() == 0
+
+
+def test_language_query_against_sets(spark, tiny, docs):
+    def grams(text):
+        padded = b" " + bytes(b | 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in text.encode()) + b" "
+        for i in range(len(padded) - 3):
+            a, b, c, d = padded[i : i + 4]
+            if b != 32 and not (a == 32 and c == 32) and not (c == 32 and d != 32):
+                yield padded[i : i + 4]
+
+    rate = defaultdict(Counter)
+    for d, text, lang, _ in docs:
+        if text is not None and lang is not None and fold(d, 4) != 2:
+            rate[lang].update(grams(text))
+    rate = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in rate.items()}
+    rate = {k: {g: r for g, r in c.items() if r >= language_id.RATE} for k, c in rate.items()}
+    best = Counter()
+    for c in rate.values():
+        for g, r in c.items():
+            best[g] = max(best[g], r)
+    got = {r.doc_id: r.lang_pred for r in Q.op3_language_id(spark, tiny).collect()}
+    same = 0
+    for d, text, *_ in docs:
+        own = list(grams(text or ""))
+        share = {k: sum(c.get(g, 0) >= language_id.SHARE * best[g] for g in own if g in c) for k, c in rate.items()}
+        top = max(sorted(share), key=lambda k: share[k])
+        same += got[d] == (top if re.search(r"[^\W\d_]", text or "") else "und")
+    assert same >= 0.99 * len(docs)
+
+
+def test_substring_query_covers_every_shared_run(spark, tiny, docs):
+    got = defaultdict(list)
+    for r in Q.op10_substring_dedup(spark, tiny).collect():
+        assert r.other_doc_id < r.doc_id and r.n_words >= 50 and r.similarity >= 0.75
+        got[r.doc_id].append((r.start_word, r.start_word + r.n_words))
+    first = {}
+    total = missed = 0
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for d, text, *_ in sorted(docs):
+        words = WORD.findall((text or "").translate(lower))
+        covered = np.zeros(len(words) + 1, bool)
+        for a, b in got[d]:
+            covered[a:b] = True
+        for i in range(len(words) - 49):
+            run = hashlib.md5(" ".join(words[i : i + 50]).encode()).digest()
+            if first.setdefault(run, d) != d:
+                total += 1
+                missed += not covered[i : i + 50].all()
+    assert total > 100 and missed <= 0.001 * total
