@@ -37,13 +37,52 @@ def weighted_history(value: str, weights: list[float], order: WindowSpec) -> Col
     return F.aggregate(F.zip_with(F.reverse(rows), F.slice(w, 1, F.size(rows)), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
 
 
+PARTS = 1024  # a group's order is cut into at most so many parts
+
+
+def _with_base(df: DataFrame, keys: list[str], part: str, sums: dict[str, Column]) -> DataFrame:
+    """df with what the parts before each row's own (of equal keys) sum up to, one column ``_b_<name>`` for each of ``sums``."""
+    each = df.groupBy(*keys, part).agg(*[F.sum(c).alias(f"_b_{n}") for n, c in sums.items()])
+    before = W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    base = each.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, part])], *[F.coalesce(F.sum(f"_b_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    same = F.lit(True)
+    for i, k in enumerate([*keys, part]):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(base, same).drop(*[f"_k{i}" for i in range(len(keys) + 1)])
+
+
+def shuffled_rank(df: DataFrame, keys: list[str], digest: Column, row: str, name: str) -> DataFrame:
+    """Adds the place (from 1) of each row within keys, in the order of a hexadecimal digest, then of ``row``.
+
+    The order is cut by the digest's first digits: parts are ranked apart and their counts added up, so a group of half of all rows
+    isn't one task's work."""
+    d = df.withColumn("_digest", digest).withColumn("_part", F.substring("_digest", 1, 3))
+    d = _with_base(d, keys, "_part", {"n": F.lit(1)})
+    inside = F.row_number().over(W.partitionBy(*keys, "_part").orderBy("_digest", row))
+    return d.withColumn(name, (F.col("_b_n") + inside).cast("long")).drop("_digest", "_part", "_b_n")
+
+
+def running_sums(df: DataFrame, keys: list[str], value: str, sums: dict[str, str]) -> DataFrame:
+    """Adds the sums (new name: column) over all rows of equal keys with at most the row's ``value`` (a number, distinct within keys).
+
+    A group's values are cut into parts of equal width, which are summed apart and added up."""
+    ends = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_lo", "_hi")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    part = F.coalesce(F.floor((F.col(value) - F.col("_lo")) / F.nullif((F.col("_hi") - F.col("_lo")).cast("double"), F.lit(0.0)) * PARTS), F.lit(0))
+    d = df.join(ends, same).withColumn("_part", part.cast("int")).drop("_lo", "_hi", *[f"_k{i}" for i in range(len(keys))])
+    d = _with_base(d, keys, "_part", {n: F.col(c) for n, c in sums.items()})
+    upto = W.partitionBy(*keys, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    return d.withColumns({n: F.col(f"_b_{n}") + F.sum(c).over(upto) for n, c in sums.items()}).drop("_part", *[f"_b_{n}" for n in sums])
+
+
 def average_rank(df: DataFrame, value: str, keys: list[str], name: str = "rank") -> DataFrame:
     """Adds the rank of ``value`` within keys, equal values sharing their mean rank.
 
     Ranks come from counts of distinct values, so a large group of few values costs few rows."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    order = W.partitionBy(*keys).orderBy(value)
-    ranks = counts.select(*keys, value, (F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, 0)) - (F.col("_n") - 1) / 2.0).alias(name))
+    counts = running_sums(df.groupBy(*keys, value).agg(F.count("*").alias("_n")), keys, value, {"_upto": "_n"})
+    ranks = counts.select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
     return df.join(ranks, [*keys, value])
 
 

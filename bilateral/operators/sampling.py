@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import shuffled_rank
+
 
 def shuffle_key(seed: Column, row: Column) -> Column:
     return F.md5(F.concat_ws(":", seed.cast("string"), row.cast("string")))
@@ -35,15 +36,15 @@ def undersample(df: DataFrame, group: str, label: str, row: str, seed) -> DataFr
     """A random subset with as many rows of each class as the group's rarest class; groups of one class drop out."""
     s = seed if isinstance(seed, Column) else F.lit(seed)
     counts = df.groupBy(group, label).agg(F.count("*").alias("_c")).groupBy(group).agg(F.min("_c").alias("_m"), F.count("*").alias("_k"))
-    w = W.partitionBy(group, label).orderBy(shuffle_key(s, F.col(row)), row)
-    return df.join(counts, group).where("_k > 1").withColumn("_r", F.row_number().over(w)).where("_r <= _m").drop("_r", "_m", "_k")
+    two = df.join(counts, group).where("_k > 1")
+    return shuffled_rank(two, [group, label], shuffle_key(s, F.col(row)), row, "_r").where("_r <= _m").drop("_r", "_m", "_k")
 
 
 def stratified_folds(df: DataFrame, label: str, row: str, k: int, seed, name: str = "fold", within: list[str] | None = None) -> DataFrame:
     """Adds a fold 0..k-1: rows of each class (within outer folds, if given) dealt in shuffled order."""
     s = seed if isinstance(seed, Column) else F.lit(seed)
-    w = W.partitionBy(*(within or []), label).orderBy(shuffle_key(s, F.col(row)), row)
-    return df.withColumn(name, F.pmod(F.row_number().over(w) - 1, F.lit(k)))
+    ranked = shuffled_rank(df, [*(within or []), label], shuffle_key(s, F.col(row)), row, "_r")
+    return ranked.withColumn(name, F.pmod(F.col("_r") - 1, F.lit(k)).cast("int")).drop("_r")
 
 
 def leave_one_out(df: DataFrame, user: str, side: str | None = None, train_side: str | None = None, test_side: str | None = None) -> DataFrame:
@@ -82,9 +83,8 @@ def augment(df: DataFrame, method: str, share: float, label: str, row: str, x: s
     """Only the augmented rows of a share of each class: jitter, scale, flip or smooth.
 
     Noise is a function of (seed, row, place), so reruns agree."""
-    w = W.partitionBy(label).orderBy(shuffle_key(F.lit(seed), F.col(row)), row)
-    part = W.partitionBy(label)
-    got = df.select("*", F.row_number().over(w).alias("_r"), F.count("*").over(part).alias("_n")).where(F.col("_r") <= F.floor(share * F.col("_n"))).drop("_r", "_n")
+    sizes = F.broadcast(df.groupBy(label).agg(F.count("*").alias("_n")))  # a row a class
+    got = shuffled_rank(df.join(sizes, label), [label], shuffle_key(F.lit(seed), F.col(row)), row, "_r").where(F.col("_r") <= F.floor(share * F.col("_n"))).drop("_r", "_n")
     unit = lambda *k: (F.pmod(F.xxhash64(F.lit(seed), F.col(row), *k), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     v = F.transform(F.col(x), lambda a: a.cast("double"))
     if method == "jitter":  # normal noise, sd 0.05 (Box-Muller)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import Z95, average_rank, div, holm, normal_tail, t_two_sided
+from ..functions.columns import Z95, average_rank, div, holm, normal_tail, running_sums, t_two_sided
 
 
 def pearson(df: DataFrame, keys: list[str], x: str, y: str, z: float = Z95, fill: bool = True) -> DataFrame:
@@ -98,9 +98,9 @@ def cliff_delta(df: DataFrame, keys: list[str], x: str, y: str, z: float = Z95)
     one = df.where(F.col(x).isNotNull()).groupBy(*keys, F.col(x).alias("v")).agg(F.count("*").alias("a"), F.lit(0).cast("long").alias("b"))
     two = df.where(F.col(y).isNotNull()).groupBy(*keys, F.col(y).alias("v")).agg(F.lit(0).cast("long").alias("a"), F.count("*").alias("b"))
     cells = one.union(two).groupBy(*keys, "v").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
-    part = W.partitionBy(*keys)
-    upto = part.orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    run = cells.select("*", F.sum("a").over(upto).alias("ca"), F.sum("b").over(upto).alias("cb"), F.sum("a").over(part).alias("m"), F.sum("b").over(part).alias("n")).where("m > 0 and n > 0")
+    run = running_sums(cells, keys, "v", {"ca": "a", "cb": "b"})
+    sizes = cells.groupBy(*keys).agg(F.sum("a").alias("m"), F.sum("b").alias("n")).where("m > 0 and n > 0")
+    run = run.join(sizes, keys)
     di = (F.col("cb") - F.col("b") - (F.col("n") - F.col("cb"))) / F.col("n")  # dominance of a value of x over y
     dj = ((F.col("m") - F.col("ca")) - (F.col("ca") - F.col("a"))) / F.col("m")  # of x over a value of y
     got = run.groupBy(*keys).agg(
