@@ -18,10 +18,13 @@ least num/den are found exactly:
   for the overlap that they need: an edited copy has its own shingles first, so copies with too many
   edits to be linked with anything drop out of the common lists;
 * candidates are pruned by parity sketches (the number of differing bits never exceeds the
-  symmetric difference, so no link is lost) and verified on the whole sets.
+  symmetric difference, so no link is lost) and verified on the whole sets;
+* lists of more than ``LIST`` rows are cut into parts, and each pair of parts is a list of its own;
+* all links are inside components, so they are counted (or listed) there: the classes of a component
+  are dealt into blocks, and the sets of two blocks meet as two matrices of their common shingles.
 
-Empty tables give no rows; null or wordless texts have size 0 and their own doc_id; repeated rows
-are kept; a null doc_id is kept and never the name of a component that has other ids. Input
+Empty tables give no rows; null or wordless texts have size 0, no links and their own doc_id; repeated rows
+are kept, and link with each other; a null doc_id is kept and never the name of a component or class that has other ids. Input
 columns other than the two named are ignored.
 """
 
@@ -31,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -43,6 +47,8 @@ HEAVY = 8  # inverted lists longer than this make a shingle heavy
 BLOOM_BITS = 1 << 25  # 4 MB, the whole of what is broadcast
 ORDERS = 2  # hash orders whose smallest shingle gathers near copies
 PIVOTS = 8  # in each such group
+LIST = 2048  # longer inverted lists are scanned in parts
+BLOCK, BLOCK_SHINGLES = 512, 500_000  # classes and shingles of a block, on average
 _SALT = [np.uint64(x) for x in (0x0, 0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9, 0x5851F42D4C957F2D)]
 
 
@@ -335,6 +341,85 @@ def _overlaps(batches):
         yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _blocks(column: pa.Array):
+    """(ids, copies, row of each shingle, shingles, sizes) of every block of a list column of classes."""
+    flat, ends = column.flatten(), column.offsets.to_numpy() - column.offsets[0].as_py()
+    node, copies = (flat.field(k).to_numpy() for k in ("node", "copies"))
+    sizes = pc.binary_length(flat.field("members")).to_numpy().astype(np.int64) // 5
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    shingles = _unpack(b"".join(flat.field("members").to_pylist()))
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        yield node[a:b], copies[a:b], np.repeat(np.arange(b - a), sizes[a:b]), shingles[at[a] : at[b]], sizes[a:b]
+
+
+def _common(x, y) -> np.ndarray:
+    """How many shingles each class of one block shares with each of another."""
+    (_, _, rx, sx, nx), (_, _, ry, sy, ny) = x, y
+    both, out = np.intersect1d(sx, sy), np.zeros((len(nx), len(ny)), np.int64)
+    if not len(both):
+        return out
+    ax, ay = (np.minimum(np.searchsorted(both, s), len(both) - 1) for s in (sx, sy))
+    hx, hy = both[ax] == sx, both[ay] == sy
+    ax, rx, ay, ry = ax[hx], rx[hx], ay[hy], ry[hy]
+    step = 8192  # columns of the matrices at a time
+    for k in range(0, len(both), step):
+        m = []
+        for at, row, n in ((ax, rx, len(nx)), (ay, ry, len(ny))):
+            part = (at >= k) & (at < k + step)
+            one = np.zeros((n, min(step, len(both) - k)), np.float32)
+            one[row[part], at[part] - k] = 1
+            m.append(one)
+        out += (m[0] @ m[1].T).astype(np.int64)
+    return out
+
+
+def _links(across: bool, listed: bool):
+    """Links of the classes of each block, or pair of blocks: (node, links) with copies counted, or (a, b, shared)."""
+
+    def links(batches):
+        for batch in batches:
+            left = list(_blocks(batch.column("x")))
+            for x, y in zip(left, _blocks(batch.column("y")) if across else left, strict=True):
+                shared = _common(x, y)
+                linked = DEN * shared >= NUM * (x[4][:, None] + y[4][None, :] - shared)
+                if not across:
+                    np.fill_diagonal(linked, False)
+                if listed:
+                    i, j = np.nonzero(linked if across else np.triu(linked))
+                    yield pa.RecordBatch.from_arrays([pa.array(x[0][i]), pa.array(y[0][j]), pa.array(shared[i, j])], names=["a", "b", "shared"])
+                    continue
+                node, n = x[0], linked @ y[1]
+                if across:
+                    node, n = np.concatenate([node, y[0]]), np.concatenate([n, x[1] @ linked])
+                yield pa.RecordBatch.from_arrays([pa.array(node[n > 0]), pa.array(n[n > 0])], names=["node", "links"])
+
+    return links
+
+
+def links_of(docs: DataFrame, classes: DataFrame, tables: Tables, listed: bool = False) -> DataFrame:
+    """Links between different sets, from (node, root, n, copies, id) of each class: (node, links), how many documents of
+    other classes each one is linked with, or (a, b, shared), the pairs themselves. A component of k blocks makes k * (k + 1) / 2 tasks' worth of rows."""
+    groups = classes.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("all")).where("k > 1")
+    blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
+    inside = tables.put(classes.join(groups, "root").select("node", "root", "copies", "id", blocks.alias("blocks")))
+    bloom = docs.sparkSession.sparkContext.broadcast(bloom_of(inside.select(F.xxhash64("id").alias("h"))))
+    sets = docs.select(F.xxhash64("doc_id").alias("h"), "text").mapInArrow(_sets_of(bloom), "node long, members binary")
+    sets = sets.join(inside, "node").dropDuplicates(["node"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    whole = sets.groupBy("root", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("node", "copies", "members")).alias("x"))
+    whole = tables.put(whole)
+    tables.release()
+    other = lambda lo, hi: F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j > F.col(lo)) if hi else (j < F.col(lo))))
+    wide = whole.where("blocks > 1")
+    x = wide.select("root", F.col("block").alias("i"), other("block", True).alias("j"), "x")
+    y = wide.select("root", other("block", False).alias("i"), F.col("block").alias("j"), F.col("x").alias("y"))
+    schema = "a long, b long, shared long" if listed else "node long, links long"
+    found = whole.select("x").mapInArrow(_links(False, listed), schema).union(x.join(y, ["root", "i", "j"]).select("x", "y").mapInArrow(_links(True, listed), schema))
+    found = tables.put(found if listed else found.groupBy("node").agg(F.sum("links").alias("links")))
+    tables.drop(whole, inside)
+    tables.release()
+    return found
+
+
 def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, tables: Tables) -> DataFrame:
     """The pairs (a, b) of a table of class keys (those that sketches don't exclude; the table is dropped) whose whole sets reach the threshold.
 
@@ -363,10 +448,19 @@ def verified(docs: DataFrame, known: DataFrame, pairs: DataFrame, tables: Tables
     return out
 
 
-def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_class (documents with the same set) for every row of docs."""
+def _cut(lists: DataFrame) -> DataFrame:
+    """Lists of more than ``LIST`` rows as one list for each pair of their parts, in which only rows of different parts (or, for
+    a part with itself, of different components) count as of different roots."""
+    parts = F.ceil(F.col("size") / LIST).cast("int")
+    own = F.pmod(F.xxhash64("root"), parts).cast("int")
+    far = lists.where(F.col("size") > LIST).withColumn("p", own).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
+    far = far.withColumn("token", F.xxhash64("token", F.least("p", "q"), F.greatest("p", "q"))).withColumn("root", F.when(F.col("p") == F.col("q"), F.col("root")).otherwise(F.col("p").cast("long")))
+    return lists.where(F.col("size") <= LIST).unionByName(far.drop("p", "q"))
+
+
+def _labelled(docs: DataFrame, tables: Tables) -> DataFrame:
+    """doc_id, n_shingles, node (class key) and root (component key) for every row of docs."""
     spark = docs.sparkSession
-    tables = Tables(spark)
     bits, mean_list = heavy_filter(docs, tables)
     bloom = spark.sparkContext.broadcast(bits)
     known = tables.put(describe(docs, bloom))
@@ -400,7 +494,7 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     mixed = mixed.groupBy("token", "node").agg(*[F.first(c).alias(c) for c in ("root", "n", "place", "before")])
     # only long lists carry sketches: a short one makes few pairs, which are pruned once they are distinct
     mixed = mixed.withColumn("size", F.count("*").over(per))
-    long = mixed.where(F.col("size") > 2 * HEAVY).drop("size").join(nodes.select("node", "sketch"), "node")
+    long = _cut(mixed.where(F.col("size") > 2 * HEAVY)).drop("size").join(nodes.select("node", "sketch"), "node")
     short = mixed.where(F.col("size") <= 2 * HEAVY).drop("size").withColumn("sketch", F.lit(None).cast("binary"))
     named = long.unionByName(short).repartition("token").sortWithinPartitions("token", "root")
     pairs = named.mapInArrow(_list_pairs, "a long, b long").distinct()
@@ -413,9 +507,36 @@ def ngram_jaccard_join(docs: DataFrame) -> DataFrame:
     over = more.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     tops = components(tables, over).toDF("root", "top")
 
-    labelled = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labelled = labelled.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root"))
-    names = labelled.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    sizes = known.where("n_shingles > 0").groupBy("node").agg(F.count("*").alias("n_class"))
-    out = labelled.join(names, "root", "left").join(sizes, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"))
+    labelled = known.select("doc_id", "n_shingles", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return labelled.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+
+
+def _classes(labelled: DataFrame) -> DataFrame:
+    full = labelled.where("n_shingles > 0").groupBy("node")
+    return full.agg(F.first("root").alias("root"), F.first("n_shingles").alias("n"), F.count("*").alias("copies"), F.min("doc_id").alias("id"))
+
+
+def ngram_jaccard_join(docs: DataFrame, links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (least doc_id with the same set), n_class (documents with it) and, unless
+    only components are asked for, n_links (other documents that it is linked with, copies included) for every row of docs."""
+    tables = Tables(docs.sparkSession)
+    labelled = tables.put(_labelled(docs, tables))
+    classes = tables.put(_classes(labelled))
+    tables.drop_all_but(labelled, classes)
+    names = classes.groupBy("root").agg(F.min("id").alias("component_id"))
+    of = classes.select("node", F.col("copies").alias("n_class"), F.col("id").alias("class_id"))
+    if links:
+        of = of.join(links_of(docs, classes, tables), "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("n_class") - 1)
+    out = labelled.join(names, "root", "left").join(of, "node", "left")
+    own = lambda name, other: F.when(F.col("n_shingles") > 0, F.col(name)).otherwise(other).alias(name)
+    out = out.select("doc_id", "n_shingles", *(own(c, F.col("doc_id")) for c in ("component_id", "class_id")), own("n_class", F.lit(1)), *([own("n_links", F.lit(0))] if links else []))
+    return out
+
+
+def ngram_jaccard_pairs(docs: DataFrame) -> DataFrame:
+    """Every link between different sets once: a, b (the class_id of both, a the lesser) and shared (shingles in common)."""
+    tables = Tables(docs.sparkSession)
+    classes = tables.put(_classes(tables.put(_labelled(docs, tables))))
+    ids = classes.select("node", "id")
+    pairs = links_of(docs, classes, tables, listed=True).join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b")
+    return pairs.select(F.least("x", "y").alias("a"), F.when(F.col("x").isNull() | F.col("y").isNull(), None).otherwise(F.greatest("x", "y")).alias("b"), "shared")

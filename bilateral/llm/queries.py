@@ -96,8 +96,9 @@ n AS (SELECT doc_id, count(*) AS n, list_sort(list(g)) AS whole FROM s GROUP BY
 o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
 e AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
 r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
-c AS (SELECT md5(array_to_string(whole, '|')) AS h, count(*) AS k FROM n GROUP BY 1)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, (SELECT min(y) FROM r WHERE r.x = d.doc_id)) AS component_id, coalesce(c.k, 1) AS n_class
+c AS (SELECT md5(array_to_string(whole, '|')) AS h, count(*) AS k, min(doc_id) AS first FROM n GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, (SELECT min(y) FROM r WHERE r.x = d.doc_id)) AS component_id, coalesce(c.k, 1) AS n_class,
+  coalesce(c.first, d.doc_id) AS class_id, (SELECT count(*) FROM e WHERE e.x = d.doc_id) AS n_links
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.h = md5(array_to_string(n.whole, '|'))"""
 
 _OP8 = rf"""

@@ -2,7 +2,8 @@ import random
 import re
 
 import pytest
-from bilateral.llm.ngram_join import ngram_jaccard_join
+from bilateral.llm import ngram_join
+from bilateral.llm.ngram_join import ngram_jaccard_join, ngram_jaccard_pairs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -33,13 +34,31 @@ def brute(rows):
     return sorted(((d, len(sets[i]), least.get(find(i))) for i, (d, _) in enumerate(rows)), key=str)
 
 
-def ours(df):
-    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard_join(df).collect()), key=str)
+def main(got):
+    return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str)
+
+
+def check_links(df, got):
+    """Links of every document and all pairs of classes against all pairs of rows with different ids."""
+    rows = [(r.doc_id, shingles(r.text)) for r in df.collect()]
+    first, links, pairs = {}, {}, set()
+    for d, s in rows:
+        first[frozenset(s)] = min(d, first.get(frozenset(s), d))
+    for i, (d, s) in enumerate(rows):
+        links[d] = 0
+        for j, (_, t) in enumerate(rows):
+            if i != j and s and t and 100 * len(s & t) >= 75 * len(s | t):
+                links[d] += 1
+                if s != t:
+                    pairs.add((*sorted((first[frozenset(s)], first[frozenset(t)])), len(s & t)))
+    assert {r.doc_id: r.n_links for r in got} == links
+    assert all(r.class_id == first[frozenset(s)] for r in got for d, s in rows if d == r.doc_id and s)
+    assert sorted(tuple(r) for r in ngram_jaccard_pairs(df).select("a", "b", "shared").collect()) == sorted(pairs)
 
 
 def test_against_all_pairs(spark, tiny):
     df = spark.read.parquet(f"{tiny}/documents.parquet").limit(400)
-    assert ours(df) == brute([(r.doc_id, r.text) for r in df.collect()])
+    assert main(ngram_jaccard_join(df, links=False).collect()) == brute([(r.doc_id, r.text) for r in df.collect()])
 
 
 def edited(rng, words, n):
@@ -49,7 +68,7 @@ def edited(rng, words, n):
     return " ".join(words)
 
 
-def test_planted_groups(spark):
+def planted():
     rng = random.Random(1)
     vocabulary = [f"w{i}" for i in range(300)]
     passage = [rng.choice(vocabulary) for _ in range(40)]
@@ -63,11 +82,23 @@ def test_planted_groups(spark):
             rows.append((len(rows), edited(rng, base, rng.choice([0, 0, 1, 2]))))
     hub = [rng.choice(vocabulary) for _ in range(120)]
     rows += [(1000 + i, edited(rng, hub, rng.choice([0, 1, 2, 3]))) for i in range(80)]  # longer than a light list
-    assert ours(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    return rows
+
+
+def test_planted_groups(spark, monkeypatch):
+    """Long lists and large components in parts."""
+    monkeypatch.setattr(ngram_join, "LIST", 20)
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    df = spark.createDataFrame(planted(), "doc_id long, text string")
+    got = ngram_jaccard_join(df).collect()
+    assert main(got) == brute(planted())
+    check_links(df, got)
 
 
 def test_edges(spark):
     rows = [(5, None), (4, ""), (3, " \n\t"), (2, "One two"), (9, "one TWO"), (9, "one TWO"), (None, "one two"), (None, None), (7, "x " * 5000), (8, "x " * 4000)]
     df = spark.createDataFrame([(d, t, d, d) for d, t in rows], "doc_id long, text string, node long, n long")
-    assert ours(df) == sorted([(5, 0, 5), (4, 0, 4), (3, 0, 3), (2, 1, 2), (9, 1, 2), (9, 1, 2), (None, 1, 2), (None, 0, None), (7, 1, 7), (8, 1, 7)], key=str)
+    got = ngram_jaccard_join(df).collect()
+    assert main(got) == sorted([(5, 0, 5), (4, 0, 4), (3, 0, 3), (2, 1, 2), (9, 1, 2), (9, 1, 2), (None, 1, 2), (None, 0, None), (7, 1, 7), (8, 1, 7)], key=str)
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(5, 5, 0), (4, 4, 0), (3, 3, 0), (2, 2, 3), (9, 2, 3), (None, 2, 3), (None, None, 0), (7, 7, 1), (8, 7, 1)}
     assert ngram_jaccard_join(df.limit(0)).count() == 0
