@@ -1,8 +1,9 @@
 """Toxic passages: maximum-scoring segments of token log-odds, with extreme-value calibration.
 
 * Token weights are log-odds ratios of toxic against other labelled texts with an informative
-  Dirichlet prior (the corpus distribution), taken at the near end of their confidence interval; unknown tokens get the
-  drift, a small negative weight, so that the expected weight of clean text is negative.
+  Dirichlet prior (the corpus distribution), taken at the near end of their confidence interval, where the likelihood
+  ratio of the word's texts passes a test corrected for the number of words tested (of them about one passes by
+  chance, however many words the corpus has); unknown tokens get the drift, a small negative weight, so that the expected weight of clean text is negative.
 * A linear-time scan keeps all maximal scoring segments of a text (Ruzzo and Tompa).
 * A segment's score S gets the extreme-value p-value 1 - exp(-K n exp(-lambda S)), with lambda and
   K fitted on the best segments of clean training texts (1 and 1e-4 where at most ten have any); the text's passages are aggregated as the
@@ -10,7 +11,7 @@
   on training texts.
 
 Of texts of one label that are copies or near copies one teaches, so copies count once. Labels come from a sample of at most ``MAX_LABELS`` labelled rows (all, if there are fewer), chosen
-by a hash of doc_id; everything else uses all rows. All words that MIN_COUNT of these texts hold may weigh, so their number
+by a hash of doc_id; everything else uses all rows. All words that MIN_COUNT of these texts hold are tested, so their number
 is bounded by the sample, not by the corpus. Null and empty texts have no passage and score
 as a text without evidence; rows with a null label or doc_id teach nothing; repeated rows are kept; of copies of one label the
 lowest doc_id teaches; very long texts are scanned whole; other columns stay (those with the names of results are replaced); without labelled
@@ -39,8 +40,9 @@ MIN_COUNT = 3
 LEAST_WEIGHT = 1.5
 DRIFT = -0.15
 MIN_SEGMENT = 0.5
-SKETCH = 64
-NEAR = 44  # equal places of the sketches of near copies: 0.69 of SKETCH
+SKETCH = 256
+NEAR = 0.47  # of the places of two sketches: between copies edited apart (0.6) and texts that share half (0.33)
+KEYS = 6  # least shingles under which near copies meet
 
 
 def label_sample(labels: DataFrame, column: str = "toxic") -> DataFrame:
@@ -52,42 +54,52 @@ def label_sample(labels: DataFrame, column: str = "toxic") -> DataFrame:
 
 
 def _copy_keys(batches):
-    """Keys under which copies of a text meet (whole set, two least shingles), and one byte each of SKETCH min-hashes."""
+    """Keys under which copies of a text meet (whole set, KEYS least shingles), and its sketch: the shingles are dealt to SKETCH
+    places by their hash, each place keeps one byte of its least (0: no shingle)."""
     for rows, sets, sizes in shingle_sets(batches):
         full = np.flatnonzero(sizes)
         begin = (np.cumsum(sizes) - sizes)[full]
-        sketch = np.zeros((len(sizes), SKETCH), np.uint8)
-        keys = []
-        for salt in range(1, SKETCH + 1):
-            least = np.zeros(len(sizes), np.uint64)
+        keys = np.zeros((len(sizes), 1 + KEYS), np.uint64)
+        keys[:, 0] = set_keys(sets, sizes)
+        for salt in range(1, KEYS + 1):
             if len(full):
-                least[full] = np.minimum.reduceat(mix(sets ^ mix(np.array([salt], np.uint64))), begin)
-            sketch[:, salt - 1] = least >> np.uint64(5) & np.uint64(255)
-            if salt <= 2:
-                keys.append(signed(least))
-        whole = signed(np.asarray(set_keys(sets, sizes)).astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), whole, *keys, pa.array([x.tobytes() for x in sketch], pa.binary())], names=["doc_id", "label", "w", "a", "b", "sketch"])
+                keys[full, salt] = np.minimum.reduceat(mix(sets ^ mix(np.array([salt], np.uint64))), begin)
+        h = mix(sets ^ mix(np.zeros(1, np.uint64)))
+        place = np.repeat(np.arange(len(sizes), dtype=np.uint64) * np.uint64(SKETCH), sizes) + h % np.uint64(SKETCH)
+        bits = np.uint64(64 - (len(sizes) * SKETCH).bit_length())  # of the hash beside the place; 32 or more
+        least = np.sort(place << bits | h >> (np.uint64(64) - bits))
+        place = (least >> bits).astype(np.int64)
+        new = np.flatnonzero(np.diff(place, prepend=-1))
+        sketch = np.zeros(len(sizes) * SKETCH, np.uint8)
+        sketch[place[new]] = 1 + ((least[new] & ((np.uint64(1) << bits) - np.uint64(1))) >> (bits - np.uint64(32))) % np.uint64(255)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (1 + KEYS)), signed(keys.ravel()))
+        sketches = pa.array([x.tobytes() for x in sketch.reshape(-1, SKETCH)], pa.binary())
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("label"), lists, sketches], names=["doc_id", "label", "keys", "sketch"])
 
 
 def _near(batches):
     for rows in batches:
         x, y = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.uint8).reshape(-1, SKETCH) for c in ("sketch", "first_sketch"))
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id").filter(pa.array((x == y).sum(1) >= NEAR))], names=["doc_id"])
+        same, either = ((x == y) & (x > 0)).sum(1), ((x > 0) | (y > 0)).sum(1)
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id").filter(pa.array(same >= NEAR * either))], names=["doc_id"])
 
 
 def one_of_each(labelled: DataFrame, tables: Tables) -> DataFrame:
     """labelled rows without copies and near copies of others of their label. A text that was copied a thousand times
     would else lend its label to all of its rare words.
 
-    A row is a copy if it has the set of shingles of a row with a lower doc_id, or if it shares its least shingle with the first such
-    row and their min-hash sketches agree too; texts that share a line only have other sketches and all teach."""
-    keys = tables.put(labelled.select("doc_id", "label", "text").mapInArrow(_copy_keys, "doc_id long, label int, w long, a long, b long, sketch binary"))
-    copies = []
-    for k in ("w", "a", "b"):
-        first = keys.groupBy("label", k).agg(F.min_by("sketch", "doc_id").alias("first_sketch"), F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        met = keys.join(F.broadcast(first), ["label", k]).where("doc_id <> first")  # groups of at most MAX_LABELS rows
-        copies.append(met.select("doc_id") if k == "w" else met.select("doc_id", "sketch", "first_sketch").mapInArrow(_near, "doc_id long"))
-    drop = tables.put(copies[0].union(copies[1]).union(copies[2]).distinct())
+    A row is a copy if it has the set of shingles of a row with a lower doc_id, or if it shares one of KEYS least shingles with the first
+    such row and their sketches agree in the share NEAR of their places (copies that were edited apart agree less with each other than
+    with what they were copied from); texts that share a line only have other sketches and all teach."""
+    keys = tables.put(labelled.select("doc_id", "label", "text").mapInArrow(_copy_keys, "doc_id long, label int, keys array<long>, sketch binary"))
+    each = keys.select("doc_id", "label", F.posexplode("keys").alias("k", "key"))  # at most MAX_LABELS * (1 + KEYS) rows
+    first = each.groupBy("label", "k", "key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = each.join(first, ["label", "k", "key"]).where("doc_id <> first")
+    met = tables.put(met.groupBy("label", "doc_id", "first").agg(F.min("k").alias("k")))
+    sketch = lambda doc, name: keys.select("label", F.col("doc_id").alias(doc), F.col("sketch").alias(name))
+    near = met.where("k > 0").join(sketch("first", "first_sketch"), ["label", "first"]).join(sketch("doc_id", "sketch"), ["label", "doc_id"])
+    near = near.select("doc_id", "sketch", "first_sketch").mapInArrow(_near, "doc_id long")
+    drop = tables.put(met.where("k = 0").select("doc_id").union(near).distinct())
     return labelled.join(F.broadcast(drop), "doc_id", "left_anti")
 
 
@@ -117,7 +129,8 @@ def token_weights(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     counts = labelled.select("text", "label").mapInArrow(_count, "word long, n1 long, n0 long, d1 long, d0 long")
     tables = Tables(labelled.sparkSession)
     counts = tables.put(counts.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n1", "n0", "d1", "d0")]))
-    totals = counts.agg(F.sum("d1"), F.sum("d0")).first()
+    tested = F.col("d1") + F.col("d0") >= MIN_COUNT
+    totals = counts.agg(F.sum("d1"), F.sum("d0"), F.count_if(tested)).first()
     t1, t0 = float(totals[0] or 0), float(totals[1] or 0)
     if not t1 or not t0:
         return np.zeros(0, np.uint64), np.zeros(0)
@@ -128,7 +141,10 @@ def token_weights(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     sd = F.sqrt(1 / y1 + 1 / y0)
     # the side of the confidence interval that is nearer to no difference
     sure = F.signum(odds) * F.greatest(F.abs(odds) - Z * sd, F.lit(0.0))
-    kept = counts.where(F.col("d1") + F.col("d0") >= MIN_COUNT).select("word", sure.alias("weight")).where(F.abs("weight") >= LEAST_WEIGHT)
+    part = lambda n, share: F.when(n > 0, n * F.log(n / (F.col("d1") + F.col("d0")) / share)).otherwise(0.0)
+    ratio = part(F.col("d1"), t1 / (t1 + t0)) + part(F.col("d0"), t0 / (t1 + t0))
+    chance = math.log(max(1, totals[2]))  # exp(-ratio) bounds the chance of such counts
+    kept = counts.where(tested & (ratio >= chance)).select("word", sure.alias("weight")).where(F.abs("weight") >= LEAST_WEIGHT)
     got = kept.toArrow()  # words of MIN_COUNT texts or more of at most MAX_LABELS
     tables.drop(counts)
     words = got.column("word").to_numpy().view(np.uint64)

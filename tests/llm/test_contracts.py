@@ -459,6 +459,23 @@ def test_only_copies_of_one_label_teach_once(spark):
     assert left == {*range(200), 1000, 1020, 2000}
 
 
+def test_copies_edited_apart_teach_once(spark):
+    """Copies with a similarity of 0.75 or more to one text agree less with each other; they are one text all the same."""
+    from bilateral.llm.tables import Tables
+
+    rng = np.random.default_rng(9)
+    words = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+
+    def edited(i):
+        at = set(rng.choice(300, 8, replace=False))
+        return " ".join(f"e{i}x{k}" if k in at else w for k, w in enumerate(words))
+
+    rows = [(0, " ".join(words), 1), *((i, edited(i), 1) for i in range(1, 60)), (100, "", 1), (101, None, 1), (102, "one", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    left = {r.doc_id for r in toxicity.one_of_each(df, Tables(spark)).collect()}
+    assert left - {100, 101} == {0, 102}
+
+
 def plain_segments(w, a=0):
     """Maximal scoring segments by definition: the best one (the leftmost, then the shortest), then those of both sides."""
     best = None
