@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, flac, language_id, licenses, mixing, packing, substrings, suffix_tree, toxicity
+from . import fill_middle, fingerprints, flac, language_id, licenses, mixing, packing, quality, resampling, substrings, suffix_tree, toxicity
 from .ngram_join import ngram_jaccard_join
 
 TOKENIZER = "word_bpe_49k.json"
 TOXIC_AT = 0.3
+QUALITY_AT = 0.5
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,6 +83,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(_documents(spark, sf_dir)).drop("rid")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(_documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(_documents(spark, sf_dir).select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fill_middle.restored()).alias("restored_sha256"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    held_out = _fold(3) == 1
+    known = quality.label_sample(spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out))
+    model = quality.train(docs.join(F.broadcast(known), "doc_id").select("text", "label"))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_AT).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
