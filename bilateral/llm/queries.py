@@ -134,6 +134,42 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
   CASE WHEN source_size = 0 THEN 0 ELSE (supply // source_size) * size + least(size, greatest(0, supply - (supply // source_size) * source_size - before)) END::BIGINT AS taken FROM q"""
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP11 = rf"""
+WITH RECURSIVE one AS (SELECT b, list_reduce([b::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v FROM range(256) t(b)),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+df AS (SELECT doc_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS f FROM d),
+qf AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) || list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS f FROM q),
+n AS (SELECT f, sum(s)::BIGINT AS s, sum(t)::BIGINT AS t, octet_length(encode(f)) AS k FROM (SELECT f, 1 AS s, 0 AS t FROM df UNION ALL SELECT f, 0, 1 FROM qf) GROUP BY f),
+far AS (SELECT max(k) AS m FROM n),
+place AS (SELECT 0::BIGINT AS dist, b, v FROM one UNION ALL SELECT dist + 1, p.b, xor(p.v >> 8, one.v) FROM place p, one, far WHERE one.b = p.v & 255 AND dist < far.m),
+blank AS (SELECT 0::BIGINT AS k, 4294967295::UBIGINT AS v UNION ALL SELECT k + 1, xor(z.v >> 8, one.v) FROM blank z, one, far WHERE one.b = z.v & 255 AND k < far.m),
+bytes AS (SELECT f, k, unnest(range(1, k + 1)) AS i FROM n),
+crc AS (SELECT y.f, bit_xor(p.v) AS v, any_value(y.k) AS k FROM bytes y JOIN place p ON p.dist = y.k - y.i AND p.b = ('0x' || substr(hex(y.f), (2 * y.i - 1)::BIGINT, 2))::BIGINT GROUP BY y.f),
+fb AS (SELECT crc.f, xor(xor(crc.v, z.v), 4294967295::UBIGINT) % 10000 AS bucket FROM crc JOIN blank z USING (k)),
+total AS (SELECT sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM n),
+gain AS (SELECT bucket, floor(1000 * ln((sum(n.t)::DOUBLE + 1) * (any_value(total.s) + 10000) / ((sum(n.s)::DOUBLE + 1) * (any_value(total.t) + 10000))))::BIGINT AS g FROM n JOIN fb USING (f), total GROUP BY bucket),
+x AS (SELECT doc_id, count(*) AS n_features, sum(g)::BIGINT AS weight FROM df JOIN fb USING (f) JOIN gain USING (bucket) GROUP BY doc_id),
+sc AS (SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(w) >= 20 AS may,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN x ON x.doc_id = d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY may ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY may) AS many FROM sc)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND place <= 5 * many // 100 THEN place END AS rank FROM r"""
+
+_OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+k AS (SELECT *, regexp_extract_all(t, '[ 	-
+]*[^ 	-
+]+|[ 	-
+]+') AS w, list_transform(range(4), lambda i: ('0x' || substr(s, 1 + 8 * i, 8))::BIGINT) AS h FROM d),
+c AS (SELECT *, least(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS a, greatest(h[1] % (len(w) + 1), h[2] % (len(w) + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, array_to_string(w[1:a], '') AS x, array_to_string(w[a + 1:b], '') AS y, array_to_string(w[b + 1:], '') AS z FROM c)
+SELECT doc_id, len(w)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y WHEN 'spm' THEN '<S>' || z || '<P>' || x || '<M>' || y ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; the others are held against brute force in the tests."""
-    return {"op1_ngram_jaccard_join": _OP1, "op8_mixing": _OP8}
+    return {"op1_ngram_jaccard_join": _OP1, "op8_mixing": _OP8, "op11_importance_resampling": _OP11, "op12_fill_in_middle": _OP12}
