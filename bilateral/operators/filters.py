@@ -1,36 +1,69 @@
-"""Low-pass and smoothing filters, tonic/phasic split and artefact rules, as window frames."""
+"""Low-pass filters as blocked recurrences, smoothing, tonic/phasic split and artefact rules."""
 
 from __future__ import annotations
 
+import cmath
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import weighted_history
+from ..functions.scan import System, recur, to_blocks
 
 
-def butter_order1(cutoff: float, fs: float) -> tuple[float, float]:
-    """(b, a) of y_t = b (x_t + x_{t-1}) - a y_{t-1}."""
+def sections(cutoff: float, fs: float, order: int = 1) -> list[tuple[float, ...]]:
+    """Digital Butterworth low-pass as sections (b0, b1, b2, a1, a2), by the bilinear transformation with a warped cutoff."""
+    if order < 1 or not 0 < cutoff < fs / 2:
+        raise ValueError("the order is 1 or more, the cutoff between 0 and half the sampling rate")
     k = math.tan(math.pi * cutoff / fs)
-    return k / (1 + k), (k - 1) / (1 + k)
-
-
-def impulse(cutoff: float, fs: float, least: float = 1e-17) -> list[float]:
-    """Impulse response of the first-order low-pass, until it vanishes in double precision."""
-    b, a = butter_order1(cutoff, fs)
-    out, h = [b], b - a * b
-    while abs(h) > least and len(out) < 4000:
-        out.append(h)
-        h *= -a
+    out = [(k / (1 + k), k / (1 + k), 0.0, (k - 1) / (1 + k), 0.0)] if order % 2 else []
+    for i in range(order // 2):
+        damp = 2 * math.sin(math.pi * (2 * i + 1) / (2 * order))
+        n = 1 + damp * k + k * k
+        out.append((k * k / n, 2 * k * k / n, k * k / n, 2 * (k * k - 1) / n, (1 - damp * k + k * k) / n))
     return out
 
 
-def lowpass_causal(df: DataFrame, keys: list[str], cutoff: float, fs: float, value: str = "value", name: str = "filtered", order: str = "pos") -> DataFrame:
-    """First-order causal low-pass that starts from rest; NULL samples are dropped first."""
-    w = W.partitionBy(*keys).orderBy(order)
-    return df.where(F.col(value).isNotNull()).withColumn(name, weighted_history(value, impulse(cutoff, fs), w))
+def lowpass_system(cutoff: float, fs: float, order: int = 1) -> System:
+    """The same sections one after another as one linear recurrence, each in the coordinates of its poles (a rotation and a shrinking),
+    which keep their precision when the cutoff is a tiny part of the sampling rate."""
+    sections(cutoff, fs, order)  # for its checks
+    k = math.tan(math.pi * cutoff / fs)
+    a, b, c, d = np.zeros((0, 0)), np.zeros(0), np.zeros(0), 1.0
+    for i in range((order + 1) // 2):
+        angle = math.pi / 2 + math.pi * (2 * i + 1) / (2 * order)
+        left = -2 * k * cmath.rect(1, angle) / (1 - k * cmath.rect(1, angle))  # one minus the pole
+        if i == order // 2:  # the real one of an odd order
+            left = 2 * k / (1 + k)
+            gain, own, into, out = left / 2, np.array([[1 - left]]), np.ones(1), np.array([left / 2 * (2 - left)])
+        else:
+            gain = abs(left) ** 2 / 4
+            weight = gain * (2 - left) ** 2 / (-2j * left.imag)
+            own, into, out = np.array([[1 - left.real, left.imag], [-left.imag, 1 - left.real]]), np.array([1.0, 0.0]), 2 * np.array([weight.real, -weight.imag])
+        m, n = len(b), len(into)
+        a = np.block([[a, np.zeros((m, n))], [np.outer(into, c), own]]) if m else own
+        b, c, d = np.concatenate([b, into * d]), np.concatenate([gain * c, out]), d * gain
+    return System(a, b, c, d)
+
+
+def _back(blocks: DataFrame, df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """Rows with the values of blocks in the column ``name``."""
+    rows = blocks.select("_k", F.explode(F.arrays_zip("_p", "_v")).alias("_x"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k.{k}"))
+    return df.join(rows.select("_k", F.col("_x._p").alias("_at"), F.col("_x._v").alias(name)), same & (F.col(order).cast("long") == F.col("_at")), "left").drop("_k", "_at")
+
+
+def lowpass_causal(df: DataFrame, keys: list[str], cutoff: float, fs: float, value: str = "value", name: str = "filtered", order: str = "pos", degree: int = 1) -> DataFrame:
+    """Causal Butterworth low-pass of any degree that starts from rest; NULL samples are dropped first.
+
+    Positions are whole numbers, each one once in a series. The recurrence is run in blocks and is exact, whatever the cutoff."""
+    got = df.where(F.col(value).isNotNull())
+    return _back(recur(to_blocks(got, keys, order, value), lowpass_system(cutoff, fs, degree)), got, keys, order, name)
 
 
 def apply_filter(df: DataFrame, keys: list[str], work, suffix: str = "filt", value: str = "value", **names) -> DataFrame:
@@ -44,36 +77,31 @@ def apply_filter(df: DataFrame, keys: list[str], work, suffix: str = "filt", val
     return done.unionByName(marked.where("_there = 0").drop("_there"), allowMissingColumns=True)
 
 
-def lowpass_zero_phase(df: DataFrame, keys: list[str], cutoff: float, fs: float, value: str = "value", name: str = "filtered", order: str = "pos", pad: int = 6) -> DataFrame:
-    """Forward and backward low-pass with odd extension of ``pad`` samples at both ends and steady start.
+def lowpass_zero_phase(df: DataFrame, keys: list[str], cutoff: float, fs: float, value: str = "value", name: str = "filtered", order: str = "pos", pad: int | None = None, degree: int = 1) -> DataFrame:
+    """Forward and backward low-pass with odd extension of ``pad`` samples (three times degree + 1) at both ends and steady start.
 
-    Groups of at most ``pad`` samples give NULL. The extension is built from the first and last pad + 1 rows
-    of each group, so nothing larger than that is collected."""
-    h = impulse(cutoff, fs)
-    total = sum(h)
+    Groups of at most ``pad`` samples give NULL. The extension is built from the first and last pad + 1 samples
+    of each group, which its first and last blocks hold; nothing else is brought together."""
+    pad = 3 * (degree + 1) if pad is None else pad
+    system = lowpass_system(cutoff, fs, degree)
     got = df.where(F.col(value).isNotNull())
-    part = W.partitionBy(*keys)
-    placed = got.withColumn("_p", F.row_number().over(part.orderBy(order))).withColumn("_n", F.count("*").over(part))
-    ends = placed.where(F.col("_n") > pad).groupBy(*keys).agg(
-        F.min_by(value, "_p").alias("_a"), F.max_by(value, "_p").alias("_b"), F.max("_n").alias("_m"),
-    )
-    edge = placed.where((F.col("_n") > pad) & ((F.col("_p") <= pad + 1) | (F.col("_p") >= F.col("_n") - pad))).join(ends, keys)
-    head = edge.where(F.col("_p").between(2, pad + 1)).select(*keys, (2 - F.col("_p")).alias("_p"), (2 * F.col("_a") - F.col(value)).alias("_x"))
-    tail = edge.where((F.col("_p") < F.col("_m")) & (F.col("_p") >= F.col("_m") - pad)).select(*keys, (2 * F.col("_m") - F.col("_p")).alias("_p"), (2 * F.col("_b") - F.col(value)).alias("_x"))
-    whole = head.union(tail).union(placed.where(F.col("_n") > pad).select(*keys, "_p", F.col(value).alias("_x")))
-
-    def one_way(d: DataFrame, source: str, target: str, direction) -> DataFrame:
-        w = part.orderBy(direction("_p"))
-        start = F.first(source).over(w.rowsBetween(W.unboundedPreceding, 0))
-        used = F.count("*").over(w.rowsBetween(1 - len(h), 0))
-        sums = [0.0]
-        for x in h:
-            sums.append(sums[-1] + x)
-        missing = F.element_at(F.array(*[F.lit(total - s) for s in sums]), (used + 1).cast("int"))
-        return d.withColumn(target, weighted_history(source, h, w) + missing * start)
-
-    both = one_way(one_way(whole, "_x", "_f", F.asc), "_f", "_y", F.desc)
-    return placed.join(both.select(*keys, "_p", F.col("_y").alias(name)), [*keys, "_p"], "left").drop("_p", "_n")
+    blocks = to_blocks(got, keys, order, value)
+    sizes = blocks.select("_k", "_b", F.size("_v").alias("_n"))
+    part = W.partitionBy("_k")
+    upto = F.sum("_n").over(part.orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
+    placed = sizes.select("_k", "_b", (upto - F.col("_n")).alias("_before"), (F.sum("_n").over(part) - upto).alias("_after"), F.sum("_n").over(part).alias("_all"))
+    enough = placed.where(F.col("_all") > pad)
+    blocks = blocks.join(enough, ["_k", "_b"])
+    head = blocks.where(F.col("_before") <= pad).groupBy("_k").agg(F.min("_b").alias("_b"), F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_v"))), lambda x: x["_v"])), 1, pad + 1).alias("_e"))
+    tail = blocks.where(F.col("_after") <= pad).groupBy("_k").agg(F.max("_b").alias("_b"), F.slice(F.reverse(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_v"))), lambda x: x["_v"]))), 1, pad + 1).alias("_e"))
+    mirror = lambda e: F.transform(F.slice(e, 2, pad), lambda v: 2 * e[0] - v)
+    none = F.lit(None).cast("array<bigint>").alias("_p")
+    before = head.select("_k", (F.col("_b") - 1).alias("_b"), none, F.reverse(mirror(F.col("_e"))).alias("_v"))
+    behind = tail.select("_k", (F.col("_b") + 1).alias("_b"), none, mirror(F.col("_e")).alias("_v"))
+    whole = blocks.select("_k", "_b", "_p", "_v").union(before).union(behind)
+    turned = lambda d: d.select("_k", (-F.col("_b")).alias("_b"), F.reverse("_p").alias("_p"), F.reverse("_v").alias("_v"))
+    both = recur(turned(recur(whole, system, steady=True)), system, steady=True)
+    return _back(both.where("_p is not null"), got, keys, order, name)
 
 
 def moving_acceleration(df: DataFrame, keys: list[str], window: int, axes=("x", "y", "z"), name: str = "smoothed", order: str = "pos", unit: float = 64.0, rate: float = 32.0, keep: float = 0.9) -> DataFrame:

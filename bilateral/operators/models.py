@@ -1,9 +1,11 @@
-"""Model fitting, search and nested evaluation with Spark ML."""
+"""Model fitting, search and nested evaluation: Spark ML for single models, grouped boosting for searches."""
 
 from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -11,7 +13,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import sampling, summary
+from ..functions.shared import SharedTables
+from . import boosting, sampling, summary
 
 GBT_SPACE = {"maxIter": [5, 10, 20, 40, 80], "stepSize": [0.01, 0.05, 0.1, 0.2, 0.3], "maxDepth": [2, 3, 4, 5, 6], "minInstancesPerNode": [1, 2, 4, 8, 16], "subsamplingRate": [0.6, 0.8, 0.9, 1.0]}
 
@@ -72,94 +75,171 @@ def score(predictions: DataFrame) -> float:
     return float(got["balanced_accuracy"]) if got else float("nan")
 
 
-def halving_search(train: DataFrame, estimator, points: list[dict], folds: int = 3, seed: int = 1, row: str = "id", factor: int = 3):
-    """Successive halving: candidates meet growing samples, the best third goes on; refits the winner on all rows."""
-    dealt = sampling.stratified_folds(train, "label", row, folds, seed, "_inner")
-    share = 1.0
-    for _ in range(len(points).bit_length() // 2):
-        share /= factor
-    share = max(share, 0.3)
-    while len(points) > 1:
-        part = dealt.where(F.pmod(F.xxhash64(F.col(row), F.lit(seed)), F.lit(1000)) < int(1000 * share)) if share < 1 else dealt
-        part = part.cache()
-        ranked = []
-        for p in points:
-            est = estimator.copy({estimator.getParam(k): v for k, v in p.items()})
-            ranked.append((sum(score(est.fit(part.where(F.col("_inner") != f)).transform(part.where(F.col("_inner") == f))) for f in range(folds)) / folds, p))
-        part.unpersist()
-        ranked.sort(key=lambda t: -t[0])
-        points = [p for _, p in ranked[: max(1, len(ranked) // factor)]]
-        share = min(1.0, share * factor)
-    best = points[0]
-    return estimator.copy({estimator.getParam(k): v for k, v in best.items()}).fit(train), best
-
-
 def _vectors(df: DataFrame) -> DataFrame:
     """id, grp, side (if there), label, features from an array column x."""
     x = array_to_vector(F.transform("x", lambda v: v.cast("double")))
     return df.select("id", "grp", *[c for c in df.columns if c == "side"], F.col("y").cast("double").alias("label"), x.alias("features"))
 
 
-def top_vector(df: DataFrame, places: list[int]) -> DataFrame:
-    """Keeps the named places of x, in order (the training side's ranking serves both sides)."""
-    return df.withColumn("x", F.array(*[F.col("x")[p] for p in places]))
+def fold_roles(k: int):
+    """Roles of stratified outer folds, dealt anew for every fold seed."""
 
+    def roles(data: DataFrame) -> DataFrame:
+        dealt = sampling.stratified_folds(data, "y", "id", k, F.col("fold_seed"), "outer", ["fold_seed"])
+        each = dealt.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+        return each.withColumn("test", F.col("fold") == F.col("outer")).withColumn("fold", F.col("fold").cast("string")).drop("outer")
 
-def fold_splits(data: DataFrame, k: int, seed: int):
-    """(name, train, test) of stratified outer folds."""
-    dealt = sampling.stratified_folds(data, "label", "id", k, seed, "outer")
-    for f in range(k):
-        yield str(f), dealt.where(F.col("outer") != f).drop("outer"), dealt.where(F.col("outer") == f).drop("outer")
+    return roles
 
 
-def side_splits(data: DataFrame, settings=(("left", "right"), ("right", "left"))):
-    """(name, train, test) with the sides apart, users not held out."""
-    for a, b in settings:
-        yield f"{a}-{b}", data.where(F.col("side") == a), data.where(F.col("side") == b)
+def side_roles(settings=(("left", "right"), ("right", "left"))):
+    """Roles with the sides apart, users not held out; folds are named train-test."""
 
+    def roles(data: DataFrame) -> DataFrame:
+        ways = F.explode(F.array(*[F.struct(F.lit(f"{a}-{b}").alias("fold"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in settings]))
+        each = data.withColumn("_w", ways).where("side = _w.a or side = _w.b")
+        return each.select(*data.columns, "_w.fold", (F.col("side") == F.col("_w.b")).alias("test"))
 
-def user_splits(data: DataFrame, train_side: str | None = None, test_side: str | None = None):
-    """(name, train, test) with every user held out in turn; across sides the test rows are of the other one."""
-    for (user,) in sorted(data.select("grp").distinct().collect()):
-        train, test = data.where(F.col("grp") != user), data.where(F.col("grp") == user)
-        yield str(user), train.where(F.col("side") == train_side) if train_side else train, test.where(F.col("side") == test_side) if test_side else test
+    return roles
 
 
-def nested_search(df: DataFrame, splits, inner: int = 2, n_points: int = 4, seed_triples=((1, 2, 3),), space: dict | None = None) -> DataFrame:
-    """(seed_id, fold, model, metric, value) of a search nested in any outer splits: undersampled training rows, halving search
-    on inner folds, balanced accuracy on the held-out rows, feature importances of the refitted model.
+def user_roles(train_side: str | None = None, test_side: str | None = None):
+    """Roles with every user held out in turn; across sides the test rows are of the other one. Rows times users are dealt."""
 
-    ``splits`` is called with (data, fold seed) and yields (name, train, test): see ``fold_splits``, ``side_splits``, ``user_splits``.
-    Splits without training or test rows are left out. Each fit is a distributed job; their number is that of splits and points."""
-    spark, out = df.sparkSession, []
-    for sid, (fold_seed, sample_seed, model_seed) in enumerate(seed_triples):
-        data = _vectors(df).cache()
-        for name, train, test in splits(data, fold_seed):
-            train = sampling.undersample(train, "grp", "label", "id", sample_seed).cache()
-            if train.isEmpty() or test.isEmpty():
-                continue
-            model, _ = halving_search(train, GBTClassifier(featuresCol="features", labelCol="label", seed=model_seed), candidates(space or GBT_SPACE, n_points, model_seed), inner, model_seed)
-            out.append((sid, name, "GBT", "balanced_accuracy", score(model.transform(test))))
-            out += [(sid, name, "GBT", f"FI_{i}", float(v)) for i, v in enumerate(model.featureImportances.toArray())]
-            train.unpersist()
-        data.unpersist()
-    return spark.createDataFrame(out, "seed_id int, fold string, model string, metric string, value double")
-
-
-def nested_cv(df: DataFrame, outer: int = 3, inner: int = 2, n_points: int = 4, seed_triples=((1, 2, 3),), space: dict | None = None) -> DataFrame:
+    def roles(data: DataFrame) -> DataFrame:
+        users = data.select(F.col("grp").alias("_u")).distinct()
+        each = data.crossJoin(F.broadcast(users)).withColumn("test", F.col("grp") == F.col("_u")).withColumn("fold", F.col("_u").cast("string")).drop("_u")
+        if train_side:
+            each = each.where(F.when(F.col("test"), F.col("side") == (test_side or train_side)).otherwise(F.col("side") == train_side))
+        return each
+
+    return roles
+
+
+def deal_parts(df: DataFrame, roles, inner: int, seed_pairs) -> tuple[DataFrame, list]:
+    """df (id, grp, y, x, side) with an array of parts, one for each split, and the splits as (fold_seed, sample_seed, fold).
+
+    A part is the inner fold of a row that is trained on (after undersampling within groups), TEST, or UNUSED.
+    The rows that are shuffled hold no features; their number is that of rows and splits."""
+    pairs = df.sparkSession.createDataFrame(list(seed_pairs), "fold_seed long, sample_seed long")
+    slim = df.select("id", "grp", "y", *[c for c in df.columns if c == "side"])
+    folds = roles(slim.crossJoin(F.broadcast(pairs.select("fold_seed").distinct())))
+    each = folds.join(F.broadcast(pairs), "fold_seed").withColumn("split", F.struct("fold_seed", "sample_seed", "fold"))
+    test = each.where("test").select("id", "split", F.lit(boosting.TEST).alias("part"))
+    train = each.where("not test").withColumn("_g", F.struct("split", "grp"))
+    train = sampling.undersample(train, "_g", "y", "id", F.col("sample_seed"))
+    train = sampling.stratified_folds(train, "y", "id", inner, F.col("fold_seed"), "part", ["split"]).select("id", "split", "part")
+    tables = SharedTables(df.sparkSession)
+    parts = tables.put(train.union(test))
+    counts = parts.groupBy("split").agg(F.count_if(F.col("part") >= 0).alias("n"), F.count_if(F.col("part") < 0).alias("t")).collect()  # a row a split
+    splits = sorted((tuple(r.split), r.n) for r in counts if r.n and r.t)
+    number = {s: i for i, (s, _) in enumerate(splits)}
+    named = df.sparkSession.createDataFrame([(*s, i) for s, i in number.items()], "fold_seed long, sample_seed long, fold string, k int")
+    known = parts.select("id", "part", "split.*").join(F.broadcast(named), ["fold_seed", "sample_seed", "fold"])
+    by_row = known.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "part"))).alias("m"))  # at most one entry a split
+    every = F.transform(F.sequence(F.lit(0), F.lit(max(0, len(splits) - 1))), lambda k: F.coalesce(F.get(F.map_values(F.map_filter("m", lambda a, _: a == k)), F.lit(0)), F.lit(boosting.UNUSED)).cast("tinyint"))
+    return df.join(by_row.select("id", every.alias("parts")), "id"), splits
+
+
+def halving(n_train: dict[int, int], seeds: dict[int, list[int]], inner: int, n_points: int | None, space: dict, factor: int = 3):
+    """The first rung of every search: (split, seed, place, point, share, growth of share a rung).
+
+    A search starts with ``n_points`` points (all that the rows allow, if None) on the least sample that holds two rows of each class
+    in each inner fold, or on more where few points need few rungs."""
+    out = []
+    for split, n in n_train.items():
+        least = min(n, 4 * inner)
+        many = n_points or max(1, n // least)
+        rungs = 0
+        while factor ** (rungs + 1) <= max(1, many) and least * factor ** (rungs + 1) <= n:
+            rungs += 1
+        for seed in seeds[split]:
+            for place, point in enumerate(candidates(space, many, seed)):
+                out.append({"split": split, "seed": seed, "place": place, **point, "share": 1.0 / factor**rungs})
+    return pd.DataFrame(out)
+
+
+def _accuracies(c: pd.DataFrame) -> dict:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        recalls = np.stack([c["tp"] / (c["tp"] + c["fn"]), c["tn"] / (c["tn"] + c["fp"])]).astype(float)
+        n = c[["tp", "fp", "fn", "tn"]].sum(axis=1)
+        return {"balanced_accuracy": np.nanmean(recalls, axis=0) if len(c) else [], "accuracy": (c["tp"] + c["tn"]) / n, "f1": 2 * c["tp"] / (2 * c["tp"] + c["fp"] + c["fn"])}
+
+
+_PARAMETERS = {"maxIter": "rounds", "stepSize": "rate", "maxDepth": "depth", "minInstancesPerNode": "least_weight", "subsamplingRate": "subsample"}
+_DEFAULTS = {"rounds": 20, "rate": 0.1, "depth": 5, "least_weight": 1.0, "subsample": 1.0}
+
+
+def nested_search(df: DataFrame, roles, inner: int = 5, n_points: int | None = None, seed_triples=((1, 2, 3),), space: dict | None = None, features: dict[str, list[int]] | None = None, block: int = boosting.BLOCK) -> DataFrame:
+    """(seed_id, fold, model, metric, value) of a search nested in any outer splits of (id, grp, y, x, side): undersampled training rows,
+    successive halving by accuracy on inner folds, then balanced accuracy, accuracy, F1 and gain importances of the refitted winner.
+
+    All fits of a rung are trained together (``boosting``), whatever the number of seeds, folds and points. Trees need no scaled features, and
+    missing ones have their own bin. ``features`` names the places of x that a fold may use (the training side's ranking)."""
+    spark = df.sparkSession
+    triples = list(seed_triples)
+    rows, splits = deal_parts(df, roles, inner, sorted({t[:2] for t in triples}))
+    schema = "seed_id int, fold string, model string, metric string, value double"
+    if not splits:
+        return spark.createDataFrame([], schema)
+    tables = SharedTables(spark)
+    rows = tables.put(rows)
+    width = rows.select(F.max(F.size("x"))).first()[0]
+    blocks = tables.put(boosting.pack_blocks(rows, boosting.edges_of(rows, width), len(splits), block))
+    n_blocks = blocks.count()
+    of_pair: dict[tuple, list[int]] = {}
+    for a, b, c in triples:
+        of_pair.setdefault((a, b), []).append(c)
+    allowed = {i: features[s[2]] for i, (s, _) in enumerate(splits) if features and s[2] in features}
+    alive = halving({i: n for i, (_, n) in enumerate(splits)}, {i: of_pair[s[:2]] for i, (s, _) in enumerate(splits)}, inner, n_points, space or GBT_SPACE).rename(columns=_PARAMETERS)
+    for name, value in _DEFAULTS.items():
+        if name not in alive:
+            alive[name] = value
+    search = ["split", "seed"]
+    while len(alive) > alive.groupby(search).ngroups:
+        tried = alive.merge(pd.DataFrame({"inner": range(inner)}), how="cross")
+        counts, _ = boosting.train_and_count(blocks, n_blocks, boosting.Fits(tried, allowed), width)
+        tried["score"] = np.asarray(_accuracies(counts)["accuracy"], float)
+        mean = tried.groupby([*search, "place"], as_index=False)["score"].mean()
+        mean["rank"] = mean.sort_values(["score", "place"], ascending=[False, True]).groupby(search).cumcount()
+        mean["keep"] = -(-mean.groupby(search)["place"].transform("count") // 3)
+        last = alive.groupby(search)["share"].transform("max") >= 1.0
+        alive = alive.merge(mean[[*search, "place", "rank", "keep"]], on=[*search, "place"])
+        alive = alive[alive["rank"] < np.where(last.to_numpy(), 1, alive["keep"])].drop(columns=["rank", "keep"]).reset_index(drop=True)
+        alive["share"] = np.minimum(1.0, alive["share"] * 3)
+    final = alive.assign(inner=-1, share=1.0)
+    counts, gains = boosting.train_and_count(blocks, n_blocks, boosting.Fits(final, allowed), width)
+    tables.drop(rows, blocks)
+    number = {t: i for i, t in enumerate(triples)}
+    ids = [(number[(*splits[s][0][:2], seed)], splits[s][0][2]) for s, seed in zip(final["split"], final["seed"], strict=True)]
+    out = [(*i, "GBT", m, float(v)) for m, vs in _accuracies(counts).items() for i, v in zip(ids, vs, strict=True)]
+    out += [(*i, "GBT", f"FI_{k}", float(v)) for i, g in zip(ids, gains / np.maximum(gains.sum(1, keepdims=True), 1e-300), strict=True) for k, v in enumerate(g)]
+    return spark.createDataFrame(out, schema)
+
+
+def seed_triples(n: int = 5, generators=(42, 69, 420)) -> list[tuple[int, int, int]]:
+    """All n x n x n combinations of fold, sample and model seeds, from three generator seeds."""
+    import hashlib
+
+    lists = [[int(hashlib.md5(f"{g}:{i}".encode()).hexdigest()[:7], 16) for i in range(n)] for g in generators]
+    return list(itertools.product(*lists))
+
+
+def nested_cv(df: DataFrame, outer: int = 5, inner: int = 5, **search) -> DataFrame:
     """fold_scores (seed_id, fold_id, model, metric, value) of nested cross-validation on (id, grp, y, x)."""
-    got = nested_search(df, lambda d, seed: fold_splits(d, outer, seed), inner, n_points, seed_triples, space)
+    got = nested_search(df, fold_roles(outer), inner, **search)
     return got.select("seed_id", F.col("fold").cast("int").alias("fold_id"), "model", "metric", "value")
 
 
 def nested_opposite_side(df: DataFrame, **search) -> DataFrame:
-    """Nested search on one side, scored on the other, both ways."""
-    return nested_search(df, lambda d, seed: side_splits(d), **search)
+    """Nested search on one side, scored on the other, both ways. ``features`` by fold (left-right, right-left) takes each
+    training side's best features."""
+    return nested_search(df, side_roles(), **search)
 
 
 def nested_loso(df: DataFrame, train_side: str | None = None, test_side: str | None = None, **search) -> DataFrame:
     """Nested search with every user held out in turn, on the same rows or across sides."""
-    return nested_search(df, lambda d, seed: user_splits(d, train_side, test_side), **search)
+    return nested_search(df, user_roles(train_side, test_side), **search)
 
 
 def kfold_battery(df: DataFrame, k: int = 3, seed: int = 1, models: dict | None = None, split=None) -> DataFrame:

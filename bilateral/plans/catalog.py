@@ -330,6 +330,38 @@ def lowpass_zero_phase(spark, sf):
     return filters.lowpass_zero_phase(fx.positions(spark, sf), SIDE, 0.4, 4.0).select("usr", "side", "pos", "filtered")
 
 
+def _biquad_sql(name: str, source: str, part: tuple, forward: bool = True, steady: bool = False) -> str:
+    """A recursive table ``name`` (usr, side, pos, y) of a section run over ``source`` (usr, side, pos, x)."""
+    b0, b1, b2, a1, a2 = (f"({v!r}::DOUBLE)" for v in part)
+    first = f"SELECT usr, side, {'min' if forward else 'max'}(pos) AS pos FROM {source} GROUP BY ALL"
+    q, r = (f"(1 - {b0}) * x", f"({b2} - {a2}) * x") if steady else ("0.0::DOUBLE", "0.0::DOUBLE")
+    step = lambda src: f"SELECT usr, side, pos, y, {b1} * x - {a1} * y + r AS q, {b2} * x - {a2} * y AS r FROM (SELECT *, {b0} * x + q AS y FROM ({src}) i) j"
+    start = step(f"SELECT usr, side, pos, x::DOUBLE AS x, {q} AS q, {r} AS r FROM {source} JOIN ({first}) m USING (usr, side, pos)")
+    more = step(f"SELECT n.usr, n.side, n.pos, n.x, b.q, b.r FROM {name} b JOIN {source} n ON n.usr = b.usr AND n.side = b.side AND n.pos = b.pos {'+' if forward else '-'} 1")
+    return f"{name} AS ({start} UNION ALL {more})"
+
+
+_THREE = filters.sections(0.4, 4.0, 3)
+
+
+@query(f"""WITH RECURSIVE {SAMPLES}, x0 AS (SELECT usr, side, pos, value AS x FROM samples), {_biquad_sql('f1', 'x0', _THREE[0])}, x1 AS (SELECT usr, side, pos, y AS x FROM f1), {_biquad_sql('f2', 'x1', _THREE[1])}
+SELECT usr, side, pos, y AS filtered FROM f2""", "filtered")
+def lowpass_causal_order3(spark, sf):
+    return filters.lowpass_causal(fx.positions(spark, sf), SIDE, 0.4, 4.0, degree=3).select("usr", "side", "pos", "filtered")
+
+
+_TWO = filters.sections(0.2, 4.0, 2)[0]
+
+
+@query(f"""WITH RECURSIVE {SAMPLES}, m AS (SELECT usr, side, max(pos) + 1 AS n, arg_min(value, pos) AS x0, arg_max(value, pos) AS x1 FROM samples GROUP BY ALL HAVING max(pos) >= 9),
+ext AS (SELECT usr, side, pos, value AS x FROM samples JOIN m USING (usr, side) UNION ALL SELECT usr, side, -pos, 2 * x0 - value FROM samples JOIN m USING (usr, side) WHERE pos BETWEEN 1 AND 9
+  UNION ALL SELECT usr, side, 2 * (n - 1) - pos, 2 * x1 - value FROM samples JOIN m USING (usr, side) WHERE pos BETWEEN n - 10 AND n - 2),
+{_biquad_sql('f1', 'ext', _TWO, True, True)}, turned AS (SELECT usr, side, pos, y AS x FROM f1), {_biquad_sql('f2', 'turned', _TWO, False, True)}
+SELECT s.usr, s.side, s.pos, f2.y AS filtered FROM samples s LEFT JOIN f2 ON s.usr = f2.usr AND s.side = f2.side AND s.pos = f2.pos""", "filtered")
+def lowpass_zero_phase_order2(spark, sf):
+    return filters.lowpass_zero_phase(fx.positions(spark, sf), SIDE, 0.2, 4.0, degree=2).select("usr", "side", "pos", "filtered")
+
+
 @query(f"""WITH {SAMPLES}, c AS (SELECT usr, side, pos, coalesce(greatest(abs(value / 64 - lag(value / 64) OVER w), abs(ln(1 + value) / 64 - lag(ln(1 + value) / 64) OVER w), abs(sqrt(value) / 64 - lag(sqrt(value) / 64) OVER w)), 0) AS c
   FROM samples WINDOW w AS (PARTITION BY usr, side ORDER BY pos)),
 s AS (SELECT usr, side, pos, sum(c) OVER (PARTITION BY usr, side ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) / 32 AS s FROM c)
@@ -646,8 +678,6 @@ def wavelet(spark, sf):
 
 # --- resampling and splits
 
-#: the queries search this part of GBT_SPACE: a point of 80 rounds of depth 6 takes minutes of jobs on any table
-SHORT_SPACE = {"maxIter": [3, 5], "stepSize": [0.1, 0.3], "maxDepth": [2, 3]}
 _MD5 = "md5('7:' || {})"
 
 
@@ -759,17 +789,17 @@ def topk_features(spark, sf):
 
 @query()
 def nested_cv_gbt(spark, sf):
-    return models.nested_cv(fx.feat(spark, sf), outer=3, inner=2, n_points=3, space=SHORT_SPACE)
+    return models.nested_cv(fx.feat(spark, sf), seed_triples=models.seed_triples(1))
 
 
 @query()
 def nested_opposite_side_gbt(spark, sf):
-    return models.nested_opposite_side(fx.feat(spark, sf), n_points=2, space=SHORT_SPACE)
+    return models.nested_opposite_side(fx.feat(spark, sf), seed_triples=models.seed_triples(1))
 
 
 @query()
 def nested_loso_gbt(spark, sf):
-    return models.nested_loso(fx.feat(spark, sf), "left", "right", n_points=2, space=SHORT_SPACE)
+    return models.nested_loso(fx.feat(spark, sf), "left", "right", seed_triples=models.seed_triples(1))
 
 
 @query()
