@@ -1,4 +1,4 @@
-"""Unit-root and stationarity statistics per series, and dynamic time warping of series pairs.
+"""Unit-root and stationarity statistics per series.
 
 KPSS and Phillips-Perron are windows and aggregates. The regressions of ADF, DF-GLS and Zivot-Andrews are
 sums of products over a group; only those sums (a few numbers per group and break) reach the solver.
@@ -188,37 +188,3 @@ def stationarity(df: DataFrame, keys: list[str], methods=METHODS, **names) -> Da
         one = work[m](df, keys, **names).select(*keys, F.lit(m).alias("method"), F.col(m).alias("statistic"))
         out = one if out is None else out.unionByName(one)
     return out
-
-
-def dtw(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y", order: str = "pos", band: float = 0.1, longest: int = 200_000) -> DataFrame:
-    """Dynamic time warping distance over length within a band, one series pair a task.
-
-    Memory is two rows of the band; a pair longer than ``longest`` raises, since a pair is one task's work."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        a, b = pdf[x].dropna().to_numpy(), pdf[y].dropna().to_numpy()
-        n, m = len(a), len(b)
-        if max(n, m) > longest:
-            raise ValueError("series too long for one task; resample it first")
-        out = np.nan
-        if n and m:
-            r = max(int(band * max(n, m)), abs(n - m), 1)
-            before = np.full(m + 1, np.inf)
-            before[0] = 0.0
-            for i in range(1, n + 1):
-                now = np.full(m + 1, np.inf)
-                lo, hi = max(1, i - r), min(m, i + r)
-                cost = np.abs(a[i - 1] - b[lo - 1 : hi])
-                best = np.minimum(before[lo : hi + 1], before[lo - 1 : hi])
-                run = np.inf
-                for k in range(hi - lo + 1):
-                    run = cost[k] + min(best[k], run)
-                    now[lo + k] = run
-                before = now
-            out = before[m] / max(n, m)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "distance": [out], "n": [max(n, m)]})
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema if f.name in keys)
-    got = pairs.select(*keys, order, x, y).groupBy(*keys).applyInPandas(work, f"{fields}, distance double, n long")
-    return got.withColumn("distance", F.when(~F.isnan("distance"), F.col("distance")))

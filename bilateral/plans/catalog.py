@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import epoch, holm, normal_tail
 from ..functions.ship import ship
-from ..operators import align, features, filters, keys, lagcorr, models, rescale, sampling, segments, stationarity, stats, summary
+from ..operators import align, features, filters, keys, lagcorr, models, rescale, sampling, segments, stationarity, stats, summary, warping
 from ..sources import recordings as sources
 from . import fixtures as fx
 from .fixtures import EFFECTS, FEAT, INTERVALS, PAIRED, SAMPLES, SCORES, SEGMENTS
@@ -666,9 +666,17 @@ def stationarity_all(spark, sf):
     return stationarity.stationarity(fx.positions(spark, sf), SIDE)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SAMPLES}, {_PAIRS}, s AS (SELECT usr, list(left_value::DOUBLE ORDER BY pos) AS x, list(right_value::DOUBLE ORDER BY pos) AS y FROM p GROUP BY usr),
+r AS (SELECT usr, x, y, 0 AS i, list_prepend(0.0::DOUBLE, list_transform(y, lambda v: 'inf'::DOUBLE)) AS d FROM s
+  UNION ALL SELECT usr, x, y, i + 1, list_reduce(list_prepend(['inf'::DOUBLE], list_transform(range(1, len(y) + 1), lambda j: [abs(x[i + 1] - y[j]), least(d[j + 1], d[j])])), lambda a, v: a || [v[1] + least(a[len(a)], v[2])]) FROM r WHERE i < len(x))
+SELECT usr, d[len(d)] / greatest(len(x), len(y)) AS distance, greatest(len(x), len(y)) AS n FROM r WHERE i = len(x)""", "distance", "n")
 def dtw(spark, sf):
-    return stationarity.dtw(_series(spark, sf), ["usr"])
+    return warping.dtw(_series(spark, sf), ["usr"])
+
+
+@query()
+def dtw_coarse_to_fine(spark, sf):
+    return warping.dtw(_series(spark, sf), ["usr"], radius=1)
 
 
 @query()

@@ -226,12 +226,6 @@ def test_stationarity(spark):
     assert got[1, "kpss"] > 0.46 > got[2, "kpss"]
 
 
-def test_dtw(spark):
-    df = spark.createDataFrame([(1, i, float(i % 5), float((i + 1) % 5)) for i in range(50)] + [(2, i, 1.0, 3.0) for i in range(10)], "usr long, pos long, x double, y double")
-    got = {r.usr: r.distance for r in stationarity.dtw(df, ["usr"]).collect()}
-    assert got[2] == 2.0 and got[1] < 0.5
-
-
 def test_normality(spark):
     rng = random.Random(8)
     df = series(spark, [rng.gauss(0, 1) for _ in range(200)]).union(spark.createDataFrame([(2, i, rng.random() ** 4) for i in range(200)], "usr long, pos long, value double"))
