@@ -1,7 +1,7 @@
 """Unit-root and stationarity statistics per series.
 
-KPSS and Phillips-Perron are windows and aggregates. The regressions of ADF, DF-GLS and Zivot-Andrews are
-sums of products over a group; only those sums (a few numbers per group and break) reach the solver.
+KPSS and Phillips-Perron by a rule for the lags are windows and aggregates. The regressions of ADF and DF-GLS with given lags are
+sums of products over a group; only those sums (a few numbers per group) reach the solver. ``unitroot`` chooses lags from the data.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.columns import div, normal_tail
+from . import unitroot
 
 METHODS = ("adf", "dfgls", "kpss", "pp", "za")
 
@@ -100,16 +101,20 @@ def regression_t(df: DataFrame, keys: list[str], y: str, xs: list[str], name: st
     return got.select(*keys, value.alias("_t"), "n").select(*keys, F.when(~F.isnan("_t"), F.col("_t")).alias(name), "n")
 
 
-def adf(df: DataFrame, keys: list[str], lags: int = 1, value: str = "value", order: str = "pos") -> DataFrame:
-    """Augmented Dickey-Fuller t: difference on the lagged level, ``lags`` lagged differences and a constant."""
+def adf(df: DataFrame, keys: list[str], lags: int | None = None, value: str = "value", order: str = "pos") -> DataFrame:
+    """Augmented Dickey-Fuller t: difference on the lagged level, ``lags`` lagged differences (None: chosen) and a constant."""
+    if lags is None:
+        return unitroot.adf(df, keys, value, order)
     w = W.partitionBy(*keys).orderBy(order)
     d = df.where(F.col(value).isNotNull()).withColumn("lev", F.lag(value).over(w)).withColumn("dy", F.col(value) - F.col("lev"))
     d = d.select(*keys, "lev", "dy", F.lit(1.0).alias("one"), *[F.lag("dy", k).over(w).alias(f"d{k}") for k in range(1, lags + 1)]).dropna()
     return regression_t(d, keys, "dy", ["lev", "one", *[f"d{k}" for k in range(1, lags + 1)]], "adf")
 
 
-def dfgls(df: DataFrame, keys: list[str], lags: int = 1, value: str = "value", order: str = "pos", c: float = -7.0) -> DataFrame:
-    """ADF t without constant on the series demeaned by generalised least squares at 1 + c / n."""
+def dfgls(df: DataFrame, keys: list[str], lags: int | None = None, value: str = "value", order: str = "pos", c: float = -7.0) -> DataFrame:
+    """ADF t without constant on the series demeaned by generalised least squares at 1 + c / n (-7 where lags are chosen)."""
+    if lags is None:
+        return unitroot.dfgls(df, keys, value, order)
     w, part = W.partitionBy(*keys).orderBy(order), W.partitionBy(*keys)
     a = 1 + c / F.count("*").over(part)
     d = df.where(F.col(value).isNotNull()).withColumn("a", a).withColumn("prev", F.lag(value).over(w))
@@ -121,39 +126,6 @@ def dfgls(df: DataFrame, keys: list[str], lags: int = 1, value: str = "value", o
     return regression_t(d, keys, "dy", ["lev", *[f"d{k}" for k in range(1, lags + 1)]], "dfgls")
 
 
-def zivot_andrews(df: DataFrame, keys: list[str], value: str = "value", order: str = "pos", trim: float = 0.15) -> DataFrame:
-    """Least Dickey-Fuller t over all break dates within ``trim`` of the ends, with a shift of level (constant and trend).
-
-    The sums of a break's regression are those of the whole series and those of the rows after the break, both from
-    windows; rows of these sums are solved in batches."""
-    w, part = W.partitionBy(*keys).orderBy(order), W.partitionBy(*keys)
-    d = df.where(F.col(value).isNotNull()).withColumn("lev", F.lag(value).over(w)).withColumn("dy", F.col(value) - F.col("lev"))
-    d = d.withColumn("i", F.row_number().over(w).cast("double")).withColumn("n", F.count("*").over(part)).where("lev is not null").withColumn("one", F.lit(1.0))
-    names = ["lev", "one", "i", "dy"]
-    after = w.rowsBetween(1, W.unboundedFollowing)
-    whole = [F.sum(F.col(a) * F.col(b)).over(part).alias(f"{a}_{b}") for k, a in enumerate(names) for b in names[k:]]
-    rest = [F.coalesce(F.sum(c).over(after), F.lit(0.0)).alias(f"after_{c}") for c in names]
-    sums = d.select(*keys, "i", "n", *whole, *rest).where((F.col("i") >= F.floor(trim * F.col("n"))) & (F.col("i") <= F.floor((1 - trim) * F.col("n"))) & (F.col("n") > 6))
-    cells = [f"{a}_{b}" for k, a in enumerate(names) for b in names[k:]]
-
-    @F.pandas_udf(DoubleType())
-    def t(sums: pd.DataFrame) -> pd.Series:
-        v = {c: sums[c].to_numpy() for c in sums.columns}
-        xx = np.empty((len(sums), 4, 4))
-        for p, a in enumerate(names[:3]):
-            for q, b in enumerate(names[:3]):
-                xx[:, p, q] = v[f"{a}_{b}"] if q >= p else v[f"{b}_{a}"]
-            xx[:, p, 3] = xx[:, 3, p] = v[f"after_{a}"]
-        xx[:, 3, 3] = v["after_one"]
-        xy = np.stack([v["lev_dy"], v["one_dy"], v["i_dy"], v["after_dy"]], axis=1)
-        out = [_solve(m, y, c, int(n), 0) if n > 4 else np.nan for m, y, c, n in zip(xx, xy, v["dy_dy"], v["one_one"], strict=True)]
-        return pd.Series(out, dtype="float64")
-
-    got = sums.select(*keys, (F.col("i") / F.col("n")).alias("share"), F.col("n").alias("size"), t(F.struct(*cells, *[f"after_{c}" for c in names])).alias("za"))
-    got = got.where(~F.isnan("za"))
-    return got.groupBy(*keys).agg(F.min("za").alias("za"), F.min_by("share", "za").alias("break_share"), F.max("size").alias("n"))
-
-
 def _between(x, table: list[tuple[float, float]]):
     """Linear interpolation in a table, its ends beyond it; NULL for a missing value."""
     out = F.when(x <= table[0][0], table[0][1])
@@ -181,8 +153,8 @@ def with_p(df: DataFrame, invert: bool = False) -> DataFrame:
 
 
 def stationarity(df: DataFrame, keys: list[str], methods=METHODS, **names) -> DataFrame:
-    """(keys, method, statistic) of the chosen methods."""
-    work = {"adf": adf, "dfgls": dfgls, "kpss": kpss, "pp": phillips_perron, "za": zivot_andrews}
+    """(keys, method, statistic) of the chosen methods, with lags and bandwidths chosen from the data."""
+    work = {"adf": adf, "dfgls": dfgls, "kpss": unitroot.kpss_auto, "pp": phillips_perron, "za": unitroot.zivot_andrews}
     out = None
     for m in methods:
         one = work[m](df, keys, **names).select(*keys, F.lit(m).alias("method"), F.col(m).alias("statistic"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import Z95, average_rank, div, holm, normal_tail, running_sums, t_two_sided
+from ..functions.columns import Z95, average_rank, div, holm, normal_quantile, normal_tail, running_sums, t_two_sided
 
 
 def pearson(df: DataFrame, keys: list[str], x: str, y: str, z: float = Z95, fill: bool = True) -> DataFrame:
@@ -41,16 +43,18 @@ def with_spearman_p(df: DataFrame) -> DataFrame:
     return df.withColumn("p", t_two_sided(correlation_t(rho, F.col("n")), (F.col("n") - 2).cast("double")))
 
 
-def kendall(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """tau-b and the sums that its variance needs. Values are compressed to distinct pairs with counts.
+def kendall_sums(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """n, s (concordant less discordant pairs) and the tie sums of x and y: tied pairs (tx), t(t-1)(t-2) (x0) and t(t-1)(2t+5) (x1).
+    Values are compressed to distinct pairs with counts.
 
     Concordant less discordant pairs are counted without forming them: two values of y differ first at one binary digit of
     their ranks, so each cell looks, for every digit, at the cells of smaller x with the same digits before and
     the other one there. That is one window over n log n rows."""
     cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
     n = cells.groupBy(*keys).agg(F.sum("c").alias("n"))
-    tx = cells.groupBy(*keys, "x").agg(F.sum("c").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("tx"))
-    ty = cells.groupBy(*keys, "y").agg(F.sum("c").alias("t")).groupBy(*keys).agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias("ty"))
+    t = F.col("t").cast("double")
+    ties = lambda c: cells.groupBy(*keys, c).agg(F.sum("c").alias("t")).groupBy(*keys).agg(F.sum(t * (t - 1) / 2).alias(f"t{c}"), F.sum(t * (t - 1) * (t - 2)).alias(f"{c}0"), F.sum(t * (t - 1) * (2 * t + 5)).alias(f"{c}1"))
+    tx, ty = ties("x"), ties("y")
     ranks = cells.groupBy(*keys, "y").agg(F.lit(1).alias("one")).select(*keys, "y", (F.row_number().over(W.partitionBy(*keys).orderBy("y")) - 1).alias("rank"))
     steps = cells.groupBy(*keys, "x").agg(F.lit(1).alias("one")).select(*keys, "x", F.row_number().over(W.partitionBy(*keys).orderBy("x")).cast("long").alias("step"))
     digits = ranks.groupBy(*keys).agg(F.length(F.bin(F.max("rank").cast("long"))).alias("digits"))
@@ -61,7 +65,12 @@ def kendall(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     below = lambda b: F.coalesce(F.sum(F.when(F.col("digit") == b, F.col("c"))).over(less), F.lit(0))
     each = each.select(*keys, (F.col("c") * F.when(F.col("digit") == 1, below(0)).otherwise(-below(1))).alias("s"))
     s = each.groupBy(*keys).agg(F.sum("s").cast("double").alias("s"))
-    got = n.join(tx, keys).join(ty, keys).join(s, keys, "left")
+    return n.join(tx, keys).join(ty, keys).join(s, keys, "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+
+
+def kendall(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """tau-b of each group."""
+    got = kendall_sums(df, keys, x, y)
     pairs = F.col("n") * (F.col("n") - 1) / 2
     return got.select(*keys, div(F.coalesce("s", F.lit(0.0)), F.sqrt((pairs - F.col("tx")) * (pairs - F.col("ty")))).alias("tau"), "n")
 
@@ -198,3 +207,49 @@ def agreement_points(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataF
 def mean_difference(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     d = F.col(a) - F.col(b)
     return pairs.groupBy(*keys).agg(F.avg(d).alias("mean_diff"), F.avg(F.abs(d)).alias("mean_abs_diff"), F.count(d).alias("n"))
+
+
+# fixed values: polynomials of the corrections and of the distribution of W, by rising powers
+SHAPIRO_LAST = [0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056]
+SHAPIRO_NEXT = [0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633]
+SHAPIRO_SMALL_MEAN, SHAPIRO_SMALL_SD, SHAPIRO_SMALL_SHIFT = [0.5440, -0.39978, 0.025054, -0.0006714], [1.3822, -0.77857, 0.062767, -0.0020322], [-2.273, 0.459]
+SHAPIRO_MEAN, SHAPIRO_SD = [-1.5861, -0.31082, -0.083751, 0.0038915], [-0.4803, -0.082676, 0.0030302]
+
+
+def _poly(x: Column, coefficients: list[float]) -> Column:
+    out = F.lit(coefficients[-1])
+    for c in coefficients[-2::-1]:
+        out = out * x + c
+    return out
+
+
+def shapiro_wilk(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, n, w, p): normality by the squared correlation of the ordered values with their normal scores, for groups of three values
+    or more (the distribution of w was fitted for up to 5000). Groups without spread have no w.
+
+    Places in the order come from counts of distinct values by parts, so a large group isn't sorted in one task."""
+    cells = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    size = cells.groupBy(*keys).agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean")).where("n >= 3")
+    run = running_sums(cells, keys, "v", {"upto": "c"}).join(size, keys)
+    each = run.select(*keys, "n", "mean", "v", F.explode(F.sequence(F.col("upto") - F.col("c") + 1, F.col("upto"))).alias("i"))
+    e = each.withColumn("m", normal_quantile((F.col("i") - 0.375) / (F.col("n") + 0.25)))
+    d = F.col("v") - F.col("mean")
+    at = lambda place: F.max(F.when(F.col("i") == place, d))
+    g = e.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.sum(d * d).alias("ss"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.sum(F.col("m") * d).alias("mx"), at(F.lit(1)).alias("x1"), at(F.lit(2)).alias("x2"),
+        at(F.col("n")).alias("xn"), at(F.col("n") - 1).alias("xp"), F.max("m").alias("mn"), F.max(F.when(F.col("i") == F.col("n") - 1, F.col("m"))).alias("mp"),
+    )
+    n, u, root = F.col("n").cast("double"), 1 / F.sqrt(F.col("n").cast("double")), F.sqrt("mm")
+    last = F.when(n == 3, F.lit(0.5**0.5)).otherwise(F.col("mn") / root + _poly(u, SHAPIRO_LAST))
+    following = F.when(n > 5, F.col("mp") / root + _poly(u, SHAPIRO_NEXT))
+    two = F.when(n > 5, 1.0).otherwise(0.0)  # whether the places next to the ends have weights of their own
+    rest = (F.col("mm") - 2 * F.col("mn") * F.col("mn") - 2 * two * F.col("mp") * F.col("mp")) / (1 - 2 * last * last - 2 * two * F.coalesce(following * following, F.lit(0.0)))
+    middle = F.col("mx") - F.col("mn") * (F.col("xn") - F.col("x1")) - two * F.col("mp") * (F.col("xp") - F.col("x2"))
+    sum_ = F.when(n > 3, middle / F.sqrt(rest)).otherwise(0.0) + last * (F.col("xn") - F.col("x1")) + F.coalesce(two * following * (F.col("xp") - F.col("x2")), F.lit(0.0))
+    w = F.when(F.col("xn") > F.col("x1"), F.least(F.lit(1.0), sum_ * sum_ / F.col("ss")))
+    got = g.select(*keys, "n", w.alias("w"))
+    log, y = F.log(n), F.log(1 - F.when(F.col("w") < 1, F.col("w")))
+    shift = _poly(n, SHAPIRO_SMALL_SHIFT)
+    z = F.when(n <= 11, (-F.log(F.when(shift > y, shift - y)) - _poly(n, SHAPIRO_SMALL_MEAN)) / F.exp(_poly(n, SHAPIRO_SMALL_SD))).otherwise((y - _poly(log, SHAPIRO_MEAN)) / F.exp(_poly(log, SHAPIRO_SD)))
+    three = F.greatest(F.lit(0.0), 6 / math.pi * (F.asin(F.sqrt("w")) - math.asin(0.75**0.5)))
+    return got.withColumn("p", F.when(F.col("w") == 1, 1.0).when(n == 3, three).when(F.col("w").isNotNull(), F.coalesce(normal_tail(z), F.lit(0.0))))

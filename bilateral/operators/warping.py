@@ -198,7 +198,7 @@ class _Waves:
         return rows.groupBy("_k", "row").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
-def _rows(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """(_k, i, v): the values of each series, numbered from 0 without gaps. Only block sizes meet in one task."""
     blocks = to_blocks(df, keys, order, value)
     before = W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -254,7 +254,7 @@ def dtw(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y", order: st
     if radius is not None and radius < 1:
         raise ValueError("the radius is 1 or more")
     tables = SharedTables(pairs.sparkSession)
-    xs, ys = tables.put(_rows(pairs, keys, order, x)), tables.put(_rows(pairs, keys, order, y))
+    xs, ys = tables.put(numbered(pairs, keys, order, x)), tables.put(numbered(pairs, keys, order, y))
     if radius is None:
         got = _Waves(tables, tables.put(_tiled(xs, tile, "I", "x")), tables.put(_tiled(ys, tile, "J", "y")), tile, False).run()
     else:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import epoch
-from ..operators import align, features, filters, keys, lagcorr, sampling, segments, stationarity, stats, summary
+from ..functions.columns import QUANTILE_CENTRE, QUANTILE_FAR, QUANTILE_TAIL, epoch
+from ..operators import align, exact, features, filters, keys, lagcorr, sampling, segments, stationarity, stats, summary, unitroot
 from ..sources import recordings as sources
 from . import fixtures as fx
 from .catalog import (
-    _BY, _CLIFF, _DCCA, _FOLDS, _KENDALL, _LABELS, _PAIRS, _RANK, _SEG, _SESSIONS, _Z, KEYS, SEG, SIDE, _folds, _labelled, _pairs, _series, _sessions, _sql, _t_tail, _tail, flagship, query,
+    _BY, _CLIFF, _DCCA, _FOLDS, _KENDALL, _LABELS, _PAIRS, _RANK, _SEG, _SESSIONS, _WILCOXON, _Z, KEYS, SEG, SIDE, _folds, _labelled, _pairs, _series, _sessions, _sql, _t_tail, _tail, flagship, query,
 )
 from .fixtures import FEAT, INTERVALS, PAIRED, SAMPLES, SCORES
 
@@ -208,12 +208,53 @@ def kfold_p(spark, sf):
     return stats.with_kfold_p(stats.corrected_kfold_t(fx.scores(spark, sf), ["model"], ["fold_id", "seed_id"], "value", 4.0, 1.0))
 
 
+@query(f"""WITH RECURSIVE {_KENDALL.removeprefix("WITH ")}, z AS (SELECT usr, n, s.s, (SELECT count(*) FROM (SELECT left_value FROM p WHERE p.usr = s.usr GROUP BY ALL HAVING count(*) > 1)) + (SELECT count(*) FROM (SELECT right_value FROM p WHERE p.usr = s.usr GROUP BY ALL HAVING count(*) > 1)) AS tied, tau FROM s JOIN k USING (usr)),
+f AS (SELECT 1::BIGINT AS n, [1.0::DOUBLE] AS c, 1.0::DOUBLE AS orders UNION ALL SELECT n + 1, list_transform(range(0, n * (n + 1) // 2 + 1), lambda k: list_sum(c[greatest(1, k - n + 1):k + 1])), orders * (n + 1) FROM f WHERE n < 33),
+e AS (SELECT z.*, CASE WHEN tied = 0 AND z.n <= 33 AND z.n > 1 THEN (z.n * (z.n - 1) / 2 - abs(s)) / 2 END AS low FROM z),
+v AS (SELECT a.usr, a.tx, a.x0, a.x1, b.ty, b.y0, b.y1 FROM (SELECT usr, sum(t * (t - 1) / 2) AS tx, sum(t * (t - 1) * (t - 2)) AS x0, sum(t * (t - 1) * (2 * t + 5)) AS x1 FROM (SELECT usr, left_value, count(*)::DOUBLE AS t FROM p GROUP BY ALL) q GROUP BY usr) a
+  JOIN (SELECT usr, sum(t * (t - 1) / 2) AS ty, sum(t * (t - 1) * (t - 2)) AS y0, sum(t * (t - 1) * (2 * t + 5)) AS y1 FROM (SELECT usr, right_value, count(*)::DOUBLE AS t FROM p GROUP BY ALL) q GROUP BY usr) b USING (usr)),
+w AS (SELECT e.*, CASE WHEN tau IS NOT NULL THEN abs(s) / sqrt((e.n * (e.n - 1.0) * (2 * e.n + 5) - x1 - y1) / 18 + 2 * tx * ty / (e.n * (e.n - 1.0)) + coalesce(x0 * y0 / nullif(9.0 * e.n * (e.n - 1) * (e.n - 2), 0), 0)) END AS z FROM e JOIN v USING (usr))
+SELECT usr, tau, w.n, CASE WHEN low IS NULL THEN least(1.0, 2 * {_tail('z')}) WHEN s = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(c[1:(low + 1)::BIGINT]) / orders) END AS p, CASE WHEN low IS NULL THEN 'normal' ELSE 'exact' END AS method FROM w LEFT JOIN f ON f.n = w.n WHERE w.n > 1""", "tau p")
+def kendall_test(spark, sf):
+    return exact.kendall_test(_pairs(spark, sf), ["usr"], "left_value", "right_value").where("n > 1")
+
+
+@query(f"""WITH RECURSIVE {_WILCOXON.removeprefix("WITH ")}, f AS (SELECT 0::BIGINT AS n, [1.0::DOUBLE] AS c UNION ALL SELECT n + 1, list_transform(range(0, (n + 1) * (n + 2) // 2 + 1), lambda w: coalesce(c[w + 1], 0) + CASE WHEN w > n THEN coalesce(c[w - n], 0) ELSE 0 END) FROM f WHERE n < 50),
+o AS (SELECT usr, count(*) FILTER (left_value = right_value) AS zeros FROM p GROUP BY usr), e AS (SELECT wz.*, CASE WHEN ties = 0 AND zeros = 0 AND n <= 50 THEN w END AS low FROM wz JOIN t USING (usr) JOIN o USING (usr))
+SELECT usr, w, e.n, least(1.0, CASE WHEN low IS NULL THEN 2 * {_tail('abs(z)')} ELSE 2 * list_sum(c[1:low::BIGINT + 1]) / pow(2, e.n) END) AS p, CASE WHEN low IS NULL THEN 'normal' ELSE 'exact' END AS method FROM e LEFT JOIN f ON f.n = e.n""", "w p")
+def wilcoxon_test(spark, sf):
+    return exact.wilcoxon_test(_pairs(spark, sf), ["usr"], "left_value", "right_value")
+
+
+def _sql_poly(c) -> str:
+    return "(" * (len(c) - 1) + repr(c[0]) + "".join(f" * x + {v!r}::DOUBLE)" for v in c[1:])
+
+
+_CENTRE, _FAR, _FARTHER = (f"(({_sql_poly(a)}) / ({_sql_poly(b)}))" for a, b in (QUANTILE_CENTRE, QUANTILE_TAIL, QUANTILE_FAR))
+_QUANTILE = f"(SELECT CASE WHEN abs(q) <= 0.425 THEN q * (SELECT {_CENTRE} FROM (SELECT 0.180625 - q * q AS x)) WHEN r <= 5 THEN sign(q) * (SELECT {_FAR} FROM (SELECT r - 1.6 AS x)) ELSE sign(q) * (SELECT {_FARTHER} FROM (SELECT r - 5 AS x)) END)"
+
+
+@query(f"""WITH {SAMPLES}, o AS (SELECT usr, side, value - avg(value) OVER w AS d, row_number() OVER (PARTITION BY usr, side ORDER BY value) AS i, count(*) OVER w AS n FROM samples WINDOW w AS (PARTITION BY usr, side)),
+g AS (SELECT *, (i - 0.375) / (n + 0.25) - 0.5 AS q, sqrt(-ln(least((i - 0.375) / (n + 0.25), 1 - (i - 0.375) / (n + 0.25)))) AS r FROM o WHERE n >= 3), m AS (SELECT *, {_QUANTILE} AS m FROM g),
+s AS (SELECT usr, side, n, sqrt(1.0 / n) AS u, sum(m * m) AS mm, max(m) AS mn, max(CASE WHEN i = n - 1 THEN m END) AS mp, sum(d * d) AS ss FROM m GROUP BY ALL),
+a AS (SELECT *, mn / sqrt(mm) + 0.221157 * u - 0.147981 * u * u - 2.071190 * pow(u, 3) + 4.434685 * pow(u, 4) - 2.706056 * pow(u, 5) AS a1, mp / sqrt(mm) + 0.042981 * u - 0.293762 * u * u - 1.752461 * pow(u, 3) + 5.682633 * pow(u, 4) - 3.582633 * pow(u, 5) AS a2 FROM s),
+f AS (SELECT *, CASE WHEN n > 5 THEN (mm - 2 * mn * mn - 2 * mp * mp) / (1 - 2 * a1 * a1 - 2 * a2 * a2) ELSE (mm - 2 * mn * mn) / (1 - 2 * a1 * a1) END AS phi FROM a),
+c AS (SELECT usr, side, f.n, pow(sum(d * CASE WHEN f.n = 3 THEN (i - 2) * sqrt(0.5) WHEN i = f.n THEN a1 WHEN i = 1 THEN -a1 WHEN f.n > 5 AND i = f.n - 1 THEN a2 WHEN f.n > 5 AND i = 2 THEN -a2 ELSE m / sqrt(phi) END), 2) / any_value(ss) AS w FROM m JOIN f USING (usr, side) GROUP BY ALL),
+y AS (SELECT *, ln(1 - w) AS y, ln(n) AS l FROM c WHERE w < 1),
+z AS (SELECT *, CASE WHEN n <= 11 THEN (-ln(-2.273 + 0.459 * n - y) - (0.5440 - 0.39978 * n + 0.025054 * n * n - 0.0006714 * pow(n, 3))) / exp(1.3822 - 0.77857 * n + 0.062767 * n * n - 0.0020322 * pow(n, 3))
+  ELSE (y - (-1.5861 - 0.31082 * l - 0.083751 * l * l + 0.0038915 * pow(l, 3))) / exp(-0.4803 - 0.082676 * l + 0.0030302 * l * l) END AS z FROM y)
+SELECT usr, side, n, w, CASE WHEN n = 3 THEN greatest(0, 6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75)))) WHEN z >= 0 THEN {_tail('z')} ELSE 1 - {_tail('(-z)')} END AS p FROM z""", "w p", "n")
+def shapiro_wilk(spark, sf):
+    return stats.shapiro_wilk(fx.positions(spark, sf), SIDE, "value").where("w < 1")
+
+
 _KPSS_P = "CASE WHEN kpss <= 0.347 THEN 0.10 WHEN kpss <= 0.463 THEN 0.10 + (0.05 - 0.10) * (kpss - 0.347) / 0.116 WHEN kpss <= 0.574 THEN 0.05 + (0.025 - 0.05) * (kpss - 0.463) / 0.111 WHEN kpss <= 0.739 THEN 0.025 + (0.01 - 0.025) * (kpss - 0.574) / 0.165 WHEN kpss IS NOT NULL THEN 0.01 END"
 _KPSS = _sql["kpss_stat"].replace("round(kpss, 6) + 0.0 AS kpss", "kpss AS kpss")
 
 
 def _kpss(spark, sf):
-    return stationarity.stationarity(fx.positions(spark, sf), SIDE, ["kpss"])
+    got = stationarity.kpss(fx.positions(spark, sf), SIDE)
+    return got.select(*SIDE, F.lit("kpss").alias("method"), F.col("kpss").alias("statistic"))
 
 
 @query(f"SELECT usr, side, 'kpss' AS method, kpss AS statistic, {_KPSS_P} AS p FROM ({_KPSS}) k", "statistic p")
@@ -226,6 +267,17 @@ def kpss_inverted_p(spark, sf):
     return stationarity.with_p(_kpss(spark, sf), invert=True)
 
 
+@query(f"""WITH {SAMPLES}, e AS (SELECT usr, side, pos, value - avg(value) OVER w AS e, count(*) OVER w AS n FROM samples WINDOW w AS (PARTITION BY usr, side)),
+c AS (SELECT a.usr, a.side, a.n, a.pos - b.pos AS lag, sum(a.e * b.e) / any_value(a.n) AS c FROM e a JOIN e b ON a.usr = b.usr AND a.side = b.side AND b.pos <= a.pos GROUP BY a.usr, a.side, a.n, a.pos - b.pos),
+h AS (SELECT usr, side, n, sum(CASE WHEN lag = 0 THEN c WHEN lag <= floor(pow(n, 2.0 / 9) + 1e-12) THEN 2 * c ELSE 0 END) AS s0, sum(CASE WHEN lag <= floor(pow(n, 2.0 / 9) + 1e-12) THEN 2 * lag * c ELSE 0 END) AS s1 FROM c GROUP BY ALL),
+l AS (SELECT usr, side, n, least(n - 1, floor(1.1447 * pow(pow(s1 / s0, 2), 1.0 / 3) * pow(n, 1.0 / 3) + 1e-9))::BIGINT AS lags FROM h WHERE s0 > 0),
+v AS (SELECT usr, side, n, lags, sum(CASE WHEN lag = 0 THEN c WHEN lag <= lags THEN 2 * (1 - lag / (lags + 1.0)) * c ELSE 0 END) AS lam FROM c JOIN l USING (usr, side, n) GROUP BY ALL),
+s AS (SELECT usr, side, sum(s * s) AS ss FROM (SELECT usr, side, sum(e) OVER (PARTITION BY usr, side ORDER BY pos) AS s FROM e) q GROUP BY ALL)
+SELECT usr, side, ss / (n * n) / nullif(lam, 0) AS kpss, lags, n FROM v JOIN s USING (usr, side)""", "kpss", "lags n")
+def kpss_auto(spark, sf):
+    return unitroot.kpss_auto(fx.positions(spark, sf), SIDE)
+
+
 @query()
 def stationarity_p(spark, sf):
     return stationarity.with_p(stationarity.stationarity(fx.positions(spark, sf), SIDE))
