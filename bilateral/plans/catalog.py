@@ -301,6 +301,22 @@ def scale_yeojohnson(spark, sf):
     return rescale.yeo_johnson(fx.positions(spark, sf), SIDE).select("usr", "side", "pos", F.col("lambda").alias("power"), "scaled")
 
 
+_UP, _DOWN = "ln(1 + greatest(v, 0))", "ln(1 + greatest(-v, 0))"
+_PSI = f"CASE WHEN v >= 0 THEN CASE WHEN abs(mid) > 1e-9 THEN (exp(mid * {_UP}) - 1) / mid ELSE {_UP} END WHEN abs(2 - mid) > 1e-9 THEN -(exp((2 - mid) * {_DOWN}) - 1) / (2 - mid) ELSE -{_DOWN} END"
+_SLOPE = f"CASE WHEN v >= 0 THEN CASE WHEN abs(mid) > 1e-5 THEN (exp(mid * {_UP}) * (mid * {_UP} - 1) + 1) / (mid * mid) ELSE pow({_UP}, 2) / 2 + mid * pow({_UP}, 3) / 3 END WHEN abs(2 - mid) > 1e-5 THEN (exp((2 - mid) * {_DOWN}) * ((2 - mid) * {_DOWN} - 1) + 1) / pow(2 - mid, 2) ELSE pow({_DOWN}, 2) / 2 + (2 - mid) * pow({_DOWN}, 3) / 3 END"
+
+
+@query(f"""WITH RECURSIVE {SAMPLES}, g AS (SELECT usr, side, list(value::DOUBLE) AS x, count(*) AS n, sum(sign(value) * ln(1 + abs(value))) AS s FROM samples GROUP BY ALL HAVING max(value) > min(value)),
+b AS (SELECT usr, side, x, n, s, -4.0::DOUBLE AS lo, 6.0::DOUBLE AS hi, 0 AS k FROM g UNION ALL
+  SELECT usr, side, x, n, s, CASE WHEN s - n * c / w > 0 THEN mid ELSE lo END, CASE WHEN s - n * c / w > 0 THEN hi ELSE mid END, k + 1 FROM (
+    SELECT *, list_sum(list_transform(range(1, len(y) + 1), lambda i: y[i] * (d[i] - list_avg(d)))) / n AS c, list_sum(list_transform(y, lambda q: pow(q - list_avg(y), 2))) / n AS w FROM (
+      SELECT *, list_transform(x, lambda v: {_PSI}) AS y, list_transform(x, lambda v: {_SLOPE}) AS d FROM (SELECT *, (lo + hi) / 2 AS mid FROM b WHERE k < 45) m) t) q),
+l AS (SELECT usr, side, (lo + hi) / 2 AS mid FROM b WHERE k = 45), y AS (SELECT usr, side, pos, mid, {_PSI} AS psi FROM (SELECT usr, side, pos, value AS v FROM samples) i LEFT JOIN l USING (usr, side))
+SELECT usr, side, pos, mid AS power, (psi - avg(psi) OVER w) / nullif(stddev_pop(psi) OVER w, 0) AS scaled FROM y WINDOW w AS (PARTITION BY usr, side)""", "power scaled")
+def scale_yeojohnson_likeliest(spark, sf):
+    return rescale.yeo_johnson(fx.positions(spark, sf), SIDE, grid=None).select("usr", "side", "pos", F.col("lambda").alias("power"), "scaled")
+
+
 @query(f"""WITH {SAMPLES} SELECT usr, side, pos, (rank() OVER (PARTITION BY usr, side ORDER BY value) + (count(*) OVER (PARTITION BY usr, side, value) - 1) / 2.0 - 1)
   / nullif(count(*) OVER (PARTITION BY usr, side) - 1, 0) AS scaled FROM samples""", "scaled")
 def scale_quantile(spark, sf):
