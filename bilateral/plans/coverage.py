@@ -292,7 +292,10 @@ def dcca_events(spark, sf):
     return lagcorr.max_over_lags(lagcorr.detrended(s, ["usr", "event"], 4, 9), ["usr", "event"])
 
 
-@query()
+_DCCA_ALL = _DCCA.replace("range(4)", "range(64)").replace("o.pos + 9", "o.pos + 20").replace("o.pos - 4.5", "o.pos - 10").replace("count(*) = 10", "count(*) = 21")
+
+
+@query(f"{_DCCA_ALL} SELECT usr, max(value) AS value, arg_max(lag, value) AS lag FROM v WHERE value IS NOT NULL GROUP BY usr", "value")
 def dcca_all_lags(spark, sf):
     """64 lags of boxes of 20 samples."""
     return lagcorr.max_over_lags(lagcorr.detrended(_series(spark, sf), ["usr"], 64, 20), ["usr"])
