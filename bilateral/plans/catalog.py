@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import epoch, holm, normal_tail
 from ..functions.ship import ship
-from ..operators import align, features, filters, keys, lagcorr, models, rescale, sampling, segments, stationarity, stats, summary, warping
+from ..operators import align, features, filters, keys, lagcorr, models, peaks, rescale, sampling, segments, stationarity, stats, summary, warping
 from ..sources import recordings as sources
 from . import fixtures as fx
 from .fixtures import EFFECTS, FEAT, INTERVALS, PAIRED, SAMPLES, SCORES, SEGMENTS
@@ -457,6 +457,22 @@ def feat_peaks(spark, sf):
     return features.skin_peaks(fx.positions(spark, sf), SIDE)
 
 
+@query(f"""WITH {SAMPLES}, r AS (SELECT *, lag(value) OVER w AS b, lead(value) OVER w AS a FROM samples WINDOW w AS (PARTITION BY usr, side ORDER BY pos)),
+k AS (SELECT usr, side, pos, value FROM r x WHERE value > b AND (SELECT arg_min(z.value, z.pos) FROM samples z WHERE z.usr = x.usr AND z.side = x.side AND z.pos > x.pos AND z.value <> x.value) < value),
+g AS (SELECT k.usr, k.side, k.pos, any_value(k.value) AS height, max(CASE WHEN z.pos < k.pos AND z.value > k.value THEN z.pos END) AS l, min(CASE WHEN z.pos > k.pos AND z.value > k.value THEN z.pos END) AS h FROM k JOIN samples z USING (usr, side) GROUP BY ALL),
+m AS (SELECT g.usr, g.side, g.pos, any_value(height) AS height, any_value(height) - greatest(min(CASE WHEN z.pos <= g.pos THEN z.value END), min(CASE WHEN z.pos >= g.pos THEN z.value END)) AS prominence
+  FROM g JOIN samples z ON g.usr = z.usr AND g.side = z.side AND z.pos > coalesce(l, -1) AND z.pos < coalesce(h, 1000000000) GROUP BY ALL)
+SELECT usr, side, pos, height, prominence FROM m""", "height prominence")
+def peaks_by_prominence(spark, sf):
+    return peaks.prominences(fx.positions(spark, sf), SIDE)
+
+
+@query(f"""WITH p AS ({{0}}), m AS (SELECT *, max(prominence) OVER (PARTITION BY usr, side) AS most FROM p), {SAMPLES}
+SELECT s.usr, s.side, coalesce(n, 0) AS number_of_peaks, coalesce(total, 0) AS peaks_amplitude FROM (SELECT DISTINCT usr, side FROM samples) s LEFT JOIN (SELECT usr, side, count(*) AS n, sum(height) AS total FROM m WHERE prominence >= 0.1 * most GROUP BY ALL) q USING (usr, side)""".replace("{0}", _sql["peaks_by_prominence"].replace("round(height, 6) + 0.0", "height").replace("round(prominence, 6) + 0.0", "prominence")), "peaks_amplitude", "number_of_peaks")
+def feat_prominent_peaks(spark, sf):
+    return peaks.prominent_peaks(fx.positions(spark, sf), SIDE)
+
+
 @query(f"""{_PEAKS}, g AS (SELECT usr, side, pos, value, (pos - lag(pos) OVER w) * 1000.0 / 64 AS nn FROM n WHERE value > b AND value >= a WINDOW w AS (PARTITION BY usr, side ORDER BY pos)),
 h AS (SELECT *, nn - lag(nn) OVER (PARTITION BY usr, side ORDER BY pos) AS dd FROM g),
 f AS (SELECT usr, side, count(*) AS n, max(value) AS hi, min(value) AS lo, avg(nn) AS mean_nn, stddev_samp(nn) AS sdnn, sqrt(avg(dd * dd)) AS rmssd, stddev_samp(dd) AS sdsd, (sum(60000.0 / nn) + 60000.0 / avg(nn)) / (count(nn) + 1) AS hr FROM h GROUP BY ALL),
