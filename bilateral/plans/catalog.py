@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import epoch, holm, normal_tail
 from ..functions.ship import ship
-from ..operators import align, features, filters, keys, lagcorr, models, peaks, rescale, sampling, segments, stationarity, stats, summary, warping
+from ..operators import align, deconvolution, features, filters, keys, lagcorr, models, peaks, rescale, sampling, segments, stationarity, stats, summary, warping
 from ..sources import recordings as sources
 from . import fixtures as fx
 from .fixtures import EFFECTS, FEAT, INTERVALS, PAIRED, SAMPLES, SCORES, SEGMENTS
@@ -393,6 +393,11 @@ def tonic_phasic(spark, sf):
     return filters.tonic_phasic(fx.positions(spark, sf), SIDE, 4).select("usr", "side", "pos", "tonic", "phasic")
 
 
+@query()
+def tonic_phasic_sparse(spark, sf):
+    return deconvolution.tonic_phasic(fx.positions(spark, sf), SIDE, 4.0).select("usr", "side", "pos", "tonic", "phasic", "driver")
+
+
 @query(f"""WITH {SAMPLES}, d AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY usr, side ORDER BY pos)) AS d FROM samples)
 SELECT usr, side, CAST(floor(pos / 5) AS BIGINT) AS window_id, CASE WHEN min(value) < 0.5 OR max(value) > 150 OR coalesce(max(d), 0) > 80 OR (count(*) > 1 AND min(value) = max(value)) THEN 1 ELSE 0 END AS artefact, count(*) AS n FROM d GROUP BY ALL""", longs="artefact")
 def artefact_rules(spark, sf):
