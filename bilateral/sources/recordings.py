@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 IGNORED = ("tags", "IBI", "Table")
@@ -12,23 +13,38 @@ _LAB = r"([^/]+)/(left|right)/([A-Za-z]+)\.csv$"
 _SLEEP = r"([^/]+)/[^/]+/([^/]+)/(left|right)/([A-Za-z]+)_([^/]+)\.csv$"
 
 
+def numbered_lines(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """(path, line, value) of all text files below a folder, lines numbered from 0; blank lines at a file's end are left out.
+
+    Files are read in byte ranges: lines are numbered within each range, and the counts of the ranges before it in its file are added,
+    so a long file is many tasks' work and no task sees more than a range."""
+    raw = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("range"), "value", F.monotonically_increasing_id().alias("at"))
+    lines = raw.withColumn("inside", F.row_number().over(W.partitionBy("path", "range").orderBy("at")) - 1)
+    full = F.when(F.trim("value") != "", F.col("inside"))
+    ranges = lines.groupBy("path", "range").agg(F.count("*").alias("n"), F.max(full).alias("full"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = ranges.select("path", "range", before.alias("base"), "full")
+    placed = placed.select("path", "range", "base", F.max(F.col("base") + F.col("full")).over(W.partitionBy("path")).alias("last"))
+    return lines.join(placed, ["path", "range"]).select("path", (F.col("base") + F.col("inside")).alias("line"), "value", "last").where("line <= last").drop("last")
+
+
 def raw_csv(spark: SparkSession, path: str, mode: int = 1) -> tuple[DataFrame, DataFrame]:
     """(recordings, samples) of raw sensor files: two header lines hold the start (unix seconds) and the rate,
-    the others one value per column. A file is one session, small enough for one row; every later step uses ``pos``."""
+    the others one value per column. A file is one session, of any length (see ``numbered_lines``)."""
     if mode not in (1, 2):
         raise ValueError("mode must be 1 or 2")
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.csv").select(F.col("_metadata.file_path").alias("path"), "value")
+    lines = numbered_lines(spark, path)
     for word in IGNORED:
-        files = files.where(~F.element_at(F.split("path", "/"), -1).contains(word))
+        lines = lines.where(~F.element_at(F.split("path", "/"), -1).contains(word))
     pattern, groups = (_LAB, {"usr": 1, "side": 2, "signal": 3}) if mode == 1 else (_SLEEP, {"usr": 1, "device": 2, "side": 3, "signal": 4, "session": 5})
-    keyed = files.where(F.col("path").rlike(pattern)).select(*[F.regexp_extract("path", pattern, g).alias(n) for n, g in groups.items()], F.split(F.rtrim(F.regexp_replace("value", "\r", ""), F.lit("\n")), "\n").alias("lines"))
+    keyed = lines.where(F.col("path").rlike(pattern)).select(*[F.regexp_extract("path", pattern, g).alias(n) for n, g in groups.items()], "line", "value", "path")
     if mode == 1:
         keyed = keyed.withColumn("session", F.lit("lab"))
-    head = lambda i: F.trim(F.split(F.col("lines")[i], ",")[0]).cast("double")
     keys = ["signal", "side", "usr", "session"]
-    recordings = keyed.where(F.size("lines") >= 2).select(*keys, head(0).alias("start_s"), head(1).alias("fs_hz"))
-    body = keyed.where(F.size("lines") > 2).select(*keys, F.posexplode(F.slice("lines", 3, F.size("lines"))).alias("pos", "line"))
-    samples = body.select(*keys, F.col("pos").cast("long").alias("pos"), F.transform(F.split("line", ","), lambda v: F.nullif(F.trim(v).try_cast("double"), F.lit(float("nan")))).alias("axes"))
+    head = lambda i: F.max(F.when(F.col("line") == i, F.trim(F.split("value", ",")[0]))).try_cast("double")
+    recordings = keyed.where("line < 2").groupBy(*keys, "path").agg(head(0).alias("start_s"), head(1).alias("fs_hz"), F.count("*").alias("n")).where("n = 2").select(*keys, "start_s", "fs_hz")
+    values = F.transform(F.split("value", ","), lambda v: F.nullif(F.trim(v).try_cast("double"), F.lit(float("nan"))))
+    samples = keyed.where("line >= 2").select(*keys, (F.col("line") - 2).cast("long").alias("pos"), values.alias("axes"))
     return recordings, samples
 
 
