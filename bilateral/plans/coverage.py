@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import QUANTILE_CENTRE, QUANTILE_FAR, QUANTILE_TAIL, epoch
-from ..operators import align, exact, features, filters, keys, lagcorr, sampling, segments, stationarity, stats, summary, unitroot
+from ..operators import align, exact, features, filters, keys, lagcorr, neighbours, sampling, segments, stationarity, stats, summary, unitroot
 from ..sources import recordings as sources
 from . import fixtures as fx
 from .catalog import (
@@ -383,3 +383,31 @@ SELECT component, feature, r, c.n, tanh(atanh(r) - {_Z} / sqrt(c.n - 3)) AS ci_l
        "r ci_low ci_high delta delta_low delta_high")
 def left_right_effects(spark, sf):
     return flagship(spark, sf)
+
+
+# --- neighbours and discriminants
+
+_DEALT = f"WITH {FEAT}, f AS (SELECT *, (row_number() OVER (PARTITION BY y ORDER BY md5('7:' || id), id) - 1) % 5 AS fold FROM feat)"
+
+
+@query(f"""{_DEALT}, d AS (SELECT a.id, b.id AS other, b.y, sqrt(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: pow(a.x[i]::DOUBLE - b.x[i]::DOUBLE, 2)))) AS d FROM f a JOIN f b ON a.fold = 0 AND b.fold > 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS r FROM d), k AS (SELECT * FROM n WHERE r <= 5)
+SELECT id, any_value(v.y)::DOUBLE AS prediction, min(d) AS nearest, max(d) AS fifth, sum(other) AS others FROM k JOIN (SELECT id, arg_max(y, c * 1000 - y) AS y FROM (SELECT id, y, count(*) AS c FROM k GROUP BY ALL) q GROUP BY id) v USING (id) GROUP BY id""", "prediction nearest fifth", "others")
+def nearest_neighbours(spark, sf):
+    """The five nearest of the other folds for every row of the first, and their vote."""
+    f = sampling.stratified_folds(fx.feat(spark, sf), "y", "id", 5, 7)
+    near = neighbours.nearest(f.where("fold > 0"), f.where("fold = 0"))
+    each = near.select("id", F.explode("near").alias("n")).groupBy("id").agg(F.min("n.distance").alias("nearest"), F.max("n.distance").alias("fifth"), F.sum("n.neighbour").alias("others"))
+    return neighbours.vote(near).join(each, "id")
+
+
+@query()
+def discriminants(spark, sf):
+    """Linear and quadratic discriminants of four folds on the fifth."""
+    f = sampling.stratified_folds(fx.feat(spark, sf), "y", "id", 5, 7)
+    train, test = f.where("fold > 0"), f.where("fold = 0")
+    out = None
+    for name, own in (("linear", False), ("quadratic", True)):
+        one = neighbours.discriminant(train, test, own).join(test.select("id", "y"), "id").select("id", F.lit(name).alias("model"), F.col("y").alias("label"), "prediction")
+        out = one if out is None else out.union(one)
+    return out
