@@ -209,7 +209,7 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     h = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.ln(-F.ln((h + 0.5) / 4294967296.0)))
-    scored = weighed.withColumn("score", (F.col("weight") + noise).cast("long"))
+    scored = tables.put(weighed.withColumn("score", (F.col("weight") + noise).cast("long")))  # range partitioning reads it twice
     # rows that may be drawn first; the position of a row is its partition (upper bits) and its place in it (lower 33 bits)
     order = [F.expr(f"n_words < {least_words}"), F.desc("score"), F.asc_nulls_last("doc_id"), F.col("n_features"), F.col("weight")]
     in_order = scored.repartitionByRange(*order).sortWithinPartitions(*order)
