@@ -70,9 +70,14 @@ def candidates(space: dict, n: int, seed: int) -> list[dict]:
     return sorted(grid, key=lambda p: hashlib.md5(f"{seed}:{p}".encode()).hexdigest())[:n]
 
 
-def score(predictions: DataFrame) -> float:
+def scores(predictions: DataFrame) -> dict[str, float]:
+    """Balanced accuracy, accuracy and F1 (NaN where there is none)."""
     got = summary.balanced_accuracy(predictions.withColumn("_k", F.lit(1)), ["_k"]).first()
-    return float(got["balanced_accuracy"]) if got else float("nan")
+    return {m: float(got[m]) if got and got[m] is not None else float("nan") for m in ("balanced_accuracy", "accuracy", "f1")}
+
+
+def score(predictions: DataFrame) -> float:
+    return scores(predictions)["balanced_accuracy"]
 
 
 def _vectors(df: DataFrame) -> DataFrame:
@@ -243,15 +248,15 @@ def nested_loso(df: DataFrame, train_side: str | None = None, test_side: str | N
 
 
 def kfold_battery(df: DataFrame, k: int = 3, seed: int = 1, models: dict | None = None, split=None) -> DataFrame:
-    """fold_scores of default classifiers over stratified folds; ``split`` may deal the folds instead."""
+    """fold_scores (balanced accuracy, accuracy, F1) of default classifiers over stratified folds; ``split`` may deal the folds instead."""
     spark, out = df.sparkSession, []
     data = (split or (lambda d: sampling.stratified_folds(d, "label", "id", k, seed, "outer")))(_vectors(df)).cache()
     for f in sorted(r[0] for r in data.select("outer").distinct().collect()):
         train, test = data.where(F.col("outer") != f).drop("outer"), data.where(F.col("outer") == f)
         for name, est in (models or battery(seed)).items():
-            out.append((str(f), name, "balanced_accuracy", score(est.fit(train).transform(test))))
-        out.append((str(f), "NearestCentroid", "balanced_accuracy", score(centroid_predict(train, test))))
-        out.append((str(f), "DummyClassifier", "balanced_accuracy", score(dummy_predict(train, test, seed=seed))))
+            out += [(str(f), name, m, v) for m, v in scores(est.fit(train).transform(test)).items()]
+        out += [(str(f), "NearestCentroid", m, v) for m, v in scores(centroid_predict(train, test)).items()]
+        out += [(str(f), "DummyClassifier", m, v) for m, v in scores(dummy_predict(train, test, seed=seed)).items()]
     data.unpersist()
     return spark.createDataFrame(out, "fold_id string, model string, metric string, value double")
 
