@@ -834,17 +834,17 @@ def topk_features(spark, sf):
 
 @query()
 def nested_cv_gbt(spark, sf):
-    return models.nested_cv(fx.feat(spark, sf), seed_triples=models.seed_triples(1))
+    return models.nested_cv(fx.feat(spark, sf), n_points=20, seed_triples=models.seed_triples(1))
 
 
 @query()
 def nested_opposite_side_gbt(spark, sf):
-    return models.nested_opposite_side(fx.feat(spark, sf), seed_triples=models.seed_triples(1))
+    return models.nested_opposite_side(fx.feat(spark, sf), n_points=20, seed_triples=models.seed_triples(1))
 
 
 @query()
 def nested_loso_gbt(spark, sf):
-    return models.nested_loso(fx.feat(spark, sf), "left", "right", seed_triples=models.seed_triples(1))
+    return models.nested_loso(fx.feat(spark, sf), "left", "right", n_points=20, seed_triples=models.seed_triples(1))
 
 
 @query()
