@@ -15,8 +15,8 @@ state s that a word follows, and log(1 + share / (back * P of the suffix)) for e
 base score plus the values of its grams, looked up in tables.
 
 The tree is a table of grams (64-bit hashes) and values. The most frequent words and grams (at most ``HOT_WORDS`` and
-``HOT_GRAMS`` a level) are sent to every task, and a Bloom filter of fixed size names all grams: only
-the occurrences of the others are joined with the rest of the table. Where the line runs changes no result.
+``HOT_GRAMS`` a level) are sent to every task, and a Bloom filter of fixed size names all grams: the occurrences of the others
+meet the rest of the table in buckets of keys, in blocks of one slice of texts each, and each slice gets its answers back. Where the line runs changes no result.
 
 Null and empty texts are a lone end token; rows with a null doc_id train (their id counts as ''); repeated rows count each;
 very long texts are read whole; without training texts N and V are 0 and every token is unknown; empty tables give no rows;
@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
+from .blocks import joined
 from .ngram_join import bloom_of, in_bloom
 from .tables import Tables, hot_and_rest
 from .words import hashes, mix, signed, slices, spans
@@ -45,8 +47,10 @@ HOT_WORDS = 500_000
 HOT_GRAMS = 500_000
 FILTER_BITS = 1 << 26  # 8 MB
 SLICE = 4 << 20  # bytes of text at a time
+COUNT_BUCKET = 1_000_000  # training tokens for each bucket of counted grams
+WORD_BIT = np.uint32(1 << 31)
+ASK_BUCKET = 2_000_000  # and for each bucket of looked-up ones
 END = mix(np.array([1], np.uint64))[0]
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _tokens(batches):
@@ -64,10 +68,6 @@ def longer(g: np.ndarray) -> np.ndarray:
     return joined(np.concatenate([np.zeros(1, np.uint64), g[:-1]]) if len(g) else g, g)
 
 
-def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    return mix(context * _STEP + suffix)
-
-
 def _count(batches):
     for _, h, _, _ in _tokens(batches):
         words, n = np.unique(h, return_counts=True)
@@ -92,8 +92,7 @@ def _sorted(df: DataFrame, key: str, *columns: str) -> tuple[np.ndarray, ...]:
 
 def _counted(a: np.ndarray, b: np.ndarray):
     """Each different (a, b) with its number of rows."""
-    _, first, n = np.unique(joined(a, b), return_index=True, return_counts=True)
-    return pa.RecordBatch.from_arrays([signed(a[first]), signed(b[first]), pa.array(n)], names=["a", "b", "n"])
+    return blocks.added(a, b, np.ones(len(a), np.int64))[1:]
 
 
 def _pairs(shared):
@@ -116,16 +115,14 @@ def _pairs(shared):
 def _named(shared):
     """(key, context, word, total, own, n) of pairs; the counts of words are 0 where they aren't frequent."""
 
-    def named(batches):
+    def named(a, b, n):
         words, count = shared.value[0]
-        for t in batches:
-            a, b, n = (t.column(k).to_numpy() for k in range(3))
-            hot = b == 0
-            c, w = a.view(np.uint64).copy(), b.view(np.uint64).copy()
-            if hot.any():
-                c[hot], w[hot] = words[a[hot] >> 32], words[a[hot] & 0xFFFFFFFF]
-            total, own = (np.where(x >= 0, count[np.maximum(x, 0)] if len(count) else 0, 0) for x in (_find(words, c), _find(words, w)))
-            yield pa.RecordBatch.from_arrays([signed(joined(c, w)), signed(c), signed(w), pa.array(total), pa.array(own), pa.array(n)], names=["key", "context", "word", "total", "own", "n"])
+        hot = b == 0
+        c, w = a.copy(), b.copy()
+        if hot.any():
+            c[hot], w[hot] = words[a[hot] >> np.uint64(32)], words[a[hot] & np.uint64(0xFFFFFFFF)]
+        total, own = (np.where(x >= 0, count[np.maximum(x, 0)] if len(count) else 0, 0) for x in (_find(words, c), _find(words, w)))
+        return pa.RecordBatch.from_arrays([signed(joined(c, w)), signed(c), signed(w), pa.array(total), pa.array(own), pa.array(n)], names=["key", "context", "word", "total", "own", "n"])
 
     return named
 
@@ -145,17 +142,6 @@ def _grams(shared, depth: int):
     return grams
 
 
-def _keyed(batches):
-    for t in batches:
-        a, b = (t.column(k).to_numpy().view(np.uint64) for k in range(2))
-        yield pa.RecordBatch.from_arrays([signed(joined(a, b)), *(t.column(k) for k in range(3))], names=["key", "context", "suffix", "n"])
-
-
-def _repeated(text: DataFrame, work) -> DataFrame:
-    counts = text.mapInArrow(work, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return counts.where(F.col("n") >= LEAST_PAIR)
-
-
 def retained(candidates: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """Entries (key, n, p, value) that pass the test, and (context, back), from (key, context, total, n, low): how often the
     context stands, the entry stands, and P(word | shorter context)."""
@@ -182,7 +168,8 @@ def train(docs: DataFrame, tables: Tables, depth: int | None = None) -> dict:
 
     hot, _ = hot_and_rest(counts, "n", HOT_WORDS)
     shared = sc.broadcast((_sorted(hot, "word", "n"), bloom_of(counts.where(F.col("n") >= LEAST_PAIR).select("word"), FILTER_BITS)))
-    found = _repeated(text, _pairs(shared)).mapInArrow(_named(shared), "key long, context long, word long, total long, own long, n long")
+    buckets = 1 + (total or 0) // COUNT_BUCKET
+    found = blocks.counted(text, _pairs(shared), buckets, LEAST_PAIR, _named(shared), "key long, context long, word long, total long, own long, n long")
     found = tables.put(found)
     tables.release()
     base = lambda c: (F.col(c) + 0.5) / scale
@@ -202,7 +189,7 @@ def train(docs: DataFrame, tables: Tables, depth: int | None = None) -> dict:
     tree = {"total": total or 0, "scale": scale, "words": words, "levels": []}
     for d in range(2, (depth or DEPTH) + 1):
         bloom = sc.broadcast(bloom_of(entries.select("key"), FILTER_BITS))
-        counted = tables.put(_repeated(text, _grams(bloom, d)).mapInArrow(_keyed, "key long, context long, suffix long, n long"))
+        counted = tables.put(blocks.counted(text, _grams(bloom, d), buckets, LEAST_PAIR, blocks.keyed, "key long, context long, suffix long, n long"))
         tables.release()
         got = counted.join(entries.select(F.col("key").alias("suffix"), F.col("p").alias("low")), "suffix").join(entries.select(F.col("key").alias("context"), F.col("n").alias("total")), "context")
         more, backs = retained(got.select("key", "context", "total", "n", "low"), tables)
@@ -215,7 +202,14 @@ def train(docs: DataFrame, tables: Tables, depth: int | None = None) -> dict:
     return tree
 
 
-def _score(shared):
+DOCS = ("doc_id", "held_out", "n_tokens", "known", "base", "gain")
+DOC_TYPES = "doc_id long, held_out boolean, n_tokens long, known long, base double, gain double"
+
+
+def _score(shared, buckets: int):
+    """One row for each slice of texts: its documents with what the frequent words and grams give, and its other words and
+    grams as blocks (row in the slice, gram), a word's row with its highest bit set, by bucket."""
+
     def score(batches):
         (words, count, back), levels, every, scale = shared.value
         for rows, h, n, place in _tokens(batches):
@@ -225,7 +219,7 @@ def _score(shared):
             add = lambda v, of=None: np.bincount(row if of is None else row[of], weights=v, minlength=rows.num_rows)  # noqa: E731, B023
             base = np.where(known, np.log10((count[np.maximum(at, 0)] + 0.5) / scale), 0) if len(count) else np.zeros(len(h))
             gain = add(np.where(known, back[np.maximum(at, 0)], 0) if len(back) else np.zeros(len(h)))
-            g, open_, of, kind = h, [h[~known]], [row[~known]], [np.ones(int((~known).sum()), bool)]
+            g, asked, of = h, [h[~known]], [row[~known].astype(np.uint32) | WORD_BIT]
             for d, (keys, value) in enumerate(levels, 1):
                 g = longer(g)
                 inside = np.flatnonzero(place >= d)
@@ -234,19 +228,67 @@ def _score(shared):
                 if len(keys):
                     gain += add(np.where(at >= 0, value[np.maximum(at, 0)], 0), inside)
                 ask = inside[at < 0]
-                open_.append(g[ask]), of.append(row[ask]), kind.append(np.zeros(len(ask), bool))
-            of = np.concatenate(of)
-            order = np.argsort(of, kind="stable")
-            ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=rows.num_rows))]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, x) for x in (signed(np.concatenate(open_)[order]), pa.array(np.concatenate(kind)[order]))]
+                asked.append(g[ask]), of.append(row[ask].astype(np.uint32))
+            asked, of = np.concatenate(asked), np.concatenate(of)
+            order = np.argsort(asked, kind="stable")
+            asked, of = asked[order], of[order]
+            edge = np.searchsorted(blocks.bucket_of(asked, buckets), np.arange(buckets + 1))
+            full = np.flatnonzero(np.diff(edge))
+            sent = [blocks.block(of[i:j], asked[i:j]) for i, j in zip(edge[full], edge[full + 1], strict=True)]
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            docs = [rows.column("doc_id"), rows.column("held_out"), pa.array(n), pa.array(add(known).astype(np.int64)), pa.array(add(base)), pa.array(gain)]
+            asks = [pa.array(full, pa.int32()), pa.array(sent, pa.binary())]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("rid"), rows.column("doc_id"), rows.column("held_out"), pa.array(n), pa.array(add(known).astype(np.int64)), pa.array(add(base)), pa.array(gain), *lists],
-                names=["rid", "doc_id", "held_out", "n_tokens", "hot_known", "hot_base", "gain", "grams", "is_word"],
+                [rows.column("rid").slice(0, 1), one(pa.StructArray.from_arrays(docs, names=DOCS)), one(pa.StructArray.from_arrays(asks, names=["bucket", "block"]))],
+                names=["slice", "docs", "asks"],
             )
 
     return score
 
 
+def _answer(scale: float):
+    """Blocks (row, value of its grams) and (row, number and base of its known words) for the asks of a bucket."""
+
+    def answer(key, asks, values):
+        keys = values.column("key").to_numpy().view(np.uint64)
+        kind = values.column("is_word").to_numpy().astype(bool)
+        word, gram = ((keys[m][o], values.column("value").to_numpy()[m][o], values.column("n").to_numpy()[m][o]) for m in (kind, ~kind) for o in [np.argsort(keys[m])])
+        out = []
+        for data in asks.column("block").to_pylist():
+            of, h = blocks.arrays(data, "u4", "u8")
+            is_word, of = of >= WORD_BIT, of & ~WORD_BIT
+            add = lambda at, v: np.bincount(at, weights=v, minlength=int(of.max()) + 1)  # noqa: E731, B023
+            at = _find(gram[0], h[~is_word])
+            more = add(of[~is_word][at >= 0], gram[1][at[at >= 0]])
+            at = _find(word[0], h[is_word])
+            more += add(of[is_word][at >= 0], word[1][at[at >= 0]])
+            n = np.where(at >= 0, word[2][at], 0) if len(word[0]) else np.zeros(len(at))
+            known, base = add(of[is_word], n > 0), add(of[is_word], np.log10((n + 0.5) / scale))
+            rows = np.flatnonzero(more).astype(np.uint32), np.flatnonzero(base).astype(np.uint32)
+            out.append((blocks.block(rows[0], more[rows[0]]), blocks.block(rows[1], known[rows[1]].astype(np.uint32), base[rows[1]])))
+        return pa.table({"slice": asks.column("slice"), "bucket": asks.column("bucket"), "grams": pa.array([x for x, _ in out], pa.binary()), "words": pa.array([x for _, x in out], pa.binary())})
+
+    return answer
+
+
+def _whole(total: int):
+    def whole(key, docs, answers):
+        docs = pa.Table.from_struct_array(pa.chunked_array([x.flatten() for x in docs.column("docs").chunks]))
+        n = docs.num_rows
+        known, base, gain = (docs.column(c).to_numpy().copy() for c in ("known", "base", "gain"))
+        more = np.zeros(n)
+        for t in answers.sort_by("bucket").select(["grams", "words"]).to_pylist():
+            at, value = blocks.arrays(t["grams"], "u4", "f8")
+            more[at] += value
+            at, count, value = blocks.arrays(t["words"], "u4", "u4", "f8")
+            known[at] += count
+            base[at] += value
+        columns = [docs.column("doc_id"), docs.column("held_out"), docs.column("n_tokens"), pa.array(known), pa.array(np.full(n, total)), pa.array(base), pa.array(base + gain + more)]
+        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return whole
+
+
 def score(docs: DataFrame, held_out, depth: int | None = None) -> DataFrame:
     """Scores every row of docs; ``held_out`` is a Column that is true for rows which don't train."""
     spark = docs.sparkSession
@@ -261,19 +303,17 @@ def score(docs: DataFrame, held_out, depth: int | None = None) -> DataFrame:
         rest = others if rest is None else rest.union(others)
     bloom = bloom_of(functools.reduce(DataFrame.union, [level.select("key") for level in tree["levels"]]), FILTER_BITS)
     shared = spark.sparkContext.broadcast((_sorted(hot, "word", "n", "value"), levels, bloom, tree["scale"]))
+    buckets = 1 + tree["total"] // ASK_BUCKET
     seen = marked.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(
-        _score(shared), "rid long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_base double, gain double, grams array<long>, is_word array<boolean>"
+        _score(shared, buckets), f"slice long, docs array<struct<{DOC_TYPES.replace(' ', ': ').replace(',: ', ', ')}>>, asks array<struct<bucket: int, block: binary>>"
     )
-    seen = tables.put(seen)
+    seen = tables.put(seen)  # fixes the slices
     tables.release()
-    asked = seen.select("rid", F.explode(F.arrays_zip(F.col("grams").alias("key"), F.col("is_word").alias("is_word"))).alias("a")).select("rid", "a.key", "a.is_word")
-    values = rare.select(F.col("word").alias("key"), "n", "value").union(rest.select("key", F.lit(None).cast("long").alias("n"), "value"))
-    found = asked.join(values, "key", "left").groupBy("rid").agg(
-        F.count("n").alias("known"), F.sum(F.when(F.col("is_word"), F.log10((F.coalesce("n", F.lit(0)) + 0.5) / tree["scale"])).otherwise(0.0)).alias("base"), F.sum(F.coalesce("value", F.lit(0.0))).alias("more")
-    )
-    out = seen.drop("grams", "is_word").join(found, "rid", "left")
-    base = F.col("hot_base") + F.coalesce("base", F.lit(0.0))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(tree["total"]).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain") + F.coalesce("more", F.lit(0.0))).alias("score"),
-    )
+    asks = seen.select("slice", F.explode("asks").alias("a")).select("slice", "a.bucket", "a.block")
+    key = F.col("key")
+    values = rare.select(F.col("word").alias("key"), "n", "value", F.lit(True).alias("is_word")).union(rest.select("key", F.lit(0).cast("long"), "value", F.lit(False)))
+    bucket = F.shiftright(F.shiftrightunsigned(key, 32) * buckets, 32).cast("int").alias("bucket")
+    values = values.select(bucket, "key", "n", "value", "is_word")
+    answers = asks.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(_answer(tree["scale"]), "slice long, bucket int, grams binary, words binary")
+    whole = seen.select("slice", "docs").groupBy("slice").cogroup(answers.groupBy("slice"))
+    return whole.applyInArrow(_whole(tree["total"]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

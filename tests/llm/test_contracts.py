@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from bilateral.llm import fingerprints, flac, language_id, licenses, mixing, packing, suffix_tree, toxicity
+from bilateral.llm import blocks, fingerprints, flac, language_id, licenses, mixing, packing, suffix_tree, toxicity
 from bilateral.llm import queries as Q
 from pyspark.sql import functions as F
 
@@ -427,6 +427,10 @@ def test_suffix_tree(spark, tiny, docs, odd, monkeypatch):
     for limit in (suffix_tree.HOT_WORDS, 50):  # most words and grams in the tables, too
         monkeypatch.setattr(suffix_tree, "HOT_WORDS", limit)
         monkeypatch.setattr(suffix_tree, "HOT_GRAMS", limit)
+        if limit == 50:  # and in many buckets
+            monkeypatch.setattr(suffix_tree, "COUNT_BUCKET", 20_000)
+            monkeypatch.setattr(suffix_tree, "ASK_BUCKET", 20_000)
+            monkeypatch.setattr(blocks, "GATHERED", 5_000)
         for df, rows in ((Q.op9_suffix_tree(spark, tiny), [(d[0], d[1]) for d in docs]), (suffix_tree.score(odd, Q._fold(5) == 1), ODD)):
             got = sorted(df.collect(), key=str)
             want = sorted(brute_base(rows), key=lambda x: str(x[:4]))
