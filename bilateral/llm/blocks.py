@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from .words import mix, signed
 
-GATHERED = 1_500_000  # entries that a task holds before it sends or adds up
+GATHERED = 500_000  # entries that a task holds before it sends or adds up
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
