@@ -46,7 +46,7 @@ DISCOUNT = 0.5
 HOT_WORDS = 500_000
 HOT_GRAMS = 500_000
 FILTER_BITS = 1 << 26  # 8 MB
-SLICE = 4 << 20  # bytes of text at a time
+SLICE = 2 << 20  # bytes of text at a time
 COUNT_BUCKET = 1_000_000  # training tokens for each bucket of counted grams
 WORD_BIT = np.uint32(1 << 31)
 ASK_BUCKET = 2_000_000  # and for each bucket of looked-up ones
@@ -203,12 +203,12 @@ def train(docs: DataFrame, tables: Tables, depth: int | None = None) -> dict:
 
 
 DOCS = ("doc_id", "held_out", "n_tokens", "known", "base", "gain")
-DOC_TYPES = "doc_id long, held_out boolean, n_tokens long, known long, base double, gain double"
+DOC_TYPES = "doc_id: long, held_out: boolean, n_tokens: long, known: long, base: double, gain: double"
 
 
 def _score(shared, buckets: int):
-    """One row for each slice of texts: its documents with what the frequent words and grams give, and its other words and
-    grams as blocks (row in the slice, gram), a word's row with its highest bit set, by bucket."""
+    """For each slice of texts a row with its documents and what the frequent words and grams give, and for each bucket a row
+    with its other words and grams as a block (row in the slice, gram), a word's row with its highest bit set."""
 
     def score(batches):
         (words, count, back), levels, every, scale = shared.value
@@ -235,13 +235,11 @@ def _score(shared, buckets: int):
             edge = np.searchsorted(blocks.bucket_of(asked, buckets), np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(edge))
             sent = [blocks.block(of[i:j], asked[i:j]) for i, j in zip(edge[full], edge[full + 1], strict=True)]
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             docs = [rows.column("doc_id"), rows.column("held_out"), pa.array(n), pa.array(add(known).astype(np.int64)), pa.array(add(base)), pa.array(gain)]
-            asks = [pa.array(full, pa.int32()), pa.array(sent, pa.binary())]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("rid").slice(0, 1), one(pa.StructArray.from_arrays(docs, names=DOCS)), one(pa.StructArray.from_arrays(asks, names=["bucket", "block"]))],
-                names=["slice", "docs", "asks"],
-            )
+            ends = pa.array(np.minimum(np.arange(len(full) + 2), 1) * rows.num_rows, pa.int32())  # the first row has them all
+            docs = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(docs, names=DOCS))
+            here = pa.array(np.full(len(full) + 1, rows.column("rid")[0].as_py()))
+            yield pa.RecordBatch.from_arrays([here, docs, pa.array([None, *full.tolist()], pa.int32()), pa.array([None, *sent], pa.binary())], names=["slice", "docs", "bucket", "block"])
 
     return score
 
@@ -305,15 +303,15 @@ def score(docs: DataFrame, held_out, depth: int | None = None) -> DataFrame:
     shared = spark.sparkContext.broadcast((_sorted(hot, "word", "n", "value"), levels, bloom, tree["scale"]))
     buckets = 1 + tree["total"] // ASK_BUCKET
     seen = marked.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(
-        _score(shared, buckets), f"slice long, docs array<struct<{DOC_TYPES.replace(' ', ': ').replace(',: ', ', ')}>>, asks array<struct<bucket: int, block: binary>>"
+        _score(shared, buckets), f"slice long, docs array<struct<{DOC_TYPES}>>, bucket int, block binary"
     )
     seen = tables.put(seen)  # fixes the slices
     tables.release()
-    asks = seen.select("slice", F.explode("asks").alias("a")).select("slice", "a.bucket", "a.block")
+    asks = seen.where("bucket is not null").select("slice", "bucket", "block")
     key = F.col("key")
     values = rare.select(F.col("word").alias("key"), "n", "value", F.lit(True).alias("is_word")).union(rest.select("key", F.lit(0).cast("long"), "value", F.lit(False)))
     bucket = F.shiftright(F.shiftrightunsigned(key, 32) * buckets, 32).cast("int").alias("bucket")
     values = values.select(bucket, "key", "n", "value", "is_word")
     answers = asks.groupBy("bucket").cogroup(values.groupBy("bucket")).applyInArrow(_answer(tree["scale"]), "slice long, bucket int, grams binary, words binary")
-    whole = seen.select("slice", "docs").groupBy("slice").cogroup(answers.groupBy("slice"))
+    whole = seen.where("bucket is null").select("slice", "docs").groupBy("slice").cogroup(answers.groupBy("slice"))
     return whole.applyInArrow(_whole(tree["total"]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
