@@ -289,9 +289,9 @@ def kpss_auto(df: DataFrame, keys: list[str], value: str = "value", order: str =
     s0 = g(0) / F.col("n") + F.aggregate(twice, F.lit(0.0), lambda a, c: a + c)
     s1 = F.aggregate(F.transform(twice, lambda c, i: (i + 1) * c), F.lit(0.0), lambda a, c: a + c)
     third = F.pow(F.col("n").cast("double"), F.lit(1.0 / 3.0))
-    ratio = s1 / F.when(s0 > 0, s0)
+    ratio = s1 / s0
     lags = F.least(F.col("n") - 1, F.floor(BANDWIDTH * F.pow(ratio * ratio, F.lit(1.0 / 3.0)) * third + 1e-9)).cast("long")
-    width = s.tables.put(first.select("_k", lags.alias("lags")).where("lags is not null"))
+    width = s.tables.put(first.where(s0 > 0).select("_k", lags.alias("lags")))  # no bandwidth without a positive variance
     most = width.agg(F.max("lags")).first()[0]
     wide = s if most is None or most <= BLOCK // 2 else _Series(df, keys, value, order, most, most + 1)  # a block reaches back one block
     wide.blocks = wide.blocks.drop("k").join(width, "_k")

@@ -98,6 +98,13 @@ def test_kpss(data, block):
         assert got[k].lags == lags and abs(got[k].kpss - (np.cumsum(e) ** 2).sum() / n**2 / lam) < 1e-8
 
 
+def test_kpss_of_series_without_positive_variance(spark):
+    """The truncated sum of autocovariances of an alternating series is negative: it has no bandwidth, as in the SQL."""
+    rows = [(1, i, float((-1) ** i)) for i in range(20)] + [(2, i, float(i * i % 7)) for i in range(20)] + [(3, i, 5.0) for i in range(20)]
+    got = unitroot.kpss_auto(spark.createDataFrame(rows, "usr long, pos long, value double"), ["usr"]).collect()
+    assert [r.usr for r in got] == [2]
+
+
 def test_empty(data):
     for f in (unitroot.adf, unitroot.dfgls, unitroot.zivot_andrews, unitroot.kpss_auto):
         assert f(data.limit(0), ["usr"]).count() == 0
