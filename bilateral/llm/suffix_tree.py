@@ -255,7 +255,7 @@ def _answer(scale: float):
         for data in asks.column("block").to_pylist():
             of, h = blocks.arrays(data, "u4", "u8")
             is_word, of = of >= WORD_BIT, of & ~WORD_BIT
-            add = lambda at, v: np.bincount(at, weights=v, minlength=int(of.max()) + 1)  # noqa: E731, B023
+            add = lambda at, v: np.bincount(at, weights=v, minlength=int(of.max()) + 1).astype(float)  # noqa: E731, B023  (of nothing it gives integers)
             at = _find(gram[0], h[~is_word])
             more = add(of[~is_word][at >= 0], gram[1][at[at >= 0]])
             at = _find(word[0], h[is_word])

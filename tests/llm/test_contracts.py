@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from bilateral.llm import blocks, fingerprints, flac, language_id, licenses, mixing, packing, suffix_tree, toxicity
 from bilateral.llm import queries as Q
@@ -422,6 +423,19 @@ def brute_tree(texts, train, depth):
     return [sum(math.log10(p(w, tuple(s[max(0, i - depth) : i]))) for i, w in enumerate(s)) for s in seqs], deepest
 
 
+def test_suffix_tree_answers_a_bucket_without_grams():
+    """A bucket that is asked for words only, or has no values at all, is answered with numbers that add up."""
+    h = np.array([3, 9], np.uint64)
+    asks = pa.table({"slice": [0], "bucket": pa.array([0], pa.int32()), "block": [blocks.block(np.array([0, 1], np.uint32) | suffix_tree.WORD_BIT, h)]})
+    values = pa.table({"key": pa.array([9], pa.int64()), "n": pa.array([4], pa.int64()), "value": [0.25], "is_word": [True]})
+    for given, more in ((values, [0.25]), (values.slice(0, 0), [])):
+        got = suffix_tree._answer(10.0)((0,), asks, given)
+        assert blocks.arrays(got["grams"][0].as_py(), "u4", "f8")[1].tolist() == more
+        at, known, base = blocks.arrays(got["words"][0].as_py(), "u4", "u4", "f8")
+        assert at.tolist() == [0, 1] and known.tolist() == [0, len(more)]
+        assert np.allclose(base, np.log10((np.array([0, 4 * len(more)]) + 0.5) / 10))
+
+
 def test_suffix_tree(spark, tiny, docs, odd, monkeypatch):
     last = None
     for limit in (suffix_tree.HOT_WORDS, 50):  # most words and grams in the tables, too
