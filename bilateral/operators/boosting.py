@@ -9,7 +9,8 @@ All fits of a rung grow together, so the number of jobs depends on rounds and de
   the sums of a node meet in one small group, which chooses its split. The splits (a few numbers a node) go through the driver to
   the next pass; margins are written at the end of each round, so no lineage grows.
 * Chunks that have a single block need no sums from elsewhere: their trees grow to the end inside the task that holds the block.
-  Both ways do the same arithmetic.
+  Both ways do the same arithmetic. Rows up to ``WHOLE`` are merged into a single block, so tasks are dealt fits, not rows; above,
+  fits meet in the blocks, a job a level.
 
 Trees are fitted to the logistic loss by second-order gains with a ridge of ``RIDGE``; missing values go to the highest bin.
 """
@@ -29,6 +30,8 @@ from ..functions.shared import SharedTables
 from ..functions.ship import ship
 
 BLOCK = 4096
+WHOLE = 1 << 17  # rows that one block may hold (a byte for each feature and split): a level of all trees need not be a job then
+HELD = 1 << 21  # fits times rows of a unit at most
 CHUNK = 64  # fits of a unit at most
 BINS = 32
 RIDGE = 1.0
@@ -211,6 +214,21 @@ def pack_blocks(rows: DataFrame, edges: list[np.ndarray], splits: int, size: int
     return rows.select("id", "x", "y", "parts").mapInArrow(pack, "n long, ids binary, bins binary, y binary, parts binary")
 
 
+def one_block(blocks: DataFrame) -> DataFrame:
+    """The rows of all blocks (at most ``WHOLE``) in one, by id."""
+
+    def merge(batches):
+        parts = [_read(b, i) for b in batches for i in range(b.num_rows)]
+        if not parts:
+            return
+        ids, bins, y, of = (np.concatenate([getattr(p, c) for p in parts]) for c in ("ids", "bins", "y", "parts"))
+        order = np.argsort(ids, kind="stable")
+        cols = (ids[order], bins[order], y[order].astype(np.int8), of[order])
+        yield pa.RecordBatch.from_arrays([pa.array([len(ids)]), *(pa.array([v.tobytes()], pa.binary()) for v in cols)], names=["n", "ids", "bins", "y", "parts"])
+
+    return blocks.coalesce(1).mapInArrow(merge, blocks.schema)
+
+
 def _counts(block: Block, fits: pd.DataFrame, margins: np.ndarray, first: int) -> pa.RecordBatch:
     """Counts of (truth, prediction) over the rows that each fit is scored on."""
     use = block.used(fits, False)
@@ -324,6 +342,9 @@ def train_and_count(blocks: DataFrame, n_blocks: int, fits: Fits, width: int, ch
     order = fits.table.sort_values(["rounds", "depth", "split", "inner", "seed"], kind="stable")
     fits = Fits(order.reset_index(drop=True), fits.features)
     cores = spark.sparkContext.defaultParallelism
+    if not chunk and n_blocks == 1:
+        rows = blocks.agg(F.max("n")).first()[0]
+        chunk = max(1, min(CHUNK, -(-len(order) // (8 * cores)), HELD // rows))
     chunk = chunk or min(CHUNK, max(4, -(-len(order) // (4 * cores))))
     chunks = -(-len(order) // chunk)
     unit = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(max(1, min(chunks * n_blocks, 16 * cores)))

@@ -119,3 +119,19 @@ def test_missing_values_and_ties(spark):
     df = spark.createDataFrame(rows, "id long, grp long, y int, x array<double>")
     got = models.nested_cv(df, outer=2, inner=2, n_points=1, space={"maxIter": [2], "maxDepth": [2], "stepSize": [0.3]}).where("metric = 'accuracy'").collect()
     assert len(got) == 2 and all(r.value == 1 for r in got)
+
+
+def test_small_tables_are_one_block_whatever_their_partitions(data, monkeypatch):
+    """Rows up to WHOLE are searched without a job a level; above, and with a given size, in blocks, with equal scores."""
+    df, space = data[1].repartition(7), {"maxIter": [3], "stepSize": [0.1, 0.3], "maxDepth": [2]}
+    seen, train = [], boosting.train_and_count
+    monkeypatch.setattr(boosting, "train_and_count", lambda blocks, n, *rest: (seen.append(n), train(blocks, n, *rest))[1])
+    monkeypatch.setattr(boosting, "BLOCK", 25)
+    run = lambda: sorted(map(tuple, models.nested_cv(df, outer=2, inner=2, n_points=2, space=space, seed_triples=models.seed_triples(1)).collect()))
+    one = run()
+    assert set(seen) == {1}
+    seen.clear()
+    monkeypatch.setattr(boosting, "WHOLE", 25)
+    many = run()
+    assert min(seen) > 1 and [r[:-1] for r in one] == [r[:-1] for r in many]
+    assert all(abs(a[-1] - b[-1]) < 1e-6 for a, b in zip(one, many, strict=True))
