@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import div, gradient
+from ..functions.shared import SharedTables
 
 EDA = [
     "min_feat", "max_feat", "mean_feat", "std_feat", "dynamic_range_feat", "slope_feat", "absolute_slope_feat", "first_derivative_mean", "first_derivative_std",
@@ -162,24 +163,23 @@ DB4 = [-0.010597401784997278, 0.032883011666982945, 0.030841381835986965, -0.187
 def wavelet_features(df: DataFrame, keys: list[str], levels: int = 6, kept: int = 3, value: str = "value", order: str = "pos") -> DataFrame:
     """Mean, sd, min, max, range, variance and sd / length of the last ``kept`` detail levels.
 
-    Each level is a frame sum with stride two over the level before (periodic ends)."""
+    Each level is a frame sum with stride two over the level before (periodic ends): a row that the last windows need again from the
+    start is dealt twice, so a level reads the one before it once, and each is a table (half the rows of the one before)."""
     high = [x * (1 if k % 2 else -1) for k, x in enumerate(reversed(DB4))]
-    current = df.select(*keys, (F.row_number().over(W.partitionBy(*keys).orderBy(order)) - 1).alias("i"), F.col(value).alias("v"))
-    out = None
+    part, w = W.partitionBy(*keys), W.partitionBy(*keys).orderBy("i")
+    i = (F.row_number().over(part.orderBy(order)) - 1).alias("i")
+    current = df.select(*keys, i, F.col(value).alias("v"), F.count("*").over(part).alias("n"))
+    tables, out = SharedTables(df.sparkSession), None
     for level in range(1, levels + 1):
-        n = F.count("*").over(W.partitionBy(*keys))
-        placed = current.withColumn("n", n)
-        # rows that the last windows need again from the start
-        wrapped = placed.where(F.col("i") < len(DB4)).select(*keys, (F.col("i") + F.col("n")).alias("i"), "v", "n")
-        w = W.partitionBy(*keys).orderBy("i")
-        both = placed.union(wrapped)
+        twice = F.when(F.col("i") < len(DB4), F.array("i", (F.col("i") + F.col("n")).cast("int"))).otherwise(F.array("i"))
+        both = current.select(*keys, "n", "v", F.explode(twice).alias("i"))
         ahead = [F.lead("v", k).over(w) if k else F.col("v") for k in range(len(DB4))]
         low, det = (sum((F.coalesce(a, F.lit(0.0)) * c for a, c in zip(ahead, f, strict=True)), F.lit(0.0)) for f in (DB4[::-1], high))
-        step = both.select(*keys, "i", "n", low.alias("a"), det.alias("d")).where("i < n and i % 2 = 0")
+        step = tables.put(both.select(*keys, "i", "n", low.alias("a"), det.alias("d")).where("i < n and i % 2 = 0"))
         if level > levels - kept:
             sd = F.stddev_pop("d")
             stats = step.groupBy(*keys).agg(F.avg("d").alias("mean"), sd.alias("std"), F.min("d").alias("min"), F.max("d").alias("max"), (F.max("d") - F.min("d")).alias("range"), F.var_pop("d").alias("variance"), (sd / F.count("*")).alias("std_by_length"))
             stats = stats.withColumn("level", F.lit(level))
             out = stats if out is None else out.unionByName(stats)
-        current = step.select(*keys, (F.col("i") / 2).cast("int").alias("i"), F.col("a").alias("v"))
+        current = step.select(*keys, (F.col("i") / 2).cast("int").alias("i"), F.col("a").alias("v"), F.ceil(F.col("n") / 2).alias("n"))
     return out

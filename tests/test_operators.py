@@ -142,6 +142,24 @@ def test_peaks_of_a_sine(spark):
     assert r.number_of_peaks == 10 and math.isclose(r.mean_nn, 20 * 1000 / 64) and math.isclose(r.mean_hr, 60 * 64 / 20)
 
 
+def test_wavelet_levels_equal_plain_sums_and_read_their_input_once(spark):
+    rng = np.random.default_rng(5)
+    data = {u: rng.normal(size=n) for u, n in enumerate((1, 3, 7, 8, 33, 70))}
+    rows = spark.createDataFrame([(u, i, float(v)) for u, x in data.items() for i, v in enumerate(x)], "usr long, pos long, value double")
+    got = features.wavelet_features(rows, ["usr"], levels=6, kept=3)
+    assert "ExistingRDD" not in got._jdf.queryExecution().toString()  # all levels are tables, none reads the input again
+    found = {(r.usr, r.level): r for r in got.collect()}
+    low, high = features.DB4[::-1], [x * (1 if k % 2 else -1) for k, x in enumerate(reversed(features.DB4))]
+    for u, x in data.items():
+        for level in range(1, 7):
+            n = len(x)
+            long = np.concatenate([x, x[:8], np.zeros(8)])
+            d, x = (np.array([sum(long[i + k] * f[k] for k in range(8)) for i in range(0, n, 2)]) for f in (high, low))
+            if level > 3:
+                assert abs(found[u, level]["mean"] - d.mean()) < 1e-9 and abs(found[u, level]["std"] - d.std()) < 1e-9
+    assert len(found) == 3 * len(data)
+
+
 def test_wavelet_energy(spark):
     rng = random.Random(6)
     x = [rng.random() for _ in range(64)]
