@@ -2,8 +2,9 @@
 
 Neighbours are exact. Training rows are dealt to the cells of a few pivots; a query's own cell gives a first bound of its k-th distance,
 and the triangle inequality then says which cells can hold anything nearer. Cells are cut into blocks and the queries of a cell into
-packs, so a cell of many rows (copies, a hot group) is many tasks' work, and a pack meets a block as one matrix of distances of
-which only the k least a query go on.
+packs, and ``ASIDE`` packs meet ``ABOVE`` blocks of a cell in one task, so a cell of many rows (copies, a hot group) is many tasks'
+work. A pack meets a block as one product of matrices, which bounds all distances; those of the rows that may be among the k least are
+taken exactly, and only the k least a query go on.
 
 Discriminants need the sums of vectors and of their products by class: one aggregate of small matrices, added up in each task first.
 """
@@ -22,6 +23,8 @@ from ..functions.ship import ship
 PIVOTS = 64
 BLOCK = 1024  # training rows of a block
 PACK = 256  # queries of a pack
+ASIDE = 16  # packs of a cell that meet the same blocks in one task
+ABOVE = 4  # blocks of a cell that meet the same packs in one task
 
 
 def _matrix(column, width: int) -> np.ndarray:
@@ -37,6 +40,31 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def near_rows(a: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance): the k least of each row of a, of equal distances those with lower ids."""
+    if len(b) <= k:
+        d = distances(a, b)
+        return np.repeat(np.arange(len(a)), len(b)), np.tile(np.arange(len(b)), len(a)), d.ravel()
+    middle = b.mean(0)
+    p, q = a - middle, b - middle
+    pp, qq = (p * p).sum(1), (q * q).sum(1)
+    square = pp[:, None] + qq - 2 * (p @ q.T)
+    # rounding of centring, product and sums, far above their worst case
+    slack = 1e-14 * (a.shape[1] + 16) * (pp + qq.max() + (a * a).sum(1) + (b * b).sum(1).max())
+    least = np.partition(square, k - 1, axis=1)[:, k - 1]
+    with np.errstate(invalid="ignore"):
+        of, at = np.nonzero(~(square > (least + 2 * slack)[:, None]))
+    total = np.zeros(len(of))
+    for i in range(a.shape[1]):
+        d = a[of, i] - b[at, i]
+        total += d * d
+    total = np.sqrt(total)
+    order = np.lexsort((ids[at], total, of))
+    of, at, total = of[order], at[order], total[order]
+    rank = np.arange(len(of)) - np.searchsorted(of, of)
+    return of[rank < k], at[rank < k], total[rank < k]
+
+
 def _nearest(pivots: np.ndarray):
     def work(batches):
         for b in batches:
@@ -65,23 +93,31 @@ def _asked(pivots: np.ndarray, radius: np.ndarray):
 def _met(width: int, k: int):
     def work(batches):
         for b in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for i in range(b.num_rows):
                 q, t = b.column("queries")[i].values, b.column("rows")[i].values
-                d = distances(_matrix(q.field("x"), width), _matrix(t.field("x"), width))
-                ids, labels, asked = t.field("id").to_numpy(), t.field("y").to_numpy(), q.field("id").to_numpy()
-                for row, query in zip(d, asked, strict=True):
-                    first = np.lexsort((ids, row))[:k] if len(row) > k else np.arange(len(row))
-                    out[0].extend([query] * len(first)), out[1].extend(row[first]), out[2].extend(ids[first]), out[3].extend(labels[first])
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], names=["id", "distance", "neighbour", "y"])
+                ids, labels, asked = t.field("id").to_numpy(), t.field("y").to_numpy(zero_copy_only=False), q.field("id").to_numpy()
+                of, at, d = near_rows(_matrix(q.field("x"), width), _matrix(t.field("x"), width), ids, k)
+                out.append((asked[of], d, ids[at], labels[at]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["id", "distance", "neighbour", "y"])
 
     return work
 
 
 def _pairs(queries: DataFrame, blocks: DataFrame, width: int, k: int) -> DataFrame:
     """The k nearest of every met block for each (id, x, cell) of queries."""
-    packs = queries.withColumn("pack", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.ceil(F.lit(queries.count()) / PACK)).cast("long"))).groupBy("cell", "pack").agg(F.collect_list(F.struct("id", "x")).alias("queries"))
-    return packs.join(blocks, "cell").select("queries", "rows").mapInArrow(_met(width, k), "id long, distance double, neighbour long, y long")
+    # packs are dealt to sides and blocks to floors: a task has one side and one floor of a cell
+    each = queries.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / PACK)).cast("long").alias("packs"))
+    floors = F.floor(F.col("block") / ABOVE).cast("long")
+    floor = blocks.select("cell", "block", "rows", floors.alias("floor"))
+    high = floor.groupBy("cell").agg(F.max("floor").alias("high"))
+    sides = each.select("cell", F.floor((F.col("packs") - 1) / ASIDE).cast("long").alias("wide"))  # at most a row a pivot, as all below that are broadcast
+    packs = queries.join(F.broadcast(each), "cell").withColumn("pack", F.pmod(F.xxhash64("id"), "packs"))
+    packs = packs.groupBy("cell", "pack").agg(F.collect_list(F.struct("id", "x")).alias("queries"))
+    packs = packs.withColumn("side", F.floor(F.col("pack") / ASIDE).cast("long")).join(F.broadcast(high), "cell").withColumn("floor", F.explode(F.sequence(F.lit(0).cast("long"), "high")))
+    floor = floor.join(F.broadcast(sides), "cell").withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), "wide")))
+    met = packs.select("cell", "side", "floor", "queries").join(floor.select("cell", "side", "floor", "rows"), ["cell", "side", "floor"])
+    return met.select("queries", "rows").mapInArrow(_met(width, k), "id long, distance double, neighbour long, y long")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -112,12 +148,12 @@ def nearest(train: DataFrame, test: DataFrame, k: int = 5, pivots: int = PIVOTS)
     cut = placed.join(F.broadcast(cuts), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("cuts")))
     blocks = tables.put(cut.groupBy("cell", "block").agg(F.collect_list(F.struct("id", "x", "y")).alias("rows")))
     near = tables.put(test.mapInArrow(_nearest(at), kind(test, "cell long, away double")).select("id", "x", "cell"))
-    first = _best(_pairs(near, blocks.where("block = 0").select("cell", "rows"), width, k), k)
+    first = _best(_pairs(near, blocks.where("block = 0"), width, k), k)
     bound = first.select("id", F.when(F.size("near") == k, F.element_at("near", -1)["distance"]).alias("bound"))
     ready = near.join(bound, "id", "left").select("id", "x", "bound")
     asked = ready.mapInArrow(_asked(at, radius), "id long, x array<double>, cells array<long>")
     asked = tables.put(asked.select("id", "x", F.explode("cells").alias("cell")))
-    return _best(_pairs(asked, blocks.select("cell", "rows"), width, k), k)
+    return _best(_pairs(asked, blocks, width, k), k)
 
 
 def vote(near: DataFrame) -> DataFrame:

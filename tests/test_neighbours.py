@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from bilateral.operators import neighbours
+from pyspark.sql import functions as F
 
 
 def rows_of(n, seed, copies=0):
@@ -55,3 +56,40 @@ def test_discriminants(spark, own):
         assert got[i] == int(np.argmax(scores))
     one = neighbours.discriminant(frame([(1, 1, [2.0, 2.0]), (2, 1, [2.0, 2.0])]), frame([(3, 0, [5.0, 1.0])]), own).first()
     assert one.prediction == 1.0
+
+
+def test_a_single_cell_is_many_tasks(spark, monkeypatch):
+    """All vectors equal, so one cell: its packs and blocks meet in several tasks, and each pair of them once."""
+    for name, v in (("BLOCK", 20), ("PACK", 10), ("ASIDE", 2), ("ABOVE", 1)):
+        monkeypatch.setattr(neighbours, name, v)
+    tasks = []
+    pairs = neighbours._pairs
+
+    def seen(*args):
+        got = pairs(*args)
+        tasks.append(got.select(F.spark_partition_id().alias("p"), "id", "neighbour").collect())
+        return got
+
+    monkeypatch.setattr(neighbours, "_pairs", seen)
+    frame = lambda n, at: spark.createDataFrame([(at + i, 0, [1.0, 2.0]) for i in range(n)], "id long, y int, x array<double>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        near = neighbours.nearest(frame(200, 0), frame(100, 1000).select("id", "x"), 3).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.p for r in tasks[1]}) > 1
+    assert len(tasks[1]) == len({(r.id, r.neighbour) for r in tasks[1]})
+    assert len(near) == 100 and all([q.neighbour for q in r.near] == [0, 1, 2] for r in near)
+
+
+def test_near_rows_are_exact():
+    rng = np.random.default_rng(3)
+    for far in (0.0, 1e6):  # the squares of far vectors lose the distances between them
+        b = far + rng.normal(size=(300, 8))
+        b[50:90] = b[7]
+        a, ids = np.concatenate([b[:20], far + rng.normal(size=(20, 8))]), rng.permutation(300)
+        of, at, d = neighbours.near_rows(a, b, ids, 5)
+        every = neighbours.distances(a, b)
+        for i in range(len(a)):
+            want = np.lexsort((ids, every[i]))[:5]
+            assert at[of == i].tolist() == want.tolist() and (d[of == i] == every[i][want]).all()
