@@ -2,7 +2,8 @@
 
 A series is cut into blocks. Each block runs the recurrence once from rest, which gives its own part of the state at its end; the states
 at the block borders are composed over blocks (a few numbers each, folded in lists of at most ``FAN``, lists of lists above them), and every
-block then runs from its true state. Within a block, ``STEP`` samples at a time are one matrix product.
+block then runs from its true state. Within a block, ``STEP`` samples at a time are one matrix product, of all blocks of a batch that
+have the same length.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql.types import StructType
 BLOCK = 8192
 FAN = 4096
 STEP = 32
+CELLS = 1 << 17  # samples that are run at once
 
 
 @dataclass
@@ -52,39 +54,54 @@ class System:
 
     def run(self, x: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Outputs of a series of inputs from state s, and the state after them."""
-        whole = len(x) // STEP * STEP
-        parts = x[:whole].reshape(-1, STEP)
-        states = np.empty((len(parts) + 1, len(s)))
-        states[0] = s
-        moved = parts @ self.gathered.T
-        for i in range(len(parts)):
-            states[i + 1] = self.step @ states[i] + moved[i]
-        y = np.empty(len(x))
-        y[:whole] = (parts @ self.response.T + states[:-1] @ self.seen.T).ravel()
-        s, rest = states[-1], x[whole:]
-        if len(rest):
-            n = len(rest)
-            y[whole:] = self.response[:n, :n] @ rest + self.seen[:n] @ s
-            s = self.powers[n] @ s + self.gathered[:, STEP - n :] @ rest
+        y, s = self.run_all(x[None], s[None])
+        return y[0], s[0]
+
+    def run_all(self, x: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for many series of one length: rows of inputs, of states, and of outputs."""
+        y = np.empty(x.shape)
+        for i in range(0, x.shape[1], STEP):
+            part = x[:, i : i + STEP]
+            n = part.shape[1]
+            y[:, i : i + n] = part @ self.response[:n, :n].T + s @ self.seen[:n].T
+            s = s @ self.powers[n].T + part @ self.gathered[:, STEP - n :].T
         return y, s
 
 
-def _floats(column) -> list[np.ndarray]:
-    values, at = column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum([len(v) for v in column])])
-    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-
-
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     at = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(arrays) if arrays else np.zeros(0), pa.float64()))
 
 
+def flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a column of lists, and where each list begins (and the last one ends)."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+def listed(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.ravel(), pa.float64()))
+
+
+def alike(at: np.ndarray):
+    """Lists of one length at a time, at most ``CELLS`` numbers or one list: their rows, and the places of their numbers (a row each)."""
+    lengths = np.diff(at)
+    order = np.argsort(lengths, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+        n = int(lengths[rows[0]]) if len(rows) else 0
+        many = max(1, CELLS // max(n, 1))
+        for i in range(0, len(rows), many):
+            yield rows[i : i + many], at[rows[i : i + many], None] + np.arange(n)
+
+
 def _ends(system: System):
     def work(batches):
         for b in batches:
-            v = _floats(b.column("_v"))
-            z = [system.run(x, np.zeros(len(system.b)))[1] for x in v]
-            yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("_b"), pa.array([len(x) for x in v], pa.int64()), _lists(z)], names=["_k", "_b", "_n", "_z"])
+            v, at = flat(b.column("_v"))
+            z = np.zeros((b.num_rows, len(system.b)))
+            for rows, cells in alike(at):
+                z[rows] = system.run_all(v[cells], z[rows])[1]
+            yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("_b"), pa.array(np.diff(at)), listed(z, np.arange(b.num_rows + 1) * len(system.b))], names=["_k", "_b", "_n", "_z"])
 
     return work
 
@@ -139,8 +156,11 @@ def _starts(blocks: DataFrame, first: DataFrame, system: System, levels: int) ->
 def _outputs(system: System):
     def work(batches):
         for b in batches:
-            y = [system.run(x, s)[0] for x, s in zip(_floats(b.column("_v")), _floats(b.column("_s")), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c not in ("_v", "_s")), _lists(y)], names=[*(c for c in b.schema.names if c not in ("_v", "_s")), "_v"])
+            (v, at), s = flat(b.column("_v")), flat(b.column("_s"))[0].reshape(b.num_rows, -1)
+            y = np.empty(len(v))
+            for rows, cells in alike(at):
+                y[cells] = system.run_all(v[cells], s[rows])[0]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c not in ("_v", "_s")), listed(y, at)], names=[*(c for c in b.schema.names if c not in ("_v", "_s")), "_v"])
 
     return work
 

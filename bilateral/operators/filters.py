@@ -6,12 +6,15 @@ import cmath
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import weighted_history
-from ..functions.scan import System, recur, to_blocks
+from ..functions.scan import System, alike, flat, listed, recur, to_blocks
+from ..functions.shared import SharedTables
+from ..functions.ship import ship
 
 
 def sections(cutoff: float, fs: float, order: int = 1) -> list[tuple[float, ...]]:
@@ -77,21 +80,46 @@ def apply_filter(df: DataFrame, keys: list[str], work, suffix: str = "filt", val
     return done.unionByName(marked.where("_there = 0").drop("_there"), allowMissingColumns=True)
 
 
+def _both_ways(system: System, pad: int):
+    """Whole series (more than ``pad`` samples each) filtered forward and backward over their extensions."""
+
+    def once(x):
+        return system.run_all(x, x[:, :1] * system.steady())[0][:, ::-1]
+
+    def work(batches):
+        for b in batches:
+            v, at = flat(b.column("_v"))
+            y = np.empty(len(v))
+            for _, cells in alike(at):
+                x = v[cells]
+                longer = np.concatenate([2 * x[:, :1] - x[:, pad:0:-1], x, 2 * x[:, -1:] - x[:, -2 : -2 - pad : -1]], 1)
+                y[cells] = once(once(longer))[:, pad : pad + x.shape[1]]
+            yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("_b"), b.column("_p"), listed(y, at)], names=["_k", "_b", "_p", "_v"])
+
+    return work
+
+
 def lowpass_zero_phase(df: DataFrame, keys: list[str], cutoff: float, fs: float, value: str = "value", name: str = "filtered", order: str = "pos", pad: int | None = None, degree: int = 1) -> DataFrame:
     """Forward and backward low-pass with odd extension of ``pad`` samples (three times degree + 1) at both ends and steady start.
 
     Groups of at most ``pad`` samples give NULL. The extension is built from the first and last pad + 1 samples
-    of each group, which its first and last blocks hold; nothing else is brought together."""
+    of each group, which its first and last blocks hold; nothing else is brought together. Groups of one block are filtered where it is."""
     pad = 3 * (degree + 1) if pad is None else pad
     system = lowpass_system(cutoff, fs, degree)
+    ship(df.sparkSession)
+    tables = SharedTables(df.sparkSession)
     got = df.where(F.col(value).isNotNull())
-    blocks = to_blocks(got, keys, order, value)
+    blocks = tables.put(to_blocks(got, keys, order, value))
     sizes = blocks.select("_k", "_b", F.size("_v").alias("_n"))
     part = W.partitionBy("_k")
     upto = F.sum("_n").over(part.orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
     placed = sizes.select("_k", "_b", (upto - F.col("_n")).alias("_before"), (F.sum("_n").over(part) - upto).alias("_after"), F.sum("_n").over(part).alias("_all"))
-    enough = placed.where(F.col("_all") > pad)
-    blocks = blocks.join(enough, ["_k", "_b"])
+    enough = tables.put(placed.where(F.col("_all") > pad))
+    one = blocks.join(enough.where("_before + _after = 0"), ["_k", "_b"]).select("_k", "_b", "_p", "_v")
+    done = one.mapInArrow(_both_ways(system, pad), one.schema)
+    if enough.where("_before + _after > 0").isEmpty():
+        return _back(done, got, keys, order, name)
+    blocks = blocks.join(enough.where("_before + _after > 0"), ["_k", "_b"])
     head = blocks.where(F.col("_before") <= pad).groupBy("_k").agg(F.min("_b").alias("_b"), F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_v"))), lambda x: x["_v"])), 1, pad + 1).alias("_e"))
     tail = blocks.where(F.col("_after") <= pad).groupBy("_k").agg(F.max("_b").alias("_b"), F.slice(F.reverse(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_v"))), lambda x: x["_v"]))), 1, pad + 1).alias("_e"))
     mirror = lambda e: F.transform(F.slice(e, 2, pad), lambda v: 2 * e[0] - v)
@@ -101,7 +129,7 @@ def lowpass_zero_phase(df: DataFrame, keys: list[str], cutoff: float, fs: float,
     whole = blocks.select("_k", "_b", "_p", "_v").union(before).union(behind)
     turned = lambda d: d.select("_k", (-F.col("_b")).alias("_b"), F.reverse("_p").alias("_p"), F.reverse("_v").alias("_v"))
     both = recur(turned(recur(whole, system, steady=True)), system, steady=True)
-    return _back(both.where("_p is not null"), got, keys, order, name)
+    return _back(done.union(both.where("_p is not null").select(*done.columns)), got, keys, order, name)
 
 
 def moving_acceleration(df: DataFrame, keys: list[str], window: int, axes=("x", "y", "z"), name: str = "smoothed", order: str = "pos", unit: float = 64.0, rate: float = 32.0, keep: float = 0.9) -> DataFrame:

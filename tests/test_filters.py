@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from bilateral.functions import scan
 from bilateral.operators import filters
@@ -86,3 +87,27 @@ def test_no_series_meets_in_one_task(spark):
     """The samples of a series are dealt by key and block."""
     plan = filters.lowpass_causal(series(spark, [1.0] * 10), ["usr"], 0.4, 4.0)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "hashpartitioning(_k#" in plan and "_b#" in plan
+
+
+def test_groups_of_one_block_are_filtered_where_they_are(spark, monkeypatch):
+    """A batch of whole groups takes two runs for each length; groups of one block, of many and too short ones stand beside each other."""
+    rng = random.Random(7)
+    x = {u: [rng.random() for _ in range(n)] for u, n in ((1, 30), (2, 200), (3, 30), (4, 9), (5, 10), (6, 70))}
+    whole = [u for u in x if len(x[u]) in (10, 30)]
+    at = np.concatenate([[0], np.cumsum([len(x[u]) for u in whole])])
+    batch = pa.RecordBatch.from_arrays([pa.array(whole), pa.array([0] * len(whole)), pa.nulls(len(whole), pa.list_(pa.int64())), scan.listed(np.concatenate([x[u] for u in whole]), at)], names=["_k", "_b", "_p", "_v"])
+    with monkeypatch.context() as m:
+        runs, run = [], scan.System.run_all
+        m.setattr(scan.System, "run_all", lambda *a: runs.append(1) or run(*a))
+        (got,) = filters._both_ways(filters.lowpass_system(0.2, 4.0, 2), 9)([batch])
+        assert len(runs) == 4
+    for i, u in enumerate(whole):
+        assert np.allclose(got.column("_v")[i].as_py(), np.array(zero_phase(x[u], 0.2, 4.0, 2), float), atol=1e-11)
+    monkeypatch.setattr(filters, "to_blocks", lambda *a: scan.to_blocks(*a, 70))
+    df = spark.createDataFrame([(u, i, v) for u in x for i, v in enumerate(x[u])], "usr long, pos long, value double")
+    rows = filters.lowpass_zero_phase(df, ["usr"], 0.2, 4.0, degree=2).orderBy("usr", "pos").collect()
+    assert len(rows) == sum(map(len, x.values()))
+    for u in x:
+        mine = [r.filtered for r in rows if r.usr == u]
+        want = [None] * 9 if u == 4 else [float(v) for v in zero_phase(x[u], 0.2, 4.0, 2)]
+        assert mine == want if u == 4 else np.allclose(mine, want, atol=1e-11)
