@@ -7,8 +7,8 @@ second-order response to a free input. The parts minimise
 
 by proximal gradient steps with momentum, which starts again whenever a step would raise the objective (so it never does). K and G
 are linear recurrences (``functions.scan``) and their transposes the same recurrences backwards, so a step is four scans
-and two sums over the series. Series of one block are solved where their block is; the steps of longer ones are scans over blocks,
-all series together, with the same arithmetic.
+and two sums over the series. Series of one block are solved where their block is, those of one length together; the steps of longer
+ones are scans over blocks, all series together, with the same arithmetic.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import scan
-from ..functions.scan import System, recur, to_blocks
+from ..functions.scan import System, alike, flat, listed, recur, to_blocks
 from ..functions.shared import SharedTables
 from ..functions.ship import ship
 
@@ -53,37 +53,44 @@ def stepped(wd, we, gd, ge, sparsity: float, smoothness: float):
     return np.maximum(wd - (gd + sparsity) / STEP, 0), we - (ge + smoothness * we) / STEP
 
 
-def cost(az, y, zd, ze, sparsity: float, smoothness: float) -> float:
-    return float(0.5 * ((az - y) ** 2).sum() + sparsity * zd.sum() + smoothness / 2 * (ze * ze).sum())
+def cost(az, y, zd, ze, sparsity: float, smoothness: float):
+    return 0.5 * ((az - y) ** 2).sum(-1) + sparsity * zd.sum(-1) + smoothness / 2 * (ze * ze).sum(-1)
 
 
-def momentum(t: float) -> tuple[float, float]:
-    after = (1 + math.sqrt(1 + 4 * t * t)) / 2
+def momentum(t):
+    after = (1 + np.sqrt(1 + 4 * t * t)) / 2
     return (t - 1) / after, after
 
 
-def solve(y: np.ndarray, k: System, g: System, sparsity: float, smoothness: float, rounds: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Driver and phasic part of a (scaled) series, and the objective after each round."""
-    n = len(y)
+def solve_all(y: np.ndarray, k: System, g: System, sparsity: float, smoothness: float, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Drivers and phasic parts of (scaled) series of one length (rows), and their objectives after each round (a row a round)."""
+    m, n = y.shape
     level, slope = line(0, n, n)
-    on = lambda s, v: s.run(v, np.zeros(len(s.b)))[0]
-    back = lambda s, v: on(s, v[::-1])[::-1]
-    x = [np.zeros(n), np.zeros(n), 0.0, 0.0, np.zeros(n)]  # driver, baseline input, level, slope, model
-    w, t, best = x, 1.0, cost(x[4], y, x[0], x[1], sparsity, smoothness)
+    on = lambda s, v: s.run_all(v, np.zeros((m, len(s.b))))[0]
+    back = lambda s, v: on(s, v[:, ::-1])[:, ::-1]
+    none, nothing = np.zeros((m, n)), np.zeros((m, 1))
+    x = [none, none, nothing, nothing, none]  # driver, baseline input, level, slope, model
+    w, t, best = x, np.ones((m, 1)), cost(none, y, none, none, sparsity, smoothness)[:, None]
     costs = [best]
     for _ in range(rounds):
         r = w[4] - y
         zd, ze = stepped(w[0], w[1], back(k, r), back(g, r), sparsity, smoothness)
-        a, b = w[2] - float(r @ level) / STEP, w[3] - float(r @ slope) / STEP
+        a, b = w[2] - (r @ level)[:, None] / STEP, w[3] - (r @ slope)[:, None] / STEP
         z = [zd, ze, a, b, on(k, zd) + on(g, ze) + a * level + b * slope]
-        f = cost(z[4], y, zd, ze, sparsity, smoothness)
-        if f <= best:
-            ahead, t = momentum(t)
-            w, x, best = [p + ahead * (p - q) for p, q in zip(z, x, strict=True)], z, f
-        else:
-            w, t = x, 1.0
+        f = cost(z[4], y, zd, ze, sparsity, smoothness)[:, None]
+        better = f <= best
+        ahead, after = momentum(t)
+        w = [np.where(better, p + ahead * (p - q), q) for p, q in zip(z, x, strict=True)]
+        x = [np.where(better, p, q) for p, q in zip(z, x, strict=True)]
+        t, best = np.where(better, after, 1.0), np.where(better, f, best)
         costs.append(best)
-    return x[0], on(k, x[0]), costs
+    return x[0], on(k, x[0]), np.concatenate(costs, 1).T
+
+
+def solve(y: np.ndarray, k: System, g: System, sparsity: float, smoothness: float, rounds: int) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Driver and phasic part of one series, and the objective after each round."""
+    driver, phasic, costs = solve_all(y[None], k, g, sparsity, smoothness, rounds)
+    return driver[0], phasic[0], costs[:, 0].tolist()
 
 
 def _values(batch: pa.RecordBatch, i: int, *names: str) -> list[np.ndarray]:
@@ -97,13 +104,11 @@ def _lists(arrays) -> pa.Array:
 def _whole(k, g, sparsity, smoothness, rounds):
     def work(batches):
         for b in batches:
-            driver, phasic = [], []
-            for i in range(b.num_rows):
-                (y,) = _values(b, i, "y")
-                d, p, _ = solve(y, k, g, sparsity, smoothness, rounds)
-                driver.append(d)
-                phasic.append(p)
-            yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("_b"), _lists(driver), _lists(phasic)], names=["_k", "_b", "driver", "phasic"])
+            y, at = flat(b.column("y"))
+            driver, phasic = np.empty(len(y)), np.empty(len(y))
+            for _, cells in alike(at):
+                driver[cells], phasic[cells], _ = solve_all(y[cells], k, g, sparsity, smoothness, rounds)
+            yield pa.RecordBatch.from_arrays([b.column("_k"), b.column("_b"), listed(driver, at), listed(phasic, at)], names=["_k", "_b", "driver", "phasic"])
 
     return work
 
@@ -153,7 +158,7 @@ def _together(tables: SharedTables, blocks: DataFrame, k: System, g: System, spa
             kd, ge, zd, ze, y = _values(b, i, "kd", "bl", "zd", "ze", "y")
             level, slope = line(b.column("first")[i].as_py(), len(y), b.column("n")[i].as_py())
             az = kd + ge + b.column("za")[i].as_py() * level + b.column("zb")[i].as_py() * slope
-            return az, cost(az, y, zd, ze, sparsity, smoothness)
+            return az, float(cost(az, y, zd, ze, sparsity, smoothness))
 
         def taken(b, i):
             xd, xe, ax, zd, ze, az = _values(b, i, "xd", "xe", "ax", "zd", "ze", "az")

@@ -1,7 +1,9 @@
 """Sparse deconvolution: planted drivers, a falling objective, and the same parts from blocks."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from bilateral.functions import scan
 from bilateral.operators import deconvolution as D
 
 FS = 4.0
@@ -76,3 +78,19 @@ def test_odd_rows(spark):
     got = {(r.usr, r.pos): (r.tonic, r.phasic) for r in D.tonic_phasic(df, ["usr"], FS, rounds=20).collect()}
     assert got[1, 0] == (2.0, 0.0) and got[2, 0] == (None, None) and got[3, 5] == (1.0, 0.0) and got[None, 2] == (None, None) and got[None, 1][0] is not None
     assert D.tonic_phasic(df.limit(0), ["usr"], FS).count() == 0
+
+
+def test_series_of_one_length_are_solved_together(monkeypatch):
+    """A batch takes as many runs of the recurrences as it has lengths, not as it has series."""
+    y = scaled(planted()[0])
+    parts = [y[i : i + n] for i in range(60) for n in (33, 40)]
+    at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(120)), pa.array([0] * 120), scan.listed(np.concatenate(parts), at)], names=["_k", "_b", "y"])
+    k, g = D.response([D.RISE, D.DECAY], FS), D.response([D.SLOW, D.SLOW], FS)
+    runs, run = [], scan.System.run_all
+    monkeypatch.setattr(scan.System, "run_all", lambda *a: runs.append(1) or run(*a))
+    (got,) = D._whole(k, g, 0.02, 0.001, 20)([batch])
+    assert len(runs) == 2 * (4 * 20 + 1)
+    for i, p in enumerate(parts):
+        driver, phasic, _ = D.solve(p, k, g, 0.02, 0.001, 20)
+        assert np.allclose(got.column("driver")[i].as_py(), driver, atol=1e-9) and np.allclose(got.column("phasic")[i].as_py(), phasic, atol=1e-9)
