@@ -101,20 +101,20 @@ def regression_t(df: DataFrame, keys: list[str], y: str, xs: list[str], name: st
     return got.select(*keys, value.alias("_t"), "n").select(*keys, F.when(~F.isnan("_t"), F.col("_t")).alias(name), "n")
 
 
-def adf(df: DataFrame, keys: list[str], lags: int | None = None, value: str = "value", order: str = "pos") -> DataFrame:
+def adf(df: DataFrame, keys: list[str], lags: int | None = None, value: str = "value", order: str = "pos", series=None) -> DataFrame:
     """Augmented Dickey-Fuller t: difference on the lagged level, ``lags`` lagged differences (None: chosen) and a constant."""
     if lags is None:
-        return unitroot.adf(df, keys, value, order)
+        return unitroot.adf(df, keys, value, order, series)
     w = W.partitionBy(*keys).orderBy(order)
     d = df.where(F.col(value).isNotNull()).withColumn("lev", F.lag(value).over(w)).withColumn("dy", F.col(value) - F.col("lev"))
     d = d.select(*keys, "lev", "dy", F.lit(1.0).alias("one"), *[F.lag("dy", k).over(w).alias(f"d{k}") for k in range(1, lags + 1)]).dropna()
     return regression_t(d, keys, "dy", ["lev", "one", *[f"d{k}" for k in range(1, lags + 1)]], "adf")
 
 
-def dfgls(df: DataFrame, keys: list[str], lags: int | None = None, value: str = "value", order: str = "pos", c: float = -7.0) -> DataFrame:
+def dfgls(df: DataFrame, keys: list[str], lags: int | None = None, value: str = "value", order: str = "pos", c: float = -7.0, series=None) -> DataFrame:
     """ADF t without constant on the series demeaned by generalised least squares at 1 + c / n (-7 where lags are chosen)."""
     if lags is None:
-        return unitroot.dfgls(df, keys, value, order)
+        return unitroot.dfgls(df, keys, value, order, series)
     w, part = W.partitionBy(*keys).orderBy(order), W.partitionBy(*keys)
     a = 1 + c / F.count("*").over(part)
     d = df.where(F.col(value).isNotNull()).withColumn("a", a).withColumn("prev", F.lag(value).over(w))
@@ -153,10 +153,13 @@ def with_p(df: DataFrame, invert: bool = False) -> DataFrame:
 
 
 def stationarity(df: DataFrame, keys: list[str], methods=METHODS, **names) -> DataFrame:
-    """(keys, method, statistic) of the chosen methods, with lags and bandwidths chosen from the data."""
+    """(keys, method, statistic) of the chosen methods, with lags and bandwidths chosen from the data.
+
+    The blocks of the series and the regressions of their most lags are made once for all methods."""
     work = {"adf": adf, "dfgls": dfgls, "kpss": unitroot.kpss_auto, "pp": phillips_perron, "za": unitroot.zivot_andrews}
+    series = unitroot.shared(df, keys, **names) if set(methods) - {"pp"} else None
     out = None
     for m in methods:
-        one = work[m](df, keys, **names).select(*keys, F.lit(m).alias("method"), F.col(m).alias("statistic"))
+        one = work[m](df, keys, **names, **({} if m == "pp" else {"series": series})).select(*keys, F.lit(m).alias("method"), F.col(m).alias("statistic"))
         out = one if out is None else out.unionByName(one)
     return out

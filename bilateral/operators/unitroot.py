@@ -10,6 +10,8 @@ from the inverse of the regression without a break. Series of one key are never
 
 from __future__ import annotations
 
+import copy
+import functools
 import math
 
 import numpy as np
@@ -25,6 +27,7 @@ from .warping import numbered
 
 BLOCK = 8192
 GLS = -7.0  # fixed value: the local alternative of the demeaned test
+ALONE = "size(v) = n"  # a block that is all of its series
 BANDWIDTH = 1.1447  # fixed value: of the Bartlett kernel
 
 
@@ -42,13 +45,16 @@ def columns(y: np.ndarray, lags: int) -> np.ndarray:
     return np.stack([np.ones(n), y[lags:-1], *(dy[lags - j : len(dy) - j] for j in range(1, lags + 1)), dy[lags:]], 1)
 
 
+_places = functools.lru_cache(256)(np.triu_indices)
+
+
 def _upper(m: np.ndarray) -> np.ndarray:
-    return m[np.triu_indices(len(m))]
+    return m[_places(len(m))]
 
 
 def _square(cells: np.ndarray, k: int) -> np.ndarray:
     m = np.zeros((k, k))
-    m[np.triu_indices(k)] = cells
+    m[_places(k)] = cells
     return m + np.triu(m, 1).T
 
 
@@ -154,15 +160,33 @@ class _Series:
         tails = blocks.select("_k", (F.col("b") + 1).alias("b"), F.slice("v", F.size("v") - keep + 1, keep).alias("before"))
         self.blocks = self.tables.put(blocks.join(tails, ["_k", "b"], "left").join(self.sizes, "_k").withColumn("first", F.col("b") * size))
         self.kind = rows.schema["_k"]
+        self._solved = None
+
+    def having(self, blocks: DataFrame) -> _Series:
+        """The same series with other columns beside their blocks."""
+        out = copy.copy(self)
+        out.blocks = blocks
+        return out
+
+    def statistics(self) -> DataFrame:
+        """The statistics of all series that have more than 8 values, solved once."""
+        if self._solved is None:
+            self._solved = _statistics(self)
+        return self._solved
 
     def schema(self, ddl: str) -> StructType:
         return StructType([self.kind, *StructType.fromDDL(ddl)])
 
     def summed(self, work) -> DataFrame:
-        """(_k, cells): element-wise sums of what each block yields."""
-        each = self.blocks.mapInArrow(work, self.schema("cells array<double>")).select("_k", F.posexplode("cells").alias("p", "c"))
+        """(_k, cells): element-wise sums of what each block yields. A block that is all of its series is its own sum."""
+        yields = lambda blocks: blocks.mapInArrow(work, self.schema("cells array<double>"))
+        whole = yields(self.blocks.where(ALONE))
+        many = self.blocks.where(f"not ({ALONE})")
+        if many.isEmpty():
+            return whole
+        each = yields(many).select("_k", F.posexplode("cells").alias("p", "c"))
         cells = each.groupBy("_k", "p").agg(F.sum("c").alias("c")).groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("p", "c"))).alias("x"))
-        return cells.select("_k", F.col("x.c").alias("cells"))
+        return whole.union(cells.select("_k", F.col("x.c").alias("cells")))
 
 
 def _statistics(s: _Series) -> DataFrame:
@@ -175,14 +199,19 @@ def _real(c: str):
     return F.when(~F.isnan(c), F.col(c)).alias(c)
 
 
-def adf(df: DataFrame, keys: list[str], value: str = "value", order: str = "pos") -> DataFrame:
+def shared(df: DataFrame, keys: list[str], value: str = "value", order: str = "pos") -> _Series:
+    """The series of df in blocks, for several of the statistics below (``series``)."""
+    return _Series(df, keys, value, order)
+
+
+def adf(df: DataFrame, keys: list[str], value: str = "value", order: str = "pos", series: _Series | None = None) -> DataFrame:
     """Augmented Dickey-Fuller t (constant) with lags by Akaike's criterion on the rows that have all lags; series of more than 8 values."""
-    return _statistics(_Series(df, keys, value, order)).select("_k.*", _real("adf"), F.col("adf_lags").alias("lags"), "n")
+    return (series or _Series(df, keys, value, order)).statistics().select("_k.*", _real("adf"), F.col("adf_lags").alias("lags"), "n")
 
 
-def dfgls(df: DataFrame, keys: list[str], value: str = "value", order: str = "pos") -> DataFrame:
+def dfgls(df: DataFrame, keys: list[str], value: str = "value", order: str = "pos", series: _Series | None = None) -> DataFrame:
     """The same without constant on the series demeaned by generalised least squares."""
-    return _statistics(_Series(df, keys, value, order)).select("_k.*", _real("dfgls"), F.col("dfgls_lags").alias("lags"), "n")
+    return (series or _Series(df, keys, value, order)).statistics().select("_k.*", _real("dfgls"), F.col("dfgls_lags").alias("lags"), "n")
 
 
 def _column_sums(batches):
@@ -208,7 +237,9 @@ def _breaks(trim: float):
                 n, lags = b.column("n")[i].as_py(), b.column("lags")[i].as_py()
                 x = _regressors(b, i, lags)
                 m = _square(_array(b.column("cells")[i]), lags + 4)
-                after = _array(b.column("after")[i]) + (x.sum(0) - x.cumsum(0))  # column sums of the rows after each row
+                after = x.sum(0) - x.cumsum(0)  # column sums of the rows after each row
+                if b.column("after")[i].is_valid:
+                    after += _array(b.column("after")[i])
                 place = np.rint(x[:, 1] * n).astype(np.int64) + 1  # of the row in the series, from 1
                 use = (place >= math.floor(trim * n)) & (place <= math.floor((1 - trim) * n))
                 try:
@@ -244,19 +275,18 @@ def _breaks(trim: float):
     return work
 
 
-def zivot_andrews(df: DataFrame, keys: list[str], value: str = "value", order: str = "pos", trim: float = 0.15, lags: int | None = None) -> DataFrame:
+def zivot_andrews(df: DataFrame, keys: list[str], value: str = "value", order: str = "pos", trim: float = 0.15, lags: int | None = None, series: _Series | None = None) -> DataFrame:
     """Least Dickey-Fuller t (constant and trend) over all break dates within ``trim`` of the ends, with a shift of level.
 
     Lags (None) are those that Akaike's criterion chooses without a break."""
-    s = _Series(df, keys, value, order)
-    chosen = _statistics(s).select("_k", "za_lags") if lags is None else s.sizes.where("n > 8").select("_k", F.lit(lags).cast("long").alias("za_lags"))
-    own = _Series.__new__(_Series)
-    own.tables, own.kind, own.sizes = s.tables, s.kind, s.sizes
-    own.blocks = s.tables.put(s.blocks.join(chosen.select("_k", F.coalesce("za_lags", F.lit(0)).alias("lags")), "_k"))
-    sums = own.tables.put(own.blocks.mapInArrow(_column_sums, own.schema("b long, sums array<double>")).select("_k", "b", F.posexplode("sums").alias("p", "c")))
+    s = series or _Series(df, keys, value, order)
+    chosen = s.statistics().select("_k", "za_lags") if lags is None else s.sizes.where("n > 8").select("_k", F.lit(lags).cast("long").alias("za_lags"))
+    own = s.having(s.tables.put(s.blocks.join(chosen.select("_k", F.coalesce("za_lags", F.lit(0)).alias("lags")), "_k")))
+    several = own.blocks.where(f"not ({ALONE})")  # nothing stands after the block of a series that has one
+    sums = own.tables.put(several.mapInArrow(_column_sums, own.schema("b long, sums array<double>")).select("_k", "b", F.posexplode("sums").alias("p", "c")))
     later = W.partitionBy("_k", "p").orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, -1)
     after = sums.select("_k", "b", "p", F.coalesce(F.sum("c").over(later), F.lit(0.0)).alias("c")).groupBy("_k", "b").agg(F.array_sort(F.collect_list(F.struct("p", "c"))).alias("x")).select("_k", "b", F.col("x.c").alias("after"))
-    got = own.blocks.join(own.summed(_break_products), "_k").join(after, ["_k", "b"]).mapInArrow(_breaks(trim), own.schema("za double, break_share double"))
+    got = own.blocks.join(own.summed(_break_products), "_k").join(after, ["_k", "b"], "left").mapInArrow(_breaks(trim), own.schema("za double, break_share double"))
     best = got.where("za is not null").groupBy("_k").agg(F.min("za").alias("za"), F.min_by("break_share", "za").alias("break_share"))
     return best.join(own.blocks.where("b = 0").select("_k", "n", "lags"), "_k").select("_k.*", "za", "break_share", "lags", "n")
 
@@ -278,12 +308,11 @@ def _autocovariances(lags: str):
     return work
 
 
-def kpss_auto(df: DataFrame, keys: list[str], value: str = "value", order: str = "pos") -> DataFrame:
+def kpss_auto(df: DataFrame, keys: list[str], value: str = "value", order: str = "pos", series: _Series | None = None) -> DataFrame:
     """Level-stationarity statistic with Bartlett weights over an automatic bandwidth (from the first n^(2/9) autocovariances)."""
-    s = _Series(df, keys, value, order)
+    s = series or _Series(df, keys, value, order)
     short = F.floor(F.pow(F.col("n").cast("double"), F.lit(2.0 / 9.0)) + 1e-12).cast("long")
-    s.blocks = s.blocks.withColumn("k", short)
-    first = s.summed(_autocovariances("k")).join(s.sizes, "_k")
+    first = s.having(s.blocks.withColumn("k", short)).summed(_autocovariances("k")).join(s.sizes, "_k")
     g = lambda i: F.col("cells")[i]
     twice = F.transform(F.slice("cells", 2, F.greatest(F.size("cells") - 1, F.lit(0))), lambda c: 2 * c / F.col("n"))
     s0 = g(0) / F.col("n") + F.aggregate(twice, F.lit(0.0), lambda a, c: a + c)
@@ -294,7 +323,7 @@ def kpss_auto(df: DataFrame, keys: list[str], value: str = "value", order: str =
     width = s.tables.put(first.where(s0 > 0).select("_k", lags.alias("lags")))  # no bandwidth without a positive variance
     most = width.agg(F.max("lags")).first()[0]
     wide = s if most is None or most <= BLOCK // 2 else _Series(df, keys, value, order, most, most + 1)  # a block reaches back one block
-    wide.blocks = wide.blocks.drop("k").join(width, "_k")
+    wide = wide.having(wide.blocks.join(width, "_k"))
     cov = wide.summed(_autocovariances("lags"))
     sums = wide.blocks.select("_k", "b", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("s"), "mean", F.size("v").alias("m"))
     before = W.partitionBy("_k").orderBy("b").rowsBetween(W.unboundedPreceding, -1)

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 import pytest
-from bilateral.operators import unitroot
+from bilateral.operators import stationarity, unitroot
 
 
 def design(y, lags, trend, break_at=None):
@@ -108,3 +108,20 @@ def test_kpss_of_series_without_positive_variance(spark):
 def test_empty(data):
     for f in (unitroot.adf, unitroot.dfgls, unitroot.zivot_andrews, unitroot.kpss_auto):
         assert f(data.limit(0), ["usr"]).count() == 0
+
+
+def test_methods_share_the_blocks_of_a_series(spark, monkeypatch):
+    """One numbering and one solution for all methods; series of one block and of several stand beside each other."""
+    rng = np.random.default_rng(3)
+    y = {1: rng.normal(size=40).cumsum(), 2: rng.normal(size=unitroot.BLOCK + 300).cumsum()}
+    rows = {u: [(u, i, float(v)) for i, v in enumerate(y[u])] for u in y}
+    frame = lambda *us: spark.createDataFrame([r for u in us for r in rows[u]], "usr long, pos long, value double")
+    calls, number, solve = [], unitroot.numbered, unitroot._statistics
+    with monkeypatch.context() as m:
+        m.setattr(unitroot, "numbered", lambda *a: calls.append("numbered") or number(*a))
+        m.setattr(unitroot, "_statistics", lambda *a: calls.append("solved") or solve(*a))
+        got = {(r.usr, r.method): r.statistic for r in stationarity.stationarity(frame(1, 2), ["usr"]).collect()}
+    assert sorted(calls) == ["numbered", "solved"] and len(got) == 10
+    for u in y:
+        for name, work in (("adf", unitroot.adf), ("dfgls", unitroot.dfgls), ("kpss", unitroot.kpss_auto), ("za", unitroot.zivot_andrews)):
+            assert abs(got[u, name] - work(frame(u), ["usr"]).first()[name]) < 1e-9
