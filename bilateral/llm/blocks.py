@@ -48,7 +48,7 @@ def arrays(data: bytes, *kinds: str) -> list[np.ndarray]:
 def added(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """(key, a, b, n), sorted by key = joined(a, b), one for each different (a, b)."""
     key = joined(a, b)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # equal keys are added up, in any order
     key = key[order]
     first = np.flatnonzero(np.concatenate([np.ones(1, bool), key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     total = np.add.reduceat(n[order], first) if len(first) else n[:0]

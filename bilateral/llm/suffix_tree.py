@@ -74,12 +74,23 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([signed(words), pa.array(n)], names=["word", "n"])
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each wanted key in the sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+class _Keys:
+    """Sorted keys, with the place at which each range of their highest bits begins: they are uniform hashes, so a range has few."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(1, len(keys).bit_length())
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.begin = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+        self.most = int(np.diff(self.begin, append=len(keys)).max())
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Place of each wanted key, or -1."""
+        if not len(self.keys):
+            return np.full(len(wanted), -1, np.int64)
+        at = self.begin[wanted >> self.shift].astype(np.int64)
+        for _ in range(self.most):
+            at += self.keys.take(at, mode="clip") < wanted
+        return np.where((self.keys.take(at, mode="clip") == wanted) & (at < len(self.keys)), at, -1)
 
 
 def _sorted(df: DataFrame, key: str, *columns: str) -> tuple[np.ndarray, ...]:
@@ -100,9 +111,10 @@ def _pairs(shared):
 
     def pairs(batches):
         (words, _), twice = shared.value
+        words = _Keys(words)
         for _, h, _, place in _tokens(batches):
             at = np.flatnonzero(place)
-            found = _find(words, h)
+            found = words.find(h)
             c, w = found[at - 1], found[at]
             hot = (c >= 0) & (w >= 0)
             more = at[~hot & in_bloom(twice, h[at]) & in_bloom(twice, h[at - 1])]
@@ -117,11 +129,12 @@ def _named(shared):
 
     def named(a, b, n):
         words, count = shared.value[0]
+        places = _Keys(words)
         hot = b == 0
         c, w = a.copy(), b.copy()
         if hot.any():
             c[hot], w[hot] = words[a[hot] >> np.uint64(32)], words[a[hot] & np.uint64(0xFFFFFFFF)]
-        total, own = (np.where(x >= 0, count[np.maximum(x, 0)] if len(count) else 0, 0) for x in (_find(words, c), _find(words, w)))
+        total, own = (np.where(x >= 0, count[np.maximum(x, 0)] if len(count) else 0, 0) for x in (places.find(c), places.find(w)))
         return pa.RecordBatch.from_arrays([signed(joined(c, w)), signed(c), signed(w), pa.array(total), pa.array(own), pa.array(n)], names=["key", "context", "word", "total", "own", "n"])
 
     return named
@@ -212,9 +225,11 @@ def _score(shared, buckets: int):
 
     def score(batches):
         (words, count, back), levels, every, scale = shared.value
+        words, levels = _Keys(words), [(_Keys(keys), value) for keys, value in levels]
+        narrow = np.uint16 if buckets <= 1 << 16 else np.int32
         for rows, h, n, place in _tokens(batches):
             row = np.repeat(np.arange(rows.num_rows), n)
-            at = _find(words, h)
+            at = words.find(h)
             known = at >= 0
             add = lambda v, of=None: np.bincount(row if of is None else row[of], weights=v, minlength=rows.num_rows)  # noqa: E731, B023
             base = np.where(known, np.log10((count[np.maximum(at, 0)] + 0.5) / scale), 0) if len(count) else np.zeros(len(h))
@@ -224,15 +239,16 @@ def _score(shared, buckets: int):
                 g = longer(g)
                 inside = np.flatnonzero(place >= d)
                 inside = inside[in_bloom(every, g[inside])]
-                at = _find(keys, g[inside])
-                if len(keys):
+                at = keys.find(g[inside])
+                if len(value):
                     gain += add(np.where(at >= 0, value[np.maximum(at, 0)], 0), inside)
                 ask = inside[at < 0]
                 asked.append(g[ask]), of.append(row[ask].astype(np.uint32))
             asked, of = np.concatenate(asked), np.concatenate(of)
-            order = np.argsort(asked, kind="stable")
+            bucket = blocks.bucket_of(asked, buckets).astype(narrow)
+            order = np.argsort(bucket, kind="stable")
             asked, of = asked[order], of[order]
-            edge = np.searchsorted(blocks.bucket_of(asked, buckets), np.arange(buckets + 1))
+            edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(edge))
             sent = [blocks.block(of[i:j], asked[i:j]) for i, j in zip(edge[full], edge[full + 1], strict=True)]
             docs = [rows.column("doc_id"), rows.column("held_out"), pa.array(n), pa.array(add(known).astype(np.int64)), pa.array(add(base)), pa.array(gain)]
@@ -251,14 +267,15 @@ def _answer(scale: float):
         keys = values.column("key").to_numpy().view(np.uint64)
         kind = values.column("is_word").to_numpy().astype(bool)
         word, gram = ((keys[m][o], values.column("value").to_numpy()[m][o], values.column("n").to_numpy()[m][o]) for m in (kind, ~kind) for o in [np.argsort(keys[m])])
+        words, grams = _Keys(word[0]), _Keys(gram[0])
         out = []
         for data in asks.column("block").to_pylist():
             of, h = blocks.arrays(data, "u4", "u8")
             is_word, of = of >= WORD_BIT, of & ~WORD_BIT
             add = lambda at, v: np.bincount(at, weights=v, minlength=int(of.max()) + 1).astype(float)  # noqa: E731, B023  (of nothing it gives integers)
-            at = _find(gram[0], h[~is_word])
+            at = grams.find(h[~is_word])
             more = add(of[~is_word][at >= 0], gram[1][at[at >= 0]])
-            at = _find(word[0], h[is_word])
+            at = words.find(h[is_word])
             more += add(of[is_word][at >= 0], word[1][at[at >= 0]])
             n = np.where(at >= 0, word[2][at], 0) if len(word[0]) else np.zeros(len(at))
             known, base = add(of[is_word], n > 0), add(of[is_word], np.log10((n + 0.5) / scale))

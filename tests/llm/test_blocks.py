@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from bilateral.llm import blocks
 from pyspark.sql import functions as F
@@ -39,3 +40,23 @@ def test_buckets_rise_with_keys():
     key = np.sort(np.random.default_rng(2).integers(0, 1 << 64, 1000, dtype=np.uint64))
     at = blocks.bucket_of(key, 13)
     assert (np.diff(at) >= 0).all() and set(at) == set(range(13))
+
+
+def test_keys_are_found_by_their_highest_bits():
+    from bilateral.llm.suffix_tree import _Keys
+
+    rng = np.random.default_rng(5)
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    for n in (0, 1, 2, 1000):
+        keys = np.unique(np.append(rng.integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2), [top] if n == 2 else []).astype(np.uint64)) if n else np.zeros(0, np.uint64)
+        wanted = np.concatenate([keys, keys + np.uint64(1), np.array([0, top, 5], np.uint64)])
+        at = {int(k): i for i, k in enumerate(keys)}
+        assert _Keys(keys).find(wanted).tolist() == [at.get(int(w), -1) for w in wanted]
+
+
+def test_words_know_their_rows():
+    from bilateral.llm.words import spans, text_bytes
+
+    texts = ["", "a b", None, " ", "c", "", "d  e f ", ""]
+    data, offsets = text_bytes(pa.array(texts, pa.string()))
+    assert spans(data, offsets)[2].tolist() == [i for i, t in enumerate(texts) for _ in (t or "").split()]
