@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 
 from .words import mix, signed
 
-GATHERED = 500_000  # entries that a task holds before it sends or adds up
+GATHERED = 300_000  # entries that a task holds before it sends or adds up
+SENT = 100_000  # rows of results that a task hands to Spark at once
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,12 +89,13 @@ def _met(least: int, result: Callable, gathered: int):
         def kept():
             _, a, b, n = total()
             enough = n >= least
-            return result(a[enough], b[enough], n[enough])
+            found = result(a[enough], b[enough], n[enough])
+            return (found.slice(at, SENT) for at in range(0, found.num_rows, SENT))
 
         for t in batches:
             for at, data in zip(t.column("bucket").to_pylist(), t.column("block").to_pylist(), strict=True):
                 if at != now and held:
-                    yield kept()
+                    yield from kept()
                     held, rows = [], 0
                 now = at
                 held.append(tuple(arrays(data, "u8", "u8", "i8")))
@@ -102,7 +104,7 @@ def _met(least: int, result: Callable, gathered: int):
                     held = [total()[1:]]
                     rows = len(held[0][0]) // 2  # adds up again once as much has come
         if held:
-            yield kept()
+            yield from kept()
 
     return met
 

@@ -46,16 +46,17 @@ DISCOUNT = 0.5
 HOT_WORDS = 500_000
 HOT_GRAMS = 500_000
 FILTER_BITS = 1 << 26  # 8 MB
-SLICE = 2 << 20  # bytes of text at a time
+SLICE = 2 << 20  # bytes of text that are scored at a time
+COUNT_SLICE = 1 << 19  # and counted
 COUNT_BUCKET = 1_000_000  # training tokens for each bucket of counted grams
 WORD_BIT = np.uint32(1 << 31)
 ASK_BUCKET = 2_000_000  # and for each bucket of looked-up ones
 END = mix(np.array([1], np.uint64))[0]
 
 
-def _tokens(batches):
+def _tokens(batches, limit: int = COUNT_SLICE):
     """Rows with token hashes (an end after each text), their number by row, and each one's place in its text."""
-    for rows, data, offsets in slices(batches, limit=SLICE):
+    for rows, data, offsets in slices(batches, limit=limit):
         starts, ends, of = spans(data, offsets)
         h = np.full(len(starts) + rows.num_rows, END, np.uint64)
         h[np.arange(len(starts)) + of] = hashes(data, starts, ends)
@@ -227,7 +228,7 @@ def _score(shared, buckets: int):
         (words, count, back), levels, every, scale = shared.value
         words, levels = _Keys(words), [(_Keys(keys), value) for keys, value in levels]
         narrow = np.uint16 if buckets <= 1 << 16 else np.int32
-        for rows, h, n, place in _tokens(batches):
+        for rows, h, n, place in _tokens(batches, SLICE):
             row = np.repeat(np.arange(rows.num_rows), n)
             at = words.find(h)
             known = at >= 0

@@ -60,3 +60,23 @@ def test_words_know_their_rows():
     texts = ["", "a b", None, " ", "c", "", "d  e f ", ""]
     data, offsets = text_bytes(pa.array(texts, pa.string()))
     assert spans(data, offsets)[2].tolist() == [i for i, t in enumerate(texts) for _ in (t or "").split()]
+
+
+def test_hashing_holds_a_piece_at_a_time():
+    import tracemalloc
+
+    from bilateral.llm import words
+
+    data = np.frombuffer(b"some words of a long text and " * 140_000, np.uint8)
+    starts, ends, _ = words.spans(data, np.array([0, len(data)]))
+    small = words.hashes(data[:30], starts[:7], ends[:7])
+    words.hashes(data[: 1 << 19], starts[:1000], ends[:1000])  # the powers are kept
+    tracemalloc.start()
+    got = words.hashes(data, starts, ends)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got.reshape(-1, 7), np.broadcast_to(small, (140_000, 7)))
+    assert peak < 6 * len(data)  # all at once it held over 30 bytes a byte
+    long = np.frombuffer(b"x" * (words.PIECE + 5) + b" y", np.uint8)
+    one = words.hashes(long, *words.spans(long, np.array([0, len(long)]))[:2])
+    assert len(set(one.tolist())) == 2 and one[1] == words.hashes(long[-1:], np.array([0]), np.array([1]))[0]
