@@ -89,11 +89,12 @@ def top_features(ranked: DataFrame, keys: list[str], percent: float) -> DataFram
     return ranked.withColumn("_n", F.count("*").over(W.partitionBy(*keys))).where(F.col("rank") <= F.floor(percent * 0.01 * F.col("_n"))).drop("_n")
 
 
-def balanced_accuracy(predictions: DataFrame, keys: list[str], label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Mean recall over classes, with accuracy and the F1 score of class 1."""
-    hit = (F.col(label) == F.col(prediction)).cast("double")
-    per = predictions.groupBy(*keys, label).agg(F.avg(hit).alias("recall"), F.sum(hit).alias("hits"), F.count("*").alias("n"))
-    called = predictions.groupBy(*keys).agg(F.sum((F.col(prediction) == 1).cast("double")).alias("called"))
+def balanced_accuracy(predictions: DataFrame, keys: list[str], label: str = "label", prediction: str = "prediction", n: str | None = None) -> DataFrame:
+    """Mean recall over classes, with accuracy and the F1 score of class 1. ``n`` names a column that says how often a row counts."""
+    times = F.col(n) if n else F.lit(1)
+    hit = (F.col(label) == F.col(prediction)).cast("double") * times
+    per = predictions.groupBy(*keys, label).agg((F.sum(hit) / F.sum(F.when(hit.isNotNull(), times))).alias("recall"), F.sum(hit).alias("hits"), F.sum(times).alias("n"))
+    called = predictions.groupBy(*keys).agg(F.sum((F.col(prediction) == 1).cast("double") * times).alias("called"))
     got = per.groupBy(*keys).agg(F.avg("recall").alias("balanced_accuracy"), (F.sum("hits") / F.sum("n")).alias("accuracy"), F.sum(F.when(F.col(label) == 1, F.col("hits")).otherwise(0.0)).alias("tp"), F.sum(F.when(F.col(label) == 1, F.col("n")).otherwise(0)).alias("pos"))
     return got.join(called, keys).select(*keys, "balanced_accuracy", "accuracy", (2 * F.col("tp") / F.nullif(F.col("called") + F.col("pos"), F.lit(0.0))).alias("f1"))
 

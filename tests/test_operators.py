@@ -385,3 +385,44 @@ def test_stored_scores_and_rankings(spark, tmp_path):
     (tmp_path / "night.csv").write_text("id,s,start,end\nu1,n1,2024-01-01 10:00:00,2024-01-01 11:00:00\n")
     assert [str(x) for x in recordings.experiment_time(spark, str(tmp_path / "time.csv")).first()] == ["u1", "2024-01-01 10:00:00", "2024-01-01 11:00:00"]
     assert recordings.experiment_time(spark, str(tmp_path / "night.csv"), by_session=True).first().session == "n1"
+
+
+def test_battery_partitions(spark):
+    """A fit's passes have a task a core, not one for each shuffle partition; centroids meet the test rows without a shuffle."""
+    import numpy as np
+    from bilateral.operators import models
+
+    rng = np.random.default_rng(3)
+    rows = [(i, 0, "left", i % 2, (rng.normal(size=5) + i % 2).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, grp long, side string, y int, x array<double>")
+    seen = []
+
+    class Model:
+        def copy(self):
+            return self
+
+        def fit(self, train):
+            seen.append(train.rdd.getNumPartitions())
+            return self
+
+        def transform(self, test):
+            return test.withColumn("prediction", F.col("label"))
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        got = models.kfold_battery(df, 3, models={"Known": Model()}).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen) == 3 and max(seen) <= spark.sparkContext.defaultParallelism
+    assert all(r.value == 1.0 for r in got if r.model == "Known") and len(got) == 27
+
+    data = models._vectors(df)
+    train, test = data.where("id % 3 > 0"), data.where("id % 3 = 0")
+    said = models.centroid_predict(train, test)
+    assert "hashpartitioning(id" not in said._jdf.queryExecution().executedPlan().toString()
+    x, y, i = np.array([r[4] for r in rows]), np.array([r[3] for r in rows]), np.arange(300)
+    means = np.stack([x[(i % 3 > 0) & (y == c)].mean(0) for c in (0, 1)])
+    want = ((x[i % 3 == 0][:, None] - means) ** 2).sum(2).argmin(1)
+    assert [r.prediction for r in said.orderBy("id").collect()] == want.tolist()
+    assert models.centroid_predict(train.limit(0), test).count() == 0
