@@ -31,8 +31,14 @@ from .words import LOWER, WORD, hashes, slices, spans
 CAPACITY = 4096
 END = 1
 CACHE_WORDS = 1_200_000
+LONGEST_MARK = 16  # marks at the end of a word that are cut off; longer runs stay with their words
 RANK_ROWS = 50_000  # rows of one length that one window group ranks, on average
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[b for b in range(128) if chr(b).isalpha()]] = True
+_MARK = np.zeros(256, bool)  # ASCII punctuation, but for the ends of special tokens
+_MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in "|>"]] = True
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -44,6 +50,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self):
@@ -52,6 +61,22 @@ class Encoder:
         self.n = np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint16)
 
+    def _any(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, and how many each has, by the offsets of the tokens."""
+        some = [w.decode() for w in words]
+        got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+        begin = np.cumsum([0, *(len(w) + 1 for w in some[:-1])])
+        place = np.searchsorted(begin, np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
+        return np.array(got.ids, np.uint16), np.bincount(place, minlength=len(some)).astype(np.int32)
+
+    def _runs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters alone: each is one run for the tokenizer, so its last token ends a run."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.uint16)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(words):
+            return self._any(words)
+        return ids, np.diff(last, prepend=-1).astype(np.int32)
+
     def encode(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words one after the other, and how many each word has."""
         raw = data.tobytes()
@@ -66,19 +91,21 @@ class Encoder:
             known = self.keys[np.minimum(place, len(self.keys) - 1)] == words
         new = np.flatnonzero(~known)
         if len(new):
-            ids, n = [], []
-            for k in range(0, len(new), 2000):  # the tokenizer's own results are large
-                some = [raw[starts[i] : ends[i]].decode() for i in first[new[k : k + 2000]]]
-                got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-                ids.append(np.array(got.ids, np.uint16))
-                begin = np.cumsum([0, *(len(w) + 1 for w in some[:-1])])
-                place = np.searchsorted(begin, np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0], "right") - 1
-                n.append(np.bincount(place, minlength=len(some)).astype(np.int32))
+            at = first[new]
+            plain = _letters(data, starts[at], ends[at])
+            ids, n, order = [], [], np.argsort(~plain, kind="stable")
+            for part, call in ((at[plain], self._runs), (at[~plain], self._any)):
+                for k in range(0, len(part), 2000):  # the tokenizer's own results are large
+                    got = call([raw[starts[i] : ends[i]] for i in part[k : k + 2000]])
+                    ids.append(got[0])
+                    n.append(got[1])
             n = np.concatenate(n)
             at = len(self.pool) + np.cumsum(n) - n
             self.pool = np.concatenate([self.pool, *ids])
+            new = new[order]
+            sort = np.argsort(new)
             place = np.searchsorted(self.keys, words)
-            self.keys, self.at, self.n = (np.insert(a, place[new], b) for a, b in ((self.keys, words[new]), (self.at, at), (self.n, n)))
+            self.keys, self.at, self.n = (np.insert(a, place[new[sort]], b[sort]) for a, b in ((self.keys, words[new]), (self.at, at), (self.n, n)))
         place = np.searchsorted(self.keys, words)
         n = self.n[place][of].astype(np.int64)
         at = self.at[place][of]
@@ -86,14 +113,36 @@ class Encoder:
         return out, n
 
 
+def _latin(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to a letter of ASCII or of U+00C0 to U+00FF."""
+    out = _LETTER[data]
+    pair = np.flatnonzero(data[:-1] == 0xC3)
+    pair = pair[(data[pair + 1] | 0x20) != 0xB7]  # the signs of multiplication and division
+    out[pair] = out[pair + 1] = True
+    return out
+
+
+def _letters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which words hold nothing but such letters."""
+    sums = np.concatenate([[0], np.cumsum(_latin(data))])
+    return sums[ends] - sums[starts] == ends - starts
+
+
 def _cuts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Takes a last full stop or comma after an ASCII letter as a word of its own: always a token border."""
-    last, before = data[ends - 1], data[np.maximum(ends - 2, 0)]
-    cut = ((last == 0x2E) | (last == 0x2C)) & (ends - starts > 1) & (((before | 0x20) >= 0x61) & ((before | 0x20) <= 0x7A))
-    s = np.concatenate([starts, ends[cut] - 1])
-    e = np.concatenate([np.where(cut, ends - 1, ends), ends[cut]])
-    order = np.argsort(s, kind="stable")
-    return s[order], e[order], np.concatenate([of, of[cut]])[order]
+    """Takes the marks that end a word after a letter as a word of their own: always a token border."""
+    at = np.flatnonzero(_MARK[data[ends - 1]])
+    mark = ends[at] - 1
+    for _ in range(LONGEST_MARK - 1):
+        more = _MARK[data[mark - 1]] & (mark > starts[at])
+        if not more.any():
+            break
+        mark -= more
+    last, lead = data[mark - 1], data[mark - 2]
+    good = (mark > starts[at]) & (_LETTER[last] | ((mark > starts[at] + 1) & (lead == 0xC3) & ((last | 0x20) != 0xB7)))
+    at, mark = at[good], mark[good]
+    e = ends.copy()
+    e[at] = mark
+    return np.insert(starts, at + 1, mark), np.insert(e, at + 1, ends[at]), np.insert(of, at + 1, of[at])
 
 
 def _pieces(path: str, capacity: int):

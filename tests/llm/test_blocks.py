@@ -80,3 +80,27 @@ def test_hashing_holds_a_piece_at_a_time():
     long = np.frombuffer(b"x" * (words.PIECE + 5) + b" y", np.uint8)
     one = words.hashes(long, *words.spans(long, np.array([0, len(long)]))[:2])
     assert len(set(one.tolist())) == 2 and one[1] == words.hashes(long[-1:], np.array([0]), np.array([1]))[0]
+
+
+def test_words_reach_the_tokenizer_once_without_the_marks_that_end_them():
+    import random
+
+    from bilateral.llm import packing as P
+    from bilateral.llm.queries import _tokenizer
+    from bilateral.llm.words import spans, text_bytes
+
+    encoder = P.Encoder(_tokenizer())
+
+    def ids(texts):
+        data, offsets = text_bytes(pa.array(texts))
+        starts, ends, of = spans(data, offsets)
+        starts, ends, of = P._cuts(data, starts, ends, of)
+        got, n = encoder.encode(data, starts, ends)
+        return np.split(got, np.cumsum(np.bincount(of, weights=n, minlength=len(texts)).astype(int))[:-1])
+
+    ids(["wort### café### wort! café! wort. café."])
+    assert len(encoder.keys) == 2 + 3  # two words, three runs of marks
+    rng, parts = random.Random(3), ["a", "B", "é", "É", "ß", "×", "÷", "ş", "Σ", "é", "1", "½", "'s", ".", "##", "|", ">", "<", "<|endoftext|>", "=", "≠", "…", "中", " ", "!" * 30, " "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(2000)]
+    for t, got in zip(texts, ids(texts), strict=True):
+        assert got.tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
