@@ -8,9 +8,10 @@ All fits of a rung grow together, so the number of jobs depends on rounds and de
 * A level of all trees is one pass over the units: each task adds up gradients and Hessians of its rows by (fit, node, feature, bin),
   the sums of a node meet in one small group, which chooses its split. The splits (a few numbers a node) go through the driver to
   the next pass; margins are written at the end of each round, so no lineage grows.
-* Chunks that have a single block need no sums from elsewhere: their trees grow to the end inside the task that holds the block.
-  Both ways do the same arithmetic. Rows up to ``WHOLE`` are merged into a single block, so tasks are dealt fits, not rows; above,
-  fits meet in the blocks, a job a level.
+* Up to ``WHOLE`` rows, fits are dealt instead: a task gets some fits of one cell (a split without an inner fold, a seed and a share) and
+  the rows that these train and are scored on, no others, and grows their trees to the end. The rows of a node stay together, the
+  smaller child of a split is counted and the larger is what remains, and large nodes count bins by pairs of features.
+  Both ways make the same trees.
 
 Trees are fitted to the logistic loss by second-order gains with a ridge of ``RIDGE``; missing values go to the highest bin.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -30,8 +32,8 @@ from ..functions.shared import SharedTables
 from ..functions.ship import ship
 
 BLOCK = 4096
-WHOLE = 1 << 17  # rows that one block may hold (a byte for each feature and split): a level of all trees need not be a job then
-HELD = 1 << 21  # fits times rows of a unit at most
+WHOLE = 1 << 20  # rows up to which the rows of a fit (a byte for each feature) may be one task's: a level of all trees need not be a job then
+PAIRED = 1024  # rows of a node from which bins are counted by pairs of features
 CHUNK = 64  # fits of a unit at most
 BINS = 32
 RIDGE = 1.0
@@ -104,10 +106,8 @@ class Trees:
             self.value[f, child] = -rate[f] * g / (h + RIDGE)
 
 
-def level_sums(block: Block, fits: pd.DataFrame, margins: np.ndarray, trees: Trees, level: int, rnd: int, whole: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(fit, node, gradients, Hessians) of the nodes of a level that hold rows; sums are by feature and bin.
-
-    If the block is ``whole``, nodes below the root that can't be split are left out (their values are known from their parents)."""
+def level_sums(block: Block, fits: pd.DataFrame, margins: np.ndarray, trees: Trees, level: int, rnd: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(fit, node, gradients, Hessians) of the nodes of a level that hold rows; sums are by feature and bin."""
     use = block.used(fits, True)
     sub = fits["subsample"].to_numpy()
     if (sub < 1).any():
@@ -120,12 +120,6 @@ def level_sums(block: Block, fits: pd.DataFrame, margins: np.ndarray, trees: Tre
     p = 1 / (1 + np.exp(-margins[fit, row].astype(np.float64)))
     g, h = p - block.y[row], p * (1 - p)
     key, place = np.unique(fit * 2 ** (level + 1) + node, return_inverse=True)
-    if whole and level:
-        least = 2 * fits["least_weight"].to_numpy(float)[key // 2 ** (level + 1)]
-        large = np.bincount(place, h, len(key)) >= least
-        kept = large[place]
-        row, place, g, h = row[kept], (np.cumsum(large) - 1)[place[kept]], g[kept], h[kept]
-        key = key[large]
     order = np.argsort(place, kind="stable")
     row, place, g, h = row[order], place[order], g[order], h[order]
     features = block.bins.shape[1]
@@ -214,21 +208,6 @@ def pack_blocks(rows: DataFrame, edges: list[np.ndarray], splits: int, size: int
     return rows.select("id", "x", "y", "parts").mapInArrow(pack, "n long, ids binary, bins binary, y binary, parts binary")
 
 
-def one_block(blocks: DataFrame) -> DataFrame:
-    """The rows of all blocks (at most ``WHOLE``) in one, by id."""
-
-    def merge(batches):
-        parts = [_read(b, i) for b in batches for i in range(b.num_rows)]
-        if not parts:
-            return
-        ids, bins, y, of = (np.concatenate([getattr(p, c) for p in parts]) for c in ("ids", "bins", "y", "parts"))
-        order = np.argsort(ids, kind="stable")
-        cols = (ids[order], bins[order], y[order].astype(np.int8), of[order])
-        yield pa.RecordBatch.from_arrays([pa.array([len(ids)]), *(pa.array([v.tobytes()], pa.binary()) for v in cols)], names=["n", "ids", "bins", "y", "parts"])
-
-    return blocks.coalesce(1).mapInArrow(merge, blocks.schema)
-
-
 def _counts(block: Block, fits: pd.DataFrame, margins: np.ndarray, first: int) -> pa.RecordBatch:
     """Counts of (truth, prediction) over the rows that each fit is scored on."""
     use = block.used(fits, False)
@@ -237,29 +216,166 @@ def _counts(block: Block, fits: pd.DataFrame, margins: np.ndarray, first: int) -
     return pa.RecordBatch.from_arrays([pa.array(np.arange(len(fits)) + first), *map(pa.array, cols)], names=["fit", "tp", "fp", "fn", "tn"])
 
 
-def _whole(fits: Fits, size: int, width: int):
-    """Units that are all there is of their chunk: every tree grows here. Yields counts and the gains by feature of refits."""
+class Cell:
+    """The rows that some fits train on (the first ``n``) and those they are scored on."""
+
+    def __init__(self, ids: np.ndarray, bins: np.ndarray, y: np.ndarray, n: int):
+        self.ids, self.rows, self.y, self.n = ids, bins, y, n
+        self.columns = np.ascontiguousarray(bins.T)
+        features = bins.shape[1]
+        even = self.columns[0::2, :n].astype(np.uint16) * np.uint16(BINS)
+        even[: features // 2] += self.columns[1::2, :n]
+        self.pairs = even
+
+    def sums(self, rows: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Gradients and Hessians of training rows by feature and bin (2 x features x bins)."""
+        features = self.rows.shape[1]
+        every = len(rows) == self.n
+        if not every:
+            g, h = g[rows], h[rows]
+        if len(rows) < PAIRED:
+            cell = (self.rows[rows] + np.arange(features) * BINS).ravel()
+            return np.stack([np.bincount(cell, np.repeat(v, features), features * BINS) for v in (g, h)]).reshape(2, features, BINS)
+        both = np.empty((2, len(self.pairs), BINS, BINS))
+        for i, pair in enumerate(self.pairs):
+            cell = (pair[: self.n] if every else pair.take(rows)).astype(np.intp)
+            for k, v in enumerate((g, h)):
+                both[k, i] = np.bincount(cell, v, BINS * BINS).reshape(BINS, BINS)
+        return np.stack([both.sum(3), both.sum(2)], 2).reshape(2, -1, BINS)[:, :features]
+
+
+def grow(cell: Cell, p: dict, allowed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Margins of the rows of a cell by one fit (its parameters ``p``), and its gains by feature."""
+    width, n, least, rate = cell.rows.shape[1], cell.n, float(p["least_weight"]), float(p["rate"])
+    margins, gains = np.zeros(len(cell.y), np.float32), np.zeros(width)
+    zero = np.zeros(1, np.int64)
+    for rnd in range(int(p["rounds"]) if n else 0):
+        prob = 1 / (1 + np.exp(-margins[:n].astype(np.float64)))
+        g, h = prob - cell.y[:n], prob * (1 - prob)
+        used, rest = np.arange(n), np.arange(n, len(cell.y))
+        if p["subsample"] < 1:
+            drawn = unit_hash(cell.ids[:n], np.array([p["seed"]]) * 1_000_003 + rnd + 1)[0] < p["subsample"]
+            used, rest = np.flatnonzero(drawn), np.r_[np.flatnonzero(~drawn), rest]
+        if not len(used):
+            continue
+        nodes = [(used, rest, cell.sums(used, g, h), None)]
+        for level in range(int(p["depth"])):
+            new = []
+            for used, rest, sums, value in nodes:
+                if sums is None:
+                    new.append((used, rest, None, value))
+                    continue
+                s = {k: v[0] for k, v in best_splits(zero, zero, sums[:1], sums[1:], np.array([least]), allowed).items()}
+                if s["feature"] < 0:
+                    new.append((used, rest, None, (s["g"], s["h"])))
+                    continue
+                gains[s["feature"]] += s["gain"]
+                column = cell.columns[s["feature"]]
+                right, right_rest = column.take(used) > s["bin"], column.take(rest) > s["bin"]
+                sides = [(used[~right], rest[~right_rest], (s["gl"], s["hl"])), (used[right], rest[right_rest], (s["g"] - s["gl"], s["h"] - s["hl"]))]
+                # a child with less than twice the least weight can't be split
+                large = [level + 1 < p["depth"] and v[1] >= 2 * least for *_, v in sides]
+                below: list[np.ndarray | None] = [None, None]
+                if any(large):
+                    small = int(len(sides[1][0]) < len(sides[0][0]))
+                    below[small] = cell.sums(sides[small][0], g, h)
+                    if large[1 - small]:
+                        below[1 - small] = sums - below[small]
+                new += [(a, b, t if ok else None, v) for (a, b, v), t, ok in zip(sides, below, large, strict=True)]
+            nodes = new
+            if all(sums is None for _, _, sums, _ in nodes):
+                break
+        for used, rest, sums, value in nodes:
+            a, b = value if sums is None else (sums[0, 0].sum(), sums[1, 0].sum())
+            step = np.float32(-rate * a / (b + RIDGE))
+            margins[used] += step
+            margins[rest] += step
+    return margins, gains
+
+
+@dataclass
+class Deal:
+    """Fits of one cell that one task trains: which fits, and of which rows."""
+
+    fits: list[int]
+    cell: tuple[int, int, int, float]  # split, inner, seed, share
+    cost: float
+    place: int = 0  # the partition
+
+
+def deal_fits(table: pd.DataFrame, tasks: int) -> tuple[list[Deal], int]:
+    """The fits in deals of one cell each and of like cost, dealt to at most ``tasks`` partitions, the costliest first; how many these are."""
+    cost = (table["share"] * table["rounds"] * (1 + 0.4 * table["depth"]) * table["subsample"]).to_numpy(float)
+    aim = cost.sum() / tasks
+    out = []
+    for cell, at in table.groupby(["split", "inner", "seed", "share"]).indices.items():
+        bins = [Deal([], tuple(c.item() if hasattr(c, "item") else c for c in cell), 0.0) for _ in range(min(len(at), max(1, round(cost[at].sum() / aim))))]
+        for i in at[np.argsort(-cost[at], kind="stable")].tolist():
+            least = min(bins, key=lambda d: d.cost)
+            least.fits.append(i)
+            least.cost += cost[i]
+        out += bins
+    out.sort(key=lambda d: -d.cost)
+    load = [(0.0, k) for k in range(min(len(out), 4 * tasks))]
+    for d in out:
+        held, d.place = heappop(load)
+        heappush(load, (held + d.cost, d.place))
+    return out, len(load)
+
+
+def _cut(deals: list[Deal]):
+    """The rows of a block that each deal needs."""
+    cells: dict[tuple, list[int]] = {}
+    for k, d in enumerate(deals):
+        cells.setdefault(d.cell, []).append(k)
 
     def work(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                block, k = _read(batch, i), batch.column("chunk")[i].as_py()
-                mine = fits.chunk(k, size)
-                margins, gains = np.zeros((len(mine), len(block.y)), np.float32), np.zeros((len(mine), width))
-                least, rate = mine["least_weight"].to_numpy(float), mine["rate"].to_numpy(float)
-                every = np.indices(margins.shape).reshape(2, -1)
-                for rnd in range(int(mine["rounds"].max())):
-                    trees = Trees(len(mine), int(mine["depth"].max()))
-                    for level in range(trees.depth):
-                        found = [best_splits(f, n, g, h, least[f], _allowed(mine, f, fits.features, width)) for f, n, g, h in level_sums(block, mine, margins, trees, level, rnd, True)]
-                        for s in found:
-                            trees.apply(s, rate)
-                            np.add.at(gains, (s["fit"], np.maximum(s["feature"], 0)), s["gain"])
-                        if not any((s["feature"] >= 0).any() for s in found):
-                            break
-                    margins += trees.value[every[0], trees.walk(block.bins, *every)].reshape(margins.shape)
-                got = _counts(block, mine, margins, k * size)
-                yield got.append_column("gains", pa.array([g.tolist() if r < 0 else None for g, r in zip(gains, mine["inner"], strict=True)], pa.list_(pa.float64())))
+                block = _read(batch, i)
+                for cell, wanted in cells.items():
+                    split, inner, seed, share = cell
+                    part = block.parts[:, split]
+                    train = np.flatnonzero((part >= 0) & (part != inner) & (unit_hash(block.ids, np.array([seed]))[0] < share))
+                    rows = np.r_[train, np.flatnonzero(part == (TEST if inner < 0 else inner))]
+                    if not len(rows):
+                        continue
+                    raw = [v[rows].tobytes() for v in (block.ids, block.bins, block.y.astype(np.int8))]
+                    for k in wanted:
+                        yield pa.RecordBatch.from_arrays([pa.array([deals[k].place], pa.int32()), pa.array([k], pa.int32()), pa.array([len(train)]), *(pa.array([v], pa.binary()) for v in raw)], names=["place", "deal", "n", "ids", "bins", "y"])
+
+    return work
+
+
+def _grown(deals: list[Deal], fits: Fits, width: int):
+    """Trains the fits of each deal (its rows come together). Yields counts and the gains by feature of refits."""
+
+    def train(k, held):
+        ids, y, bins = (np.concatenate([p[c] for p in held]) for c in ("ids", "y", "bins"))
+        test = np.concatenate([np.arange(len(p["ids"])) >= p["n"] for p in held])
+        order = np.lexsort((ids, test))
+        cell = Cell(ids[order], bins[order], y[order].astype(np.float64), int(np.count_nonzero(~test)))
+        table = fits.table.iloc[deals[k].fits]
+        allowed = _allowed(table, np.array([0]), fits.features, width)  # they have one split
+        true = cell.y[cell.n :] == 1
+        for f, p in zip(deals[k].fits, table.to_dict("records"), strict=True):
+            margins, gains = grow(cell, p, allowed)
+            said = margins[cell.n :] > 0
+            counts = [int(np.count_nonzero(v)) for v in (said & true, said & ~true, ~said & true, ~said & ~true)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([v]) for v in (f, *counts)), pa.array([gains.tolist() if p["inner"] < 0 else None], pa.list_(pa.float64()))], names=["fit", "tp", "fp", "fn", "tn", "gains"])
+
+    def work(batches):
+        held, now = [], None
+        for batch in batches:
+            for i, k in enumerate(batch.column("deal").to_pylist()):
+                if k != now and held:
+                    yield from train(now, held)
+                    held = []
+                now = k
+                raw = {c: np.frombuffer(batch.column(c)[i].as_buffer(), d) for c, d in (("ids", np.int64), ("bins", np.uint8), ("y", np.int8))}
+                held.append({"n": batch.column("n")[i].as_py(), **raw, "bins": raw["bins"].reshape(-1, width)})
+        if held:
+            yield from train(now, held)
 
     return work
 
@@ -342,44 +458,48 @@ def train_and_count(blocks: DataFrame, n_blocks: int, fits: Fits, width: int, ch
     order = fits.table.sort_values(["rounds", "depth", "split", "inner", "seed"], kind="stable")
     fits = Fits(order.reset_index(drop=True), fits.features)
     cores = spark.sparkContext.defaultParallelism
-    if not chunk and n_blocks == 1:
-        rows = blocks.agg(F.max("n")).first()[0]
-        chunk = max(1, min(CHUNK, -(-len(order) // (8 * cores)), HELD // rows))
-    chunk = chunk or min(CHUNK, max(4, -(-len(order) // (4 * cores))))
-    chunks = -(-len(order) // chunk)
-    unit = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(max(1, min(chunks * n_blocks, 16 * cores)))
     gains = np.zeros((len(order), width))
     if n_blocks == 1:
-        got = unit.mapInArrow(_whole(fits, chunk, width), f"{_COUNTS}, gains array<double>").toPandas()
+        deals, places = deal_fits(fits.table, 4 * cores)
+        cut = blocks.mapInArrow(_cut(deals), "place int, deal int, n long, ids binary, bins binary, y binary")
+        together = cut.repartitionById(places, F.col("place")).sortWithinPartitions("deal")
+        got = together.mapInArrow(_grown(deals, fits, width), f"{_COUNTS}, gains array<double>").toPandas()
         for f, g in zip(got["fit"], got["gains"], strict=True):
             if g is not None:
                 gains[f] = g
-        counts = got.drop(columns="gains")
-    else:
-        tables = SharedTables(spark)
-        sizes = [len(fits.chunk(k, chunk)) for k in range(chunks)]
-        zero = F.expr(f"unhex(repeat('00', cast(4 * n * (case when chunk = {chunks - 1} then {sizes[-1]} else {chunk} end) as int)))")
-        state = tables.put(unit.withColumn("margins", zero))
-        rate = [fits.chunk(k, chunk)["rate"].to_numpy(float) for k in range(chunks)]
-        for rnd in range(int(order["rounds"].max())):
-            depth = int(order["depth"][order["rounds"] > rnd].max())
-            trees = [Trees(s, depth) for s in sizes]
-            for level in range(depth):
-                shared = spark.sparkContext.broadcast({"fits": fits, "trees": trees, "level": level, "round": rnd})
-                sums = state.mapInArrow(_sums(shared, chunk), "fit long, node long, g binary, h binary")
-                s = sums.groupBy("fit", "node").applyInArrow(_choose(shared, width), _SPLIT).toPandas()  # a row a node
-                for k, part in s.groupby(s["fit"] // chunk):
-                    trees[k].apply({c: part[c].to_numpy() - (k * chunk if c == "fit" else 0) for c in part.columns}, rate[k])
-                np.add.at(gains, (s["fit"].to_numpy(), np.maximum(s["feature"].to_numpy(), 0)), s["gain"].to_numpy())
-                if not (s["feature"] >= 0).any():
-                    break
-            shared = spark.sparkContext.broadcast({"fits": fits, "trees": trees})
-            new = tables.put(state.mapInArrow(_moved(shared, chunk), state.schema))
-            tables.drop(state)
-            state = new
-        shared = spark.sparkContext.broadcast({"fits": fits})
-        counts = state.mapInArrow(_scored(shared, chunk), _COUNTS).groupBy("fit").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")]).toPandas()
+        return _in_order(order, got.drop(columns="gains"), gains)
+    chunk = chunk or min(CHUNK, max(4, -(-len(order) // (4 * cores))))
+    chunks = -(-len(order) // chunk)
+    unit = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition(max(1, min(chunks * n_blocks, 16 * cores)))
+    tables = SharedTables(spark)
+    sizes = [len(fits.chunk(k, chunk)) for k in range(chunks)]
+    zero = F.expr(f"unhex(repeat('00', cast(4 * n * (case when chunk = {chunks - 1} then {sizes[-1]} else {chunk} end) as int)))")
+    state = tables.put(unit.withColumn("margins", zero))
+    rate = [fits.chunk(k, chunk)["rate"].to_numpy(float) for k in range(chunks)]
+    for rnd in range(int(order["rounds"].max())):
+        depth = int(order["depth"][order["rounds"] > rnd].max())
+        trees = [Trees(s, depth) for s in sizes]
+        for level in range(depth):
+            shared = spark.sparkContext.broadcast({"fits": fits, "trees": trees, "level": level, "round": rnd})
+            sums = state.mapInArrow(_sums(shared, chunk), "fit long, node long, g binary, h binary")
+            s = sums.groupBy("fit", "node").applyInArrow(_choose(shared, width), _SPLIT).toPandas()  # a row a node
+            for k, part in s.groupby(s["fit"] // chunk):
+                trees[k].apply({c: part[c].to_numpy() - (k * chunk if c == "fit" else 0) for c in part.columns}, rate[k])
+            np.add.at(gains, (s["fit"].to_numpy(), np.maximum(s["feature"].to_numpy(), 0)), s["gain"].to_numpy())
+            if not (s["feature"] >= 0).any():
+                break
+        shared = spark.sparkContext.broadcast({"fits": fits, "trees": trees})
+        new = tables.put(state.mapInArrow(_moved(shared, chunk), state.schema))
         tables.drop(state)
+        state = new
+    shared = spark.sparkContext.broadcast({"fits": fits})
+    counts = state.mapInArrow(_scored(shared, chunk), _COUNTS).groupBy("fit").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")]).toPandas()
+    tables.drop(state)
+    return _in_order(order, counts, gains)
+
+
+def _in_order(order: pd.DataFrame, counts: pd.DataFrame, gains: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+    """Counts and gains of sorted fits in the order of the given ones."""
     back = order.index.to_numpy()
     counts["fit"] = back[counts["fit"].to_numpy()]
     out = np.zeros_like(gains)

@@ -197,11 +197,11 @@ def nested_search(df: DataFrame, roles, inner: int = 5, n_points: int | None = N
     tables = SharedTables(spark)
     rows = tables.put(rows)
     width = rows.select(F.max(F.size("x"))).first()[0]
-    blocks = tables.put(boosting.pack_blocks(rows, boosting.edges_of(rows, width), len(splits), block or boosting.BLOCK))
-    if not block and blocks.agg(F.sum("n")).first()[0] <= boosting.WHOLE:
-        many, blocks = blocks, tables.put(boosting.one_block(blocks))
-        tables.drop(many)
-    n_blocks = blocks.count()
+    packed = boosting.pack_blocks(rows, boosting.edges_of(rows, width), len(splits), block or boosting.BLOCK)
+    blocks = tables.put(packed.repartition(2 * spark.sparkContext.defaultParallelism))
+    n_blocks, n_rows = blocks.agg(F.count("*"), F.sum("n")).first()
+    if not block and n_rows <= boosting.WHOLE:
+        n_blocks = 1  # as many rows as fits may be dealt with
     of_pair: dict[tuple, list[int]] = {}
     for a, b, c in triples:
         of_pair.setdefault((a, b), []).append(c)

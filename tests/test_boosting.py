@@ -135,3 +135,39 @@ def test_small_tables_are_one_block_whatever_their_partitions(data, monkeypatch)
     many = run()
     assert min(seen) > 1 and [r[:-1] for r in one] == [r[:-1] for r in many]
     assert all(abs(a[-1] - b[-1]) < 1e-6 for a, b in zip(one, many, strict=True))
+
+
+@pytest.mark.parametrize("paired", [1, 10_000])
+def test_fits_that_one_task_grows_equal_plain_trees(data, paired, monkeypatch):
+    """Counting bins by pairs of features (an odd one is left) and taking the larger child as what remains change no tree."""
+    rows, _ = data
+    monkeypatch.setattr(boosting, "PAIRED", paired)
+    x, y = [r[4] for r in rows], [r[3] for r in rows]
+    bins = np.array([[sorted({r[f] for r in x}).index(r[f]) for f in range(3)] for r in x], np.uint8)
+    order = [i for i in range(90) if i % 4] + [i for i in range(90) if not i % 4]
+    cell = boosting.Cell(np.array(order), bins[order], np.array(y, float)[order], sum(1 for i in range(90) if i % 4))
+    p = {"rounds": 4, "rate": 0.3, "depth": 4, "least_weight": 1.0, "subsample": 1.0, "seed": 5}
+    margins, gains = boosting.grow(cell, p, None)
+    assert np.allclose(margins, np.array(plain_margins(x, y, order[: cell.n], p))[order], atol=1e-5)
+    assert gains.argmax() == 0
+    assert (boosting.grow(cell, p, np.array([[False, True, True]]))[1][0] == 0)
+
+
+def test_fits_are_dealt_with_the_rows_they_need(data):
+    """A table six times that of 1 GB (102 560 rows) needs no job a level, and a task gets no rows but those of its fits."""
+    assert boosting.WHOLE >= 6 * 102_560
+    rows, df = data
+    ready = df.withColumn("parts", F.array((F.col("id") % 3 - 1).cast("tinyint"))).coalesce(1)
+    (blocks,) = boosting.pack_blocks(ready, boosting.edges_of(ready, 3), 1).toArrow().to_batches()
+    point = {"split": 0, "rate": 0.3, "least_weight": 1.0, "subsample": 1.0, "seed": 5}
+    table = pd.DataFrame([{**point, "inner": k, "share": s, "rounds": r, "depth": 2} for k in (-1, 0, 1) for s in (0.2, 1.0) for r in (2, 3, 40)])
+    deals, places = boosting.deal_fits(table, 4)
+    assert sorted(i for d in deals for i in d.fits) == list(range(len(table))) and {d.place for d in deals} == set(range(places))
+    assert all((table.loc[d.fits, "inner"] == d.cell[1]).all() and (table.loc[d.fits, "share"] == d.cell[3]).all() for d in deals)
+    got = {b.column("deal")[0].as_py(): b for b in boosting._cut(deals)([blocks])}
+    for k, d in enumerate(deals):
+        ids = np.frombuffer(got[k].column("ids")[0].as_buffer(), np.int64)
+        part = ids % 3 - 1
+        train = (np.arange(len(ids)) < got[k].column("n")[0].as_py())
+        assert (part[train] >= 0).all() and (part[train] != d.cell[1]).all() and (part[~train] == d.cell[1]).all()
+        assert d.cell[3] == 1 or train.sum() < 30
