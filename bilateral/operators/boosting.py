@@ -316,7 +316,7 @@ def deal_fits(table: pd.DataFrame, tasks: int) -> tuple[list[Deal], int]:
             least.cost += cost[i]
         out += bins
     out.sort(key=lambda d: -d.cost)
-    load = [(0.0, k) for k in range(min(len(out), 4 * tasks))]
+    load = [(0.0, k) for k in range(min(len(out), 2 * tasks))]
     for d in out:
         held, d.place = heappop(load)
         heappush(load, (held + d.cost, d.place))
@@ -460,7 +460,7 @@ def train_and_count(blocks: DataFrame, n_blocks: int, fits: Fits, width: int, ch
     cores = spark.sparkContext.defaultParallelism
     gains = np.zeros((len(order), width))
     if n_blocks == 1:
-        deals, places = deal_fits(fits.table, 4 * cores)
+        deals, places = deal_fits(fits.table, 8 * cores)
         cut = blocks.mapInArrow(_cut(deals), "place int, deal int, n long, ids binary, bins binary, y binary")
         together = cut.repartitionById(places, F.col("place")).sortWithinPartitions("deal")
         got = together.mapInArrow(_grown(deals, fits, width), f"{_COUNTS}, gains array<double>").toPandas()
